@@ -319,7 +319,7 @@ def sample_qc(
         F.sum(F.when(F.col(is_reference), v)).alias("S"), F.count(F.when(F.col(is_reference), v)).alias("N")
     )
     own = F.col(is_reference) & v.isNotNull()
-    ref = (F.col("S") - F.when(own, v).otherwise(0.0)) / F.nullif(F.col("N") - own.cast("int"), F.lit(0))
+    ref = (F.col("S") - F.when(own, v).otherwise(F.lit(0))) / F.nullif(F.col("N") - own.cast("int"), F.lit(0))
     j = tracks.join(pos, [partition, position]).select(sample, partition, v.alias("x"), ref.alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     r = O.average_rank(O.average_rank(j, [sample, partition], "x", "rx"), [sample, partition], "y", "ry")
     rho = r.groupBy(sample, partition).agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))

@@ -202,13 +202,11 @@ def partition_zscore(df: DataFrame, keys: Sequence[str], value: str, name: str =
     return df.join(s, list(keys)).withColumn(name, z.otherwise(F.lit(0.0))).drop("__mu", "__sd")
 
 
-def demean(df: DataFrame, keys: Sequence[str], value: str, min_share: float = 0.5, name: str = "resid"):
-    """Value minus its group mean where at least `min_share` of the group is present."""
-    s = df.groupBy(*keys).agg(
-        F.avg(value).alias("__mu"), (F.count(value) / F.count(F.lit(1))).alias("__share")
-    )
-    keep = F.when(F.col("__share") >= min_share, F.col(value) - F.col("__mu"))
-    return df.join(s, list(keys)).withColumn(name, keep).drop("__mu", "__share")
+def demean(df: DataFrame, keys: Sequence[str], value: str, min_count: int, name: str = "resid"):
+    """Value minus its group mean, in groups with at least `min_count` present values."""
+    s = df.groupBy(*keys).agg(F.avg(value).alias("__mu"), F.count(value).alias("__n"))
+    keep = F.when(F.col("__n") >= min_count, F.col(value) - F.col("__mu"))
+    return df.join(s, list(keys)).withColumn(name, keep).drop("__mu", "__n")
 
 
 def leave_group_out_mean(df: DataFrame, group: str, value: str, within: Sequence[str] = ()) -> DataFrame:
@@ -220,8 +218,8 @@ def leave_group_out_mean(df: DataFrame, group: str, value: str, within: Sequence
 
 
 def ring_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Zero-based `pos` and ring length `len` per group."""
-    return numbered(df, keys, order, "pos", "len").withColumn("pos", F.col("pos") - 1)
+    """Zero-based `ring_pos` and `ring_len` per group."""
+    return numbered(df, keys, order, "ring_pos", "ring_len").withColumn("ring_pos", F.col("ring_pos") - 1)
 
 
 def circular_shift(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, offset: Column, name: str):
@@ -229,31 +227,65 @@ def circular_shift(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
     ring = stage(ring_positions(df, keys, order), "ring")
     src = ring.select(
         *[F.col(k).alias(f"__k_{k}") for k in keys],
-        F.pmod(F.col("pos") + offset, F.col("len")).alias("__to"),
+        F.pmod(F.col("ring_pos") + offset, F.col("ring_len")).alias("__to"),
         F.col(value).alias(name),
     )
-    cond = ring["pos"] == src["__to"]
+    cond = ring["ring_pos"] == src["__to"]
     for k in keys:
         cond = cond & ring[k].eqNullSafe(src[f"__k_{k}"])
     return ring.join(src, cond).drop("__to", *[f"__k_{k}" for k in keys])
 
 
 def quantile_map(df: DataFrame, keys: Sequence[str], source: str, target: str, name: str = "mapped"):
-    """Replace each source value by the target value of the same average rank.
+    """Rank-preserving map of the source onto the target's empirical distribution, on rows with both.
 
-    Mean ranks of ties may fall between two target ranks; the two neighbours are then
-    averaged, which is linear interpolation at one half.
+    A source of average rank r among n takes the target quantile at (r - 0.5) / n, linearly
+    interpolated between the two neighbouring order statistics.
     """
-    src = average_rank(df.where(F.col(source).isNotNull() & F.col(target).isNotNull()), keys, source, "__r")
-    tgt = cumulative(df.where(F.col(source).isNotNull() & F.col(target).isNotNull()), keys, target).rows()
-    # A distinct target value covers ranks (hi - n, hi]; explode only the ranks it covers.
+    both = df.where(F.col(source).isNotNull() & F.col(target).isNotNull())
+    src = average_rank(both, keys, source, "__r", "__m")
+    h = (F.col("__r") - 0.5) / F.col("__m") * (F.col("__m") - 1)
+    want = src.withColumn("__h", h).withColumn("__need", F.explode(F.array_distinct(F.array(F.floor("__h"), F.ceil("__h")))))
+    tgt = cumulative(both, keys, target).rows()
+    # A distinct target value covers the zero-based positions [hi - n, hi); explode just those.
     cover = tgt.select(
         *[F.col(k).alias(f"__k_{k}") for k in keys],
-        F.explode(F.sequence(F.col("__hi") - F.col("__n") + 1, F.col("__hi"))).alias("__rank"),
+        F.explode(F.sequence(F.col("__hi") - F.col("__n"), F.col("__hi") - 1)).alias("__rank"),
         F.col(target).alias("__v"),
     )
-    want = src.withColumn("__need", F.explode(F.array_distinct(F.array(F.floor("__r"), F.ceil("__r")))))
     cond = F.col("__need") == F.col("__rank")
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    return want.join(cover, cond).groupBy(*df.columns).agg(F.avg("__v").alias(name))
+    weight = F.when(F.col("__need") == F.floor("__h"), 1 - (F.col("__h") - F.floor("__h"))).otherwise(F.col("__h") - F.floor("__h"))
+    return want.join(cover, cond).groupBy(*df.columns).agg(F.sum(F.col("__v") * weight).alias(name))
+
+
+def rank_spline(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Flexible basis of centred ranks: u, u^2, u^3 and cubics truncated at the quartiles of u."""
+    r = average_rank(df.where(F.col(value).isNotNull()), keys, value, "__r", "__m")
+    r = r.withColumn("u1", F.col("__r") / F.col("__m") - 0.5)
+    q = quantiles(r, keys, "u1", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    j = r.join(q, list(keys)) if keys else r.join(F.broadcast(q))
+    u = F.col("u1")
+    cut = [F.pow(F.greatest(u - F.col(f"q{i}"), F.lit(0.0)), 3).alias(f"k{i}") for i in (1, 2, 3)]
+    return j.select(*df.columns, "u1", (u * u).alias("u2"), (u * u * u).alias("u3"), *cut)
+
+
+def orient(df: DataFrame, keys: Sequence[str], value: str, density: str, min_rho: float = 0.2, min_rows: int = 10):
+    """Flip a partition's sign when its rank correlation with the density is negative.
+
+    Partitions that correlate weakly, or on too few rows, become NULL.
+    """
+    both = df.where(F.col(value).isNotNull() & F.col(density).isNotNull())
+    r = average_rank(average_rank(both, keys, value, "__rv"), keys, density, "__rd")
+    rho = r.groupBy(*keys).agg(F.corr("__rv", "__rd").alias("rho"), F.count(F.lit(1)).alias("__n"))
+    ok = (F.col("__n") >= min_rows) & (F.abs("rho") >= min_rho)
+    flipped = F.when(ok & (F.col("rho") < 0), -F.col(value)).when(ok, F.col(value))
+    return df.join(rho, list(keys), "left").withColumn("oriented", flipped).drop("__n")
+
+
+def consensus_rank(df: DataFrame, track: str, position: Sequence[str], value: str, min_tracks: int = 4) -> DataFrame:
+    """Mean of rank / (n + 1) over tracks, where enough tracks are present."""
+    r = average_rank(df.where(F.col(value).isNotNull()), [track], value, "__r", "__m")
+    g = r.groupBy(*position).agg(F.avg(F.col("__r") / (F.col("__m") + 1)).alias("consensus"), F.count(F.lit(1)).alias("n_tracks"))
+    return g.withColumn("consensus", F.when(F.col("n_tracks") >= min_tracks, F.col("consensus")))

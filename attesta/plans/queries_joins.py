@@ -2,10 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from attesta.functions import text as X
 from attesta.operators import graph as G
 from attesta.operators import joins as J
-from attesta.operators.ordered import lagged
 from attesta.plans.registry import registrar
 from attesta.session import table
 
@@ -104,17 +102,17 @@ def group_member_spread(spark, d):
 
 
 @query(
-    """WITH g AS (SELECT l_orderkey AS guide, l_suppkey AS k, l_linenumber AS n FROM lineitem),
-        m AS (SELECT guide FROM g GROUP BY 1 HAVING min(k) <> max(k) AND max(n) > 6),
-        bad AS (SELECT DISTINCT k FROM g WHERE guide IN (SELECT guide FROM m) AND k % 3 = 0),
+    """WITH g AS (SELECT l_orderkey AS guide, l_suppkey AS k, l_tax AS t FROM lineitem),
+        m AS (SELECT guide FROM g GROUP BY 1 HAVING min(k) <> max(k) AND max(t) = 0),
+        bad AS (SELECT DISTINCT k FROM g WHERE guide IN (SELECT guide FROM m)),
         p AS (SELECT DISTINCT s_suppkey AS k, s_nationkey::BIGINT AS partner FROM supplier)
        SELECT k, partner FROM p WHERE k <> partner AND k NOT IN (SELECT k FROM bad) AND partner NOT IN (SELECT k FROM bad)"""
 )
 def directed_pair_universe(spark, d):
     li, s = names(spark, d, "lineitem", "supplier")
-    g = li.select(F.col("l_orderkey").alias("guide"), F.col("l_suppkey").alias("k"), F.col("l_linenumber").alias("n"))
-    multi = g.groupBy("guide").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.max("n").alias("n")).where("a <> b AND n > 6")
-    bad = g.join(multi.select("guide"), "guide", "left_semi").where("k % 3 = 0").select("k")
+    g = li.select(F.col("l_orderkey").alias("guide"), F.col("l_suppkey").alias("k"), F.col("l_tax").alias("t"))
+    multi = g.groupBy("guide").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.max("t").alias("t")).where("a <> b AND t = 0")
+    bad = g.join(multi.select("guide"), "guide", "left_semi").select("k")
     p = s.select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").cast("bigint").alias("partner"))
     return J.directed_pairs(p, p, bad, "k", "partner")
 

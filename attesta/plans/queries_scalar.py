@@ -380,12 +380,12 @@ def partition_zscore(spark, d):
 
 @query(
     """WITH v AS (SELECT event_id, user_id, event_type, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS v FROM events)
-       SELECT event_id, round(CASE WHEN count(v) OVER w / count(*) OVER w >= 0.6 THEN v - avg(v) OVER w END, 6) AS resid FROM v
+       SELECT event_id, round(CASE WHEN count(v) OVER w >= 9 THEN v - avg(v) OVER w END, 6) AS resid FROM v
        WINDOW w AS (PARTITION BY user_id, event_type)"""
 )
 def tile_demean(spark, d):
     e = table(spark, d, "events").withColumn("v", F.when(F.col("event_id") % 3 != 0, F.col("value")))
-    return O.demean(e, ["user_id", "event_type"], "v", 0.6).select("event_id", F.round("resid", 6).alias("resid"))
+    return O.demean(e, ["user_id", "event_type"], "v", 9).select("event_id", F.round("resid", 6).alias("resid"))
 
 
 _P = "((l_partkey * 7919 + l_orderkey * 104729 + l_linenumber * 31) % 1000003 / 1000003e0)"
@@ -433,9 +433,10 @@ def circular_shift(spark, d):
 @query(
     """WITH t AS (SELECT l_returnflag, l_suppkey, avg(l_extendedprice) AS x, avg(l_quantity) AS y FROM lineitem GROUP BY 1, 2),
         s AS (SELECT *, rank() OVER (PARTITION BY l_returnflag ORDER BY x) + (count(*) OVER (PARTITION BY l_returnflag, x) - 1) / 2.0 AS r FROM t),
-        u AS (SELECT l_returnflag, y, row_number() OVER (PARTITION BY l_returnflag ORDER BY y) AS k FROM t)
-       SELECT s.l_returnflag, l_suppkey, round(avg(u.y), 6) AS mapped FROM s JOIN u ON s.l_returnflag = u.l_returnflag
-              AND u.k IN (CAST(floor(s.r) AS BIGINT), CAST(ceil(s.r) AS BIGINT)) GROUP BY ALL"""
+        n AS (SELECT *, count(*) OVER (PARTITION BY l_returnflag) AS m FROM s), h AS (SELECT *, (r - 0.5) / m * (m - 1) AS h FROM n),
+        u AS (SELECT l_returnflag, y, row_number() OVER (PARTITION BY l_returnflag ORDER BY y) - 1 AS k FROM t)
+       SELECT h.l_returnflag, l_suppkey, round(max(a.y) + (max(b.y) - max(a.y)) * (max(h) - floor(max(h))), 6) AS mapped FROM h
+       JOIN u a ON h.l_returnflag = a.l_returnflag AND a.k = CAST(floor(h) AS BIGINT) JOIN u b ON h.l_returnflag = b.l_returnflag AND b.k = CAST(ceil(h) AS BIGINT) GROUP BY ALL"""
 )
 def quantile_mapped_track(spark, d):
     t = table(spark, d, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(
