@@ -65,8 +65,28 @@ def _partial_r(pairs: dict, x: str, y: str, given: tuple[str, ...]) -> Column:
     return F.when(left > 1e-24, (rxy - rxz * ryz) / F.sqrt(left))
 
 
+@F.pandas_udf(DoubleType())
+def _partial_by_inverse(upper: pd.Series) -> pd.Series:
+    """Partial correlation of the first two variables from the upper triangle of a correlation matrix."""
+    if not len(upper):
+        return pd.Series([], dtype=float)
+    tri = np.stack(upper.to_numpy()).astype(float)
+    k = int((1 + math.isqrt(1 + 8 * tri.shape[1])) // 2)
+    full = np.tile(np.eye(k), (len(tri), 1, 1))
+    i, j = np.triu_indices(k, 1)
+    full[:, i, j] = full[:, j, i] = tri
+    # Residual covariance of the pair given the rest; the pseudo-inverse copes with collinear covariates.
+    top, cross, rest = full[:, :2, :2], full[:, :2, 2:], full[:, 2:, 2:]
+    cov = top - cross @ np.linalg.pinv(rest, rcond=1e-10, hermitian=True) @ np.swapaxes(cross, 1, 2)
+    den = np.sqrt(np.clip(cov[:, 0, 0], 0, None) * np.clip(cov[:, 1, 1], 0, None))
+    return pd.Series(np.where(den > 1e-12, cov[:, 0, 1] / np.where(den > 1e-12, den, 1.0), np.nan))
+
+
 def partial_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str, given: Sequence[str]) -> DataFrame:
-    """Partial Pearson correlation of x and y given covariates, from pairwise moments of one aggregate."""
+    """Partial Pearson correlation of x and y given covariates, from pairwise moments of one aggregate.
+
+    Up to two covariates use the closed formula; more use a small matrix inverse per group.
+    """
     names = [x, y, *given]
     aggs, pairs = [], {}
     for i, a in enumerate(names):
@@ -74,7 +94,9 @@ def partial_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str, give
             aggs.append(F.corr(a, b).alias(f"__{a}__{b}"))
             pairs[frozenset((a, b))] = F.coalesce(F.nanvl(F.col(f"__{a}__{b}"), F.lit(0.0)), F.lit(0.0))
     g = df.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("n"))
-    return g.select(*keys, "n", _partial_r(pairs, x, y, tuple(given)).alias("partial_r"))
+    if len(given) <= 2:
+        return g.select(*keys, "n", _partial_r(pairs, x, y, tuple(given)).alias("partial_r"))
+    return g.select(*keys, "n", _partial_by_inverse(F.array(*pairs.values())).alias("partial_r"))
 
 
 def partial_spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, given: Sequence[str]) -> DataFrame:
