@@ -146,7 +146,7 @@ def leading_eigenvector(oe: DataFrame, mask: DataFrame, keys: Sequence[str], max
         u = mat.join(a.drop("c"), [*keys, "i"]).groupBy(*keys, "j").agg(F.sum(F.col("oe") * F.col("a")).alias("u"))
         # Every kept column takes part, also one that meets no kept row with signal.
         cols = mask.select(*keys, F.col("i").alias("j")).join(u, [*keys, "j"], "left").join(const, keys)
-        u = stage(cols.select(*keys, "j", (F.coalesce("u", F.lit(0.0)) - F.col("c0")).alias("u")), "vec")
+        u = cols.select(*keys, "j", (F.coalesce("u", F.lit(0.0)) - F.col("c0")).alias("u"))
         usum = u.groupBy(*keys).agg(F.sum("u").alias("u0"))
         y = mat.join(u, [*keys, "j"]).groupBy(*keys, "i").agg(F.sum(F.col("oe") * F.col("u")).alias("y"))
         new = stats.join(y, [*keys, "i"], "left").join(usum, keys).select(
@@ -156,7 +156,7 @@ def leading_eigenvector(oe: DataFrame, mask: DataFrame, keys: Sequence[str], max
         norm = joined.groupBy(*keys).agg(
             F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"), (F.sum(F.col("y") * F.col("v")) / F.sum(F.col("v") * F.col("v"))).alias("eigenvalue")
         )
-        v = stage(joined.join(norm, keys).select(*keys, "i", (F.col("y") / F.nullif(F.col("norm"), F.lit(0.0))).alias("v")), "vec")
+        v = joined.join(norm, keys).select(*keys, "i", (F.col("y") / F.nullif(F.col("norm"), F.lit(0.0))).alias("v"))
         top = norm.agg(F.sum("eigenvalue")).first()[0]
         if previous is not None and top is not None and abs(top - previous) <= tol * max(1.0, abs(top)):
             break
