@@ -112,18 +112,20 @@ def test_partial_correlation_many_covariates(spark):
     assert A.partial_correlation(df, [], "x", "y", ["z0", "z1", "z2", "z3"]).first().partial_r == pytest.approx(want, abs=1e-9)
 
 
-def test_spatial_null_recovers_planted_and_rejects_noise(spark):
+def test_spatial_null_recovers_planted_and_matches_numpy(spark):
     rng = np.random.default_rng(5)
-    rows = []
-    for ch in range(8):
-        base = np.cumsum(rng.normal(size=60))
-        for i in range(60):
-            rows.append((f"c{ch}", i, float(base[i]), float(base[i] + rng.normal()), float(rng.normal())))
-    df = spark.createDataFrame(rows, "chrom string, pos int, x double, y double, w double")
-    hit = A.spatial_null(df, "chrom", ["pos"], "x", "y", [], 99, 1).first()
-    noise = A.spatial_null(df, "chrom", ["pos"], "x", "w", [], 99, 1).first()
-    assert hit.p_pos == pytest.approx(0.01) and hit.observed > 0.5
-    assert min(noise.p_pos, noise.p_neg) > 0.01
+    x = np.cumsum(rng.normal(size=(8, 60)), axis=1)
+    y, w = x + rng.normal(size=x.shape), rng.normal(size=x.shape)
+    rows = [(f"c{c}", i, float(x[c, i]), arm, float(v[c, i])) for arm, v in (("hit", y), ("noise", w)) for c in range(8) for i in range(60)]
+    df = spark.createDataFrame(rows, "chrom string, pos int, x double, arm string, v double")
+    out = {r.arm: r for r in A.spatial_null(df, "chrom", ["pos"], "x", "v", [], 199, 1, by=["arm"]).collect()}
+    assert out["hit"].p_pos == pytest.approx(1 / 200) and out["hit"].observed > 0.5
+    rank = lambda m: (np.argsort(np.argsort(m.ravel())) + 1.0).reshape(m.shape)
+    xr, wr, draws = rank(x), rank(w), np.random.default_rng(0)
+    null = [np.corrcoef(np.stack([np.roll(xr[c], draws.integers(10, 51)) for c in range(8)]).ravel(), wr.ravel())[0, 1] for _ in range(3000)]
+    r = out["noise"]
+    assert r.observed == pytest.approx(np.corrcoef(xr.ravel(), wr.ravel())[0, 1], abs=1e-9)
+    assert r.null_mean == pytest.approx(np.mean(null), abs=0.006) and r.null_sd == pytest.approx(np.std(null), rel=0.2)
 
 
 def test_bh_and_holm_examples(spark):
