@@ -30,6 +30,11 @@ HEALTHY_CALL_WORDS = {
 SLUG_STOP = ("of", "the", "in", "and", "to")
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once and use it several times in `body`, also inside array lambdas."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
 def any_contained(text: Column, words: Sequence[str]) -> Column:
     """True if any of a fixed word list occurs in `text`; one codegen disjunction."""
     hit = F.lit(False)
@@ -44,7 +49,8 @@ def norm_label(s: Column) -> Column:
     t = F.regexp_replace(F.translate(t, "'\u2019", ""), "[-_/]", " ")
     t = F.trim(F.regexp_replace(t, "\\s+", " "))
     t = F.btrim(t, F.lit(" .;,\"*`"))
-    return F.when(t.isin(*HEALTHY_LABELS), F.lit("normal")).otherwise(t)
+    # One full-match replacement instead of a lookup, so the chain above is evaluated once.
+    return F.regexp_replace(t, "\\A(?:" + "|".join(HEALTHY_LABELS) + ")\\z", "normal")
 
 
 def norm_simple(s: Column) -> Column:
@@ -65,27 +71,28 @@ def label_pieces(pred: Column) -> Column:
     """Split a list-like answer into normalised labels of three or more characters."""
     raw = F.split(F.coalesce(pred, F.lit("")), "\\s*(?:,|;|/|\\||\\band\\b)\\s*")
     kept = F.filter(F.transform(raw, norm_label), lambda p: F.length(p) >= 3)
-    whole = norm_label(pred)
-    fallback = F.when(whole != "", F.array(whole)).otherwise(F.array().cast("array<string>"))
-    return F.when(F.size(kept) > 0, kept).otherwise(fallback)
+    whole = lambda: F.filter(F.array(norm_label(pred)), lambda p: p != "")
+    return let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(whole()))
 
 
 def any_match(pred: Column, truth: Column) -> Column:
     """Some piece of `pred` matches some label of the `truth` array."""
-    labels = F.transform(truth, norm_label)
-    return F.exists(label_pieces(pred), lambda p: F.exists(labels, lambda t: contains_either_way(p, t)))
+    both = F.struct(label_pieces(pred).alias("p"), F.transform(truth, norm_label).alias("t"))
+    return let(both, lambda s: F.exists(s["p"], lambda p: F.exists(s["t"], lambda t: contains_either_way(p, t))))
 
 
 def lexical_support(pred: Column, text: Column) -> Column:
     """The text contains the stem of some content word of the asserted label."""
-    low = F.lower(text)
-    label = norm_label(pred)
+    return let(F.struct(norm_label(pred).alias("l"), F.lower(text).alias("low")), lambda s: _supported(s["l"], s["low"]))
+
+
+def _supported(label: Column, low: Column) -> Column:
     words = F.filter(F.regexp_extract_all(label, F.lit("([a-z]{4,})")), lambda w: ~w.isin(*STOP_WORDS))
-    stem_found = F.exists(words, lambda w: low.contains(w.substr(F.lit(1), F.greatest(F.lit(5), F.length(w) - 2))))
-    return (
-        F.when(label == "normal", any_contained(low, HEALTHY_IN_TEXT))
-        .when(F.size(words) == 0, F.lit(True))
-        .otherwise(stem_found)
+    found = lambda ws: F.exists(
+        ws, lambda w: low.contains(w.substr(F.lit(1), F.greatest(F.lit(5), F.length(w) - 2)))
+    )
+    return F.when(label == "normal", any_contained(low, HEALTHY_IN_TEXT)).otherwise(
+        let(words, lambda ws: F.when(F.size(ws) == 0, F.lit(True)).otherwise(found(ws)))
     )
 
 

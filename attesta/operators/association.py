@@ -275,10 +275,15 @@ def _block(pdf: pd.DataFrame, col: str) -> np.ndarray:
     return np.stack(pdf[col].to_numpy()).astype(float)
 
 
-def _partial_sums(df: DataFrame, fn, rows: int) -> DataFrame:
+def few_tasks(df: DataFrame) -> DataFrame:
+    """At most four tasks per core, merged without a shuffle, so partial sums stay few on a huge scan."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def _partial_sums(df: DataFrame, fn) -> DataFrame:
     """Run `fn(state, pdf)` over each task's batches and add the emitted vectors across tasks.
 
-    fn returns a (rows, cols) float array per batch; tasks emit (i, j, value) sums.
+    fn returns one float matrix per batch; tasks emit (i, j, value) sums.
     """
 
     def run(batches):
@@ -291,7 +296,7 @@ def _partial_sums(df: DataFrame, fn, rows: int) -> DataFrame:
             i, j = np.nonzero(total)
             yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "v": total[i, j]})
 
-    return df.mapInPandas(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    return few_tasks(df).mapInPandas(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def _dense(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
@@ -354,14 +359,14 @@ def _joint(data, x, y, c, lo, hi, q, width, n, min_df):
         X = _block(pdf, x)[:, lo:hi]
         return np.vstack([X.sum(axis=0), (X * X).sum(axis=0)])
 
-    m = _dense(_partial_sums(data, first, width), (width, width + p + q))
+    m = _dense(_partial_sums(data, first), (width, width + p + q))
     W, rank = _orthonormal(m[:, :width])
     dof = n - rank - 1
     if dof < min_df:
         raise ValueError(f"df too small: {dof}")
     P = W @ W.T
     bx, by = P @ m[:, width : width + p], P @ m[:, width + p :]
-    mean = _dense(_partial_sums(data, moments, 2), (2, p))[0] / n
+    mean = _dense(_partial_sums(data, moments), (2, p))[0] / n
 
     def second(pdf):
         C = _block(pdf, c)
@@ -371,7 +376,7 @@ def _joint(data, x, y, c, lo, hi, q, width, n, min_df):
         foot = np.concatenate([(yr * yr).sum(axis=0), [0.0, 0.0]])
         return np.vstack([head, foot])
 
-    s = stage(_partial_sums(data, second, p + 1), "products")
+    s = stage(_partial_sums(data, second), "products")
     sxx = s.where((F.col("j") == q) & (F.col("i") < p)).select("i", F.col("v").alias("sxx"))
     raw = s.where((F.col("j") == q + 1) & (F.col("i") < p)).select("i", F.col("v").alias("sxx_raw"))
     syy = s.where((F.col("i") == p) & (F.col("j") < q)).select("j", F.col("v").alias("syy"))
@@ -400,7 +405,7 @@ def _per_column(data, x, y, c, lo, hi, q, width, min_df):
         cy = np.stack([(M * C[:, [r]]).T @ Y for r in range(width)], axis=1).reshape(p, width * q)
         return np.hstack([cc, X0.T @ C, cy, M.sum(axis=0)[:, None], X0.sum(axis=0)[:, None]])
 
-    m = _dense(_partial_sums(data, first, p), (p, w2 + width + width * q + 2))
+    m = _dense(_partial_sums(data, first), (p, w2 + width + width * q + 2))
     bx, by, dof = np.zeros((p, width)), np.zeros((p, width, q)), np.zeros(p)
     for f in range(p):
         W, rank = _orthonormal(m[f, :w2].reshape(width, width))
@@ -420,7 +425,7 @@ def _per_column(data, x, y, c, lo, hi, q, width, min_df):
             out[p + f, :q] = (yr * yr).sum(axis=0)
         return out
 
-    s = stage(_partial_sums(data, second, 2 * p), "products")
+    s = stage(_partial_sums(data, second), "products")
     sxx = s.where((F.col("j") == q) & (F.col("i") < p)).select("i", F.col("v").alias("sxx"))
     raw = s.where((F.col("j") == q + 1) & (F.col("i") < p)).select("i", F.col("v").alias("sxx_raw"))
     syy = s.where((F.col("i") >= p) & (F.col("j") < q)).select((F.col("i") - p).alias("i"), "j", F.col("v").alias("syy"))
@@ -469,7 +474,7 @@ def test_pairs(
                 i, j = np.nonzero(m)
                 yield pd.DataFrame({"tier": str(name), "i": i.astype("int32"), "j": j.astype("int32"), "v": m[i, j]})
 
-        return data.mapInPandas(run, "tier string, i int, j int, v double").groupBy("tier", "i", "j").agg(F.sum("v").alias("v"))
+        return few_tasks(data).mapInPandas(run, "tier string, i int, j int, v double").groupBy("tier", "i", "j").agg(F.sum("v").alias("v"))
 
     def first(_, X, Y, C):
         ok = np.isfinite(X) & np.isfinite(Y)

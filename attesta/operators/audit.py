@@ -93,8 +93,16 @@ def bucketed_digest(manifest: DataFrame, buckets: int = 4096) -> DataFrame:
     return b.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda s: s["h"]), "\n"), 256).alias("digest"))
 
 
+MAX_MANIFEST = 100_000
+
+
 def top_digest(manifest: DataFrame) -> DataFrame:
-    """Digest over the sorted 'path NUL sha256' lines; for release manifests, a few thousand files at most."""
+    """Digest over the sorted 'path NUL sha256' lines of a release manifest.
+
+    The lines meet in one place, so the size is checked; larger manifests use `bucketed_digest`.
+    """
+    if manifest.count() > MAX_MANIFEST:
+        raise Refused(f"more than {MAX_MANIFEST} files: use bucketed_digest")
     line = F.concat(F.col("path"), F.lit("\x00"), F.col("sha256"))
     return manifest.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"), F.count(F.lit(1)).alias("files"))
 
@@ -185,6 +193,26 @@ HYGIENE = {
 }
 
 
+# A text without any of these substrings cannot match the pattern of that name.
+HYGIENE_LITERALS = {
+    "personal_path": ("/Users/", "/home/"),
+    "merge_marker": ("<<<<<<<", ">>>>>>>", "======="),
+    "email": ("@",),
+    "private_key": ("PRIVATE KEY-----",),
+}
+
+
+def _hit(text: Column, name: str, pattern: str) -> Column:
+    """Regular expression behind a cheap substring test where one is known."""
+    words = HYGIENE_LITERALS.get(name) if HYGIENE.get(name) == pattern or HYGIENE.get(name) == pattern.removeprefix("(?m)") else None
+    if not words:
+        return text.rlike(pattern)
+    some = F.lit(False)
+    for w in words:
+        some = some | text.contains(w)
+    return some & text.rlike(pattern)
+
+
 def deny_pattern(names: Sequence[str]) -> str:
     """Names with flexible separators: 'Ann Lee' also finds ann_lee and AnnLee."""
     return "(?i)" + "|".join(r"[\s._-]*".join("".join(ch if ch.isalnum() else "\\" + ch for ch in w) for w in n.split()) for n in names)
@@ -196,12 +224,12 @@ def hygiene_hits(docs: DataFrame, doc_id: str, text: str, patterns: Mapping[str,
     Documents are first tested as a whole where that is equivalent, so clean texts are never split.
     """
     any_line = F.lit(False)
-    for p in patterns.values():
-        any_line = any_line | F.col(text).rlike("(?m)" + p)
+    for n, p in patterns.items():
+        any_line = any_line | _hit(F.col(text), n, "(?m)" + p)
     if max_line is not None:
         any_line = any_line | (F.length(text) > max_line)
     lines = docs.where(any_line).select(doc_id, F.posexplode(F.split(text, "\n")).alias("line", "t"))
-    rules = [F.when(F.col("t").rlike(p), F.lit(n)) for n, p in patterns.items()]
+    rules = [F.when(_hit(F.col("t"), n, p), F.lit(n)) for n, p in patterns.items()]
     if max_line is not None:
         rules.append(F.when(F.length("t") > max_line, F.lit("oversize")))
     return lines.select(doc_id, (F.col("line") + 1).alias("line"), F.explode(F.array_compact(F.array(*rules))).alias("rule"))

@@ -168,7 +168,9 @@ def median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median")
 
 def benjamini_hochberg(df: DataFrame, p: str, keys: Sequence[str] = (), name: str = "q") -> DataFrame:
     """Step-up q-values. Tied p share the largest rank, so distinct p-values suffice."""
+    # Written once: the suffix minimum reads the cumulative counts twice (rows and bucket minima).
     c = cumulative(df, keys, p)
+    c = Ordered(stage(c.df.drop("__n"), "bh"), c.keys, c.order, _staged=True)
     raw = F.col(p) * F.col("__total") / F.col("__hi")
     q = c.running({"__q": ("min", raw)}, reverse=True).rows()
     return _back(df, q.select(*keys, p, F.least(F.col("__q"), F.lit(1.0)).alias(name)), keys, p)
@@ -246,12 +248,17 @@ def quantile_map(df: DataFrame, keys: Sequence[str], source: str, target: str, n
     src = average_rank(both, keys, source, "__r", "__m")
     h = (F.col("__r") - 0.5) / F.col("__m") * (F.col("__m") - 1)
     want = src.withColumn("__h", h).withColumn("__need", F.explode(F.array_distinct(F.array(F.floor("__h"), F.ceil("__h")))))
+    # The value at a position is the latest distinct target starting at or before it: one scan over
+    # targets and wanted positions, so a target tied a billion times is still one row.
     tgt = cumulative(both, keys, target).rows()
-    # A distinct target value covers the zero-based positions [hi - n, hi); explode just those.
-    cover = tgt.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys],
-        F.explode(F.sequence(F.col("__hi") - F.col("__n"), F.col("__hi") - 1)).alias("__rank"),
-        F.col(target).alias("__v"),
+    start = F.col("__hi") - F.col("__n")
+    marks = tgt.select(*keys, start.alias("__at"), F.lit(0).alias("__kind"), F.struct(start.alias("s"), F.col(target).alias("v")).alias("__iv"))
+    asked = want.select(*keys, F.col("__need").alias("__at")).distinct().select(
+        *keys, "__at", F.lit(1).alias("__kind"), F.lit(None).cast(marks.schema["__iv"].dataType).alias("__iv")
+    )
+    run = Ordered(marks.unionByName(asked), keys, ["__at", "__kind"]).running({"__last": ("max", F.col("__iv"))}).rows()
+    cover = run.where("__kind = 1").select(
+        *[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__at").alias("__rank"), F.col("__last.v").alias("__v")
     )
     cond = F.col("__need") == F.col("__rank")
     for k in keys:

@@ -81,24 +81,23 @@ def build_claims(answers: DataFrame, key: Sequence[str], system: str, pred: str,
     A missing peer answer is a gap, not a disagreement. Answers that normalise to unstated
     or unknown are no claims.
     """
-    p = F.col(pred)
-    real = p.isNotNull() & ~X.norm_label(p).isin("unstated", "unknown", "")
-    peers = answers.select(*key, F.col(system).alias("__sys"), p.alias("__peer"))
-    joined = answers.alias("a").join(
-        peers.alias("b"),
-        (F.col(f"a.{system}") != F.col("b.__sys"))
-        & (F.concat_ws("\x1f", *[F.col(f"a.{k}") for k in key]) == F.concat_ws("\x1f", *[F.col(f"b.{k}") for k in key])),
-        "left",
+    # Labels are normalised once, before the join, on each side's own rows.
+    base = answers.withColumn("__norm", X.norm_label(F.col(pred)))
+    peers = answers.where(F.coalesce(F.col(pred), F.lit("")) != "").select(
+        *key, F.col(system).alias("__sys"), X.norm_label(F.col(pred)).alias("__peer")
     )
-    a = joined.select("a.*", "__peer").where(real)
-    peer = F.col("__peer")
-    return a.select(
-        *key,
-        system,
-        X.any_match(p, F.col(truth)).alias("right"),
-        (peer.isNotNull() & (peer != "") & ~X.label_match(p, peer)).alias("flag_peer"),
-        (~X.lexical_support(p, F.col(text))).alias("flag_text"),
+    real = base.where(F.col(pred).isNotNull() & ~F.col("__norm").isin("unstated", "unknown", ""))
+    scored = real.select(
+        *key, system, "__norm",
+        X.any_match(F.col(pred), F.col(truth)).alias("right"),
+        (~X.lexical_support(F.col(pred), F.col(text))).alias("flag_text"),
     )
+    cond = F.col(f"a.{system}") != F.col("b.__sys")
+    for k in key:
+        cond = cond & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    joined = scored.alias("a").join(peers.alias("b"), cond, "left")
+    disagree = F.col("b.__peer").isNotNull() & ~X.contains_either_way(F.col("a.__norm"), F.coalesce("b.__peer", F.lit("")))
+    return joined.select(*[F.col(f"a.{c}") for c in (*key, system, "right")], disagree.alias("flag_peer"), "a.flag_text")
 
 
 def curated_claims(rows: DataFrame, curated: DataFrame, key: str, term: Column, healthy: Column, normal: str):

@@ -179,7 +179,7 @@ _HYG = {**Q.HYGIENE, "deny_name": Q.deny_pattern(DENY)}
     + " UNION ALL SELECT doc_id, line, 'oversize' FROM l WHERE length(t) > 3000"
 )
 def text_hygiene(spark, d):
-    return Q.hygiene_hits(table(spark, d, "documents"), "doc_id", "text", _HYG, 3000)
+    return Q.hygiene_hits(table(spark, d, "documents", spread=True), "doc_id", "text", _HYG, 3000)
 
 
 @query(
@@ -187,7 +187,7 @@ def text_hygiene(spark, d):
 )
 def scrubbed_text(spark, d):
     subs = [(Q.HYGIENE["email"], "<mail>"), ("[0-9]{3,}", "<n>")]
-    return table(spark, d, "documents").select("doc_id", F.md5(X.scrub(F.col("text"), subs, {"the": "THE", "example.com": "<site>"})).alias("scrubbed"))
+    return table(spark, d, "documents", spread=True).select("doc_id", F.md5(X.scrub(F.col("text"), subs, {"the": "THE", "example.com": "<site>"})).alias("scrubbed"))
 
 
 @query(

@@ -42,7 +42,7 @@ def sql_either(a, b):
 @query(f"SELECT doc_id, md5({sql_norm('text')}) AS label_md5, length({sql_norm('text')}) AS label_len FROM documents")
 def label_norm(spark, d):
     n = X.norm_label(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.md5(n).alias("label_md5"), F.length(n).alias("label_len"))
+    return table(spark, d, "documents", spread=True).select("doc_id", F.md5(n).alias("label_md5"), F.length(n).alias("label_len"))
 
 
 @query(
@@ -95,7 +95,7 @@ FROM w"""
 @query(_SUPPORT)
 def lexical_support(spark, d):
     pred = F.array_join(F.slice(F.split("text", "[^A-Za-z]+"), 1, 6), " ")
-    return table(spark, d, "documents").select("doc_id", X.lexical_support(pred, F.col("text")).alias("supported"))
+    return table(spark, d, "documents", spread=True).select("doc_id", X.lexical_support(pred, F.col("text")).alias("supported"))
 
 
 # A small word table shaped like the curation classes.
@@ -117,7 +117,7 @@ def sql_classify(e, low):
 )
 def synonym_class(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select(
+    return table(spark, d, "documents", spread=True).select(
         "doc_id",
         X.classify(t, TONES, override="rnai").alias("cls"),
         F.array_join(X.classes_in(t, TONES), "|").alias("all_cls"),
@@ -214,7 +214,7 @@ def binarised_contexts(spark, d):
 )
 def reasoning_flags(spark, d):
     t = F.lower("text")
-    return table(spark, d, "documents").select("doc_id", *X.flag_columns(t, X.reasoning_features(t)))
+    return table(spark, d, "documents", spread=True).select("doc_id", *X.flag_columns(t, X.reasoning_features(t)))
 
 
 _CRIT = """CASE WHEN o_orderstatus = 'O' THEN 'Score.' || CAST(o_orderkey % 5 + 1 AS VARCHAR) || ' (Z) < -' || CAST(o_orderkey % 4 AS VARCHAR)
@@ -460,7 +460,7 @@ def leave_group_out(spark, d):
               count(*) AS n FROM documents GROUP BY 1"""
 )
 def exact_quantiles(spark, d):
-    return O.quantiles(table(spark, d, "documents"), ["lang"], "n_chars", {"q05": 0.05, "q50": 0.5, "q90": 0.9}, "n")
+    return O.quantiles(table(spark, d, "documents", spread=True), ["lang"], "n_chars", {"q05": 0.05, "q50": 0.5, "q90": 0.9}, "n")
 
 
 @query(

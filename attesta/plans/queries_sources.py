@@ -145,7 +145,7 @@ def nested_json_items(spark, d):
     dis = lambda v: F.struct(v.alias("label"))
     lang, src = F.col("lang"), F.col("source")
     ds = lambda t, x: F.struct(t.alias("tissue"), x.alias("disease"))
-    table(spark, d, "documents").select(
+    table(spark, d, "documents", spread=True).select(
         F.concat(F.lit("D"), s("doc_id")).alias("collection_id"), src.alias("name"), F.col("text").alias("description"),
         F.array(
             ds(F.array(tis(lang, "tissue"), tis(F.lit("line"), "cell line")), F.array(dis(F.when(F.col("n_chars") > 900, "long").otherwise(lang)))),

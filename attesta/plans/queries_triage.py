@@ -15,7 +15,7 @@ QUERIES, query = registrar()
 
 def doc_claims(spark, d):
     """One claim per labelled document: right when its quality label is 1."""
-    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars", "text")
+    docs = table(spark, d, "documents", spread=True).select("doc_id", "lang", "source", "n_chars", "text")
     lab = table(spark, d, "labels")
     j = docs.join(lab, "doc_id")
     return j.select(
@@ -93,7 +93,7 @@ _ANSWERS = """SELECT o_orderkey AS item, 'x' AS field, unnest(['name', 'type'])
         FROM j"""
 )
 def claims_across_systems(spark, d):
-    o, p = table(spark, d, "orders"), table(spark, d, "part")
+    o, p = table(spark, d, "orders", spread=True), table(spark, d, "part")
     j = o.join(p, o.o_custkey == p.p_partkey)
     word = lambda i: F.split_part(F.col("p_name"), F.lit(" "), F.lit(i))
     answer = lambda s, v: F.struct(F.lit(s).alias("system"), v.alias("pred"))
@@ -241,7 +241,7 @@ def class_hit_table(spark, d):
        FROM g JOIN e ON g.lang = e.lang GROUP BY 1"""
 )
 def corpus_independence(spark, d):
-    return T.independence(table(spark, d, "documents"), F.col("text"), F.col("source"), ["lang"])
+    return T.independence(table(spark, d, "documents", spread=True), F.col("text"), F.col("source"), ["lang"])
 
 
 # Truth: parts ordered by a customer's nation at a depth; answers: two systems naming parts.
@@ -412,7 +412,7 @@ def cluster_bootstrap_rate(spark, d):
        SELECT lang, round(max(v) FILTER (i = 10), 9) AS lo, round(max(v) FILTER (i = 389), 9) AS hi FROM w GROUP BY 1"""
 )
 def row_bootstrap_proportion(spark, d):
-    j = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id")
+    j = table(spark, d, "documents", spread=True).select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id")
     g = j.groupBy("lang").agg(F.count_if(F.col("quality") == 1).alias("k"), F.count(F.lit(1)).alias("n"))
     return rounded(R.row_bootstrap_proportion(g, "k", "n", ["lang"], 400, 5), ("lo", "hi"))
 
