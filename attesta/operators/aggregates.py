@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from attesta.operators import ordered as O
 
@@ -252,6 +255,38 @@ def slopes(df: DataFrame, y: str, x: str, keys: Sequence[str] = ()) -> DataFrame
     return df.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_count(y, x).alias("n"))
 
 
+def standardised_slopes(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = (), y_scale: float = 1.0) -> DataFrame:
+    """Slopes of y on jointly fitted z-scored predictors, one row per predictor, from pairwise moments.
+
+    With z-scored predictors the normal equations are the correlation matrix, so one aggregate
+    feeds a small solve per group.
+    """
+    rows = df
+    for c in (y, *xs):
+        rows = rows.where(F.col(c).isNotNull())
+    names = list(xs)
+    aggs = [F.corr(a, b).alias(f"__{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i < j]
+    aggs += [F.corr(a, y).alias(f"__y_{i}") for i, a in enumerate(names)]
+    g = rows.groupBy(*keys).agg(*aggs, F.stddev_pop(y).alias("__sd"), F.count(F.lit(1)).alias("n"))
+    packed = F.array(*[F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0)) for c in g.columns if c.startswith("__") and c != "__sd"])
+    b = g.select(*keys, "n", "__sd", _solve_correlations(packed, F.lit(len(names))).alias("b"))
+    term = F.array(*[F.lit(n) for n in names])
+    return b.select(*keys, "n", "__sd", F.posexplode("b").alias("k", "v")).select(
+        *keys, term[F.col("k")].alias("term"), (F.col("v") * F.col("__sd") / y_scale).alias("slope"), "n"
+    )
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _solve_correlations(packed: pd.Series, k: pd.Series) -> pd.Series:
+    out = []
+    for v, n in zip(packed, k):
+        m = np.eye(n)
+        i, j = np.triu_indices(n, 1)
+        m[i, j] = m[j, i] = v[: len(i)]
+        out.append((np.linalg.pinv(m, rcond=1e-10, hermitian=True) @ np.asarray(v[len(i) :])).tolist())
+    return pd.Series(out)
+
+
 def positive_median(long: DataFrame, contexts: DataFrame, row: str, keys: Sequence[str], value: str) -> DataFrame:
     """Median value of each key among rows whose context is positive."""
     return O.median(long.join(contexts.where("positive = 1").select(row, "context"), row), ["context", *keys], value)
@@ -275,27 +310,50 @@ def verdict(table: DataFrame, cases: Sequence[tuple[str, Column]], otherwise: st
     return table.withColumn(name, expr.otherwise(otherwise))
 
 
+# The registered outcome labels (all criteria met, nothing met) per study form.
+STUDY_LABELS = {
+    "context": ("CROSS_PLATFORM_REPLICATED", "LOW_YIELD"),
+    "rnai": ("RNAI_REPLICATED", "NO_TRANSFER"),
+    "paralog": ("DOUBLEKO_REPLICATED", "LOW_YIELD"),
+    "pharmaco": ("PHARMACO_REPLICATED", "NO_TRANSFER"),
+}
+
+
 def study_verdict(table: DataFrame, study: str = "context") -> DataFrame:
-    """Registered label precedence over columns p1..p5 and the denominators.
+    """Registered label precedence from denominators and pass flags.
 
-    Expected columns: n_primary, n_placebo, n_independent, n_self, p1..p5 (boolean), and for the
-    paralog form placebo_nominated and p4_evaluable.
+    context and rnai: n_primary, n_placebo, n_independent, n_self, p1..p5 (rnai ignores p3).
+    paralog: n_primary, n_placebo, n_self, placebo_nominated, p4_evaluable, p1..p5.
+    pharmaco: n_primary, n_placebo, n_self, p1_anchor, p1_other, p2, p5.
     """
     c = F.col
     zero = lambda *names: _any([c(n) == 0 for n in names])
-    if study == "paralog":
+    top, bottom = STUDY_LABELS[study]
+    breach, some, partial = ~c("p2"), c("p1") if study != "pharmaco" else c("p1_anchor") | c("p1_other"), "PARTIAL_REPLICATION"
+    if study == "pharmaco":
+        not_eval, full = zero("n_primary", "n_self"), c("p1_anchor") & c("p1_other")
+        breach, partial = breach & (c("n_placebo") > 0), "PARTIAL_TRANSFER"
+    elif study == "paralog":
         not_eval = zero("n_primary", "n_self") | ((c("n_placebo") == 0) & (c("placebo_nominated") > 0))
         full = c("p1") & c("p3") & (c("p4") | ~c("p4_evaluable"))
-        top = "DOUBLEKO_REPLICATED"
     else:
         not_eval = zero("n_primary", "n_placebo", "n_independent", "n_self")
         full = c("p1") & c("p4") if study == "rnai" else c("p1") & c("p3") & c("p4")
-        top = "REPLICATED"
+    cases = [("NOT_EVALUABLE", not_eval), ("UNDERPOWERED", ~c("p5")), ("PLACEBO_BREACH", breach), (top, full), (partial, some)]
+    return verdict(table, cases, bottom)
+
+
+def compartment_verdict(table: DataFrame) -> DataFrame:
+    """Precedence over boolean columns pipeline_failure, tier_b, tier_a, opposite, direction_consistent.
+
+    Tier B needs tier A as well.
+    """
+    c = F.col
     cases = [
-        ("NOT_EVALUABLE", not_eval), ("UNDERPOWERED", ~c("p5")), ("PLACEBO_BREACH", ~c("p2")),
-        (top, full), ("PARTIAL_REPLICATION", c("p1")),
+        ("PIPELINE_FAILURE", c("pipeline_failure")), ("TIER_B_PASS", c("tier_a") & c("tier_b")), ("TIER_A_PASS", c("tier_a")),
+        ("OPPOSITE", c("opposite")), ("NOT_PASSED_DIRECTION_CONSISTENT", c("direction_consistent")),
     ]
-    return verdict(table, cases, "LOW_YIELD")
+    return verdict(table, cases, "NOT_PASSED")
 
 
 def _any(conds: Sequence[Column]) -> Column:

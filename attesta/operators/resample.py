@@ -69,12 +69,14 @@ def cluster_bootstrap(
     reps: int = 4000,
     seed: int = 13,
     floor_share: float | None = 0.25,
+    linear: bool = False,
 ) -> DataFrame:
     """Percentile interval of a ratio statistic, resampling whole clusters.
 
     Rows collapse to one row of sufficient sums per cluster before anything is resampled,
     so the work after the first aggregate depends on clusters and replicates only.
-    `statistic` is an expression over the summed columns.
+    `statistic` is an expression over the summed columns. `linear` interpolates the quantiles
+    instead of picking order statistics (the spatial block form).
     """
     per = df.groupBy(*by, cluster).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     indexed = stage(numbered(per, list(by), [cluster], "idx", "k").withColumn("idx", F.col("idx") - 1), "clusters")
@@ -85,7 +87,13 @@ def cluster_bootstrap(
     rep_sums = picked.groupBy(*by, "rep").agg(*[F.sum(n).alias(n) for n in sums])
     vals = rep_sums.select(*by, statistic.alias("value"))
     point = per.groupBy(*by).agg(*[F.sum(n).alias(n) for n in sums]).select(*by, statistic.alias("point"))
-    ci = index_percentiles(vals, by, "value", reps, floor_share)
+    if linear:
+        # At most `reps` values per group, so an exact percentile fits in one buffer.
+        ci = vals.groupBy(*by).agg(
+            F.percentile("value", 0.025).alias("lo"), F.percentile("value", 0.975).alias("hi"), F.count("value").alias("n_valid")
+        )
+    else:
+        ci = index_percentiles(vals, by, "value", reps, floor_share)
     return point.join(ci, list(by), "left") if by else point.join(F.broadcast(ci), how="left")
 
 

@@ -282,7 +282,7 @@ _VERDICT_ROWS = """SELECT user_id, count(*) FILTER (event_type = 'click') AS n_p
 
 @query(
     f"""SELECT user_id, CASE WHEN n_primary = 0 OR n_placebo = 0 OR n_independent = 0 OR n_self = 0 THEN 'NOT_EVALUABLE' WHEN NOT p5 THEN 'UNDERPOWERED'
-        WHEN NOT p2 THEN 'PLACEBO_BREACH' WHEN p1 AND p3 AND p4 THEN 'REPLICATED' WHEN p1 THEN 'PARTIAL_REPLICATION' ELSE 'LOW_YIELD' END AS verdict FROM ({_VERDICT_ROWS})"""
+        WHEN NOT p2 THEN 'PLACEBO_BREACH' WHEN p1 AND p3 AND p4 THEN 'CROSS_PLATFORM_REPLICATED' WHEN p1 THEN 'PARTIAL_REPLICATION' ELSE 'LOW_YIELD' END AS verdict FROM ({_VERDICT_ROWS})"""
 )
 def study_verdict(spark, d):
     e, t, v = table(spark, d, "events"), F.col("event_type"), F.col("value")
@@ -343,3 +343,40 @@ def discovery_agreement(spark, d):
     arm = lambda s: F.avg(F.when(F.col("l_linestatus") == s, F.col("l_discount"))) - 0.05
     g = li.join(p, li.l_partkey == p.p_partkey).groupBy("p_brand", "l_partkey").agg(arm("O").alias("disc"), arm("F").alias("hold"))
     return rounded(A.agreement(g, "disc", "hold", ["p_brand"]), "sign_agreement", "effect_corr")
+
+
+@query(
+    """WITH e AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS n_primary, count(*) FILTER (event_type = 'view' AND value > 40) AS n_placebo, count(*) FILTER (event_type = 'signup' AND value > 20) AS n_self,
+         avg(value) > 48 AS p1_anchor, max(value) > 180 AS p1_other, avg(value) FILTER (event_type = 'view') < 60 AS p2, count(*) > 40 AS p5 FROM events GROUP BY 1)
+       SELECT user_id, CASE WHEN n_primary = 0 OR n_self = 0 THEN 'NOT_EVALUABLE' WHEN NOT p5 THEN 'UNDERPOWERED' WHEN NOT p2 AND n_placebo > 0 THEN 'PLACEBO_BREACH'
+              WHEN p1_anchor AND p1_other THEN 'PHARMACO_REPLICATED' WHEN p1_anchor OR p1_other THEN 'PARTIAL_TRANSFER' ELSE 'NO_TRANSFER' END AS verdict FROM e"""
+)
+def pharmaco_verdict(spark, d):
+    e, t, v = table(spark, d, "events"), F.col("event_type"), F.col("value")
+    g = e.groupBy("user_id").agg(
+        F.count_if(t == "click").alias("n_primary"), F.count_if((t == "view") & (v > 40)).alias("n_placebo"), F.count_if((t == "signup") & (v > 20)).alias("n_self"),
+        (F.avg(v) > 48).alias("p1_anchor"), (F.max(v) > 180).alias("p1_other"), (F.avg(F.when(t == "view", v)) < 60).alias("p2"), (F.count(F.lit(1)) > 40).alias("p5"))
+    return A.study_verdict(g, "pharmaco").select("user_id", "verdict")
+
+
+@query(
+    """WITH e AS (SELECT c_nationkey, count(*) > 65 AS pipeline_failure, avg(c_acctbal) > 5000 AS tier_b, avg(c_acctbal) > 4600 AS tier_a, min(c_acctbal) < -950 AS opposite, max(c_acctbal) > 9900 AS direction_consistent FROM customer GROUP BY 1)
+       SELECT c_nationkey, CASE WHEN pipeline_failure THEN 'PIPELINE_FAILURE' WHEN tier_a AND tier_b THEN 'TIER_B_PASS' WHEN tier_a THEN 'TIER_A_PASS' WHEN opposite THEN 'OPPOSITE'
+              WHEN direction_consistent THEN 'NOT_PASSED_DIRECTION_CONSISTENT' ELSE 'NOT_PASSED' END AS verdict FROM e"""
+)
+def compartment_verdict(spark, d):
+    b = F.col("c_acctbal")
+    g = table(spark, d, "customer").groupBy("c_nationkey").agg(
+        (F.count(F.lit(1)) > 65).alias("pipeline_failure"), (F.avg(b) > 5000).alias("tier_b"), (F.avg(b) > 4600).alias("tier_a"),
+        (F.min(b) < -950).alias("opposite"), (F.max(b) > 9900).alias("direction_consistent"))
+    return A.compartment_verdict(g).select("c_nationkey", "verdict")
+
+
+@query(
+    """WITH m AS (SELECT l_returnflag, count(*) AS n, stddev_pop(l_extendedprice) AS sd, corr(l_quantity, l_extendedprice) AS r1, corr(l_discount, l_extendedprice) AS r2, corr(l_quantity, l_discount) AS r12 FROM lineitem GROUP BY 1)
+       SELECT l_returnflag, 'l_quantity' AS term, round((r1 - r12 * r2) / (1 - r12 * r12) * sd, 4) AS slope, n FROM m
+       UNION ALL SELECT l_returnflag, 'l_discount', round((r2 - r12 * r1) / (1 - r12 * r12) * sd, 4), n FROM m"""
+)
+def standardised_slopes(spark, d):
+    s = A.standardised_slopes(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"], ["l_returnflag"])
+    return rounded(s, "slope", digits=4)

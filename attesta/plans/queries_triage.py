@@ -403,6 +403,19 @@ def cluster_bootstrap_rate(spark, d):
     return rounded(b, ("point", "lo", "hi"))
 
 
+@query(
+    f"""WITH b AS (SELECT o_orderkey // 1000 AS blk, sum(o_totalprice) AS s, count(*) AS n FROM orders GROUP BY 1),
+        i AS (SELECT *, row_number() OVER (ORDER BY blk) - 1 AS idx, count(*) OVER () AS k FROM b),
+        d AS (SELECT rep, {DUCK_DRAW.format("'7|' || rep || '|' || slot")} % k AS idx FROM (SELECT k, unnest(range(500)) AS rep FROM (SELECT max(k) AS k FROM i)), LATERAL (SELECT unnest(range(k)) AS slot)),
+        v AS (SELECT rep, sum(s) / sum(n) AS v FROM d JOIN i ON d.idx = i.idx GROUP BY 1)
+       SELECT round((SELECT sum(s) / sum(n) FROM b), 4) AS point, round(quantile_cont(v, 0.025), 4) AS lo, round(quantile_cont(v, 0.975), 4) AS hi, count(*) AS n_valid FROM v"""
+)
+def block_bootstrap_mean(spark, d):
+    o = table(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 1000).alias("blk"), "o_totalprice")
+    b = R.cluster_bootstrap(o, "blk", {"s": F.col("o_totalprice"), "n": F.lit(1)}, F.expr("s / n"), reps=500, seed=7, linear=True)
+    return rounded(b, ("point", "lo", "hi"), 4)
+
+
 @query(
     f"""WITH g AS (SELECT lang, count(*) FILTER (quality = 1) AS k, count(*) AS n FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1),
         s AS (SELECT lang, k, n, unnest(range(400)) AS rep FROM g),

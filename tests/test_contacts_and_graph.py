@@ -116,12 +116,12 @@ def test_verdict_precedence(spark):
     cols = "n_primary int, n_placebo int, n_independent int, n_self int, p1 boolean, p2 boolean, p3 boolean, p4 boolean, p5 boolean"
     rows = [
         ((0, 1, 1, 1, True, True, True, True, True), "NOT_EVALUABLE"), ((1, 1, 1, 1, True, False, True, True, False), "UNDERPOWERED"),
-        ((1, 1, 1, 1, True, False, True, True, True), "PLACEBO_BREACH"), ((1, 1, 1, 1, True, True, True, True, True), "REPLICATED"),
+        ((1, 1, 1, 1, True, False, True, True, True), "PLACEBO_BREACH"), ((1, 1, 1, 1, True, True, True, True, True), "CROSS_PLATFORM_REPLICATED"),
         ((1, 1, 1, 1, True, True, False, True, True), "PARTIAL_REPLICATION"), ((1, 1, 1, 1, False, True, True, True, True), "LOW_YIELD"),
     ]
     df = spark.createDataFrame([r for r, _ in rows], cols)
     assert [r.verdict for r in AG.study_verdict(df).collect()] == [v for _, v in rows]
-    assert AG.study_verdict(df, "rnai").collect()[4].verdict == "REPLICATED"
+    assert AG.study_verdict(df, "rnai").collect()[4].verdict == "RNAI_REPLICATED"
 
 
 def test_chain_and_ledger(spark):
