@@ -138,31 +138,35 @@ def leading_eigenvector(oe: DataFrame, mask: DataFrame, keys: Sequence[str], max
     stats = stage(stats.where("sd > 1e-12 AND k >= 3").select(*keys, "i", "k", "mu", "sd"), "rows")
     mat = stage(full.join(stats.select(*keys, "i"), [*keys, "i"], "left_semi"), "oe")
     start = draw(seed, *[F.col(k) for k in keys], F.col("i")) / F.lit(2.0**31) - 1
-    v = stage(stats.select(*keys, "i", start.alias("v")), "vec")
-    previous = None
-    for _ in range(max_rounds):
-        a = stats.join(v, [*keys, "i"]).select(*keys, "i", (F.col("v") / F.col("sd")).alias("a"), (F.col("mu") * F.col("v") / F.col("sd")).alias("c"))
-        const = a.groupBy(*keys).agg(F.sum("c").alias("c0"))
-        u = mat.join(a.drop("c"), [*keys, "i"]).groupBy(*keys, "j").agg(F.sum(F.col("oe") * F.col("a")).alias("u"))
-        # Every kept column takes part, also one that meets no kept row with signal.
-        cols = mask.select(*keys, F.col("i").alias("j")).join(u, [*keys, "j"], "left").join(const, keys)
-        u = cols.select(*keys, "j", (F.coalesce("u", F.lit(0.0)) - F.col("c0")).alias("u"))
-        usum = u.groupBy(*keys).agg(F.sum("u").alias("u0"))
+    v = stage(stats.withColumn("v", start), "vec")
+    previous, norm = None, None
+    for round_no in range(1, max_rounds + 1):
+        # With a = v / sd and c0 = sum(mu a): (Z Z' v)_i = (sum_j oe_ij U_j - c0 mu_i k) / sd_i, U = O/E' a.
+        a = v.select(*keys, "i", (F.col("v") / F.col("sd")).alias("a"))
+        c0 = v.groupBy(*keys).agg(F.sum(F.col("mu") * F.col("v") / F.col("sd")).alias("c0"))
+        u = mat.join(a, [*keys, "i"]).groupBy(*keys, "j").agg(F.sum(F.col("oe") * F.col("a")).alias("u"))
         y = mat.join(u, [*keys, "j"]).groupBy(*keys, "i").agg(F.sum(F.col("oe") * F.col("u")).alias("y"))
-        new = stats.join(y, [*keys, "i"], "left").join(usum, keys).select(
-            *keys, "i", ((F.coalesce("y", F.lit(0.0)) - F.col("mu") * F.col("u0")) / (F.col("sd") * F.col("k"))).alias("y")
+        new = v.join(y, [*keys, "i"], "left").join(c0, keys).withColumn(
+            "y", (F.coalesce("y", F.lit(0.0)) / F.col("k") - F.col("c0") * F.col("mu")) / F.col("sd")
         )
-        joined = stage(new.join(v, [*keys, "i"]), "vec")
+        joined = stage(new.select(*keys, "i", "k", "mu", "sd", "v", "y"), "vec")
         norm = joined.groupBy(*keys).agg(
             F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"), (F.sum(F.col("y") * F.col("v")) / F.sum(F.col("v") * F.col("v"))).alias("eigenvalue")
         )
-        v = joined.join(norm, keys).select(*keys, "i", (F.col("y") / F.nullif(F.col("norm"), F.lit(0.0))).alias("v"))
-        top = norm.agg(F.sum("eigenvalue")).first()[0]
-        if previous is not None and top is not None and abs(top - previous) <= tol * max(1.0, abs(top)):
-            break
-        previous = top
+        check = round_no % 4 == 0 or round_no == max_rounds
+        if check:
+            # Rescaled only now and then: between checks the vector shrinks by at most 1 / k per round.
+            top = norm.agg(F.sum("eigenvalue")).first()[0]
+            done = previous is not None and top is not None and abs(top - previous) <= tol * max(1.0, abs(top))
+            previous = top
+            v = joined.join(norm.select(*keys, "norm"), keys).select(*keys, "i", "k", "mu", "sd", (F.col("y") / F.nullif(F.col("norm"), F.lit(0.0))).alias("v"))
+            v = stage(v, "vec")
+            if done:
+                break
+        else:
+            v = joined.select(*keys, "i", "k", "mu", "sd", (F.col("y") / F.col("k")).alias("v"))
     g = v.groupBy(*keys).agg(F.stddev_pop("v").alias("sd"), F.sum("v").alias("total"), F.count(F.lit(1)).alias("rows"))
     sign = F.when(F.col("total") < 0, -1.0).otherwise(1.0)
-    return v.join(g, keys).join(norm, keys).select(
+    return v.select(*keys, "i", "v").join(g, keys).join(norm, keys).select(
         *keys, "i", (F.col("v") / F.col("sd") * sign).alias("pc1"), (F.col("eigenvalue") / F.col("rows")).alias("eigen_share")
     )
