@@ -382,5 +382,5 @@ def contact_compartments(spark, d):
     """Contacts to oriented leading eigenvector for every partition in one run."""
     w = _bins(spark, d)
     dens = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("chrom"), F.floor(F.col("l_partkey") / w).alias("i")).agg(F.avg("l_quantity").alias("density"))
-    out = studies.contact_compartments(contact_pairs(spark, d), ["chrom"], "pos1", "pos2", w, dens, eigen_rounds=30)
+    out = studies.contact_compartments(contact_pairs(spark, d), ["chrom"], "pos1", "pos2", w, dens, eigen_rounds=12)
     return out.select("chrom", "i", F.round(F.abs("pc1"), 3).alias("abs_pc1"), F.round("eigen_share", 4).alias("eigen_share"))
