@@ -188,6 +188,10 @@ def near_copies(docs: DataFrame, shingle: int = 3, most: int = 3, seed: int = 42
 
 
 def one_each(docs: DataFrame, shingle: int = 3, most: int = 3, seed: int = 42) -> DataFrame:
-    """The rows of `docs` whose id names its component: one document of each group. Rows without an id go."""
+    """One row of each group of near copies, that of the smallest id, with all its columns.
+
+    Of rows that repeat an id one stays. Rows without an id can't be told apart and all stay.
+    """
     chosen = near_copies(docs, shingle, most, seed).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(chosen, "doc_id", "left_semi").select(docs.columns)
+    named = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return named.unionByName(docs.where("doc_id is null"))
