@@ -82,7 +82,7 @@ class Words:
     def sequences(self, hashes: np.ndarray, n: int, which: int = 0) -> np.ndarray:
         """A hash of the n words from each word on. Where a row has fewer left, the value means nothing."""
         out = np.zeros(len(hashes), np.uint64)
-        for k in range(n):
+        for k in range(min(n, len(hashes))):
             out[: len(hashes) - k] += hashes[k:] * _PLACE[which][k]
         return mix(out)
 
