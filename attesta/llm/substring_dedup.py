@@ -24,17 +24,18 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
-def _singles(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that stand for their key in this batch, rows whose key is in it more than once)."""
+def _singles(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows that stand for their key in this batch, rows whose key is in it more than once, row that stands for each)."""
     order = np.argsort(key, kind="stable")
     ranked = key[order]
     fresh = np.ones(len(key), bool)
     fresh[1:] = ranked[1:] != ranked[:-1]
     size = np.diff(np.append(np.flatnonzero(fresh), len(key)))
-    first, many = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    first, many, lead = np.zeros(len(key), bool), np.zeros(len(key), bool), np.zeros(len(key), np.int64)
     first[order[fresh]] = True
     many[order] = np.repeat(size > 1, size)
-    return first, many
+    lead[order] = np.repeat(order[fresh], size)
+    return first, many, lead
 
 
 def repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
@@ -51,7 +52,7 @@ def repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
             words = Words(batch.column("text"))
             at = np.flatnonzero(words.whole(length) & _IN_COVER[words.place % PERIOD])
             key = words.sequences(words.hashes(), length)[at]
-            first, many = _singles(key)
+            first, many, _ = _singles(key)
             doc, place = ids[words.row[at]], words.place[at]
             own = mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64))
             yield pa.record_batch(
@@ -82,7 +83,10 @@ def repeated_starts(docs: DataFrame, anchors: DataFrame, window: int) -> DataFra
             doc, place = ids[words.row[at]], words.place[at]
             order = np.lexsort((place, doc))
             high, low, doc, place = high[order], low[order], doc[order], place[order]
-            first, _ = _singles(high ^ mix(low))
+            first, _, lead = _singles(high ^ mix(low))
+            # Later windows are known to go; those of a repeated row are the same window again.
+            some = first | (doc != doc[lead]) | (place != place[lead])
+            high, low, doc, place, first = high[some], low[some], doc[some], place[some], first[some]
             own = mix(doc.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + place.astype(np.uint64))
             yield pa.record_batch(
                 [pa.array(signed(np.where(first, high, own))), pa.array(signed(np.where(first, low, own))), pa.array(doc), pa.array(place.astype(np.int32)), pa.array(~first)],
@@ -91,7 +95,7 @@ def repeated_starts(docs: DataFrame, anchors: DataFrame, window: int) -> DataFra
 
     lists = anchors.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("anchors"))
     found = docs.join(lists, "doc_id").select("doc_id", "text", "anchors").mapInArrow(run, "high long, low long, doc_id long, pos int, known boolean")
-    turn = F.row_number().over(Window.partitionBy("high", "low").orderBy("doc_id", "pos"))
+    turn = F.rank().over(Window.partitionBy("high", "low").orderBy("doc_id", "pos"))
     return found.withColumn("turn", turn).where("turn > 1 or known").select("doc_id", "pos")
 
 
