@@ -123,7 +123,7 @@ def deduplicated(docs: DataFrame, window: int = 20) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     named = rows.where("doc_id is not null")
     anchors = kept(repeated_anchors(named, window), "anchors")
-    starts = kept(repeated_starts(named, anchors, window).distinct(), "starts")
+    starts = kept(repeated_starts(named, anchors, window), "starts")
     drop(anchors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +133,7 @@ def deduplicated(docs: DataFrame, window: int = 20) -> DataFrame:
             n, gone, left = zip(*found)
             yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    lists = starts.groupBy("doc_id").agg(F.collect_list("pos").alias("starts"))
+    lists = starts.groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
     joined = rows.join(lists, "doc_id", "left").select("doc_id", "text", "starts")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
 
