@@ -52,9 +52,11 @@ def normalised_contrast(counts: DataFrame, feature: str, library: str, n: str, c
     """log2(CPM + 0.5) means per arm, case minus control, and leave-one-library-out direction.
 
     For every feature, dropping any single library must keep the contrast negative for
-    `loo_all_negative`; sums and counts per arm give all of these without a second pass.
+    `loo_all_negative`; sums and counts per arm give all of these without a second pass. A library
+    without a row for a feature has count zero there.
     """
     totals = observed_totals(counts, library, n)
+    arms = counts.select(library, case.alias("is_case")).distinct().agg(F.count_if("is_case").alias("lc"), F.count_if(~F.col("is_case")).alias("l0"))
     v = F.log2(F.col(n) * F.lit(1e6) / F.col("total") + 0.5)
     x = counts.join(totals, library).select(feature, library, v.alias("v"), case.alias("is_case"))
     arm = lambda c, f: f(F.when(c, F.col("v")))
@@ -65,6 +67,12 @@ def normalised_contrast(counts: DataFrame, feature: str, library: str, n: str, c
         arm(is_case, F.max).alias("max_c"), arm(is_case, F.min).alias("min_c"),
         arm(~is_case, F.max).alias("max_0"), arm(~is_case, F.min).alias("min_0"),
     )
+    # Absent cells: log2(0 + 0.5) is -1.
+    s = s.join(F.broadcast(arms)).withColumns({
+        "sc": F.coalesce("sc", F.lit(0.0)) - (F.col("lc") - F.col("nc")), "s0": F.coalesce("s0", F.lit(0.0)) - (F.col("l0") - F.col("n0")),
+        "min_c": F.when(F.col("nc") < F.col("lc"), -1.0).otherwise(F.col("min_c")),
+        "max_0": F.when(F.col("n0") < F.col("l0"), F.greatest("max_0", F.lit(-1.0))).otherwise(F.col("max_0")),
+    }).withColumns({"nc": F.col("lc"), "n0": F.col("l0")})
     full = F.col("sc") / F.col("nc") - F.col("s0") / F.col("n0")
     # The largest leave-one-out contrast drops the smallest case value or the largest control value.
     drop_case = (F.col("sc") - F.col("min_c")) / F.nullif(F.col("nc") - 1, F.lit(0)) - F.col("s0") / F.col("n0")
@@ -85,10 +93,10 @@ def size_factors(counts: DataFrame, feature: str, library: str, n: str) -> DataF
         F.avg(F.when(F.col(n) > 0, F.log(n))).alias("mean_log"), F.count_if(F.col(n) > 0).alias("n_pos")
     )
     ok = geo.join(F.broadcast(n_lib)).where(F.col("n_pos") == F.col("n_lib")).select(feature, "mean_log")
-    ratios = counts.join(ok, feature).select(library, (F.log(n) - F.col("mean_log")).alias("r"))
-    med = O.median(ratios, [library], "r", "log_f")
-    centre = med.agg(F.avg("log_f").alias("c"))
-    return med.join(F.broadcast(centre)).select(library, F.exp(F.col("log_f") - F.col("c")).alias("size_factor"))
+    ratios = counts.join(ok, feature).select(library, F.exp(F.log(n) - F.col("mean_log")).alias("r"))
+    med = O.median(ratios, [library], "r", "f")
+    centre = med.agg(F.avg(F.log("f")).alias("c"))
+    return med.join(F.broadcast(centre)).select(library, (F.col("f") / F.exp("c")).alias("size_factor"))
 
 
 def tile_mean_change(features: DataFrame, keys: Sequence[str], base: str, change: str, min_base: float, min_n: int = 2):

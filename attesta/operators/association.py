@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -107,11 +108,11 @@ def partial_spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, given:
 # --- spatial null ------------------------------------------------------------------------------
 
 
-def shift_offset(policy: str, seed: int, rep: Column, part: Column, size: Column) -> Column:
+def shift_offset(policy: str, seed: int, rep: Column, part: Column, size: Column, margin: int = 20) -> Column:
     """Ring offset per (replicate, partition).
 
     screen: at least 10 places either way on rings above 20, any non-zero shift on 3 to 20.
-    any: any non-zero shift. margin: at least 20 places, rings below 41 stay as they are.
+    any: any non-zero shift. margin: at least `margin` places either way; shorter rings are left out by the caller.
     """
     d = draw(seed, rep, part)
     if policy == "screen":
@@ -119,21 +120,27 @@ def shift_offset(policy: str, seed: int, rep: Column, part: Column, size: Column
     if policy == "any":
         return F.when(size > 1, d % (size - 1) + 1).otherwise(F.lit(0))
     if policy == "margin":
-        return F.when(size >= 41, d % (size - 39) + 20).otherwise(F.lit(0))
+        return d % (size - (2 * margin - 1)) + margin
     raise ValueError(policy)
 
 
 def spatial_null(
     df: DataFrame, part: str, order: Sequence[str], x: str, y: str, given: Sequence[str], reps: int, seed: int,
-    shift_with_x: Sequence[str] = (), policy: str = "screen", by: Sequence[str] = (), rank: bool = True,
+    shift_with_x: Sequence[str] = (), policy: str = "screen", by: Sequence[str] = (), rank: bool = True, margin: int = 20,
 ) -> DataFrame:
     """Partial rank correlation against circular shifts of the predictor inside partitions.
 
+    With the margin policy, partitions of fewer than 2 * margin + 1 rows are in neither the null nor the observed value.
+
     Ranks do not change under shifts, so they are computed once. Shifted rows meet the fixed ones
     through an equi-join on ring position; each replicate is one partial-sum aggregate.
     `by` runs several independent tests (arms) in the same job.
     """
     cols = [x, y, *given]
+    if policy == "margin":
+        rows = listwise(df.select(*by, part, *order, *cols), cols)
+        long = rows.groupBy(*by, part).count().where(F.col("count") >= 2 * margin + 1).drop("count")
+        df = rows.join(long, [*by, part], "left_semi")
     if rank:
         base = ranked(df.select(*by, part, *order, *cols), cols, by)
         name = {c: f"r_{c}" for c in cols}
@@ -147,7 +154,7 @@ def spatial_null(
     fixed = [name[c] for c in cols if name[c] not in moving]
     rep = F.explode(F.sequence(F.lit(1), F.lit(reps)))
     moved = ring.select(*by, part, "ring_pos", "ring_len", *moving, rep.alias("rep"))
-    offset = shift_offset(policy, seed, F.col("rep"), F.col(part), F.col("ring_len"))
+    offset = shift_offset(policy, seed, F.col("rep"), F.col(part), F.col("ring_len"), margin)
     moved = moved.withColumn("ring_pos", F.pmod(F.col("ring_pos") + offset, F.col("ring_len"))).drop("ring_len")
     target = bounded_broadcast(ring.select(*by, part, "ring_pos", *fixed), n)
     null = partial_correlation(moved.join(target, [*by, part, "ring_pos"]), [*by, "rep"], name[x], name[y], [name[g] for g in given])
@@ -167,17 +174,25 @@ def spatial_null(
 
 
 def _exact_less(u: float, n1: int, n2: int) -> float:
-    """P(U <= u) without ties: counts of subsets by rank sum, built member by member."""
+    """P(U <= u) without ties, from the generating function prod (1 - q^(n2 + i)) / (1 - q^i), i = 1..n1.
+
+    Only the smaller tail is summed, so a large arm costs n1 passes over at most n1 * n2 / 2 numbers.
+    """
     if n1 > n2:
         n1, n2 = n2, n1
-    ways = np.zeros((n1 + 1, n1 * n2 + 1))
-    ways[0, 0] = 1.0
-    for top in range(1, n1 + n2 + 1):
-        for k in range(min(n1, top), 0, -1):
-            gain = top - k  # members passed over by the k-th chosen one
-            if gain <= n1 * n2:
-                ways[k, gain:] += ways[k - 1, : n1 * n2 + 1 - gain]
-    return float(ways[n1, : int(math.floor(u)) + 1].sum() / ways[n1].sum())
+    u = math.floor(u)
+    if u > n1 * n2 / 2:
+        return 1.0 - _exact_less(n1 * n2 - u - 1, n1, n2)
+    if u < 0:
+        return 0.0
+    ways = np.zeros(u + 1)
+    ways[0] = 1.0
+    for i in range(1, n1 + 1):
+        if n2 + i <= u:
+            ways[n2 + i :] -= ways[: u + 1 - n2 - i].copy()
+        rows = -(-(u + 1) // i)
+        ways = np.pad(ways, (0, rows * i - u - 1)).reshape(rows, i).cumsum(axis=0).ravel()[: u + 1]
+    return float(ways.sum() / math.comb(n1 + n2, n1))
 
 
 @F.pandas_udf(DoubleType())
@@ -188,8 +203,7 @@ def _mw_exact(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
 def mann_whitney(df: DataFrame, keys: Sequence[str], value: str, positive: str, min_arm: int = 3) -> DataFrame:
     """One-sided test that positives rank lower; NULL p below `min_arm` rows in either arm.
 
-    Exact without ties when an arm has at most 8 rows and the other at most 200, otherwise normal
-    with tie and continuity correction.
+    Exact without ties when an arm has at most 8 rows, otherwise normal with tie and continuity correction.
     """
     ok = df.where(F.col(value).isNotNull() & F.col(positive).isNotNull()).select(*keys, value, positive)
     ties = value_counts(ok, keys, value).groupBy(*keys).agg(
@@ -206,7 +220,7 @@ def mann_whitney(df: DataFrame, keys: Sequence[str], value: str, positive: str,
     n = n1 + n2
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("tie_term") / (n * (n - 1))))
     z = (F.col("u") + 0.5 - n1 * n2 / 2) / F.nullif(sd, F.lit(0.0))
-    small = (F.least("n_pos", "n_neg") <= 8) & (F.greatest("n_pos", "n_neg") <= 200) & (F.col("tie_term") == 0)
+    small = (F.least("n_pos", "n_neg") <= 8) & (F.col("tie_term") == 0)
     enough = (F.col("n_pos") >= min_arm) & (F.col("n_neg") >= min_arm)
     g = g.withColumns({"__small": small & enough, "__z": z})
     exact = _mw_exact(F.when(F.col("__small"), F.col("u")), F.when(F.col("__small"), n1), F.when(F.col("__small"), n2))
@@ -232,9 +246,8 @@ def covariate_design(
     for c in categorical:
         level = F.coalesce(F.col(c).cast("string"), F.lit("UNKNOWN"))
         counts = df.groupBy(level.alias("lv")).count().where(F.col("count") >= min_level)
-        levels = sorted((r["lv"], r["count"]) for r in counts.limit(10_001).collect())
-        if len(levels) > 10_000:
-            raise ValueError(f"{c} has too many levels for a covariate")
+        # One column a level: the caller asks for as many covariates as there are levels.
+        levels = sorted((r["lv"], r["count"]) for r in counts.collect())
         if len(levels) < 2:
             continue
         dropped = max(levels, key=lambda t: (t[1], t[0]))[0]
@@ -517,11 +530,53 @@ def test_pairs(
 test_pairs.__test__ = False  # not a pytest case
 
 
-def correlation_matrix(df: DataFrame, x: str, names: Sequence[str]) -> DataFrame:
-    """(a, b, r) for all column pairs a < b; columns without variance are left out."""
-    s = associate(df.withColumn("__one", F.array(F.lit(1.0))), x, x, "__one", names, names, min_df=1)
-    order = {n: i for i, n in enumerate(names)}
-    pos = df.sparkSession.createDataFrame([(n, i) for n, i in order.items()], "name string, pos int")
-    j = s.where("beta <> 0 OR r <> 0").join(pos.select(F.col("name").alias("feature"), F.col("pos").alias("a")), "feature")
-    j = j.join(pos.select(F.col("name").alias("outcome"), F.col("pos").alias("b")), "outcome")
-    return j.where("a < b").select("a", "b", "r")
+def correlation_matrix(df: DataFrame, x: str, names: Sequence[str], missing: str = "zero") -> DataFrame:
+    """(a, b, r) for all column pairs a < b; pairs in which a column has no variance are left out.
+
+    A missing cell counts as zero over all rows (`zero`), or a pair uses the rows that have both (`pairwise`).
+    Tasks add up products of their rows' blocks; the sums of one column against all others meet in one task, so
+    no task holds more than its rows and a few columns of the matrix.
+    """
+    if missing not in ("zero", "pairwise"):
+        raise ValueError(missing)
+    p = len(names)
+
+    def dense(batch) -> tuple[np.ndarray, np.ndarray]:
+        v = np.array([[np.nan] * p if r is None else [np.nan if c is None else c for c in r] for r in batch.column(0).to_pylist()], float).reshape(-1, p)
+        there = np.isfinite(v)
+        return np.where(there, v, 0.0), there if missing == "pairwise" else np.ones_like(there)
+
+    def totals(batches):
+        total = np.zeros((2, p))
+        for batch in batches:
+            v, there = dense(batch)
+            total += [v.sum(0), there.sum(0)]
+        yield pa.record_batch([pa.array(range(p), pa.int32()), *map(pa.array, total)], ["a", "s", "n"])
+
+    # Centring by rough means keeps the sums of products accurate; any constant gives the same r.
+    rows = df.select(x)
+    sums = rows.mapInArrow(totals, "a int, s double, n double").groupBy("a").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
+    centre = np.zeros(p)
+    for r in sums.collect():
+        centre[r["a"]] = r["m"] or 0.0
+
+    def products(batches):
+        total = np.zeros((6, p, p))
+        for batch in batches:
+            v, there = dense(batch)
+            w = there.astype(float)
+            v = np.where(there, v - centre, 0.0)
+            total += [w.T @ w, v.T @ w, w.T @ v, (v * v).T @ w, w.T @ (v * v), v.T @ v]
+        yield pa.record_batch([pa.array(range(p), pa.int32()), pa.array(list(total.transpose(1, 0, 2).reshape(p, 6 * p)))], ["a", "t"])
+
+    def finish(key, table):
+        i = key[0].as_py()
+        n, sa, sb, qa, qb, ab = np.sum(table.column("t").to_pylist(), axis=0).reshape(6, p)[:, i + 1 :]
+        with np.errstate(all="ignore"):
+            va, vb = qa - sa * sa / n, qb - sb * sb / n
+            r = (ab - sa * sb / n) / np.sqrt(va * vb)
+        ok = (va > 1e-12 * qa) & (vb > 1e-12 * qb) & np.isfinite(r)
+        j = np.flatnonzero(ok)
+        return pa.table({"a": pa.array(np.full(len(j), i, np.int32)), "b": pa.array((j + i + 1).astype(np.int32)), "r": pa.array(r[j])})
+
+    return rows.mapInArrow(products, "a int, t array<double>").groupBy("a").applyInArrow(finish, "a int, b int, r double")

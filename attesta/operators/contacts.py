@@ -70,6 +70,9 @@ def balance(
         bias = step.drop("err")
         if step.agg(F.max("err")).first()[0] < tol:
             break
+    else:
+        if n:
+            raise RuntimeError(f"not balanced to {tol} after {max_rounds} rounds")
     bi = bias.withColumnRenamed("b", "bi")
     bj = bias.select(*keys, F.col("i").alias("j"), F.col("b").alias("bj"))
     out = w.where("i <= j").join(bi, [*keys, "i"]).join(bj, [*keys, "j"])
@@ -120,14 +123,20 @@ def observed_over_expected(m: DataFrame, mask: DataFrame, keys: Sequence[str]) -
     return signal.unionByName(ones.select(*keys, "i", "j", F.lit(1.0).alias("oe")))
 
 
-def leading_eigenvector(oe: DataFrame, mask: DataFrame, keys: Sequence[str], max_rounds: int = 100, tol: float = 1e-9, seed: int = 7):
-    """Leading eigenvector of the correlation matrix of O/E rows, per partition.
+def leading_eigenvector(
+    oe: DataFrame, mask: DataFrame, keys: Sequence[str], block: int = 4, max_rounds: int = 60, tol: float = 1e-7, seed: int = 7
+) -> DataFrame:
+    """Leading eigenvector of the correlation matrix of O/E rows, per partition, by block Lanczos.
 
-    The correlation matrix is never formed: one product with it is two sparse matrix-vector
-    products with O/E plus a centring term. Rows without variance are dropped. The vector has unit
-    population variance and a non-negative sum; `eigen_share` is eigenvalue over kept rows.
+    The correlation matrix is never formed: one product with it is two sparse products with O/E plus a
+    centring term, done for `block` vectors in one round of joins. The vectors of one partition (bins x
+    basis numbers) then meet in a task that makes them orthogonal and solves the small projected problem.
+    Rounds go on until every partition's residual is below `tol` times its eigenvalue; after `max_rounds`
+    an error is raised. Rows without variance are dropped. The vector has unit population variance and a
+    non-negative sum; `eigen_share` is eigenvalue over kept rows.
     """
-    keys = list(keys)
+    keys, qs = list(keys), [f"q{k}" for k in range(block)]
+    types = dict(mask.dtypes)
     full = oe.select(*keys, "i", "j", "oe").unionByName(
         oe.where("i <> j").select(*keys, F.col("j").alias("i"), F.col("i").alias("j"), "oe")
     )
@@ -137,36 +146,58 @@ def leading_eigenvector(oe: DataFrame, mask: DataFrame, keys: Sequence[str], max
     stats = stats.withColumn("sd", F.sqrt(F.greatest(F.col("ss") / F.col("k") - F.col("mu") * F.col("mu"), F.lit(0.0))))
     stats = stage(stats.where("sd > 1e-12 AND k >= 3").select(*keys, "i", "k", "mu", "sd"), "rows")
     mat = stage(full.join(stats.select(*keys, "i"), [*keys, "i"], "left_semi"), "oe")
-    start = draw(seed, *[F.col(k) for k in keys], F.col("i")) / F.lit(2.0**31) - 1
-    v = stage(stats.withColumn("v", start), "vec")
-    previous, norm = None, None
-    for round_no in range(1, max_rounds + 1):
-        # With a = v / sd and c0 = sum(mu a): (Z Z' v)_i = (sum_j oe_ij U_j - c0 mu_i k) / sd_i, U = O/E' a.
-        a = v.select(*keys, "i", (F.col("v") / F.col("sd")).alias("a"))
-        c0 = v.groupBy(*keys).agg(F.sum(F.col("mu") * F.col("v") / F.col("sd")).alias("c0"))
-        u = mat.join(a, [*keys, "i"]).groupBy(*keys, "j").agg(F.sum(F.col("oe") * F.col("a")).alias("u"))
-        y = mat.join(u, [*keys, "j"]).groupBy(*keys, "i").agg(F.sum(F.col("oe") * F.col("u")).alias("y"))
-        new = v.join(y, [*keys, "i"], "left").join(c0, keys).withColumn(
-            "y", (F.coalesce("y", F.lit(0.0)) / F.col("k") - F.col("c0") * F.col("mu")) / F.col("sd")
-        )
-        joined = stage(new.select(*keys, "i", "k", "mu", "sd", "v", "y"), "vec")
-        norm = joined.groupBy(*keys).agg(
-            F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"), (F.sum(F.col("y") * F.col("v")) / F.sum(F.col("v") * F.col("v"))).alias("eigenvalue")
+
+    def project(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Adds the block's images, and finds the next block orthogonal to all so far."""
+        pdf = pdf.sort_values("i", ignore_index=True)
+        basis, images = (np.array(pdf[c].tolist(), float).reshape(len(pdf), -1) for c in ("basis", "images"))
+        new, image = pdf[qs].to_numpy(float), pdf[[f"y{k}" for k in range(block)]].to_numpy(float)
+        used = (new * new).sum(0) > 0.5
+        basis, images = np.hstack((basis, new[:, used])), np.hstack((images, image[:, used]))
+        value, small = np.linalg.eigh((basis.T @ images + images.T @ basis) / 2)
+        v = basis @ small[:, -1]
+        left = np.linalg.norm(images @ small[:, -1] - value[-1] * v)
+        rest = image[:, used]
+        for _ in range(2):
+            rest = rest - basis @ (basis.T @ rest)
+        u, weight, _ = np.linalg.svd(rest, full_matrices=False)
+        u = u[:, weight > 1e-10 * max(1.0, value[-1])]
+        done = left <= tol * max(abs(value[-1]), 1e-300) or u.shape[1] == 0
+        out = pdf[[*keys, "i", "k", "mu", "sd"]].copy()
+        for k, q in enumerate(qs):
+            out[q] = u[:, k] if k < u.shape[1] and not done else 0.0
+        return out.assign(basis=list(basis), images=list(images), v=v, eigenvalue=value[-1], done=done)
+
+    fields = [f"{c} {types[c]}" for c in keys] + ["i bigint", "k bigint", "mu double", "sd double", *[f"{q} double" for q in qs]]
+    schema = ", ".join([*fields, "basis array<double>", "images array<double>", "v double", "eigenvalue double", "done boolean"])
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, _ = np.linalg.qr(pdf[qs].to_numpy(float))
+        for k, c in enumerate(qs):
+            pdf[c] = q[:, k] if k < q.shape[1] else 0.0
+        return pdf
+
+    start = stats.select("*", *[(draw(seed + k, *[F.col(c) for c in keys], F.col("i")) / F.lit(2.0**31) - 1).alias(q) for k, q in enumerate(qs)])
+    state = start.groupBy(*keys).applyInPandas(first, start.schema)
+    state = stage(state.withColumns({"basis": F.array().cast("array<double>"), "images": F.array().cast("array<double>")}), "vec")
+    for _ in range(max_rounds):
+        # With a = q / sd and c0 = sum(mu a): (Z Z' q)_i = (sum_j oe_ij U_j / k - c0 mu_i) / sd_i, U = O/E' a.
+        a = state.select(*keys, "i", *[(F.col(q) / F.col("sd")).alias(q) for q in qs])
+        c0 = state.groupBy(*keys).agg(*[F.sum(F.col("mu") * F.col(q) / F.col("sd")).alias(f"c{k}") for k, q in enumerate(qs)])
+        u = mat.join(a, [*keys, "i"]).groupBy(*keys, "j").agg(*[F.sum(F.col("oe") * F.col(q)).alias(q) for q in qs])
+        y = mat.join(u, [*keys, "j"]).groupBy(*keys, "i").agg(*[F.sum(F.col("oe") * F.col(q)).alias(f"y{k}") for k, q in enumerate(qs)])
+        new = state.join(y, [*keys, "i"], "left").join(c0, keys).withColumns(
+            {f"y{k}": (F.coalesce(f"y{k}", F.lit(0.0)) / F.col("k") - F.col(f"c{k}") * F.col("mu")) / F.col("sd") for k in range(block)}
         )
-        check = round_no % 4 == 0 or round_no == max_rounds
-        if check:
-            # Rescaled only now and then: between checks the vector shrinks by at most 1 / k per round.
-            top = norm.agg(F.sum("eigenvalue")).first()[0]
-            done = previous is not None and top is not None and abs(top - previous) <= tol * max(1.0, abs(top))
-            previous = top
-            v = joined.join(norm.select(*keys, "norm"), keys).select(*keys, "i", "k", "mu", "sd", (F.col("y") / F.nullif(F.col("norm"), F.lit(0.0))).alias("v"))
-            v = stage(v, "vec")
-            if done:
-                break
-        else:
-            v = joined.select(*keys, "i", "k", "mu", "sd", (F.col("y") / F.col("k")).alias("v"))
-    g = v.groupBy(*keys).agg(F.stddev_pop("v").alias("sd"), F.sum("v").alias("total"), F.count(F.lit(1)).alias("rows"))
+        new = new.select(*keys, "i", "k", "mu", "sd", *qs, "basis", "images", *[f"y{k}" for k in range(block)])
+        out = stage(new.groupBy(*keys).applyInPandas(project, schema), "vec")
+        if out.where("NOT done").isEmpty():
+            break
+        state = out.drop("v", "eigenvalue", "done")
+    else:
+        raise RuntimeError(f"no eigenvector to {tol} after {max_rounds} rounds")
+    g = out.groupBy(*keys).agg(F.stddev_pop("v").alias("vsd"), F.sum("v").alias("total"), F.count(F.lit(1)).alias("rows"))
     sign = F.when(F.col("total") < 0, -1.0).otherwise(1.0)
-    return v.select(*keys, "i", "v").join(g, keys).join(norm, keys).select(
-        *keys, "i", (F.col("v") / F.col("sd") * sign).alias("pc1"), (F.col("eigenvalue") / F.col("rows")).alias("eigen_share")
+    return out.select(*keys, "i", "v", "eigenvalue").join(g, keys).select(
+        *keys, "i", (F.col("v") / F.col("vsd") * sign).alias("pc1"), (F.col("eigenvalue") / F.col("rows")).alias("eigen_share")
     )

@@ -8,6 +8,7 @@ again, every round is written to shared storage, so lineage stays flat.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import count
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -113,7 +114,7 @@ def apply_rule(rule: Rule, tables: Mapping[str, DataFrame], with_proof: bool = F
     return proof.groupBy(*head_names).agg(F.min(F.struct("rule_id", "premises")).alias("p")).select(*head_names, "p.*")
 
 
-def evaluate(rules: Sequence[Rule], tables: Mapping[str, DataFrame], max_rounds: int = 50) -> dict[str, DataFrame]:
+def evaluate(rules: Sequence[Rule], tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """Least fixed point of positive rules; every derived relation gets its round.
 
     A round applies each rule once per recursive body literal with only the last round's new
@@ -125,7 +126,7 @@ def evaluate(rules: Sequence[Rule], tables: Mapping[str, DataFrame], max_rounds:
         names.setdefault(r.head.relation, [f"a{i}" for i in range(len(r.head.terms))])
     state: dict[str, DataFrame] = {}
     delta: dict[str, DataFrame] = {}
-    for round_no in range(max_rounds):
+    for round_no in count():
         fresh: dict[str, list[DataFrame]] = {}
         for r in rules:
             recursive = [i for i, lit in enumerate(r.body) if lit.relation in derived]
@@ -153,10 +154,7 @@ def evaluate(rules: Sequence[Rule], tables: Mapping[str, DataFrame], max_rounds:
                 delta[rel] = new.drop("round")
                 state[rel] = new if rel not in state else state[rel].unionByName(new)
         if not delta:
-            break
-    else:
-        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
-    return state
+            return state
 
 
 def _with_delta(rule: Rule, i: int) -> Rule:
@@ -172,7 +170,7 @@ def _head(rule: Rule, tables: Mapping[str, DataFrame], names: Mapping[str, list[
     return out.toDF(*names[rule.head.relation])
 
 
-def reach(edges: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, node, depth): shortest depth of every node reachable from each start, start excluded.
 
     Output is bounded by starts x nodes. Each round joins the newest frontier to the edges and
@@ -182,7 +180,7 @@ def reach(edges: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> DataFr
     frontier = starts.select(F.col("node").alias("start"), F.col("node")).distinct()
     seen = stage(frontier.withColumn("depth", F.lit(0)), "reach")
     frontier = seen.select("start", "node")
-    for depth in range(1, max_rounds + 1):
+    for depth in count(1):
         step = (
             frontier.join(e, frontier["node"] == e["src"])
             .select("start", F.col("dst").alias("node"))
@@ -194,7 +192,6 @@ def reach(edges: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> DataFr
             return seen.where("depth > 0")
         seen = seen.unionByName(new)
         frontier = new.select("start", "node")
-    raise RuntimeError(f"graph deeper than {max_rounds}")
 
 
 def reverse(edges: DataFrame) -> DataFrame:

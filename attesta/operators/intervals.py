@@ -41,10 +41,13 @@ def tile_means(
 ) -> DataFrame:
     """Coverage-weighted mean per tile; NULL below the minimum coverage or where nothing covers.
 
-    Rows with a missing value add no coverage. The result holds touched tiles; join `tile_grid`
-    for the rest.
+    Rows with a missing value add no coverage. Overlapping intervals are refused, since they would
+    count a base twice. The result holds touched tiles; join `tile_grid` for the rest.
     """
-    parts = _split(iv.where(F.col(value).isNotNull()), start, end, width)
+    valued = iv.where(F.col(value).isNotNull() & (F.col(end) > F.col(start)))
+    if not overlapping_rows(valued.select(*keys, chrom, start, end), [*keys, chrom], start, end, []).isEmpty():
+        raise ValueError("intervals overlap")
+    parts = _split(valued, start, end, width)
     g = parts.groupBy(*keys, chrom, "tile").agg(
         F.sum("ov").alias("covered"), F.sum(F.col("ov") * F.col(value)).alias("__area")
     )

@@ -62,8 +62,11 @@ def greedy_capped(
         open_rows = light.where(F.col(stratum).isin(*[s for s, n in left.items() if n > 0]))
         for g, cap in caps.items():
             full = [k for k, n in used[g].items() if n >= cap]
-            if full:
-                open_rows = open_rows.where(~F.col(g).isin(*full) | F.col(g).isNull())
+            named = [k for k in full if k is not None]
+            if named:
+                open_rows = open_rows.where(F.col(g).isNull() | ~F.col(g).isin(*named))
+            if None in full:  # rows without a value share one group
+                open_rows = open_rows.where(F.col(g).isNotNull())
         if chosen:
             open_rows = open_rows.where(~F.col(row_id).isin(*chosen))
         rows = open_rows.orderBy("__o", F.col(score).desc(), row_id).limit(batch).collect()

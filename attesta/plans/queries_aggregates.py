@@ -49,7 +49,7 @@ def presence_filter(spark, d):
 
 @query(
     f"""WITH {_COUNTS}, t AS (SELECT library, sum(n) AS total FROM counts GROUP BY 1),
-        x AS (SELECT feature, library, log2(n * 1e6 / total + 0.5) AS v, library < 'L4' AS is_case FROM counts JOIN t USING (library)),
+        x AS (SELECT fs.feature, t.library, log2(coalesce(n, 0) * 1e6 / total + 0.5) AS v, t.library < 'L4' AS is_case FROM (SELECT DISTINCT feature FROM counts) fs CROSS JOIN t LEFT JOIN counts c ON c.feature = fs.feature AND c.library = t.library),
         f AS (SELECT feature, avg(v) FILTER (NOT is_case) AS control_mean, avg(v) FILTER (is_case) - avg(v) FILTER (NOT is_case) AS contrast FROM x GROUP BY 1),
         l AS (SELECT x.feature, max(CASE WHEN o.is_case THEN c.case_wo - f0.m0 ELSE f0.m1 - c.ctrl_wo END) AS loo_max FROM x
               JOIN (SELECT feature, library, is_case FROM x) o ON x.feature = o.feature AND x.library = o.library
@@ -67,8 +67,8 @@ def normalised_contrast(spark, d):
 
 @query(
     f"""WITH {_COUNTS}, g AS (SELECT feature, avg(ln(n)) AS m FROM counts GROUP BY 1 HAVING count(*) FILTER (n > 0) = (SELECT count(DISTINCT library) FROM counts)),
-        r AS (SELECT library, quantile_cont(ln(n) - m, 0.5) AS f FROM counts JOIN g USING (feature) GROUP BY 1)
-       SELECT library, round(exp(f - (SELECT avg(f) FROM r)), 6) AS size_factor FROM r"""
+        r AS (SELECT library, quantile_cont(exp(ln(n) - m), 0.5) AS f FROM counts JOIN g USING (feature) GROUP BY 1)
+       SELECT library, round(f / exp((SELECT avg(ln(f)) FROM r)), 6) AS size_factor FROM r"""
 )
 def size_factors(spark, d):
     return rounded(A.size_factors(count_matrix(spark, d), "feature", "library", "n"), "size_factor")
@@ -88,13 +88,13 @@ def tile_mean_change(spark, d):
 
 # Long matrix: row = supplier, column = part brand and size class, value = centred mean discount.
 _LONG = """long AS (SELECT l_suppkey AS row_id, p_brand || ':' || (p_size % 2) AS col_id, avg(l_discount) * 20 - 1.4 AS value FROM lineitem JOIN part ON l_partkey = p_partkey
-   WHERE l_returnflag = 'A' GROUP BY 1, 2)"""
+   GROUP BY 1, 2)"""
 
 
 def long_matrix(spark, d):
     li, p = table(spark, d, "lineitem"), table(spark, d, "part")
     col = F.concat_ws(":", "p_brand", (F.col("p_size") % 2).cast("string")).alias("col_id")
-    return li.where("l_returnflag = 'A'").join(p, li.l_partkey == p.p_partkey).groupBy(F.col("l_suppkey").alias("row_id"), col).agg(
+    return li.join(p, li.l_partkey == p.p_partkey).groupBy(F.col("l_suppkey").alias("row_id"), col).agg(
         (F.avg("l_discount") * 20 - 1.4).alias("value")
     )
 
@@ -251,12 +251,12 @@ def slope_by_group(spark, d):
 
 
 @query(
-    f"""WITH {_LONG}, c AS (SELECT row_id, col_id AS context FROM long WHERE value < -0.5 AND col_id LIKE 'Brand#1%'),
+    f"""WITH {_LONG}, c AS (SELECT row_id, col_id AS context FROM long WHERE value < -0.5),
         v AS (SELECT l_suppkey AS row_id, l_returnflag AS target, l_quantity AS q FROM lineitem)
        SELECT context, target, round(quantile_cont(q, 0.5), 6) AS median FROM v JOIN c USING (row_id) GROUP BY 1, 2"""
 )
 def positive_row_median(spark, d):
-    c = long_matrix(spark, d).where("col_id LIKE 'Brand#1%'").select(
+    c = long_matrix(spark, d).select(
         "row_id", F.col("col_id").alias("context"), (F.col("value") < -0.5).cast("int").alias("positive")
     )
     v = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("row_id"), F.col("l_returnflag").alias("target"), F.col("l_quantity").alias("q"))

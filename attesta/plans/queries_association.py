@@ -252,18 +252,20 @@ def correlation_groups(spark, d):
 
 
 @query(
-    f"""WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount * 10 - 0.5 AS beta, 0.02 + l_tax AS se, {_P} AS p FROM lineitem),
+    f"""WITH a AS (SELECT l_orderkey, l_linenumber, l_discount * 10.1 - 0.5037 AS beta, 0.0213 + l_tax AS se, l_tax * -4.03 AS arm_beta, l_quantity / 500.3 AS arm_p, ({_P}) ** 4 AS p FROM lineitem),
         r AS (SELECT *, row_number() OVER (ORDER BY p) AS rn, count(*) OVER () AS n FROM a), q AS (SELECT *, least(1, min(p * n / rn) OVER (ORDER BY rn DESC)) AS q FROM r)
-       SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(beta, 6) AS beta, round(abs(beta) - 1.96 * se, 6) AS beta_lb FROM q WHERE abs(beta) >= 0.305 AND abs(beta) - 1.96 * se >= 0.2005 AND q <= 1"""
+       , b AS (SELECT *, abs(beta) - 1.96 * se AS lb FROM q)
+       SELECT 'context' AS study, l_orderkey, l_linenumber, round(beta, 6) AS beta, round(lb, 6) AS beta_lb, round(q, 9) AS q FROM b WHERE q <= 0.01 AND abs(beta) >= 0.30 AND lb >= 0.20
+       UNION ALL SELECT 'paralog', l_orderkey, l_linenumber, round(beta, 6), round(lb, 6), round(q, 9) FROM b WHERE q <= 0.01 AND beta <= -0.30 AND lb >= 0.20 AND arm_beta <= -0.15 AND arm_p < 0.05
+       UNION ALL SELECT 'drug', l_orderkey, l_linenumber, round(beta, 6), round(lb, 6), round(q, 9) FROM b WHERE q <= 0.01 AND beta <= -0.35 AND lb > 0"""
 )
 def screen_filter(spark, d):
     a = table(spark, d, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_discount") * 10 - 0.5).alias("beta"), (F.col("l_tax") + 0.02).alias("se"), F.expr(_P).alias("p"))
-    a = O.benjamini_hochberg(a, "p")
-    lim = dict(S.SCREEN_LIMITS["context"])
-    a = a.withColumn("beta_lb", S.lower_bound(F.col("beta"), F.col("se")))
-    ok = (F.abs("beta") >= lim["min_abs_beta"] + 0.005) & (F.col("beta_lb") >= lim["min_lb"] + 0.0005) & (F.col("q") <= 1)
-    return rounded(a.where(ok).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "beta", "beta_lb"), "beta", "beta_lb")
+        "l_orderkey", "l_linenumber", (F.col("l_discount") * 10.1 - 0.5037).alias("beta"), (F.col("l_tax") + 0.0213).alias("se"),
+        (F.col("l_tax") * -4.03).alias("arm_beta"), (F.col("l_quantity") / 500.3).alias("arm_p_one_sided"), F.pow(F.expr(_P), F.lit(4)).alias("p"))
+    a = stage(O.benjamini_hochberg(a, "p"), "screen")
+    forms = [S.screen_filter(a, k).select(F.lit(k).alias("study"), "l_orderkey", "l_linenumber", "beta", "beta_lb", "q") for k in S.SCREEN_LIMITS]
+    return rounded(rounded(forms[0].unionByName(forms[1]).unionByName(forms[2]), "beta", "beta_lb"), "q", digits=9)
 
 
 @query(
@@ -351,17 +353,18 @@ def contact_matrix(spark, d):
     return C.bin_pairs(contact_pairs(spark, d), ["chrom"], "pos1", "pos2", 50)
 
 
-def _bins(spark, d):
-    """Bin width that keeps about 40 bins per partition at any scale."""
-    return max(1, table(spark, d, "part").count() // 40)
-
-
-@query()
+@query(
+    f"""WITH {_CONTACTS}, m AS (SELECT chrom, i, j, count(*) AS w FROM ct GROUP BY ALL), f AS (SELECT chrom, i, j FROM m UNION SELECT chrom, j, i FROM m),
+        k AS (SELECT chrom, i FROM f GROUP BY 1, 2 HAVING count(*) >= 10)
+       SELECT f.chrom, f.i, count(*) AS nnz, true AS balanced FROM f JOIN k a ON f.chrom = a.chrom AND f.i = a.i JOIN k b ON f.chrom = b.chrom AND f.j = b.i GROUP BY 1, 2"""
+)
 def balanced_matrix(spark, d):
-    """Row sums of the balanced matrix per bin; all equal within a partition (checked in tests)."""
-    m = C.bin_pairs(contact_pairs(spark, d), ["chrom"], "pos1", "pos2", _bins(spark, d))
+    """Whether each bin's row sum is the partition's mean to 1e-4 after balancing."""
+    m = C.bin_pairs(contact_pairs(spark, d), ["chrom"], "pos1", "pos2", 50)
     b, _ = C.balance(m, ["chrom"], 10)
-    return C.mirrored(b, ["chrom"]).groupBy("chrom", "i").agg(F.round(F.sum("w"), 3).alias("row_sum"), F.count(F.lit(1)).alias("nnz"))
+    g = C.mirrored(b, ["chrom"]).groupBy("chrom", "i").agg(F.sum("w").alias("s"), F.count(F.lit(1)).alias("nnz"))
+    mean = g.groupBy("chrom").agg(F.avg("s").alias("mean"))
+    return g.join(mean, "chrom").select("chrom", "i", "nnz", (F.abs(F.col("s") / F.col("mean") - 1) < 1e-4).alias("balanced"))
 
 
 @query(
@@ -380,7 +383,6 @@ def observed_over_expected(spark, d):
 @query()
 def contact_compartments(spark, d):
     """Contacts to oriented leading eigenvector for every partition in one run."""
-    w = _bins(spark, d)
-    dens = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("chrom"), F.floor(F.col("l_partkey") / w).alias("i")).agg(F.avg("l_quantity").alias("density"))
-    out = studies.contact_compartments(contact_pairs(spark, d), ["chrom"], "pos1", "pos2", w, dens, eigen_rounds=12)
-    return out.select("chrom", "i", F.round(F.abs("pc1"), 3).alias("abs_pc1"), F.round("eigen_share", 4).alias("eigen_share"))
+    dens = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("chrom"), F.floor(F.col("l_partkey") / 50).alias("i")).agg(F.avg("l_quantity").alias("density"))
+    out = studies.contact_compartments(contact_pairs(spark, d), ["chrom"], "pos1", "pos2", 50, dens)
+    return out.select("chrom", "i", F.round("pc1", 3).alias("pc1"), F.round("oriented", 3).alias("oriented"), F.round("eigen_share", 4).alias("eigen_share"))

@@ -217,11 +217,11 @@ def record_schema_check(spark, d):
 
 
 @query(
-    """WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A' AND l_discount > 0.08), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.08)
+    """WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R')
        SELECT k, CASE WHEN k IN (SELECT k FROM a) AND k IN (SELECT k FROM b) THEN 'shared' WHEN k IN (SELECT k FROM a) THEN 'only_a' ELSE 'only_b' END AS part FROM (SELECT k FROM a UNION SELECT k FROM b)"""
 )
 def set_overlap(spark, d):
-    li = table(spark, d, "lineitem").where("l_discount > 0.08")
+    li = table(spark, d, "lineitem")
     side = lambda f: li.where(F.col("l_returnflag") == f).select(F.col("l_partkey").alias("k"))
     a, b = side("A"), side("R")
     tag = lambda df, n: df.withColumn("part", F.lit(n))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from attesta.operators import intervals as I
+from attesta.operators.ordered import lagged
 from attesta.plans.registry import registrar
 from attesta.session import table
 
@@ -45,12 +46,22 @@ _TILES = "tl AS (SELECT k, k * 100000 AS a, least((k + 1) * 100000, 970000) AS b
 _SPLIT = _CLIP + ", " + _TILES + ", sp AS (SELECT cv.*, k AS tile, least(e, b) - greatest(s, a) AS ov, b - a AS tlen FROM cv JOIN tl ON s < b AND e > a)"
 
 
+# Intervals cut where the next one of the partition starts, so that none overlap.
+_APART = "ap AS (SELECT chrom, s, least(e, coalesce(lead(s) OVER (PARTITION BY chrom ORDER BY s, o_orderkey), e)) AS e, v FROM cv)"
+_APART_SPLIT = _CLIP + ", " + _APART + ", " + _TILES + ", sp AS (SELECT ap.*, k AS tile, least(e, b) - greatest(s, a) AS ov, b - a AS tlen FROM ap JOIN tl ON s < b AND e > a WHERE e > s)"
+
+
+def apart(spark, d):
+    iv = clipped(spark, d).withColumns({"__s": -F.col("s"), "__k": -F.col("o_orderkey")})
+    return lagged(iv, ["chrom"], ["__s", "__k"], ["s"]).withColumn("e", F.least("e", F.coalesce("prev_s", "e")))
+
+
 @query(
-    f"""WITH {_SPLIT} SELECT chrom, tile, sum(ov)::BIGINT AS covered, round(sum(ov) / max(tlen), 6) AS coverage,
+    f"""WITH {_APART_SPLIT} SELECT chrom, tile, sum(ov)::BIGINT AS covered, round(sum(ov) / max(tlen), 6) AS coverage,
         round(CASE WHEN sum(ov) / max(tlen) >= 0.5 THEN sum(ov * v) / sum(ov) END, 6) AS mean FROM sp WHERE v IS NOT NULL GROUP BY 1, 2"""
 )
 def interval_tile_means(spark, d):
-    m = I.tile_means(clipped(spark, d), sizes(spark, d), [], "chrom", "s", "e", "v", "length", WIDTH)
+    m = I.tile_means(apart(spark, d), sizes(spark, d), [], "chrom", "s", "e", "v", "length", WIDTH)
     return m.withColumns({"coverage": F.round("coverage", 6), "mean": F.round("mean", 6)})
 
 

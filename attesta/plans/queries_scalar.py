@@ -251,19 +251,18 @@ def record_digest(spark, d):
 
 
 @query(
-    """WITH t AS (SELECT l_returnflag, l_quantity AS v, sum(l_quantity) OVER (PARTITION BY l_returnflag) AS tot,
+    """WITH t AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity AS v, sum(l_quantity) OVER (PARTITION BY l_returnflag) AS tot,
               avg(l_quantity) OVER (PARTITION BY l_returnflag) AS mu, stddev_pop(l_quantity) OVER (PARTITION BY l_returnflag) AS sd FROM lineitem)
-       SELECT l_returnflag, v, round(max(ln(1 + v)), 6) AS log1p_v, round(max(log2(v + 0.5)), 6) AS log2_v,
-              round(max(v * 1e6 / tot), 6) AS cpm, round(max((v - mu) / sd), 6) AS z FROM t GROUP BY ALL"""
+       SELECT l_orderkey, l_linenumber, l_returnflag, v, round(ln(1 + v), 6) AS log1p_v, round(log2(v + 0.5), 6) AS log2_v,
+              round(v * 1e6 / tot, 6) AS cpm, round((v - mu) / sd, 6) AS z FROM t"""
 )
 def numeric_transforms(spark, d):
-    """Transforms depend on (flag, quantity) only, so they run on the distinct pairs."""
-    li = table(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").alias("v"))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_quantity").alias("v"))
     stats = li.groupBy("l_returnflag").agg(
         F.sum("v").alias("tot"), F.avg("v").alias("mu"), F.stddev_pop("v").alias("sd")
     )
-    return li.distinct().join(stats, "l_returnflag").select(
-        "l_returnflag", "v",
+    return li.join(stats, "l_returnflag").select(
+        "l_orderkey", "l_linenumber", "l_returnflag", "v",
         F.round(F.log1p("v"), 6).alias("log1p_v"),
         F.round(F.log2(F.col("v") + 0.5), 6).alias("log2_v"),
         F.round(N.cpm(F.col("v"), F.col("tot")), 6).alias("cpm"),

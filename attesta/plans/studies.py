@@ -154,13 +154,13 @@ def fine_coarse(df: DataFrame, part: str, tile: str, order: Sequence[str], x: st
     resid = full
     for c in cols:
         resid = O.demean(resid, [part, tile], c, min_count, f"d_{c}")
-    fine = A.spatial_null(resid, part, order, f"d_{x}", f"d_{y}", [f"d_{z}"], reps, seed, policy="margin").select(F.lit("fine").alias("scale"), "n", F.col("observed").alias("rho"), "z")
+    fine = A.spatial_null(resid, part, order, f"d_{x}", f"d_{y}", [f"d_{z}"], reps, seed, policy="margin", margin=50).select(F.lit("fine").alias("scale"), "n", F.col("observed").alias("rho"), "z")
     means = full.groupBy(part, tile).agg(*[F.avg(c).alias(c) for c in cols], F.count(F.lit(1)).alias("k")).where(F.col("k") >= min_count)
     coarse = A.partial_spearman(means, [], x, y, [z]).select(F.lit("coarse").alias("scale"), "n", F.col("partial_r").alias("rho"), F.lit(None).cast("double").alias("z"))
     return fine.unionByName(coarse)
 
 
-def contact_compartments(pairs: DataFrame, keys: Sequence[str], pos1: str, pos2: str, width: int, density: DataFrame, min_nnz: int = 10, max_rounds: int = 200, eigen_rounds: int = 100):
+def contact_compartments(pairs: DataFrame, keys: Sequence[str], pos1: str, pos2: str, width: int, density: DataFrame, min_nnz: int = 10, max_rounds: int = 200):
     """Contacts to oriented first eigenvector for every (sample, partition) in one run.
 
     `density` holds (keys, i, density).
@@ -169,6 +169,6 @@ def contact_compartments(pairs: DataFrame, keys: Sequence[str], pos1: str, pos2:
     balanced, bias = C.balance(m, keys, min_nnz, max_rounds)
     mask = bias.select(*keys, "i")
     oe = C.observed_over_expected(stage(balanced, "balanced"), mask, keys)
-    pc1 = C.leading_eigenvector(oe, mask, keys, eigen_rounds)
+    pc1 = C.leading_eigenvector(oe, mask, keys)
     j = pc1.join(density, [*keys, "i"], "left")
     return O.orient(j, keys, "pc1", "density", min_rho=0.2, min_rows=3)

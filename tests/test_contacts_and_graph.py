@@ -67,7 +67,7 @@ def test_contact_pipeline_matches_dense(spark):
         got[r.i, r.j] = got[r.j, r.i] = r.oe
     assert np.allclose(got[np.ix_(keep, keep)], want[np.ix_(keep, keep)], atol=1e-6)
 
-    pc = C.leading_eigenvector(oe, mask, ["chrom"], max_rounds=60)
+    pc = C.leading_eigenvector(oe, mask, ["chrom"])
     val, vec = np.linalg.eigh(np.corrcoef(want[np.ix_(keep, keep)]))
     lead = vec[:, -1] / vec[:, -1].std()
     lead = lead if lead.sum() >= 0 else -lead
