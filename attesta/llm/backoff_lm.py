@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from attesta.llm.store import kept
 from attesta.llm.words import Words, mix, signed
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 _START, _END = np.uint64(0x51AB7E0F3C2D4A69), np.uint64(0x2E6D9C81B7F30A55)
 
 
@@ -88,14 +88,21 @@ def score(docs: DataFrame, order: int = 2, mass: float = 10.0, hold: Callable[[i
     def trains(table: pa.Table) -> np.ndarray:
         return np.array([not hold(i) for i in table.column("doc_id").to_pylist()], bool)
 
+    # Keys travel in lists, one for each range of keys that a block has: half the bytes of one row a key.
+    bits = min(16, max(8, blocks.bit_length()))
+
     def count(table: pa.Table) -> pa.Table:
         tokens = _Tokens(table.column("text").combine_chunks(), order)
         distinct, n, _ = _counts(tokens.keys, trains(table)[tokens.row])
+        at = np.searchsorted(distinct >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (signed(distinct), n.astype(np.int32))]
         block = table.column("block")[0].as_py()
-        return pa.table({"key": signed(distinct), "block": np.full(len(distinct), block, np.int32), "n": n.astype(np.int32)})
+        out = pa.table({"range": np.arange(1 << bits, dtype=np.int32), "block": np.full(1 << bits, block, np.int32), "key": lists[0], "n": lists[1]})
+        return out.filter(pa.array(np.diff(at) > 0))
 
-    grams = dealt.groupBy("block").applyInArrow(count, "key long, block int, n int")
-    same = Window.partitionBy("key")
+    packed = dealt.groupBy("block").applyInArrow(count, "range int, block int, key array<long>, n array<int>")
+    grams = packed.repartition("range").select("range", "block", F.inline(F.arrays_zip("key", "n")))
+    same = Window.partitionBy("range", "key")
     totals = grams.select(
         "key", "block", "n", F.sum("n").over(same).alias("total"), (F.min("block").over(same) == F.col("block")).alias("owner")
     )

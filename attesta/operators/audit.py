@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,25 +88,32 @@ def manifest_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
 def bucketed_digest(manifest: DataFrame, buckets: int = 4096) -> DataFrame:
     """Order-free digest of a manifest of any size: digest per path-hash bucket, then digest of those.
 
-    A bucket holds about 1/buckets of the paths, so no list of all paths is ever built.
+    A bucket holds about 1/buckets of the paths, so no list of all paths is ever built. Buckets come from MD5,
+    so any engine can check the digest.
     """
     line = F.concat_ws("\t", "path", "sha256")
-    b = manifest.groupBy(F.pmod(F.xxhash64("path"), F.lit(buckets)).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("h"))
+    bucket = F.conv(F.substring(F.md5("path"), 1, 8), 16, 10).cast("long") % buckets
+    b = manifest.groupBy(bucket.alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("h"))
     return b.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda s: s["h"]), "\n"), 256).alias("digest"))
 
 
-MAX_MANIFEST = 100_000
-
-
 def top_digest(manifest: DataFrame) -> DataFrame:
     """Digest over the sorted 'path NUL sha256' lines of a release manifest.
 
-    The lines meet in one place, so the size is checked; larger manifests use `bucketed_digest`.
+    The digest is defined on one sequence of lines, so one task takes them in order; it holds one batch of
+    lines at a time and its sort can spill. `bucketed_digest` is the form that many tasks can share.
     """
-    if manifest.count() > MAX_MANIFEST:
-        raise Refused(f"more than {MAX_MANIFEST} files: use bucketed_digest")
-    line = F.concat(F.col("path"), F.lit("\x00"), F.col("sha256"))
-    return manifest.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"), F.count(F.lit(1)).alias("files"))
+
+    def run(batches):
+        digest, files = hashlib.sha256(), 0
+        for batch in batches:
+            for line in batch.column("line").to_pylist():
+                digest.update((b"\n" if files else b"") + line.encode())
+                files += 1
+        yield pa.record_batch([pa.array([digest.hexdigest()]), pa.array([files], pa.int64())], ["digest", "files"])
+
+    lines = manifest.select(F.concat(F.col("path"), F.lit("\x00"), F.col("sha256")).alias("line"))
+    return lines.repartition(1).sortWithinPartitions("line").mapInArrow(run, "digest string, files long")
 
 
 def chain_violations(events: DataFrame, key: str, seq: str, prev: str, digest: str, at: str, recomputed: Column) -> DataFrame:

@@ -65,14 +65,14 @@ def partial_rank_correlation(spark, d):
 @query(
     f"""WITH {_TILES}, {_RANKED}, rg AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY pos) - 1 AS k, count(*) OVER (PARTITION BY chrom) AS len FROM rk),
         mv AS (SELECT chrom, rep, rx, (k + CASE WHEN len > 20 THEN dr % (len - 19) + 10 WHEN len > 2 THEN dr % (len - 1) + 1 ELSE 0 END) % len AS k
-               FROM (SELECT *, {DUCK_DRAW.format("'17|' || rep || '|' || chrom")} AS dr FROM (SELECT rg.*, unnest(range(1, 31)) AS rep FROM rg))),
+               FROM (SELECT *, {DUCK_DRAW.format("'17|' || rep || '|' || chrom")} AS dr FROM (SELECT rg.*, unnest(range(1, 2000)) AS rep FROM rg))),
         nl AS (SELECT rep, {sql_pr('mv.rx', 'rg.ry', 'rg.r1', 'rg.r2')} AS r FROM mv JOIN rg ON mv.chrom = rg.chrom AND mv.k = rg.k GROUP BY 1),
         ob AS (SELECT count(*) AS n, {sql_pr('rx', 'ry', 'r1', 'r2')} AS o FROM rg)
-       SELECT max(n) AS n, round(max(o), 6) AS observed, (1 + count(*) FILTER (r <= o + 1e-12)) / 31 AS p_neg, (1 + count(*) FILTER (r >= o - 1e-12)) / 31 AS p_pos,
+       SELECT max(n) AS n, round(max(o), 6) AS observed, (1 + count(*) FILTER (r <= o + 1e-12)) / 2000 AS p_neg, (1 + count(*) FILTER (r >= o - 1e-12)) / 2000 AS p_pos,
               round(avg(r), 6) AS null_mean, round(stddev_pop(r), 6) AS null_sd FROM nl, ob"""
 )
 def spatial_null_test(spark, d):
-    t = A.spatial_null(tiles(spark, d), "chrom", ["pos"], "x", "y", ["z1", "z2"], 30, 17)
+    t = A.spatial_null(tiles(spark, d), "chrom", ["pos"], "x", "y", ["z1", "z2"], 1999, 17)
     return rounded(t.drop("z"), "observed", "null_mean", "null_sd")
 
 
@@ -314,25 +314,25 @@ def nested_samples(spark, d):
 @query()
 def discovery_confirmation_screen(spark, d):
     """Tile screen: discovery on odd partitions, survivors confirmed on even ones in the discovery sign."""
-    return studies.split_screen(tiles(spark, d), "chrom", ["pos"], ["x", "z2", "y"], ["z1"], F.substring("chrom", 7, 9).cast("int"), 60, 5)
+    return studies.split_screen(tiles(spark, d), "chrom", ["pos"], ["x", "z2", "y"], ["z1"], F.substring("chrom", 7, 9).cast("int"), 1999, 5)
 
 
 @query()
 def sensitivity_grid(spark, d):
     """Raw, scale-free and flexible arms of one contrast, tested in one job."""
-    return studies.sensitivity_grid(tiles(spark, d), "chrom", ["pos"], "x", "y", "z1", 60, 9)
+    return studies.sensitivity_grid(tiles(spark, d), "chrom", ["pos"], "x", "y", "z1", 1999, 9)
 
 
 @query()
 def noise_matched_control(spark, d):
-    return studies.noise_matched(tiles(spark, d), ["chrom", "pos"], "x", "y", "z2", 3, 4)
+    return studies.noise_matched(tiles(spark, d), ["chrom", "pos"], "x", "y", "z2", 3, 10)
 
 
 @query()
 def fine_vs_coarse(spark, d):
     """Partial rank correlation within tiles and between tile means, with a shift null."""
     t = tiles(spark, d).withColumn("tile", F.floor(F.col("pos") / 250))
-    return studies.fine_coarse(t, "chrom", "tile", ["pos"], "x", "y", "z2", 5, 40, 21)
+    return studies.fine_coarse(t, "chrom", "tile", ["pos"], "x", "y", "z2", 5, 200, 21)
 
 
 # --- contacts ----------------------------------------------------------------------------------

@@ -57,12 +57,21 @@ def manifest_diff(spark, d):
     return Q.manifest_diff(expected, actual)
 
 
-@query()
+@query(
+    """WITH p AS (SELECT url || '#' || page_id AS path, sha256(html) AS h FROM pages), b AS (SELECT CAST('0x' || substr(md5(path), 1, 8) AS BIGINT) % 4096 AS b, sha256(string_agg(path || chr(9) || h, chr(10) ORDER BY path || chr(9) || h)) AS h FROM p GROUP BY 1)
+       SELECT sha256(string_agg(h, chr(10) ORDER BY b)) AS digest FROM b"""
+)
 def manifest_digest(spark, d):
     p = table(spark, d, "pages").select(F.concat_ws("#", "url", F.col("page_id").cast("string")).alias("path"), F.sha2("html", 256).alias("sha256"))
     return Q.bucketed_digest(p)
 
 
+@query("SELECT sha256(string_agg(url || '#' || page_id || chr(0) || sha256(html), chr(10) ORDER BY url || '#' || page_id || chr(0) || sha256(html))) AS digest, count(*) AS files FROM pages")
+def release_digest(spark, d):
+    p = table(spark, d, "pages").select(F.concat_ws("#", "url", F.col("page_id").cast("string")).alias("path"), F.sha2("html", 256).alias("sha256"))
+    return Q.top_digest(p)
+
+
 # Journal: events of one user in id order; the digest covers the own fields, broken for some values.
 _JOURNAL = """j AS (SELECT *, lag(h) OVER w AS ph, lag(ts) OVER w AS pt, row_number() OVER w AS seq FROM (SELECT *, md5(event_id || '|' || event_type) AS h FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id))"""
 

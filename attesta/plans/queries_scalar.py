@@ -324,6 +324,26 @@ def wilson_verdict(spark, d):
     )
 
 
+_TERM = "exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({p}) + ({n} - i) * ln(1 - {p}))"
+
+
+@query(
+    f"""WITH g AS (SELECT user_id, count(*) FILTER (event_type = 'error') AS k, count(*) AS n, count(*) FILTER (value > 60) AS a, count(*) FILTER (value < 60) AS b FROM events GROUP BY 1)
+        SELECT user_id, round(least(1, list_sum(list_transform(range(k, n + 1), lambda i: {_TERM.format(n='n', p='0.2')}))), 9) AS binom_p,
+               round(least(1, list_sum(list_transform(range(a, a + b + 1), lambda i: {_TERM.format(n='(a + b)', p='0.5')}))), 9) AS sign_p FROM g"""
+)
+def binomial_tails(spark, d):
+    """Upper binomial tail and sign test per user."""
+    g = table(spark, d, "events").groupBy("user_id").agg(
+        F.count_if(F.col("event_type") == "error").alias("k"), F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("value") > 60).alias("n_pos"), F.count_if(F.col("value") < 60).alias("n_neg"),
+    )
+    return g.select(
+        "user_id", F.round(N.binomial_upper(F.col("k").cast("double"), F.col("n").cast("double"), F.lit(0.2)), 9).alias("binom_p"),
+        F.round(N.sign_test_p(F.col("n_pos"), F.col("n_neg")), 9).alias("sign_p"),
+    )
+
+
 @query()
 def distribution_tails(spark, d):
     """Binomial, sign-test and Student-t tails per user (no SQL form; checked against exact sums in tests)."""

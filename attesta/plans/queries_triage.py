@@ -389,7 +389,7 @@ def cluster_bootstrap_lift(spark, d):
 @query(
     sql_bootstrap(
         "src AS (SELECT o_orderpriority AS grp, c_nationkey, (o_totalprice > 250000)::INT AS x FROM orders JOIN customer ON o_custkey = c_custkey)",
-        "grp", "c_nationkey", {"s": "x", "n": "1"}, "s / n", 1000, 29, None,
+        "grp", "c_nationkey", {"s": "x", "n": "1"}, "s / n", 4000, 29, None,
     )
 )
 def cluster_bootstrap_rate(spark, d):
@@ -398,7 +398,7 @@ def cluster_bootstrap_rate(spark, d):
         F.col("o_orderpriority").alias("grp"), "c_nationkey", (F.col("o_totalprice") > 250000).cast("int").alias("x")
     )
     b = R.cluster_bootstrap(
-        src, "c_nationkey", {"s": F.col("x"), "n": F.lit(1)}, F.expr("s / n"), ["grp"], 1000, 29, None
+        src, "c_nationkey", {"s": F.col("x"), "n": F.lit(1)}, F.expr("s / n"), ["grp"], 4000, 29, None
     )
     return rounded(b, ("point", "lo", "hi"))
 
@@ -406,28 +406,28 @@ def cluster_bootstrap_rate(spark, d):
 @query(
     f"""WITH b AS (SELECT o_orderkey // 1000 AS blk, sum(o_totalprice) AS s, count(*) AS n FROM orders GROUP BY 1),
         i AS (SELECT *, row_number() OVER (ORDER BY blk) - 1 AS idx, count(*) OVER () AS k FROM b),
-        d AS (SELECT rep, {DUCK_DRAW.format("'7|' || rep || '|' || slot")} % k AS idx FROM (SELECT k, unnest(range(500)) AS rep FROM (SELECT max(k) AS k FROM i)), LATERAL (SELECT unnest(range(k)) AS slot)),
+        d AS (SELECT rep, {DUCK_DRAW.format("'7|' || rep || '|' || slot")} % k AS idx FROM (SELECT k, unnest(range(2000)) AS rep FROM (SELECT max(k) AS k FROM i)), LATERAL (SELECT unnest(range(k)) AS slot)),
         v AS (SELECT rep, sum(s) / sum(n) AS v FROM d JOIN i ON d.idx = i.idx GROUP BY 1)
        SELECT round((SELECT sum(s) / sum(n) FROM b), 4) AS point, round(quantile_cont(v, 0.025), 4) AS lo, round(quantile_cont(v, 0.975), 4) AS hi, count(*) AS n_valid FROM v"""
 )
 def block_bootstrap_mean(spark, d):
     o = table(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 1000).alias("blk"), "o_totalprice")
-    b = R.cluster_bootstrap(o, "blk", {"s": F.col("o_totalprice"), "n": F.lit(1)}, F.expr("s / n"), reps=500, seed=7, linear=True)
+    b = R.cluster_bootstrap(o, "blk", {"s": F.col("o_totalprice"), "n": F.lit(1)}, F.expr("s / n"), reps=2000, seed=7, linear=True)
     return rounded(b, ("point", "lo", "hi"), 4)
 
 
 @query(
     f"""WITH g AS (SELECT lang, count(*) FILTER (quality = 1) AS k, count(*) AS n FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1),
-        s AS (SELECT lang, k, n, unnest(range(400)) AS rep FROM g),
+        s AS (SELECT lang, k, n, unnest(range(4000)) AS rep FROM g),
         t AS (SELECT lang, k, n, rep, unnest(range(n)) AS slot FROM s),
         v AS (SELECT lang, rep, avg(({DUCK_DRAW.format("'5|' || rep || '|' || slot")} % n < k)::INT) AS v FROM t GROUP BY 1, 2),
         w AS (SELECT lang, v, row_number() OVER (PARTITION BY lang ORDER BY v) - 1 AS i FROM v)
-       SELECT lang, round(max(v) FILTER (i = 10), 9) AS lo, round(max(v) FILTER (i = 389), 9) AS hi FROM w GROUP BY 1"""
+       SELECT lang, round(max(v) FILTER (i = 100), 9) AS lo, round(max(v) FILTER (i = 3899), 9) AS hi FROM w GROUP BY 1"""
 )
 def row_bootstrap_proportion(spark, d):
     j = table(spark, d, "documents", spread=True).select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id")
     g = j.groupBy("lang").agg(F.count_if(F.col("quality") == 1).alias("k"), F.count(F.lit(1)).alias("n"))
-    return rounded(R.row_bootstrap_proportion(g, "k", "n", ["lang"], 400, 5), ("lo", "hi"))
+    return rounded(R.row_bootstrap_proportion(g, "k", "n", ["lang"], 4000, 5), ("lo", "hi"))
 
 
 _PERM = """b AS (SELECT c_custkey AS id, c_nationkey AS s, c_mktsegment = 'BUILDING' AS lab, c_acctbal AS v FROM customer),
@@ -462,7 +462,7 @@ def permutation_test(spark, d):
 
 @query(
     f"""WITH {_CLAIMS}, i AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS idx, count(*) OVER () AS tot FROM claims),
-        s AS (SELECT unnest([20, 60, 150]) AS n_draw), r AS (SELECT n_draw, unnest(range(100)) AS rep FROM s), t AS (SELECT *, unnest(range(n_draw)) AS slot FROM r),
+        s AS (SELECT unnest([20, 60, 150]) AS n_draw), r AS (SELECT n_draw, unnest(range(2000)) AS rep FROM s), t AS (SELECT *, unnest(range(n_draw)) AS slot FROM r),
         d AS (SELECT n_draw, rep, {DUCK_DRAW.format("'11|' || rep || '|' || n_draw || '|' || slot")} % (SELECT max(tot) FROM i) + 1 AS idx FROM t),
         v AS (SELECT n_draw, rep, count(*) AS n, sum((NOT is_right)::INT) AS e, sum(flag_toxic::INT) AS f, sum((flag_toxic AND NOT is_right)::INT) AS c
               FROM d JOIN i ON d.idx = i.idx GROUP BY 1, 2),
@@ -475,7 +475,7 @@ def resample_at_sizes(spark, d):
     c = doc_claims(spark, d)
     wrong, flag = ~F.col("is_right"), F.col("flag_toxic")
     sums = {"n": F.lit(1), "e": wrong.cast("int"), "f": flag.cast("int"), "c": (flag & wrong).cast("int")}
-    r = R.resample_at_sizes(c, "doc_id", sums, R.lift_statistic(), [20, 60, 150], 100, 11)
+    r = R.resample_at_sizes(c, "doc_id", sums, R.lift_statistic(), [20, 60, 150], 2000, 11)
     return rounded(r, ("mean", "lo", "hi"))
 
 
