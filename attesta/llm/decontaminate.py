@@ -1,8 +1,9 @@
 """Benchmark passages in documents, also with other numbers, names or units.
 
 Texts become templates: numbers, names and units give way to typed placeholders. Windows of eight template tokens
-are hash-joined between documents and items. A run of windows on one diagonal counts if its slots agree: each value
-of the item stands for one value of the document and the other way round.
+are hash-joined between documents and items; windows that are mostly placeholders keep their values. A run of
+windows on one diagonal counts if its slots agree: each value of the item stands for one value of the document and
+the other way round.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attesta.llm.store import kept
 from attesta.llm.words import mix, signed, slices
 
 BROADCAST_WINDOWS = 1 << 20  # item windows that each task may hold: 8 MB
@@ -36,7 +38,7 @@ class _Codes(dict):
     def __missing__(self, word: str) -> int:
         core = word.strip(MARKS)
         low = core.lower()
-        kind = _NUMBER if any(c.isdigit() for c in core) or low in NUMBERS else _UNIT if low in UNITS else _LITERAL
+        kind = _NUMBER if core[:1].isdigit() or low in NUMBERS else _UNIT if low in UNITS else _LITERAL
         code = xxhash.xxh64_intdigest(low, 7) >> 4 << 4 | kind
         code |= _CAPITAL * (core[:1].isupper() and not core.isupper()) | _STOP * (word[-1] in ".!?:" or not core)
         if len(self) > 1 << 19:
@@ -66,13 +68,16 @@ class Templates:
         self.token = np.where(self.slot, mix(kind), self.value)
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first tokens of the windows of n tokens that hold enough words of their own, their keys)."""
+        """(first tokens of the windows of n tokens, their keys).
+
+        A window with too few words of its own says little as a template; its key takes the values in its slots.
+        """
         literals = np.concatenate(([0], np.cumsum(~self.slot)))
         at = np.flatnonzero(self.place + n <= np.repeat(self.count, self.count))
-        at = at[(literals[at + n] - literals[at]) * 5 >= 3 * n]
-        key = np.full(len(at), n, np.uint64)
+        rich = (literals[at + n] - literals[at]) * 5 >= 3 * n
+        key = np.where(rich, np.uint64(n), np.uint64(n + (1 << 32)))
         for k in range(n):
-            key = key * np.uint64(0x9E3779B97F4A7C15) + self.token[at + k]
+            key = key * np.uint64(0x9E3779B97F4A7C15) + np.where(rich, self.token[at + k], self.value[at + k])
         return at, mix(key)
 
     def slots(self, at: np.ndarray, n: int) -> pa.ListArray:
@@ -117,7 +122,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 8, share: float = 0
     window match as a whole. The keys of the items' windows are sent to all tasks to thin out the documents' windows
     if there are at most BROADCAST_WINDOWS of them; otherwise all windows go into the join.
     """
-    known = _windows(items, "item_id", (window,), True, None).distinct()
+    known = kept(_windows(items, "item_id", (window,), True, None).distinct(), "items")
     plan = known.agg(F.countDistinct("key"), F.collect_set("size")).first()
     lengths = tuple(sorted(set(plan[1]) | {window}))
     wanted = None
