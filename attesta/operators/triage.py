@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions import text as X
+from attesta.operators.resample import cluster_bootstrap
 
 
 def _sum_if(c: Column) -> Column:
@@ -172,12 +173,22 @@ def first_by(df: DataFrame, keys: Sequence[str], ordinal: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), ordinal).alias("__r")).select(*keys, "__r.*").select(*df.columns)
 
 
-def accuracy_three_ways(claims: DataFrame, right: str, passage: str, ordinal: str, by: Sequence[str] = ()) -> DataFrame:
-    """Row accuracy beside accuracy over distinct passages (first occurrence counts)."""
+def accuracy_three_ways(
+    claims: DataFrame, right: str, passage: str, ordinal: str, by: Sequence[str] = (), cluster: str | None = None, reps: int = 4000, seed: int = 7
+) -> DataFrame:
+    """Row accuracy beside accuracy over distinct passages (first occurrence counts).
+
+    With `cluster`, also the percentile interval (lo, hi) of row accuracy when whole clusters are resampled.
+    """
     rows = claims.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.avg(F.col(right).cast("int")).alias("row_accuracy"))
     ded = first_by(claims.select(*by, passage, ordinal, right), [*by, passage], ordinal)
     d = ded.groupBy(*by).agg(F.count(F.lit(1)).alias("n_distinct"), F.avg(F.col(right).cast("int")).alias("dedup_accuracy"))
-    return rows.join(d, list(by)) if by else rows.join(F.broadcast(d))
+    out = rows.join(d, list(by)) if by else rows.join(F.broadcast(d))
+    if cluster is None:
+        return out
+    sums = {"__s": F.col(right).cast("int"), "__n": F.lit(1)}
+    ci = cluster_bootstrap(claims, cluster, sums, F.expr("__s / __n"), by, reps, seed, None).select(*by, "lo", "hi")
+    return out.join(ci, list(by)) if by else out.join(F.broadcast(ci))
 
 
 def class_hits(claims: DataFrame, right: str, classes: str, min_n: int = 10) -> DataFrame:

@@ -281,8 +281,9 @@ _REP = """SELECT l_orderkey, l_linenumber, l_discount - 0.05 AS db, l_tax AS dlb
                AND abs(b) / hsd >= CASE WHEN dsd > 0 THEN 0.5 * greatest(dlb, 0) / dsd ELSE 0 END END AS rep FROM s"""
 )
 def replication_rule(spark, d):
-    table(spark, d, "lineitem").createOrReplaceTempView("attesta_rep")
-    r = spark.sql(_REP.replace("FROM lineitem", "FROM attesta_rep"))
+    r = table(spark, d, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "l_discount - 0.05 AS db", "l_tax AS dlb", "CASE WHEN l_quantity > 3 THEN l_quantity / 50 ELSE 0 END AS dsd",
+        "CASE WHEN l_linestatus = 'O' AND l_quantity < 10 THEN NULL ELSE l_discount - 0.03 END AS b", "l_tax * l_quantity / 10 AS p")
     c = F.col
     return r.select("l_orderkey", "l_linenumber", N.replicated(c("db"), c("dlb"), c("dsd"), c("b"), c("p"), F.lit(0.4)).alias("rep"))
 

@@ -403,6 +403,25 @@ def cluster_bootstrap_rate(spark, d):
     return rounded(b, ("point", "lo", "hi"))
 
 
+_THREE = sql_bootstrap(
+    "src AS (SELECT o_orderstatus AS st, o_orderpriority, (o_totalprice > 250000)::INT AS x FROM orders)", "st", "o_orderpriority", {"s": "x", "n": "1"}, "s / n", 4000, 7, None
+)
+
+
+@query(
+    f"""WITH f AS (SELECT *, o_totalprice > 250000 AS r, row_number() OVER (PARTITION BY o_orderstatus, o_custkey ORDER BY o_orderkey) AS rn FROM orders),
+        a AS (SELECT o_orderstatus, count(*) AS n_rows, round(avg(r::INT), 9) AS row_accuracy, count(*) FILTER (rn = 1) AS n_distinct,
+              round(avg(CASE WHEN rn = 1 THEN r::INT END), 9) AS dedup_accuracy FROM f GROUP BY 1)
+       SELECT a.*, lo, hi FROM a JOIN ({_THREE}) ON st = o_orderstatus"""
+)
+def accuracy_clustered(spark, d):
+    """Row, distinct-passage and clustered accuracy per status."""
+    c = table(spark, d, "orders").select(
+        "o_orderkey", "o_orderstatus", "o_orderpriority", F.col("o_custkey").alias("passage"), (F.col("o_totalprice") > 250000).alias("r")
+    )
+    return rounded(T.accuracy_three_ways(c, "r", "passage", "o_orderkey", ["o_orderstatus"], "o_orderpriority"), ("row_accuracy", "dedup_accuracy", "lo", "hi"))
+
+
 @query(
     f"""WITH b AS (SELECT o_orderkey // 1000 AS blk, sum(o_totalprice) AS s, count(*) AS n FROM orders GROUP BY 1),
         i AS (SELECT *, row_number() OVER (ORDER BY blk) - 1 AS idx, count(*) OVER () AS k FROM b),

@@ -104,13 +104,12 @@ def valid_pairs(lines: DataFrame, line: str, sizes: DataFrame, min_mapq: int | N
     """Contact lines -> (chrom, pos1, pos2, reason); reason is NULL for rows to keep.
 
     Layout 1: read chr1 pos1 strand1 chr2 pos2 strand2 [frag r1 r2 mapq1 mapq2]; layout 2 puts both
-    positions first. The first data line decides.
+    positions first. Each line decides by whether its fourth field is a strand, so folders may mix layouts.
     """
     data = lines.where((F.trim(line) != "") & ~F.col(line).startswith("#")).select(F.split(F.trim(line), "\\s+").alias("f"))
-    head = data.limit(1).collect()
-    second = bool(head) and len(head[0][0]) > 4 and head[0][0][3] not in "+-"
-    at = (1, 2, 3, 4) if second else (1, 2, 4, 5)
-    c1, p1, c2, p2 = (F.get("f", i) for i in at)
+    first = F.coalesce(F.get("f", 3).isin("+", "-"), F.lit(True))
+    c1, p1 = F.get("f", 1), F.get("f", 2)
+    c2, p2 = (F.when(first, F.get("f", i + 1)).otherwise(F.get("f", i)) for i in (3, 4))
     d = data.select(
         F.size("f").alias("w"), X.with_chr(c1).alias("chrom"), X.with_chr(c2).alias("chrom2"),
         p1.try_cast("bigint").alias("pos1"), p2.try_cast("bigint").alias("pos2"),

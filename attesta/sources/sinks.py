@@ -25,9 +25,12 @@ def append_ledger(df: DataFrame, path: str) -> None:
 def route_by_suffix(df: DataFrame, key: str, pattern: str, path: str) -> DataFrame:
     """Write rows into one folder per key suffix ('other' where none matches); returns counts per part.
 
-    Rows are spread by (part, hash) before writing, so a part with most rows is written by many tasks.
+    Rows are spread by (part, hash) before writing, so a part with most rows is written by many tasks. The
+    counts are those of the written files.
     """
+    spark = df.sparkSession
     part: Column = F.regexp_extract(key, pattern, 1)
     tagged = df.withColumn("part", F.when(part == "", F.lit("other")).otherwise(part))
-    tagged.write.mode("errorifexists").partitionBy("part").parquet(path)
-    return tagged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    spread = F.pmod(F.xxhash64(*df.columns), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    tagged.repartition("part", spread).write.mode("errorifexists").partitionBy("part").parquet(path)
+    return spark.read.schema(tagged.schema).parquet(path).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
