@@ -35,7 +35,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-@query()
+@query(
+    r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        k AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 18), lambda i: md5(array_to_string(list_slice(ws, i, i + 19), ' ')))) AS h, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20),
+        d AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS rn FROM k) WHERE rn > 1),
+        c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM d),
+        p AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM w),
+        g AS (SELECT p.doc_id, count(*) AS n_words, count(c.i) AS n_removed, string_agg(x, ' ' ORDER BY p.i) FILTER (c.i IS NULL) AS kept FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.i = c.i GROUP BY 1)
+       SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN g ON w.doc_id = g.doc_id"""
+)
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.deduplicated(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -49,9 +57,31 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
 
 
-@query()
+def _crc_table() -> list[int]:
+    """The 256 steps of CRC-32, by its rule."""
+    out = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        out.append(byte)
+    return out
+
+
+@query(
+    f"""WITH x AS (SELECT {_crc_table()}::BIGINT[] AS tab),
+        dt AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 7 = 2 AS held_out,
+               list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), ' end') AS ws FROM documents, x),
+        t AS (SELECT doc_id, held_out, unnest(ws) AS w, unnest(list_prepend(' start', ws[:-2])) AS h FROM dt),
+        u AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1), n AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM u),
+        b AS (SELECT h, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1, 2), hh AS (SELECT h, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
+        p AS (SELECT t.doc_id, held_out, n, u.c, (coalesce(u.c, 0) + 1) / (n + v + 1) AS pu, coalesce(b.c, 0) AS bc, coalesce(hh.c, 0) AS hc
+              FROM t CROSS JOIN n LEFT JOIN u ON t.w = u.w LEFT JOIN b ON t.h = b.h AND t.w = b.w LEFT JOIN hh ON t.h = hh.h)
+       SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, max(n) AS train_tokens, round(sum(log10(pu)), 6) AS base_score,
+              round(sum(log10((bc + 10 * pu) / (hc + 10))), 6) AS score FROM p GROUP BY 1, 2"""
+)
 def op7_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff_lm.score(table(spark, sf_dir, "documents"))
+    found = backoff_lm.score(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
 @query()
