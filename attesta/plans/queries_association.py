@@ -242,7 +242,13 @@ def correlation_matrix(spark, d):
     return rounded(A.correlation_matrix(e, "v", [f"d{i}" for i in range(DIMS)]), "r")
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings),
+        c AS (SELECT a.k AS a, b.k AS b, corr(a.v, b.v) AS r FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.k < b.k GROUP BY 1, 2),
+        up AS (SELECT b AS col, min(a) AS up FROM c WHERE abs(r) > 0.2 GROUP BY 1),
+        f(col, cur) AS (SELECT k, k FROM (SELECT DISTINCT k FROM e) UNION ALL SELECT f.col, up.up FROM f JOIN up ON f.cur = up.col)
+       SELECT col, min(cur) AS "group" FROM f GROUP BY 1"""
+)
 def correlation_groups(spark, d):
     from attesta.operators.aggregates import correlation_groups as groups
 

@@ -280,7 +280,13 @@ def rule_evaluation(spark, d):
     return out["candidate"].select(F.col("a0").alias("brand"), F.col("a1").alias("region"))
 
 
-@query()
+@query(
+    """WITH sp AS (SELECT l_suppkey, l_partkey, min(l_returnflag) AS src FROM lineitem GROUP BY 1, 2),
+        j AS (SELECT p_brand AS brand, n_regionkey::VARCHAR AS region, p_type, src, s_name, n_name,
+              row_number() OVER (PARTITION BY p_brand, n_regionkey ORDER BY p_partkey::VARCHAR, s_suppkey::VARCHAR, n_nationkey::VARCHAR) AS k
+              FROM sp JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)
+       SELECT brand, region, 'candidate' AS rule_id, 4 AS n_premises, least(p_type, src, s_name, n_name) AS first_source, greatest(p_type, src, s_name, n_name) AS last_source FROM j WHERE k = 1"""
+)
 def rule_proofs(spark, d):
     """Each candidate with its chosen derivation, walked to the sources of its premises."""
     f = star_facts(spark, d)
