@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from attesta.llm.store import kept
 from attesta.llm.words import Words, mix, signed
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
+SMALL = 100  # counts up to this travel in a byte each
+PACKED_ROWS = 1 << 18
 _START, _END = np.uint64(0x51AB7E0F3C2D4A69), np.uint64(0x2E6D9C81B7F30A55)
 
 
@@ -94,27 +97,50 @@ def score(docs: DataFrame, order: int = 2, mass: float = 10.0, hold: Callable[[i
     def count(table: pa.Table) -> pa.Table:
         tokens = _Tokens(table.column("text").combine_chunks(), order)
         distinct, n, _ = _counts(tokens.keys, trains(table)[tokens.row])
-        at = np.searchsorted(distinct >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (signed(distinct), n.astype(np.int32))]
-        block = table.column("block")[0].as_py()
-        out = pa.table({"range": np.arange(1 << bits, dtype=np.int32), "block": np.full(1 << bits, block, np.int32), "key": lists[0], "n": lists[1]})
-        return out.filter(pa.array(np.diff(at) > 0))
-
-    packed = dealt.groupBy("block").applyInArrow(count, "range int, block int, key array<long>, n array<int>")
-    grams = packed.repartition("range").select("range", "block", F.inline(F.arrays_zip("key", "n")))
+        block, parts = table.column("block")[0].as_py(), []
+        for kind, some in ((np.int8, n <= SMALL), (np.int32, n > SMALL)):
+            key, count = distinct[some], n[some].astype(kind)
+            at = np.searchsorted(key >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+            keys, counts = (pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (signed(key), count))
+            empty = pa.nulls(1 << bits, pa.list_(pa.int32() if kind is np.int8 else pa.int8()))
+            small, large = (counts, empty) if kind is np.int8 else (empty, counts)
+            part = pa.table({"range": np.arange(1 << bits, dtype=np.int32), "block": np.full(1 << bits, block, np.int32), "key": keys, "small": small, "large": large})
+            parts.append(part.filter(pa.array(np.diff(at) > 0)))
+        return pa.concat_tables(parts)
+
+    packed = dealt.groupBy("block").applyInArrow(count, "range int, block int, key array<long>, small array<tinyint>, large array<int>")
+    n = F.coalesce(F.col("small").cast("array<int>"), "large").alias("n")
+    grams = packed.repartition("range").select("range", "block", "key", n).select("range", "block", F.inline(F.arrays_zip("key", "n")))
     same = Window.partitionBy("range", "key")
     totals = grams.select(
-        "key", "block", "n", F.sum("n").over(same).alias("total"), (F.min("block").over(same) == F.col("block")).alias("owner")
-    )
-    unigram = (F.col("key").bitwiseAND(1) == 1) & F.col("owner")
-    # A block keeps its own count unless others add to it. One row of each trained unigram also goes out for N and V.
-    shared = kept(
-        totals.select("key", "block", "total", (unigram & (F.col("total") > 0)).alias("counts"), (F.col("total") != F.col("n")).alias("changed")).where("changed or counts"),
-        "totals",
+        "range", "key", "block", "n", F.sum("n").over(same).alias("total"), (F.min("block").over(same) == F.col("block")).alias("owner")
     )
+    # A block keeps its own count unless others add to it. One row of each trained unigram counts for N and V.
+    changed, counts = F.col("total") != F.col("n"), F.col("owner") & (F.col("key").bitwiseAND(1) == 1) & (F.col("total") > 0)
+    shared = kept(totals.select("key", "block", "total", counts.alias("counts"), changed.alias("changed")).where("changed or counts"), "totals")
     sums = shared.where("counts").agg(F.count("*"), F.sum("total")).first()
     kinds, tokens_n = sums[0], sums[1] or 0
-    texts_n = rows.select("doc_id").mapInPandas(lambda parts: (p.assign(t=[not hold(None if i != i else int(i)) for i in p.doc_id])[["t"]] for p in parts), "t boolean").where("t").count()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (block, key, total) as lists, one a block for every PACKED_ROWS rows or so."""
+        held, rows_held = [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                rows_held += batch.num_rows
+            if held and (batch is None or rows_held >= PACKED_ROWS):
+                block, key, total = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("block", "key", "total"))
+                order = np.argsort(block, kind="stable")
+                names, at = np.unique(block[order], return_index=True)
+                cut = pa.array(np.append(at, len(block)).astype(np.int32))
+                yield pa.record_batch([pa.array(names), *(pa.ListArray.from_arrays(cut, pa.array(x[order])) for x in (key, total))], ["block", "key", "total"])
+                held, rows_held = [], 0
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array([not hold(i) for i in batch.column("doc_id").to_pylist()], pa.bool_())], ["trains"])
+
+    texts_n = rows.select("doc_id").mapInArrow(marks, "trains boolean").where("trains").count()
 
     def walk(table: pa.Table, arcs: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -122,7 +148,8 @@ def score(docs: DataFrame, order: int = 2, mass: float = 10.0, hold: Callable[[i
         tokens = _Tokens(table.column("text").combine_chunks(), order)
         train = trains(table)
         distinct, n, place = _counts(tokens.keys, train[tokens.row])
-        n[np.searchsorted(distinct, arcs.column("key").to_numpy().view(np.uint64))] = arcs.column("total").to_numpy()
+        for key, total in zip(arcs.column("key").chunks, arcs.column("total").chunks):
+            n[np.searchsorted(distinct, key.flatten().to_numpy().view(np.uint64))] = total.flatten().to_numpy()
         seen = [n[p].astype(np.float64) for p in place]
         weight = np.log10((seen[0] + 1) / (tokens_n + kinds + 1))
         base = weight
@@ -139,7 +166,7 @@ def score(docs: DataFrame, order: int = 2, mass: float = 10.0, hold: Callable[[i
             "n_known": add((seen[0] > 0).astype(np.int64)), "base_score": add(base), "score": add(weight),
         })
 
-    arcs = shared.where("changed").select("key", "block", "total")
+    arcs = shared.where("changed").select("block", "key", "total").mapInArrow(pack, "block int, key array<long>, total array<long>")
     scored = dealt.groupBy("block").cogroup(arcs.groupBy("block")).applyInArrow(
         walk, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
