@@ -1,14 +1,18 @@
 """Benchmark passages in documents, also with other numbers, names or units.
 
-Texts become templates: numbers, names and units give way to typed placeholders. Windows of eight template tokens
-are hash-joined between documents and items; windows that are mostly placeholders keep their values. A run of
-windows on one diagonal counts if its slots agree: each value of the item stands for one value of the document and
-the other way round.
+Texts become templates: numbers, names and units give way to typed placeholders, one for a run of words of a kind
+("New York", "twenty five"). Windows of eight template tokens are hash-joined between documents and items; windows
+that are mostly placeholders keep their values. Windows of neighbouring diagonals count together, so words may be
+put in or left out between them. A window counts if its slots agree with the others: each value of the item stands
+for one value of the document and the other way round, by most of its places, or is unchanged.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +33,18 @@ UNITS = (
     "second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degrees mph kmh"
 ).split()
 _LITERAL, _NUMBER, _NAME, _UNIT = range(4)
-_CAPITAL, _STOP = 4, 8
+_CAPITAL, _STOP, _MARKED = 4, 8, 16
 
 
 class _Codes(dict):
-    """What a word is: bits of its hash, then whether it ends a sentence, is capitalised, and its kind."""
+    """What a word is: bits of its hash, then whether it ends in a mark or a sentence, is capitalised, and its kind."""
 
     def __missing__(self, word: str) -> int:
         core = word.strip(MARKS)
         low = core.lower()
         kind = _NUMBER if core[:1].isdigit() or low in NUMBERS else _UNIT if low in UNITS else _LITERAL
-        code = xxhash.xxh64_intdigest(low, 7) >> 4 << 4 | kind
-        code |= _CAPITAL * (core[:1].isupper() and not core.isupper()) | _STOP * (word[-1] in ".!?:" or not core)
+        code = xxhash.xxh64_intdigest(low, 7) >> 5 << 5 | kind
+        code |= _CAPITAL * (core[:1].isupper() and not core.isupper()) | _STOP * (word[-1] in ".!?:" or not core) | _MARKED * (word[-1] in MARKS)
         if len(self) > 1 << 19:
             self.clear()
         self[word] = code
@@ -48,24 +52,35 @@ class _Codes(dict):
 
 
 class Templates:
-    """Template tokens of texts: hash of the token or of its kind, whether it is a slot, and its own value."""
+    """Template tokens of texts: hash of the token or of its kind, whether it is a slot, its own value, its words.
+
+    Words of one kind of slot with no mark between them are one token.
+    """
 
     def __init__(self, texts: list[str | None], codes: _Codes):
         words = [(t or "").encode().split() for t in texts]
-        self.count = np.fromiter(map(len, words), np.int64, len(words))
-        self.first = np.concatenate(([0], np.cumsum(self.count)))
-        code = np.fromiter((codes[w.decode()] for ws in words for w in ws), np.uint64, self.first[-1])
-        row = np.repeat(np.arange(len(words)), self.count)
-        self.row, self.place = row, np.arange(len(code)) - np.repeat(self.first[:-1], self.count)
+        self.words = np.fromiter(map(len, words), np.int64, len(words))
+        first = np.concatenate(([0], np.cumsum(self.words)))
+        code = np.fromiter((codes[w.decode()] for ws in words for w in ws), np.uint64, first[-1])
+        row = np.repeat(np.arange(len(words)), self.words)
+        place = np.arange(len(code)) - np.repeat(first[:-1], self.words)
         kind = code & np.uint64(3)
-        opens = np.ones(len(code), bool)
-        opens[1:] = (code[:-1] & np.uint64(_STOP)) > 0
-        opens |= self.place == 0
+        opens = place == 0
+        opens[1:] |= (code[:-1] & np.uint64(_STOP)) > 0
         name = (kind == _LITERAL) & ((code & np.uint64(_CAPITAL)) > 0) & ~opens
         kind = np.where(name, np.uint64(_NAME), kind)
-        self.value = mix(code >> np.uint64(4))
-        self.slot = kind != _LITERAL
-        self.token = np.where(self.slot, mix(kind), self.value)
+        more = np.zeros(len(code), bool)
+        more[1:] = (kind[1:] != _LITERAL) & (kind[1:] == kind[:-1]) & (place[1:] > 0) & ((code[:-1] & np.uint64(_MARKED)) == 0)
+        start = np.flatnonzero(~more)
+        size = np.diff(np.append(start, len(code)))
+        power = np.cumprod(np.full(size.max(initial=1), 0x9E3779B97F4A7C15, np.uint64))
+        value = mix(code >> np.uint64(5)) * power[np.arange(len(code)) - np.repeat(start, size)]
+        self.value = np.add.reduceat(value, start) if len(start) else value
+        self.row, self.at, self.to = row[start], place[start], place[start] + size
+        self.count = np.bincount(self.row, minlength=len(words))
+        self.place = np.arange(len(start)) - np.repeat(np.cumsum(self.count) - self.count, self.count)
+        self.slot = kind[start] != _LITERAL
+        self.token = np.where(self.slot, mix(kind[start]), self.value)
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(first tokens of the windows of n tokens, their keys).
@@ -80,73 +95,103 @@ class Templates:
             key = key * np.uint64(0x9E3779B97F4A7C15) + np.where(rich, self.token[at + k], self.value[at + k])
         return at, mix(key)
 
-    def slots(self, at: np.ndarray, n: int) -> pa.ListArray:
-        """The values in the slots of each window, in order."""
+    def slots(self, at: np.ndarray, n: int) -> tuple[pa.ListArray, pa.ListArray]:
+        """The values in the slots of each window, in order, and the places of their first words."""
         inner = at[:, None] + np.arange(n)
         some = self.slot[inner]
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(some.sum(1)))).astype(np.int32)), pa.array(signed(self.value[inner][some])))
+        ends = pa.array(np.concatenate(([0], np.cumsum(some.sum(1)))).astype(np.int32))
+        return tuple(pa.ListArray.from_arrays(ends, pa.array(x[inner][some])) for x in (signed(self.value), self.at))
+
+
+def _own_length(count: np.ndarray, window: int) -> np.ndarray:
+    """The other length of windows of an item of so many tokens: all, or what fits before or after any one changed token."""
+    return np.where(count < window, count, np.where((count > window) & (count <= 2 * window), (count - 1) // 2, 0))
 
 
 def _windows(rows: DataFrame, name: str, lengths: tuple[int, ...], whole: bool, wanted: np.ndarray | None) -> DataFrame:
-    """(name, n_tokens, pos, key, slots) of the windows; `whole`: a text shorter than all lengths gives itself.
+    """(name, n_tokens, length, size, pos, key, slots, slot_at) of the windows, in words but for `length`.
 
-    With `wanted`, sorted keys, only windows with one of them are passed on.
+    `whole`: short texts have windows of their own length besides. With `wanted`, sorted keys, only windows with one
+    of them are passed on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes()
         for batch in slices(batches):
             ids, found = batch.column(name).to_numpy(zero_copy_only=False), Templates(batch.column("text").to_pylist(), codes)
-            short = sorted({int(c) for c in found.count if 0 < c < min(lengths)}) if whole else []
-            for n in (*lengths, *short):
+            own = _own_length(found.count, max(lengths)) if whole else np.zeros(0, np.int64)
+            for n in sorted({*lengths, *own.tolist()} - {0}):
                 at, key = found.windows(n)
-                if n in short:
-                    at, key = (x[found.count[found.row[at]] == n] for x in (at, key))
+                if n not in lengths:
+                    at, key = (x[own[found.row[at]] == n] for x in (at, key))
                 if wanted is not None and len(at):
                     near = np.minimum(np.searchsorted(wanted, key), max(0, len(wanted) - 1))
                     some = wanted[near] == key if len(wanted) else np.zeros(len(at), bool)
                     at, key = at[some], key[some]
+                row, pos = found.row[at], found.at[at]
                 yield pa.record_batch(
-                    [pa.array(ids[found.row[at]]), pa.array(found.count[found.row[at]]), pa.array(np.full(len(at), n, np.int32)), pa.array(found.place[at]), pa.array(signed(key)), found.slots(at, n)],
-                    [name, "n_tokens", "size", "pos", "key", "slots"],
+                    [pa.array(ids[row]), pa.array(found.words[row]), pa.array(np.full(len(at), n, np.int32)), pa.array(found.to[at + n - 1] - pos), pa.array(pos), pa.array(signed(key)), *found.slots(at, n)],
+                    ["id", "n_tokens", "length", "size", "pos", "key", "slots", "slot_at"],
                 )
 
-    schema = f"{name} long, n_tokens long, size int, pos long, key long, slots array<long>"
-    return rows.select(F.col(name).cast("long"), F.col("text").cast("string")).where(f"{name} is not null").mapInArrow(run, schema)
+    schema = "id long, n_tokens long, length int, size long, pos long, key long, slots array<long>, slot_at array<long>"
+    return rows.select(F.col(name).cast("long"), F.col("text").cast("string")).where(f"{name} is not null").mapInArrow(run, schema).withColumnRenamed("id", name)
+
+
+def _agreed(met: list[dict]) -> int:
+    """The item's tokens under the windows whose slots agree with those of most."""
+    pairs = {p for m in met for p in zip(m["item_slot_at"], m["slot_at"], m["item_slots"], m["slots"])}
+    both, theirs, own = Counter(p[2:] for p in pairs), Counter(p[2] for p in pairs), Counter(p[3] for p in pairs)
+    holds = {(v, d) for (v, d), n in both.items() if v == d or (2 * n > theirs[v] and 2 * n > own[d])}
+    n = end = 0
+    for at, to in sorted((m["item_pos"], m["item_pos"] + m["item_size"]) for m in met if holds.issuperset(zip(m["item_slots"], m["slots"]))):
+        n += max(0, to - max(at, end))
+        end = max(to, end)
+    return n
+
+
+def _best(met: list[dict]) -> int:
+    """The most tokens of an item under windows, sorted by diagonal, of one diagonal or of some within half an item."""
+    total, most = met[0]["item_tokens"], 0
+    lines = [m["diagonal"] for m in met]
+    for at in range(len(met)):
+        if at and lines[at] == lines[at - 1]:
+            continue
+        for to in {bisect_right(lines, lines[at]), bisect_right(lines, lines[at] + total // 2)}:
+            most = max(most, _agreed(met[at:to]))
+            if most == total:
+                return most
+    return most
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = 8, share: float = 0.5) -> DataFrame:
     """(doc_id, item_id, n_matched, n_tokens) of the items of which a document holds at least `share`.
 
-    n_matched counts the item's tokens under matching windows of one diagonal whose slots agree. Items shorter than a
-    window match as a whole. The keys of the items' windows are sent to all tasks to thin out the documents' windows
-    if there are at most BROADCAST_WINDOWS of them; otherwise all windows go into the join.
+    n_matched counts the item's tokens under matching windows whose slots agree and whose diagonals are at most half
+    the item's tokens apart. Items shorter than a window match as a whole; items of at most two windows also by shorter
+    ones, if a window's tokens or more match in all. The keys of the items' windows are sent to all tasks to thin out
+    the documents' windows if there are at most BROADCAST_WINDOWS of them; otherwise all windows go into the join.
     """
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in batch.to_pylist())
+        for (doc, item), met in groupby(rows, lambda r: (r["doc_id"], r["item_id"])):
+            met = list(met)
+            n, total = _best(met), met[0]["item_tokens"]
+            if n >= max(share * total, min(window, total)):
+                yield pa.record_batch([pa.array([x], pa.int64()) for x in (doc, item, n, total)], ["doc_id", "item_id", "n_matched", "n_tokens"])
+
     known = kept(_windows(items, "item_id", (window,), True, None).distinct(), "items")
-    plan = known.agg(F.countDistinct("key"), F.collect_set("size")).first()
+    plan = known.agg(F.countDistinct("key"), F.collect_set("length")).first()
     lengths = tuple(sorted(set(plan[1]) | {window}))
     wanted = None
     if plan[0] <= BROADCAST_WINDOWS:
         wanted = np.sort(np.array([r[0] for r in known.select("key").distinct().collect()], np.int64).view(np.uint64))
-    theirs = known.select("item_id", F.col("n_tokens").alias("item_tokens"), "key", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
+    theirs = known.select("item_id", "key", F.col("n_tokens").alias("item_tokens"), *(F.col(c).alias(f"item_{c}") for c in ("pos", "size", "slots", "slot_at")))
     joined = _windows(docs, "doc_id", lengths, False, wanted).distinct().join(theirs, "key")
-    group = ["doc_id", "item_id", "item_tokens", "diagonal"]
-    runs = joined.withColumn("diagonal", F.col("pos") - F.col("item_pos")).groupBy(*group).agg(
-        F.sort_array(F.collect_set(F.struct("item_pos", "size"))).alias("at"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("pairs"),
-    )
-    covered = F.aggregate(
-        "at",
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
-        lambda s, w: F.struct(
-            (s.n + F.greatest(F.lit(0).cast("long"), w["item_pos"] + w["size"] - F.greatest(s.end, w["item_pos"]))).alias("n"),
-            F.greatest(s.end, w["item_pos"] + w["size"]).alias("end"),
-        ),
-        lambda s: s.n,
-    )
-    agree = (F.size("pairs") == F.size(F.array_distinct("pairs.item_slots"))) & (F.size("pairs") == F.size(F.array_distinct("pairs.slots")))
-    best = runs.where(agree).withColumn("n", covered).where(F.col("n") >= share * F.col("item_tokens"))
-    return best.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_matched"), F.first("item_tokens").alias("n_tokens"))
+    columns = ["doc_id", "item_id", "diagonal", "item_tokens", "item_pos", "item_size", "item_slots", "item_slot_at", "slots", "slot_at"]
+    lines = joined.withColumn("diagonal", F.col("pos") - F.col("item_pos")).select(columns).repartition("doc_id", "item_id").sortWithinPartitions("doc_id", "item_id", "diagonal")
+    return lines.mapInArrow(judge, "doc_id long, item_id long, n_matched long, n_tokens long").groupBy("doc_id", "item_id").agg(F.max("n_matched").alias("n_matched"), F.first("n_tokens").alias("n_tokens"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 8, share: float = 0.5) -> DataFrame:

@@ -89,6 +89,25 @@ def test_slots_must_agree(spark):
     assert dict(pairs(contamination(docs, items), "doc_id", "contaminated")) == {1: True, 2: False}
 
 
+def test_contamination_across_diagonals(spark):
+    words = [f"word{k}" for k in range(30)]
+    trip = "On the way from New York to the old harbour the driver counts twenty five red lamps and then drives back to New York with all of the lamps"
+    texts = {
+        1: " ".join(words), 2: trip, 3: " ".join(f"short{k}" for k in range(15)),
+    }
+    items = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    other = trip.replace("New York", "Boston").replace("twenty five", "25")
+    docs = spark.createDataFrame([
+        (1, " ".join(["so", *words[:10], "more", *words[10:20], "more", *words[20:], "end"])),
+        (2, "Say this: " + other),
+        (3, texts[3].replace("short7", "other")),
+        (4, " ".join([*words[:9], *["gap"] * 100, *words[20:26]])),
+        (5, other.replace("Boston", "Paris", 1).replace("lamps", "hats").replace("harbour", "bridge")),
+        (6, " ".join(f"short{k}" for k in range(6)) + " and then"),
+    ], "doc_id long, text string")
+    assert {r.doc_id: r["items"] for r in contamination(docs, items).collect()} == {1: [1], 2: [2], 3: [3], 4: [], 5: [], 6: []}
+
+
 def test_contamination_odd_rows(spark, monkeypatch):
     docs = odd_docs(spark)
     items = spark.createDataFrame([(1, PASSAGE), (1, PASSAGE), (2, PASSAGE), (3, None), (4, ""), (None, PASSAGE), (5, "Negative ids are ids, too!")], "item_id long, text string")
