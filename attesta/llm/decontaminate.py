@@ -1,10 +1,12 @@
 """Benchmark passages in documents, also with other numbers, names or units.
 
 Texts become templates: numbers, names and units give way to typed placeholders, one for a run of words of a kind
-("New York", "twenty five"). Windows of eight template tokens are hash-joined between documents and items; windows
-that are mostly placeholders keep their values. Windows of neighbouring diagonals count together, so words may be
-put in or left out between them. A window counts if its slots agree with the others: each value of the item stands
-for one value of the document and the other way round, by most of its places, or is unchanged.
+("New York", "twenty five"). A capitalised word that opens a sentence may be a name or not, so its windows come in
+both forms. Windows of eight template tokens are hash-joined between documents and items. Windows of neighbouring
+diagonals count together, so words may be put in or left out between them. A window counts if its slots agree with the
+others: each value of the item stands for one value of the document and the other way round, by most of its places,
+or is unchanged. Together the windows need as many words of their own, unchanged values or values that stand for the
+same one again as make up three fifths of a window.
 """
 
 from __future__ import annotations
@@ -51,24 +53,33 @@ class _Codes(dict):
         return code
 
 
-class Templates:
-    """Template tokens of texts: hash of the token or of its kind, whether it is a slot, its own value, its words.
-
-    Words of one kind of slot with no mark between them are one token.
-    """
+class Coded:
+    """Words of texts by their codes, and which of them open a sentence."""
 
     def __init__(self, texts: list[str | None], codes: _Codes):
         words = [(t or "").encode().split() for t in texts]
         self.words = np.fromiter(map(len, words), np.int64, len(words))
         first = np.concatenate(([0], np.cumsum(self.words)))
-        code = np.fromiter((codes[w.decode()] for ws in words for w in ws), np.uint64, first[-1])
-        row = np.repeat(np.arange(len(words)), self.words)
-        place = np.arange(len(code)) - np.repeat(first[:-1], self.words)
+        self.code = np.fromiter((codes[w.decode()] for ws in words for w in ws), np.uint64, first[-1])
+        self.row = np.repeat(np.arange(len(words)), self.words)
+        self.place = np.arange(len(self.code)) - np.repeat(first[:-1], self.words)
+        self.opens = self.place == 0
+        self.opens[1:] |= (self.code[:-1] & np.uint64(_STOP)) > 0
+
+
+class Templates:
+    """Template tokens of texts: hash of the token or of its kind, whether it is a slot, its own value, its words.
+
+    Words of one kind of slot with no mark between them are one token. `opened`: capitalised words that open a sentence
+    are names, and only windows with one of them are listed.
+    """
+
+    def __init__(self, texts: Coded, opened: bool = False):
+        code, row, place, self.words = texts.code, texts.row, texts.place, texts.words
         kind = code & np.uint64(3)
-        opens = place == 0
-        opens[1:] |= (code[:-1] & np.uint64(_STOP)) > 0
-        name = (kind == _LITERAL) & ((code & np.uint64(_CAPITAL)) > 0) & ~opens
-        kind = np.where(name, np.uint64(_NAME), kind)
+        name = (kind == _LITERAL) & ((code & np.uint64(_CAPITAL)) > 0)
+        asked = name & texts.opens if opened else np.ones(len(code), bool)
+        kind = np.where(name if opened else name & ~texts.opens, np.uint64(_NAME), kind)
         more = np.zeros(len(code), bool)
         more[1:] = (kind[1:] != _LITERAL) & (kind[1:] == kind[:-1]) & (place[1:] > 0) & ((code[:-1] & np.uint64(_MARKED)) == 0)
         start = np.flatnonzero(~more)
@@ -77,30 +88,37 @@ class Templates:
         value = mix(code >> np.uint64(5)) * power[np.arange(len(code)) - np.repeat(start, size)]
         self.value = np.add.reduceat(value, start) if len(start) else value
         self.row, self.at, self.to = row[start], place[start], place[start] + size
-        self.count = np.bincount(self.row, minlength=len(words))
+        self.asked = np.concatenate(([0], np.cumsum(asked)))[np.append(start, len(code))]
+        self.count = np.bincount(self.row, minlength=len(self.words))
         self.place = np.arange(len(start)) - np.repeat(np.cumsum(self.count) - self.count, self.count)
         self.slot = kind[start] != _LITERAL
         self.token = np.where(self.slot, mix(kind[start]), self.value)
 
-    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, n: int, bare: bool) -> tuple[np.ndarray, np.ndarray]:
         """(first tokens of the windows of n tokens, their keys).
 
-        A window with too few words of its own says little as a template; its key takes the values in its slots.
+        Unless `bare`, a window with too few words of its own takes the values in its slots for its key: nothing
+        else could tell a short one from others.
         """
-        literals = np.concatenate(([0], np.cumsum(~self.slot)))
         at = np.flatnonzero(self.place + n <= np.repeat(self.count, self.count))
-        rich = (literals[at + n] - literals[at]) * 5 >= 3 * n
+        at = at[self.asked[at + n] > self.asked[at]]
+        rich = np.ones(len(at), bool)
+        if not bare:
+            literals = np.concatenate(([0], np.cumsum(~self.slot)))
+            rich = (literals[at + n] - literals[at]) * 5 >= 3 * n
         key = np.where(rich, np.uint64(n), np.uint64(n + (1 << 32)))
         for k in range(n):
             key = key * np.uint64(0x9E3779B97F4A7C15) + np.where(rich, self.token[at + k], self.value[at + k])
         return at, mix(key)
 
-    def slots(self, at: np.ndarray, n: int) -> tuple[pa.ListArray, pa.ListArray]:
-        """The values in the slots of each window, in order, and the places of their first words."""
+    def listed(self, at: np.ndarray, n: int) -> tuple[pa.ListArray, pa.ListArray, pa.ListArray]:
+        """The values in the slots of each window, in order, the places of their first words, and those of other words."""
         inner = at[:, None] + np.arange(n)
-        some = self.slot[inner]
-        ends = pa.array(np.concatenate(([0], np.cumsum(some.sum(1)))).astype(np.int32))
-        return tuple(pa.ListArray.from_arrays(ends, pa.array(x[inner][some])) for x in (signed(self.value), self.at))
+        out = []
+        for x, some in ((signed(self.value), self.slot[inner]), (self.at, self.slot[inner]), (self.at, ~self.slot[inner])):
+            ends = pa.array(np.concatenate(([0], np.cumsum(some.sum(1)))).astype(np.int32))
+            out.append(pa.ListArray.from_arrays(ends, pa.array(x[inner][some])))
+        return tuple(out)
 
 
 def _own_length(count: np.ndarray, window: int) -> np.ndarray:
@@ -109,7 +127,7 @@ def _own_length(count: np.ndarray, window: int) -> np.ndarray:
 
 
 def _windows(rows: DataFrame, name: str, lengths: tuple[int, ...], whole: bool, wanted: np.ndarray | None) -> DataFrame:
-    """(name, n_tokens, length, size, pos, key, slots, slot_at) of the windows, in words but for `length`.
+    """(name, n_tokens, length, size, pos, key, slots, slot_at, word_at) of the windows, in words but for `length`.
 
     `whole`: short texts have windows of their own length besides. With `wanted`, sorted keys, only windows with one
     of them are passed on.
@@ -118,23 +136,24 @@ def _windows(rows: DataFrame, name: str, lengths: tuple[int, ...], whole: bool,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes()
         for batch in slices(batches):
-            ids, found = batch.column(name).to_numpy(zero_copy_only=False), Templates(batch.column("text").to_pylist(), codes)
-            own = _own_length(found.count, max(lengths)) if whole else np.zeros(0, np.int64)
-            for n in sorted({*lengths, *own.tolist()} - {0}):
-                at, key = found.windows(n)
-                if n not in lengths:
-                    at, key = (x[own[found.row[at]] == n] for x in (at, key))
-                if wanted is not None and len(at):
-                    near = np.minimum(np.searchsorted(wanted, key), max(0, len(wanted) - 1))
-                    some = wanted[near] == key if len(wanted) else np.zeros(len(at), bool)
-                    at, key = at[some], key[some]
-                row, pos = found.row[at], found.at[at]
-                yield pa.record_batch(
-                    [pa.array(ids[row]), pa.array(found.words[row]), pa.array(np.full(len(at), n, np.int32)), pa.array(found.to[at + n - 1] - pos), pa.array(pos), pa.array(signed(key)), *found.slots(at, n)],
-                    ["id", "n_tokens", "length", "size", "pos", "key", "slots", "slot_at"],
-                )
-
-    schema = "id long, n_tokens long, length int, size long, pos long, key long, slots array<long>, slot_at array<long>"
+            ids, texts = batch.column(name).to_numpy(zero_copy_only=False), Coded(batch.column("text").to_pylist(), codes)
+            for found in (Templates(texts), Templates(texts, True)):
+                own = _own_length(found.count, max(lengths)) if whole else np.zeros(0, np.int64)
+                for n in sorted({*lengths, *own.tolist()} - {0}):
+                    at, key = found.windows(n, n == max(lengths))
+                    if n not in lengths:
+                        at, key = (x[own[found.row[at]] == n] for x in (at, key))
+                    if wanted is not None and len(at):
+                        near = np.minimum(np.searchsorted(wanted, key), max(0, len(wanted) - 1))
+                        some = wanted[near] == key if len(wanted) else np.zeros(len(at), bool)
+                        at, key = at[some], key[some]
+                    row, pos = found.row[at], found.at[at]
+                    yield pa.record_batch(
+                        [pa.array(ids[row]), pa.array(found.words[row]), pa.array(np.full(len(at), n, np.int32)), pa.array(found.to[at + n - 1] - pos), pa.array(pos), pa.array(signed(key)), *found.listed(at, n)],
+                        ["id", "n_tokens", "length", "size", "pos", "key", "slots", "slot_at", "word_at"],
+                    )
+
+    schema = "id long, n_tokens long, length int, size long, pos long, key long, slots array<long>, slot_at array<long>, word_at array<long>"
     return rows.select(F.col(name).cast("long"), F.col("text").cast("string")).where(f"{name} is not null").mapInArrow(run, schema).withColumnRenamed("id", name)
 
 
@@ -143,8 +162,14 @@ def _agreed(met: list[dict]) -> int:
     pairs = {p for m in met for p in zip(m["item_slot_at"], m["slot_at"], m["item_slots"], m["slots"])}
     both, theirs, own = Counter(p[2:] for p in pairs), Counter(p[2] for p in pairs), Counter(p[3] for p in pairs)
     holds = {(v, d) for (v, d), n in both.items() if v == d or (2 * n > theirs[v] and 2 * n > own[d])}
+    met = [m for m in met if holds.issuperset(zip(m["item_slots"], m["slots"]))]
+    words = {w for m in met for w in m["item_word_at"]}
+    slots = {(at, v, d) for m in met for at, v, d in zip(m["item_slot_at"], m["item_slots"], m["slots"])}
+    again = len(slots) - len({(v, d) for _, v, d in slots if v != d})
+    if 5 * (len(words) + again) < 3 * max((m["item_length"] for m in met), default=0):
+        return 0
     n = end = 0
-    for at, to in sorted((m["item_pos"], m["item_pos"] + m["item_size"]) for m in met if holds.issuperset(zip(m["item_slots"], m["slots"]))):
+    for at, to in sorted((m["item_pos"], m["item_pos"] + m["item_size"]) for m in met):
         n += max(0, to - max(at, end))
         end = max(to, end)
     return n
@@ -187,9 +212,9 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 8, share: float = 0
     wanted = None
     if plan[0] <= BROADCAST_WINDOWS:
         wanted = np.sort(np.array([r[0] for r in known.select("key").distinct().collect()], np.int64).view(np.uint64))
-    theirs = known.select("item_id", "key", F.col("n_tokens").alias("item_tokens"), *(F.col(c).alias(f"item_{c}") for c in ("pos", "size", "slots", "slot_at")))
+    theirs = known.select("item_id", "key", F.col("n_tokens").alias("item_tokens"), *(F.col(c).alias(f"item_{c}") for c in ("pos", "size", "length", "slots", "slot_at", "word_at")))
     joined = _windows(docs, "doc_id", lengths, False, wanted).distinct().join(theirs, "key")
-    columns = ["doc_id", "item_id", "diagonal", "item_tokens", "item_pos", "item_size", "item_slots", "item_slot_at", "slots", "slot_at"]
+    columns = ["doc_id", "item_id", "diagonal", "item_tokens", "item_pos", "item_size", "item_length", "item_slots", "item_slot_at", "item_word_at", "slots", "slot_at"]
     lines = joined.withColumn("diagonal", F.col("pos") - F.col("item_pos")).select(columns).repartition("doc_id", "item_id").sortWithinPartitions("doc_id", "item_id", "diagonal")
     return lines.mapInArrow(judge, "doc_id long, item_id long, n_matched long, n_tokens long").groupBy("doc_id", "item_id").agg(F.max("n_matched").alias("n_matched"), F.first("n_tokens").alias("n_tokens"))
 

@@ -108,6 +108,21 @@ def test_contamination_across_diagonals(spark):
     assert {r.doc_id: r["items"] for r in contamination(docs, items).collect()} == {1: [1], 2: [2], 3: [3], 4: [], 5: [], 6: []}
 
 
+def test_contamination_by_names_and_numbers(spark):
+    pens = "Tom buys 3 red pens at the shop. Tom gives 2 of the pens to Ann. Tom then loses 1 pen on the bus."
+    sums = "Add 3 and 14 and 25 and 36, take 7 and 8 from it, share by 5 and 6, then name the rest of 91 and 12"
+    same = "first the cook puts 3 eggs in the small bowl and then adds another 3 to it"
+    items = spark.createDataFrame([(1, pens), (2, sums), (3, same)], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, pens.replace("Tom", "Ben")),
+        (2, "Add 4 and 15 and 26 and 37, take 9 and 1 from it, share by 2 and 3, then name the rest of 82 and 11"),
+        (3, same.replace("another 3", "another 4")),
+        (4, "Tom sees 3 red hats at the pond. Ann finds 2 of the hats in May. Tom then keeps 1 hat on the shelf."),
+        (5, "between 4 and 15 and 26 and 37 or 9 and 1"),
+    ], "doc_id long, text string")
+    assert {r.doc_id: r["items"] for r in contamination(docs, items).collect()} == {1: [1], 2: [2], 3: [3], 4: [], 5: []}
+
+
 def test_contamination_odd_rows(spark, monkeypatch):
     docs = odd_docs(spark)
     items = spark.createDataFrame([(1, PASSAGE), (1, PASSAGE), (2, PASSAGE), (3, None), (4, ""), (None, PASSAGE), (5, "Negative ids are ids, too!")], "item_id long, text string")
