@@ -1,11 +1,10 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 Merges are taken from an agenda by score, leftmost first. A candidate that comes up is skipped if its draw, taken
-from a keyed hash of (seed, variant, chunk) and its turn, falls below the dropout rate. Chunks (spaces with the
-word after them, a line end, or marks that no piece joins to a letter) never share a piece, so each is segmented
-on its own. The variant of a chunk turns with its place in the document, from a start that the document's id
-decides: a word meets `variants` different segmentations over a corpus, each of them is computed once a task, and
-any rerun gives the same ids.
+from a keyed hash of (seed, document's id, place of the chunk in it) and its turn, falls below the dropout rate.
+Chunks (spaces with the word after them, a line end, or marks that no piece joins to a letter) never share a piece, so
+each is segmented on its own. Every occurrence has its own draws, and any rerun gives the same ids. Which turns are
+skipped decides the segmentation, so a task remembers it by chunk and skipped turns.
 """
 
 from __future__ import annotations
@@ -23,9 +22,9 @@ from pyspark.sql import functions as F
 
 from attesta.llm.words import mix, slices
 
-CACHED = 1 << 18  # chunks that a task remembers for each variant before it starts anew
+CACHED = 1 << 20  # segmentations that a task remembers before it starts anew
 SPACE = "▁"
-LONG, BLOCK, NONE = 32, 8192, (1 << 31) - 1
+LONG, BLOCK, NONE = 22, 8192, (1 << 31) - 1  # at most 3 * (LONG - 1) turns: bits of one number
 
 
 class _Pairs:
@@ -71,11 +70,11 @@ class _Pairs:
 class Segmenter:
     """Encodes with the merges of a SentencePiece BPE model file and decodes its ids."""
 
-    def __init__(self, path: str, rate: float = 0.1, seed: int = 42, variants: int = 4):
+    def __init__(self, path: str, rate: float = 0.1, seed: int = 42):
         import sentencepiece
 
-        if not 0 <= rate < 1 or variants < 1:
-            raise ValueError("0 <= rate < 1 and at least one variant are needed")
+        if not 0 <= rate < 1:
+            raise ValueError("0 <= rate < 1 is needed")
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         kinds = [(model.is_byte(i), model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) for i in range(n)]
@@ -89,8 +88,8 @@ class Segmenter:
             b"" if odd else bytes([int(model.id_to_piece(i)[3:5], 16)]) if byte else model.id_to_piece(i).replace(SPACE, " ").encode()
             for i, (byte, odd) in enumerate(kinds)
         ]
-        self.limit, self.seed, self.variants = int(rate * 65536), seed, variants
-        self.found: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.limit, self.seed = int(rate * 65536), seed
+        self._forget()
         # Symbols: pieces by id, then characters of pieces that are none themselves; `other` stands for the rest.
         symbol = dict(self.ids)
         for c in sorted({c for p in self.ids for c in p}):
@@ -109,23 +108,29 @@ class Segmenter:
         marks = re.escape("".join(c for c in ".,;:!?*$%&#|()\"" if c not in joined))
         self.chunk = re.compile(rf"\n| *(?:[^\W\d_]+(?=[{marks}])|[^ \n]+)| +" if marks else r"\n| *[^ \n]+| +")
 
-    def _key(self, chunk: str, variant: int) -> int:
-        return xxhash.xxh64_intdigest(chunk, self.seed * self.variants + variant)
+    def _forget(self) -> None:
+        """Variant v skips the turns whose bits are set in `skips[v]`; `found[v]` has its segmentations. The first skips none."""
+        self.skips, self.variant, self.held = [0], {0: 0}, 0
+        self.found: list[dict[str, bytes]] = [{}]
+        self.turns: dict[str, int] = {}
 
-    def segment(self, chunk: str, variant: int = 0) -> list[int]:
-        """Ids of one chunk, by an agenda kept as a heap."""
+    def segment(self, chunk: str, variant: int = 0, key: int | None = None) -> list[int]:
+        """Ids of one chunk, by an agenda kept as a heap; with `key`, by its draws."""
         # A literal U+2581 would decode to a space, so it is spelled in bytes; U+FFFF is in no piece.
         text, rank, n = chunk.replace(SPACE, "\uffff").replace(" ", SPACE), self.rank, len(chunk)
         end = list(range(1, n + 1))  # by the start of a symbol
         start = list(range(n))  # by the end of a symbol, less one
         agenda = [(rank[text[at : at + 2]], at, at + 1, at + 2) for at in range(n - 1) if text[at : at + 2] in rank]
         heapify(agenda)
-        key, turn = np.array([self._key(chunk, variant)], np.uint64), 0
+        turn, skips = 0, self.skips[variant]
+        drawn = np.zeros(0, bool)
         while agenda:
             _, at, mid, to = heappop(agenda)
             if end[at] != mid or end[mid] != to:
                 continue
-            skipped = self.limit and self._draw(key, turn)[0] < self.limit
+            if key is not None and turn == len(drawn):
+                drawn = np.append(drawn, self._draw(np.uint64(key), np.arange(turn, 2 * turn + 64)) < self.limit)
+            skipped = skips >> turn & 1 if key is None else drawn[turn]
             turn += 1
             if skipped:
                 continue
@@ -141,11 +146,11 @@ class Segmenter:
         return ids
 
     @staticmethod
-    def _draw(key: np.ndarray, turn: int) -> np.ndarray:
-        return mix(key + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(48)
+    def _draw(key: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        return mix(key + (turn.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
 
-    def _block(self, chunks: list[str], variant: int) -> list[bytes]:
-        """Ids of chunks of at most LONG characters. All agendas advance together, one candidate each a step."""
+    def _block(self, chunks: list[str], variants: list[int]) -> tuple[list[bytes], np.ndarray]:
+        """Ids of chunks of at most LONG characters, and turns. All agendas advance together, one candidate each a step."""
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         n, width = len(chunks), int(sizes.max())
         ends = np.cumsum(sizes)
@@ -162,16 +167,17 @@ class Segmenter:
         after[np.arange(n), sizes - 1] = width
         before = np.tile(np.arange(-1, width, dtype=np.int32), (n, 1))
         before[:, 0] = width
-        key = np.fromiter((self._key(c, variant) for c in chunks), np.uint64, n)
-        live, turn = np.arange(n), 0
+        skips = np.fromiter(map(self.skips.__getitem__, variants), np.uint64, n)
+        live, turn, turns = np.arange(n), 0, np.zeros(n, np.int64)
         while True:
             at = order[live].argmin(axis=1)
             some = order[live, at] != NONE
             live, at = live[some], at[some]
             if not len(live):
                 break
-            keep = self._draw(key[live], turn) >= self.limit
+            keep = (skips[live] >> np.uint64(turn) & np.uint64(1)) == 0
             turn += 1
+            turns[live] = turn
             order[live[~keep], at[~keep]] = NONE
             r, a = live[keep], at[keep]
             gone, left = after[r, a], before[r, a]
@@ -193,41 +199,77 @@ class Segmenter:
             out.append(raw[at:to])
             at = to
         for k in np.flatnonzero(odd).tolist():  # characters that are no piece are spelled in bytes
-            out[k] = array("i", self.segment(chunks[k], variant)).tobytes()
-        return out
-
-    def _learn(self, chunks: list[str], variant: int) -> None:
-        chunks.sort(key=len)
-        short = next((k for k, c in enumerate(chunks) if len(c) > LONG), len(chunks))
-        for at in range(0, short, BLOCK):
-            part = chunks[at : min(at + BLOCK, short)]
-            self.found[variant].update(zip(part, self._block(part, variant)))
-        for c in chunks[short:]:
-            self.found[variant][c] = array("i", self.segment(c, variant)).tobytes()
+            out[k] = array("i", self.segment(chunks[k], variants[k])).tobytes()
+        return out, turns
+
+    def _learn(self, asked: list[tuple[str, int]]) -> None:
+        """Segmentations of (chunk, variant) that are not known yet."""
+        todo = sorted((x for x in asked if x[0] not in self.found[x[1]]), key=lambda x: len(x[0]))
+        self.held += len(todo)
+        for at in range(0, len(todo), BLOCK):
+            chunks, variants = map(list, zip(*todo[at : at + BLOCK]))
+            ids, turns = self._block(chunks, variants)
+            for c, v, x, n in zip(chunks, variants, ids, turns.tolist()):
+                self.found[v][c] = x
+                if not v:
+                    self.turns[c] = n
 
     def encode(self, texts: list[str | None], names: list) -> list[np.ndarray]:
-        """Ids of whole texts; a name decides where its text's variants start. Null and empty texts have none."""
-        v = self.variants
+        """Ids of whole texts; a text's name keys its draws. Null and empty texts have none."""
+        if self.held > CACHED:
+            self._forget()
         chunks = [self.chunk.findall(" " + t) if t else [] for t in texts]
-        first = [xxhash.xxh64_intdigest(str(name), self.seed) % v for name in names]
-        for variant, found in enumerate(self.found):
-            if len(found) > CACHED:
-                found.clear()
-            self._learn(list(set().union(*(c[(variant - f) % v :: v] for c, f in zip(chunks, first))).difference(found)), variant)
-        out = []
-        for c, f in zip(chunks, first):
-            parts: list[bytes] = [b""] * len(c)
-            for k in range(v):
-                parts[k::v] = map(self.found[(f + k) % v].__getitem__, c[k::v])
-            out.append(np.frombuffer(b"".join(parts), np.int32))
-        return out
+        flat = [c for cs in chunks for c in cs]
+        kinds = list(dict.fromkeys(flat))
+        kind = np.fromiter(map({c: k for k, c in enumerate(kinds)}.__getitem__, flat), np.int64, len(flat))
+        counts = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        first = np.concatenate(([0], np.cumsum(counts)))
+        key = np.repeat(np.array([xxhash.xxh64_intdigest(str(name), self.seed) for name in names], np.uint64), counts)
+        place = np.arange(len(flat)) - np.repeat(first[:-1], counts)
+        key = mix(key + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        size = np.fromiter(map(len, kinds), np.int64, len(kinds))
+        short = size <= LONG
+        self._learn([(c, 0) for c, some in zip(kinds, short.tolist()) if some])
+        made = [self.found[0].get(c, b"") for c in kinds]
+        which = kind.copy()
+        if self.limit:
+            # Turns that are skipped. Where that leaves the turns of the plain segmentation alone, it stands.
+            plain = np.fromiter((self.turns.get(c, 0) for c in kinds), np.int64, len(kinds))[kind]
+            most = np.where(plain > 0, 3 * (size[kind] - 1), 0)
+            skips, hit = np.zeros(len(flat), np.uint64), np.zeros(len(flat), bool)
+            live, turn = np.flatnonzero(most > 0), 0
+            while len(live):
+                off = self._draw(key[live], np.array([turn])) < self.limit
+                skips[live[off]] |= np.uint64(1 << turn)
+                hit[live[off & (turn < plain[live])]] = True
+                turn += 1
+                live = live[(most[live] > turn) & (hit[live] | (plain[live] > turn))]
+            odd = np.flatnonzero(hit)
+            patterns, pattern = np.unique(skips[odd], return_inverse=True)
+            variants = []
+            for x in patterns.tolist():
+                if x not in self.variant:
+                    self.variant[x] = len(self.skips)
+                    self.skips.append(x)
+                    self.found.append({})
+                variants.append(self.variant[x])
+            pairs, pair = np.unique(kind[odd] * max(1, len(patterns)) + pattern, return_inverse=True)
+            asked = [(kinds[k // len(patterns)], variants[k % len(patterns)]) for k in pairs.tolist()]
+            self._learn(asked)
+            which[odd] = len(made) + pair
+            made += [self.found[v][c] for c, v in asked]
+        long = np.flatnonzero(~short[kind])
+        which[long] = len(made) + np.arange(len(long))
+        made += [array("i", self.segment(flat[k], 0, int(key[k]) if self.limit else None)).tobytes() for k in long.tolist()]
+        which = which.tolist()
+        return [np.frombuffer(b"".join(map(made.__getitem__, which[a:b])), np.int32) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids from `encode`, without the space that encoding puts in front."""
         return b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
-def encode_pieces(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 42, variants: int = 4) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 42) -> DataFrame:
     """(doc_id, n_ids, ids, lossless) of every row of `docs` (doc_id, text, any others).
 
     lossless says whether the ids decode to the text again. Null and empty texts have no ids and are lossless as the
@@ -237,7 +279,7 @@ def encode_pieces(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 42
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = None
         for batch in slices(batches):
-            segmenter = segmenter or Segmenter(model, rate, seed, variants)
+            segmenter = segmenter or Segmenter(model, rate, seed)
             texts = batch.column("text").to_pylist()
             ids = segmenter.encode(texts, batch.column("doc_id").to_pylist())
             same = [segmenter.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts)]

@@ -92,6 +92,21 @@ def test_merge_dropout_agendas():
         merge_dropout.Segmenter(PIECES, 1.0)
 
 
+def test_merge_dropout_draws_for_each_occurrence():
+    s = merge_dropout.Segmenter(PIECES, 0.1)
+    text = " ".join(["thereinafter"] * 400) + " " + "thereinafter" * 3
+    one, two, again = s.encode([text, text, text], [1, 2, 1])
+    assert one.tolist() == again.tolist() != two.tolist()
+    texts = [s.encode([text], [k])[0].tolist() for k in range(20)]
+    assert len(set(map(tuple, texts))) == 20 and all(s.decode(ids) == text for ids in texts)
+    forms = {tuple(s.encode(["thereinafter"], [k])[0].tolist()) for k in range(400)}
+    assert len(forms) > 4
+    # The blocks and the heap agree on the draws of an occurrence.
+    for name in range(200):
+        key = merge_dropout.mix(np.array([merge_dropout.xxhash.xxh64_intdigest(str(name), s.seed)], np.uint64))[0]
+        assert s.encode(["thereinafter"], [name])[0].tolist() == s.segment(" thereinafter", 0, int(key))
+
+
 def test_substring_dedup(docs):
     first, want = {}, []
     for i, text in sorted(set(rows_of(docs)), key=lambda r: (r[0] is None, r[0] or 0)):
