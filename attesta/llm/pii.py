@@ -41,6 +41,10 @@ _BRACKETS = (
     (re.compile(r"\s{0,3}[(\[{<]\s{0,3}(?:dot|\.)\s{0,3}[)\]}>]\s{0,3}", re.I), "."),
 )
 _SPOKEN = re.compile(r"(?<=[A-Za-z0-9]) (?:at|AT) (?=[A-Za-z0-9-]+(?: (?:dot|DOT) [A-Za-z0-9-]+)+)|(?<=[A-Za-z0-9]) (?:dot|DOT) (?=[A-Za-z0-9])")
+# Ends of host names that a spoken "at" may stand before, and words that point at a place, not a person.
+_ENDS = "com|org|net|edu|gov|info|biz|io|co|me|eu|uk|de|fr|es|it|nl|ch|at|se|no|pl|ru|cn|jp|in|br|au|ca|us"
+_POINTING = frozenset("look looking us me up him her them it available found hosted here live is are was be see stay shop order more online and or".split())
+_AT_HOST = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+)( (?:at|AT) )(?=(?:[A-Za-z0-9-]+\.)+(?:{_ENDS})(?![A-Za-z0-9-]))")
 _ITEM = rf"(?:{'|'.join(DIGIT_WORDS)}|plus|dot|point|[0-9]+)"
 _DIGITS = re.compile(rf"(?<![A-Za-z0-9])(?:{_ITEM}[ ,-]{{1,2}}){{3,}}{_ITEM}(?![A-Za-z0-9])", re.I)
 _ITEMS = re.compile(_ITEM, re.I)
@@ -110,11 +114,13 @@ def normalise(text: str) -> Rewritten:
         out.edit([(*m.span(), sign) for m in pattern.finditer(out.text)])
     if " dot " in out.text or " DOT " in out.text:
         out.edit([(*m.span(), "@" if m[0].strip().lower() == "at" else ".") for m in _SPOKEN.finditer(out.text)])
+    if " at " in out.text or " AT " in out.text:
+        out.edit([(*m.span(2), "@") for m in _AT_HOST.finditer(out.text) if m[1].lower() not in _POINTING])
     return out
 
 
 def spans(text: str | None) -> list[tuple[str, int, int, bool]]:
-    """(kind, start, end, plain) by kind, then start. A disguised span that overlaps a plain one of its kind gives way."""
+    """(kind, start, end, plain) by kind, then start. A disguised span inside a plain one of its kind gives way; a wider one is added."""
     text = text or ""
     base = find(text)
     out = [(*x, True) for x in base]
@@ -123,7 +129,7 @@ def spans(text: str | None) -> list[tuple[str, int, int, bool]]:
         taken = {k: [(s, e) for kind, s, e in base if kind == k] for k in KINDS}
         for kind, s, e in find(clear.text):
             start, end = clear.start[s], clear.end[e - 1]
-            if not any(a < end and start < b for a, b in taken[kind]):
+            if not any(a <= start and end <= b for a, b in taken[kind]):
                 out.append((kind, start, end, False))
         out.sort(key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
     return out
@@ -148,6 +154,7 @@ def personal_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, spans) of every row of `docs` (doc_id, text, any others); offsets are code points, ends exclusive.
 
     Null and empty texts have no spans. Each row is judged by itself, so null ids and repeated rows change nothing.
+    A very long text costs time in proportion to its length and a few numbers a character while it is read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,10 +172,13 @@ def listed(found: str | Column) -> Column:
 
 
 def redact(docs: DataFrame, column: str = "text") -> DataFrame:
-    """`docs` with personal data in `column` replaced; all other columns and rows stay as they are."""
+    """`docs` with personal data in `column` replaced; all other columns and rows stay as they are.
+
+    A null text stays null, an empty one empty; repeated rows are treated alike and an empty table stays empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, column):
             new = pa.array([redacted(t, spans(t)) for t in batch.column(column).to_pylist()], pa.string())
             yield batch.set_column(batch.schema.get_field_index(column), column, new)
 

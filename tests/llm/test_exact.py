@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from cases import ROWS, WORD, no_docs, odd_docs, pairs
 
-from attesta.llm import backoff_lm, components, merge_dropout, pii, simhash, substring_dedup, token_files, weak_quality
+from attesta.llm import backoff_lm, components, merge_dropout, pii, queries, simhash, substring_dedup, token_files, weak_quality
 
 SF = "/root/testdata/sf0.001"
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -162,6 +162,7 @@ def test_pii(docs):
     ("ｃａｌｌ ＋１ ４１５ ５５５ ２６７１", "＋１ ４１５ ５５５ ２６７１", "ｃａｌｌ [PHONE]"),
     ("four one one one one one one one one one one one one one one one", None, "[CARD]"),
     ("at one nine two dot one six eight dot zero dot one", "one nine two dot one six eight dot zero dot one", "at [IP]"),
+    ("ask jane.roe at host.com today", "jane.roe at host.com", "ask [EMAIL] today"),
 ])
 def test_disguises(text, span, clear):
     found = pii.spans(text)
@@ -169,7 +170,28 @@ def test_disguises(text, span, clear):
     assert text[found[0][1] : found[0][2]] == (span or text) and pii.redacted(text, found) == clear
 
 
+@pytest.mark.parametrize("text", ["jоhn@example.com", "john\u200b.doe@example.com", "jоhn@exаmple.com"])
+def test_wider_disguises_leave_nothing(text):
+    found = pii.spans(f"to {text}, please")
+    assert pii.redacted(f"to {text}, please", found) == "to [EMAIL], please"
+    assert [x for x in found if x[3]] == [(*x, True) for x in pii.find(f"to {text}, please")]
+    assert ("email", 3, 3 + len(text), False) in found
+
+
+def test_pii_query(spark):
+    """The registered query: counts, digest and list of spans from what `spans` finds."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in queries.op6_pii(spark, SF).collect()}
+    assert got.keys() == texts.keys() and sum(r.n_email for r in got.values()) > 0
+    for i, text in texts.items():
+        found, plain = pii.spans(text), pii.find(text or "")
+        listed = lambda x: ",".join(f"{k}:{s}:{e}" for k, s, e, *_ in x)
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(x[0] == k for x in plain) for k in pii.KINDS]
+        assert got[i].base_sha256 == hashlib.sha256(listed(plain).encode()).hexdigest() and got[i].spans == listed(found)
+
+
 def test_no_disguise():
+    assert pii.spans("look at example.com or visit us at shop.example.org, we are at home.Then") == []
     assert pii.spans("He sat at the table. One two three, at dot com. Look at me dot") == []
 
 
