@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import backoff_lm, decontaminate, html_text, merge_dropout, pii, simhash, substring_dedup, token_files, toxicity, weak_quality
+from attesta.llm import backoff_lm, decontaminate, fill_middle, html_text, merge_dropout, pii, simhash, substring_dedup, token_files, toxicity, weak_quality
 from attesta.plans.registry import registrar
 from attesta.session import table
 
@@ -99,3 +99,18 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS h FROM documents),
+        g AS (SELECT *, len(u) AS n, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(h, k, 8) AS BIGINT)) AS d FROM t),
+        c AS (SELECT *, least(d[1] % (n + 1), d[2] % (n + 1)) AS a, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS b,
+              CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR d[3] % 100 >= 90 THEN 'plain' WHEN d[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+        p AS (SELECT *, array_to_string(u[:a], '') AS head, array_to_string(u[a + 1 : b], '') AS mid, array_to_string(u[b + 1 :], '') AS tail FROM c)
+       SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(coalesce(head, '')) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(coalesce(mid, '')) END AS middle_chars,
+              sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || coalesce(head, '') || '<S>' || coalesce(tail, '') || '<M>' || coalesce(mid, '')
+                     ELSE '<S>' || coalesce(tail, '') || '<P>' || coalesce(head, '') || '<M>' || coalesce(mid, '') END) AS output_sha256, sha256(x) AS restored_sha256 FROM p"""
+)
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
