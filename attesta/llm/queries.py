@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import backoff_lm, decontaminate, fill_middle, html_text, merge_dropout, pii, simhash, substring_dedup, token_files, toxicity, weak_quality
+from attesta.llm import backoff_lm, decontaminate, fill_middle, html_text, license_scan, merge_dropout, pii, simhash, substring_dedup, token_files, toxicity, weak_quality
 from attesta.plans.registry import registrar
 from attesta.session import table
 
@@ -101,6 +101,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query()
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.licences(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").alias("first_word"), F.array_max("places").alias("last_word"),
+        license_scan.joined("base_labels").alias("base_labels"), license_scan.joined("labels").alias("labels"), "score",
+        F.array_join("expressions", "; ").alias("expressions"),
+    )
+
+
 @query(
     r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS h FROM documents),
         g AS (SELECT *, len(u) AS n, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(h, k, 8) AS BIGINT)) AS d FROM t),

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from cases import no_docs, odd_docs
 
-from attesta.llm import fill_middle, queries
+from attesta.llm import fill_middle, license_scan, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +70,116 @@ def test_fill_in_middle_query(spark):
         *head, out = plain_fill(r.doc_id, texts[r.doc_id])
         assert [r.n, r.form, r.prefix_chars, r.middle_chars] == head
         assert [r.output_sha256, r.restored_sha256] == [hashlib.sha256(x.encode()).hexdigest() for x in (out, texts[r.doc_id] or "")]
+
+
+BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+
+
+def plain_places(text):
+    """(words, [(start, label)]) of the base phrases, word by word."""
+    text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
+    found = []
+    for k in range(len(words)):
+        found += [(k, name) for phrase, name in BASE.items() if words[k : k + phrase.count(" ") + 1] == phrase.split()]
+    return len(words), found
+
+
+def plain_value(tokens):
+    """(freedom, chosen) of the longest whole expression, by recursive descent on every beginning."""
+
+    def choice(at):
+        value, at = both(at)
+        while tokens[at : at + 1] == ["or"]:
+            other, at = both(at + 1)
+            value = value if value[0] >= other[0] else other
+        return value, at
+
+    def both(at):
+        value, at = one(at)
+        while tokens[at : at + 1] == ["and"]:
+            other, at = one(at + 1)
+            value = (min(value[0], other[0]), value[1] | other[1])
+        return value, at
+
+    def one(at):
+        if tokens[at : at + 1] == ["("]:
+            value, at = choice(at + 1)
+            if tokens[at : at + 1] != [")"]:
+                raise ValueError
+            at += 1
+        elif at < len(tokens) and tokens[at] not in ("and", "or", "with", "(", ")"):
+            value, at = (license_scan.freedom(tokens[at]), {tokens[at]}), at + 1
+        else:
+            raise ValueError
+        while tokens[at : at + 1] == ["with"]:
+            other, at = one(at + 1)
+            value = (max(value[0], 0.6), {"+".join(sorted(value[1])) + "-with-" + "+".join(sorted(other[1]))})
+        return value, at
+
+    every, best = tokens, None
+    for n in range(1, len(every) + 1):
+        tokens = every[:n]
+        try:
+            value, end = choice(0)
+        except ValueError:
+            continue
+        if end == n:
+            best = value
+    return best
+
+
+def test_license_places(docs):
+    got = sorted(((r.doc_id, r.n_words, tuple(r.places), tuple(r.base_labels)) for r in license_scan.licences(docs).collect()), key=repr)
+    want = []
+    for r in docs.collect():
+        n, found = plain_places(r.text)
+        want.append((r.doc_id, n, tuple(k for k, _ in found), tuple(sorted({x for _, x in found}))))
+    assert got == sorted(want, key=repr)
+
+
+def test_license_places_of_drawn_texts():
+    draw = random.Random(4)
+    pieces = ["under", "the", "mit", "MIT", "license", "apache", "Apache License", "version", "2", "2.0", "cc", "CC-BY-NC", "by", "nc", "é", "\x1f", "\u00a0", "x"]
+    for _ in range(4000):
+        text = "".join(draw.choice(pieces) + draw.choice([" ", ", ", "-", "", "\n"]) for _ in range(draw.randint(0, 25)))
+        n, found = plain_places(text)
+        got = license_scan.scan(text)
+        assert (got.n_words, got.places, got.base) == (n, [k for k, _ in found], sorted({x for _, x in found})), repr(text)
+        assert set(got.base) <= set(got.labels) and 0 <= got.score <= 1
+
+
+def test_shunting_yard():
+    draw = random.Random(5)
+    for _ in range(4000):
+        tokens = [draw.choice(["(", ")", "and", "or", "with", "mit", "gpl-2", "cc-by-nc", "x", "mit", "gpl-3"]) for _ in range(draw.randint(0, 9))]
+        got, want = license_scan.evaluate(license_scan.postfix(tokens)), plain_value(tokens)
+        assert (got and (got.freedom, set(got.chosen))) == want, tokens
+
+
+@pytest.mark.parametrize("text, labels, score, expressions", [
+    ("// SPDX-License-Identifier: MIT", "mit", 1.0, ["mit"]),
+    ("# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */", "gpl-2-with-classpath-exception-2", 0.6, ["gpl-2 classpath-exception-2 with"]),
+    ("SPDX-License-Identifier: (MIT OR GPL-3.0-or-later) AND CC-BY-NC-4.0\nelse", "cc-by-nc,gpl-3-or-later,mit", 0.2, ["mit gpl-3-or-later or cc-by-nc and"]),
+    ("SPDX-License-Identifier: MIT AND", "mit", 1.0, ["mit"]),
+    ("SPDX-License-Identifier:\nMIT", "", 0.0, []),
+    ("Licensed under the MIT License or the Apache License, Version 2.0, at your option.", "apache-2,mit", 1.0, ["mit apache-2 or"]),
+    ("Licensed under the GNU General Public License, version 3, with the Classpath exception.", "gpl-3-with-classpath-exception", 0.6, ["gpl-3 classpath-exception with"]),
+    ("Licensed under CC BY-NC-SA 4.0.", "cc-by-nc,cc-by-nc-sa", 0.2, ["cc-by-nc-sa"]),
+    ("Released under the MIT License. Much later and in quite another place: all rights reserved.", "mit,proprietary", 0.0, ["mit", "proprietary"]),
+    ("no statement at all", "", 0.0, []),
+])
+def test_license_statements(text, labels, score, expressions):
+    got = license_scan.scan(text)
+    assert (",".join(got.labels), got.score, got.expressions) == (labels, score, expressions)
+
+
+def test_license_query(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = queries.op11_license_scan(spark, SF).collect()
+    assert len(got) == len(texts) and sum(r.n_base for r in got) > 0
+    for r in got:
+        n, found = plain_places(texts[r.doc_id])
+        starts = [k for k, _ in found]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (n, len(found), min(starts, default=None), max(starts, default=None))
+        assert r.base_labels == ",".join(sorted({x for _, x in found})) and r.labels == ",".join(license_scan.scan(texts[r.doc_id]).labels)
