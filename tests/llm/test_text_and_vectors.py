@@ -1,14 +1,16 @@
 """Fill-in-middle, licence scans and hard negatives against plain versions, on whole small tables and odd rows."""
 
 import hashlib
+import math
 import random
 import re
 
 import numpy as np
 import pytest
 from cases import no_docs, odd_docs
+from pyspark.sql import functions as F
 
-from attesta.llm import fill_middle, license_scan, queries
+from attesta.llm import fill_middle, hard_negatives, license_scan, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -183,3 +185,75 @@ def test_license_query(spark):
         starts = [k for k, _ in found]
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (n, len(found), min(starts, default=None), max(starts, default=None))
         assert r.base_labels == ",".join(sorted({x for _, x in found})) and r.labels == ",".join(license_scan.scan(texts[r.doc_id]).labels)
+
+
+def plain_negatives(rows, every, positives=5, negatives=5):
+    """Rows (id, label, vector) by the rule, with Python's whole numbers."""
+    good = {}
+    for i, label, v in rows:
+        if i is not None and label is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            good.setdefault(i, []).append((label, [math.floor(256 * float(x)) for x in v]))
+    good = {i: min(x) for i, x in good.items()}
+    dot = lambda a, b: max(-(2**63) + 2, min(2**63 - 1, sum(x * y for x, y in zip(a, b))))
+    out = []
+    for i, (label, v) in good.items():
+        if i % every:
+            continue
+        ranked = sorted((-dot(v, w), j, other == label) for j, (other, w) in good.items() if j != i)
+        for s, j, _ in [x for x in ranked if x[2]][:positives]:
+            p = -s
+            near = [(k, -t) for t, k, same in ranked if not same and 80 * p <= -100 * t <= 100 * p][:negatives]
+            out += [(i, j, rank, k, p, t) for rank, (k, t) in enumerate(near, 1)]
+    return sorted(out)
+
+
+NAN, INF = float("nan"), float("inf")
+VECTORS = "vec_id long, label int, embedding array<float>, id int, v string, s int, cell int, part int"
+
+
+def vector_rows(kind):
+    draw = np.random.default_rng(7)
+    if kind == "none":
+        return []
+    if kind == "odd":
+        near = draw.normal(0, 0.01, (40, 5)) + [1, 0.5, 0, 0, 0.25]
+        rows = [(i, int(i % 3), [float(np.float32(x)) for x in v]) for i, v in enumerate(near)]
+        rows += [(i, i % 3, [0.5, 0.25]) for i in range(50, 70)]  # ties, and shorter vectors
+        rows += [(70, 1, None), (71, None, [0.5]), (None, 1, [0.5]), (72, 1, [0.5, None]), (73, 1, [NAN]), (74, 1, [INF, 1.0]), (75, 1, []), (76, 2, [0.0] * 70 + [1.0])]
+        rows += [(77, 0, [0.5, 0.25]), (77, 0, [0.5, 0.25]), (77, 1, [9.0]), (80, 0, [-1.0, -1.0]), (90, 0, [1e20, 1.0]), (-10, 0, [1e20, 2.0]), (78, 1, [1e-30, -1e-30])]
+        return rows
+    return [(i, int(draw.integers(4)), [float(np.float32(x)) for x in draw.normal(0, 0.3, 64)]) for i in range(300)]
+
+
+@pytest.mark.parametrize("kind", ["drawn", "odd", "none"])
+def test_hard_negatives(spark, kind, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "ROWS", 40)
+    monkeypatch.setattr(hard_negatives, "ANCHORS", 3)
+    rows = vector_rows(kind)
+    df = spark.createDataFrame([(*r, 1, "v", 2, 3, 4) for r in rows], VECTORS)
+    got = hard_negatives.mine(hard_negatives.usable(df), F.col("id") % 10 == 0)
+    assert sorted(map(tuple, got.collect())) == plain_negatives(rows, 10)
+    assert kind == "none" or got.count() > 20
+
+
+def test_segment_bounds():
+    draw = np.random.default_rng(8)
+    for width in (64, 128):
+        base = draw.normal(0, 1, (30, width // 16)).repeat(16, 1)  # alike inside segments, so that bounds rule pairs out
+        v = np.floor(256 * (base + draw.normal(0, 0.05, (30, width))))
+        side = hard_negatives.Vectors(np.arange(30), np.zeros(30, np.int64), v, hard_negatives.summary(v))
+        exact = hard_negatives.scores(v, v)
+        for k in range(0, len(side.s), 2):
+            near, far = side.s[k] @ side.s[k].T, side.s[k + 1] @ side.s[k + 1].T
+            assert (np.abs(exact - near) <= far * (1 + 1e-9) + 1e-6).all()
+        low, high = np.percentile(exact, 90, axis=1), np.percentile(exact, 97, axis=1)
+        columns, want = hard_negatives.open_pairs(side, side, low, high, np.ones((30, 30), bool))
+        inside = (exact >= low[:, None]) & (exact <= high[:, None])
+        full = np.zeros((30, 30), bool)
+        full[:, columns] = want
+        assert (full | ~inside).all() and full.sum() < 300
+
+
+def test_hard_negatives_query(spark):
+    rows = [(r.vec_id, (r.label + 1) % 10 if r.vec_id % 7 == 0 else r.label, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    assert sorted(map(tuple, queries.op13_hard_negatives(spark, SF).collect())) == plain_negatives(rows, 100)
