@@ -130,7 +130,8 @@ def welch(mean_a: Column, var_a: Column, n_a: Column, mean_b: Column, var_b: Col
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
-    return np.frompyfunc(math.lgamma, 1, 1)(x).astype(float)
+    values, where = np.unique(x, return_inverse=True)  # degrees of freedom repeat
+    return np.array([math.lgamma(v) for v in values.tolist()], float)[where].reshape(x.shape)
 
 
 def betainc(a, b, x) -> np.ndarray:

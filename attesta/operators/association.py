@@ -1,8 +1,7 @@
 """Correlation, covariate-adjusted association and spatial nulls.
 
-Samples are rows with packed ARRAY<DOUBLE> blocks. Each task multiplies its own rows'
-blocks with numpy and emits partial sums only; Spark adds them up. The number of samples
-can therefore grow without limit, and what reaches the driver is covariate-sized.
+Samples are rows with packed ARRAY<DOUBLE> blocks. Tasks multiply tiles of columns over blocks of rows
+and pass on partial sums only (see `tiles`), so samples and columns can grow without limit.
 """
 
 from __future__ import annotations
@@ -18,17 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from attesta.functions.numeric import draw, normal_upper, student_t_p
+from attesta.operators import pairwise as P
 from attesta.operators.ordered import average_rank, ring_positions, value_counts
 from attesta.operators.resample import bounded_broadcast
 from attesta.session import stage
 
-# Identification and clipping limits of the association statistic.
-IDENT_FRACTION = 1e-6
-IDENT_FLOOR = 1e-12
-R_CLIP = 0.999999
-
-MAX_PARTIAL_CELLS = 4_000_000  # partial sums one task may hold; wider blocks go in several passes
-
 
 # --- rank correlation --------------------------------------------------------------------------
 
@@ -293,166 +286,43 @@ def few_tasks(df: DataFrame) -> DataFrame:
     return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
 
 
-def _partial_sums(df: DataFrame, fn) -> DataFrame:
-    """Run `fn(state, pdf)` over each task's batches and add the emitted vectors across tasks.
+def associate(
+    df: DataFrame, x: str, y: str, c: str, x_names: Sequence[str], y_names: Sequence[str], min_df: int = 20, joint_share: float = 0.8
+) -> DataFrame:
+    """Covariate-adjusted association of every x column with every y column, one row a pair.
 
-    fn returns one float matrix per batch; tasks emit (i, j, value) sums.
+    When at least `joint_share` of the rows have all of x, those rows serve all columns; otherwise every pair uses the
+    rows that both of its columns have. Pairs with fewer than `min_df` degrees of freedom are left out.
     """
+    return P.every_pair(association_sums(df, x, y, c, min_df, joint_share), x_names, y_names, min_df)
 
-    def run(batches):
-        total = None
-        for pdf in batches:
-            if len(pdf):
-                part = fn(pdf)
-                total = part if total is None else total + part
-        if total is not None:
-            i, j = np.nonzero(total)
-            yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "v": total[i, j]})
-
-    return few_tasks(df).mapInPandas(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
-
-
-def _dense(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
-    out = np.zeros(shape)
-    pdf = parts.toPandas()
-    out[pdf["i"], pdf["j"]] = pdf["v"]
-    return out
-
-
-def _orthonormal(gram: np.ndarray) -> tuple[np.ndarray, int]:
-    """W with (C W)'(C W) = I over the column space of C, rank-safe, from C'C."""
-    scale = np.sqrt(np.clip(np.diag(gram), 0, None))
-    scale[scale == 0] = 1.0
-    val, vec = np.linalg.eigh(gram / np.outer(scale, scale))
-    keep = val > val.max(initial=0.0) * len(val) * 1e-12
-    return (vec[:, keep] / np.sqrt(val[keep])) / scale[:, None], int(keep.sum())
 
-
-def associate(
-    df: DataFrame, x: str, y: str, c: str, x_names: Sequence[str], y_names: Sequence[str], min_df: int = 20, joint_share: float = 0.8
+def associate_significant(
+    df: DataFrame, x: str, y: str, c: str, x_names: Sequence[str], y_names: Sequence[str], alpha: float, among=None, min_df: int = 20, joint_share: float = 0.8
 ) -> DataFrame:
-    """Covariate-adjusted association of every x column with every y column.
+    """The rows of `associate` whose BH q over all pairs is at most alpha, with q; other pairs are never written."""
+    return P.significant(association_sums(df, x, y, c, min_df, joint_share), x_names, y_names, alpha, min_df, among)
 
-    Two passes over the samples: covariate products, then residual products. Residuals are formed
-    explicitly per row, so nothing large is subtracted. x may hold NULLs: when at least
-    `joint_share` of the rows are complete those rows serve all columns, otherwise every column
-    uses its own measured rows.
-    """
-    p, q = len(x_names), len(y_names)
-    data = stage(df.select(F.col(x).alias("x"), F.col(y).alias("y"), F.col(c).alias("c")), "assoc")
-    x, y, c = "x", "y", "c"
-    width = data.select(F.size(c).alias("w")).first()["w"]
-    complete = ~F.exists(F.col(x), lambda v: v.isNull())
-    shares = data.agg(F.count(F.lit(1)).alias("n"), F.count_if(complete).alias("ok")).first()
-    per_block = max(1, MAX_PARTIAL_CELLS // max(1, q + 3 * width))
-    if shares["ok"] >= joint_share * shares["n"]:
-        parts = [
-            _joint(data.where(complete), x, y, c, lo, min(lo + per_block, p), q, width, shares["ok"], min_df) for lo in range(0, p, per_block)
-        ]
-    else:
-        per_block = max(1, MAX_PARTIAL_CELLS // max(1, width * (q + width + 2)))
-        parts = [_per_column(data, x, y, c, lo, min(lo + per_block, p), q, width, min_df) for lo in range(0, p, per_block)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    spark = df.sparkSession
-    xn = spark.createDataFrame([(i, n) for i, n in enumerate(x_names)], "i int, feature string")
-    yn = spark.createDataFrame([(j, n) for j, n in enumerate(y_names)], "j int, outcome string")
-    return _statistics(out.join(xn, "i").join(yn, "j").drop("i", "j"))
-
-
-def _joint(data, x, y, c, lo, hi, q, width, n, min_df):
-    p = hi - lo
-
-    def first(pdf):
-        C, X, Y = _block(pdf, c), _block(pdf, x)[:, lo:hi], _block(pdf, y)
-        return np.hstack([C.T @ C, C.T @ X, C.T @ Y])
-
-    def moments(pdf):
-        X = _block(pdf, x)[:, lo:hi]
-        return np.vstack([X.sum(axis=0), (X * X).sum(axis=0)])
-
-    m = _dense(_partial_sums(data, first), (width, width + p + q))
-    W, rank = _orthonormal(m[:, :width])
-    dof = n - rank - 1
-    if dof < min_df:
-        raise ValueError(f"df too small: {dof}")
-    P = W @ W.T
-    bx, by = P @ m[:, width : width + p], P @ m[:, width + p :]
-    mean = _dense(_partial_sums(data, moments), (2, p))[0] / n
-
-    def second(pdf):
-        C = _block(pdf, c)
-        X = _block(pdf, x)[:, lo:hi]
-        xr, yr = X - C @ bx, _block(pdf, y) - C @ by
-        head = np.column_stack([xr.T @ yr, (xr * xr).sum(axis=0), ((X - mean) ** 2).sum(axis=0)])
-        foot = np.concatenate([(yr * yr).sum(axis=0), [0.0, 0.0]])
-        return np.vstack([head, foot])
-
-    s = stage(_partial_sums(data, second), "products")
-    sxx = s.where((F.col("j") == q) & (F.col("i") < p)).select("i", F.col("v").alias("sxx"))
-    raw = s.where((F.col("j") == q + 1) & (F.col("i") < p)).select("i", F.col("v").alias("sxx_raw"))
-    syy = s.where((F.col("i") == p) & (F.col("j") < q)).select("j", F.col("v").alias("syy"))
-    return _fill(s, sxx, raw, syy, ["j"], p, q, lo, F.lit(dof).cast("double"), F.lit(n).cast("bigint"))
-
-
-def _fill(s, sxx, raw, syy, y_keys, p, q, lo, dof, n):
-    """All (i, j) cells, with sums that are exactly zero restored."""
-    spark = s.sparkSession
-    grid = spark.range(p * q).select((F.col("id") / q).cast("int").alias("i"), (F.col("id") % q).cast("int").alias("j"))
-    cells = grid.join(s.where((F.col("i") < p) & (F.col("j") < q)), ["i", "j"], "left").withColumnRenamed("v", "sxy")
-    j = cells.join(sxx, "i", "left").join(raw, "i", "left").join(syy, y_keys, "left")
-    zero = lambda k: F.coalesce(F.col(k), F.lit(0.0)).alias(k)
-    return j.select((F.col("i") + lo).alias("i"), "j", *[zero(k) for k in ("sxy", "sxx", "sxx_raw", "syy")], dof.alias("df"), n.alias("n"))
-
-
-def _per_column(data, x, y, c, lo, hi, q, width, min_df):
-    p = hi - lo
-    w2 = width * width
 
-    def first(pdf):
-        C, X, Y = _block(pdf, c), _block(pdf, x)[:, lo:hi], _block(pdf, y)
-        M = np.isfinite(X).astype(float)
-        X0 = np.nan_to_num(X)
-        cc = np.einsum("nf,nr,ns->frs", M, C, C).reshape(p, w2)
-        cy = np.stack([(M * C[:, [r]]).T @ Y for r in range(width)], axis=1).reshape(p, width * q)
-        return np.hstack([cc, X0.T @ C, cy, M.sum(axis=0)[:, None], X0.sum(axis=0)[:, None]])
-
-    m = _dense(_partial_sums(data, first), (p, w2 + width + width * q + 2))
-    bx, by, dof = np.zeros((p, width)), np.zeros((p, width, q)), np.zeros(p)
-    for f in range(p):
-        W, rank = _orthonormal(m[f, :w2].reshape(width, width))
-        P = W @ W.T
-        bx[f], by[f] = P @ m[f, w2 : w2 + width], P @ m[f, w2 + width : w2 + width + width * q].reshape(width, q)
-        dof[f] = m[f, -2] - rank - 1
-    count, mean = m[:, -2], m[:, -1] / np.maximum(m[:, -2], 1)
-
-    def second(pdf):
-        C, X, Y = _block(pdf, c), _block(pdf, x)[:, lo:hi], _block(pdf, y)
-        out = np.zeros((2 * p, q + 2))
-        for f in range(p):
-            rows = np.isfinite(X[:, f])
-            xf, Cf = X[rows, f], C[rows]
-            xr, yr = xf - Cf @ bx[f], Y[rows] - Cf @ by[f]
-            out[f] = [*(xr @ yr), xr @ xr, ((xf - mean[f]) ** 2).sum()]
-            out[p + f, :q] = (yr * yr).sum(axis=0)
-        return out
-
-    s = stage(_partial_sums(data, second), "products")
-    sxx = s.where((F.col("j") == q) & (F.col("i") < p)).select("i", F.col("v").alias("sxx"))
-    raw = s.where((F.col("j") == q + 1) & (F.col("i") < p)).select("i", F.col("v").alias("sxx_raw"))
-    syy = s.where((F.col("i") >= p) & (F.col("j") < q)).select((F.col("i") - p).alias("i"), "j", F.col("v").alias("syy"))
-    info = data.sparkSession.createDataFrame([(f, float(dof[f]), int(count[f])) for f in range(p)], "i int, __df double, __n bigint")
-    out = _fill(s, sxx, raw, syy, ["i", "j"], p, q, lo, F.lit(0.0), F.lit(0).cast("bigint")).drop("df", "n")
-    out = out.join(info.withColumn("i", F.col("i") + lo), "i").withColumnsRenamed({"__df": "df", "__n": "n"})
-    return out.where(F.col("df") >= min_df)
+def association_sums(df: DataFrame, x: str, y: str, c: str, min_df: int = 20, joint_share: float = 0.8) -> P.Sums:
+    """The stored sums behind `associate`; `df` is evaluated once."""
+    data = stage(df.select(F.col(x).alias("x"), F.col(y).alias("y"), F.col(c).alias("c")), "assoc")
+    complete = ~F.exists(F.col("x"), lambda v: v.isNull() | F.isnan(v))
+    shares = data.agg(F.count(F.lit(1)).alias("n"), F.count_if(complete).alias("ok"), F.max(F.size("c")).alias("width")).first()
+    joint = shares["ok"] >= joint_share * shares["n"]
+    sums = P.all_sums(data.where(complete) if joint else data, "x", "y", "c", shares["width"] or 0)
+    if joint:
+        most = sums.each(lambda xs, ys, s: pa.record_batch([pa.array([s["df"].max(initial=-1.0)])], ["df"]), "df double").agg(F.max("df")).first()[0]
+        if most is None or most < min_df:
+            raise ValueError(f"df too small: {most}")
+    return sums
 
 
 def _statistics(s: DataFrame) -> DataFrame:
-    ident = F.col("sxx") > F.greatest(F.lit(IDENT_FRACTION) * F.col("sxx_raw"), F.lit(IDENT_FLOOR))
+    ident = F.col("sxx") > F.greatest(F.lit(P.IDENT_FRACTION) * F.col("sxx_raw"), F.lit(P.IDENT_FLOOR))
     beta = F.when(ident, F.col("sxy") / F.col("sxx")).otherwise(F.lit(0.0))
     denom = F.sqrt(F.col("sxx") * F.col("syy"))
-    r = F.when(ident & (denom > 0), F.greatest(F.lit(-R_CLIP), F.least(F.lit(R_CLIP), F.col("sxy") / denom))).otherwise(F.lit(0.0))
+    r = F.when(ident & (denom > 0), F.greatest(F.lit(-P.R_CLIP), F.least(F.lit(P.R_CLIP), F.col("sxy") / denom))).otherwise(F.lit(0.0))
     s = s.withColumns({"beta": beta, "r": r, "__ident": ident})
     t = F.col("r") * F.sqrt(F.col("df") / (1 - F.col("r") * F.col("r")))
     resvar = F.greatest(F.col("syy") - F.col("beta") * F.col("beta") * F.col("sxx"), F.lit(0.0)) / F.col("df")
@@ -503,7 +373,7 @@ def test_pairs(
         m[g["i"], g["j"]] = g["v"]
         b = np.zeros((k, 2, width))
         for f in range(k):
-            W, rank = _orthonormal(m[f, :w2].reshape(width, width))
+            W, rank = P.orthonormal(m[f, :w2].reshape(width, width))
             b[f] = [W @ (W.T @ m[f, w2 : w2 + width]), W @ (W.T @ m[f, w2 + width : w2 + 2 * width])]
             n = m[f, -6]
             info.append((name, f, int(n), int(m[f, -3]), int(m[f, -2]), float(n - rank - 1)))

@@ -166,12 +166,15 @@ def median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median")
     return quantiles(df, keys, value, {name: 0.5})
 
 
-def benjamini_hochberg(df: DataFrame, p: str, keys: Sequence[str] = (), name: str = "q") -> DataFrame:
-    """Step-up q-values. Tied p share the largest rank, so distinct p-values suffice."""
+def benjamini_hochberg(df: DataFrame, p: str, keys: Sequence[str] = (), name: str = "q", total: int | None = None) -> DataFrame:
+    """Step-up q-values. Tied p share the largest rank, so distinct p-values suffice.
+
+    `total` is the number of tests where `df` holds only those of the smallest p.
+    """
     # Written once: the suffix minimum reads the cumulative counts twice (rows and bucket minima).
     c = cumulative(df, keys, p)
     c = Ordered(stage(c.df.drop("__n"), "bh"), c.keys, c.order, _staged=True)
-    raw = F.col(p) * F.col("__total") / F.col("__hi")
+    raw = F.col(p) * (F.col("__total") if total is None else F.lit(total)) / F.col("__hi")
     q = c.running({"__q": ("min", raw)}, reverse=True).rows()
     return _back(df, q.select(*keys, p, F.least(F.col("__q"), F.lit(1.0)).alias(name)), keys, p)
 

@@ -209,24 +209,106 @@ def embedding_samples(spark, d):
 
 DIMS = 64
 
+# Student's t with whole degrees of freedom has a finite series; `co` and `ce` are its coefficients for odd and even ones.
+_SERIES = """cf AS (SELECT list(o ORDER BY k) AS co, list(e ORDER BY k) AS ce FROM (SELECT k, exp(sum(CASE WHEN k = 0 THEN 0 ELSE ln(2.0 * k / (2 * k + 1)) END) OVER (ORDER BY k)) AS o,
+   exp(sum(CASE WHEN k = 0 THEN 0 ELSE ln((2.0 * k - 1) / (2 * k)) END) OVER (ORDER BY k)) AS e FROM range(0, 5000) x(k)))"""
 
-@query()
+
+def sql_t_p(t, df):
+    """Two-sided p of t with whole df, in a query that has `cf`."""
+    c2, th = f"({df} / ({df} + {t} * {t}))", f"atan(abs({t}) / sqrt({df}))"
+    odd = f"2 / pi() * ({th} + sin({th}) * cos({th}) * coalesce(list_sum(list_transform(range(0, (({df} - 1) / 2)::BIGINT), lambda k: co[k + 1] * pow({c2}, k))), 0))"
+    even = f"sin({th}) * list_sum(list_transform(range(0, ({df} / 2)::BIGINT), lambda k: ce[k + 1] * pow({c2}, k)))"
+    return f"greatest(1 - CASE WHEN {df}::BIGINT % 2 = 1 THEN {odd} ELSE {even} END, 0.0)"
+
+
+def sql_within(rows, keys):
+    """Statistics of x and y given labels from rows (keys, label, x, y): sums of products within labels."""
+    return f"""lb AS (SELECT {keys}, label, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * y) AS xy, sum(x * x) AS xx, sum(y * y) AS yy, count(*) FILTER (x = 1) AS n1, count(*) FILTER (x = 0) AS n0 FROM {rows} GROUP BY ALL),
+        sm AS (SELECT {keys}, sum(n)::BIGINT AS n, sum(n1)::BIGINT AS n_pos, sum(n0)::BIGINT AS n_neg, (sum(n) - count(*) - 1)::DOUBLE AS df, sum(xy - sx * sy / n) AS sxy, sum(xx - sx * sx / n) AS sxx, sum(yy - sy * sy / n) AS syy,
+               sqrt((sum(yy) - sum(sy) * sum(sy) / sum(n)) / sum(n)) AS dep_sd FROM lb GROUP BY ALL),
+        sr AS (SELECT *, sxy / sxx AS beta, sxy / sqrt(sxx * syy) AS r FROM sm),
+        st AS (SELECT *, r * sqrt(df / (1 - r * r)) AS t, sqrt(greatest(syy - beta * beta * sxx, 0) / df / sxx) AS se FROM sr)"""
+
+
+_DIMS = "e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS y, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings)"
+_PAIRS = "pr AS (SELECT a.k AS i, b.k AS j, a.label, (a.y > 0)::INT::DOUBLE AS x, b.y FROM e a JOIN e b ON a.vec_id = b.vec_id {0})"
+_ALL_PAIRS = f"""{_DIMS}, {_PAIRS.format('')}, {sql_within('pr', 'i, j')}, {_SERIES}, pv AS (SELECT st.*, {sql_t_p('t', 'df')} AS p FROM st, cf),
+        qv AS (SELECT *, least(1, min(p * m / rk) OVER (ORDER BY p DESC)) AS q FROM (SELECT *, count(*) OVER () AS m, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS rk FROM pv))"""
+
+
+def dims(kind):
+    return [f"{kind}{i}" for i in range(DIMS)]
+
+
+@query(
+    f"""WITH {_ALL_PAIRS} SELECT 'x' || i AS feature, 'y' || j AS outcome, n, round(beta, 9) AS beta, round(r, 9) AS r, round(se, 9) AS se, round(p, 9) AS p, round(q, 9) AS q FROM qv"""
+)
 def association_all_pairs(spark, d):
     """All 64 x 64 covariate-adjusted associations with BH q over every pair."""
-    s = embedding_samples(spark, d)
-    a = A.associate(s, "x", "y", "c", [f"x{i}" for i in range(DIMS)], [f"y{i}" for i in range(DIMS)])
+    a = A.associate(embedding_samples(spark, d), "x", "y", "c", dims("x"), dims("y"))
     a = O.benjamini_hochberg(a, "p")
     return rounded(a.select("feature", "outcome", "n", "beta", "r", "se", "p", "q"), "beta", "r", "se", "p", "q", digits=9)
 
 
-@query()
+@query(f"WITH {_ALL_PAIRS} SELECT 'x' || i AS feature, 'y' || j AS outcome, round(beta, 9) AS beta, df, round(t, 7) AS t, round(p, 9) AS p, round(q, 9) AS q FROM qv WHERE q <= 0.05")
+def association_significant(spark, d):
+    """The pairs that pass BH at 0.05, with exact q, without a row for any other pair."""
+    a = A.associate_significant(embedding_samples(spark, d), "x", "y", "c", dims("x"), dims("y"), 0.05)
+    return rounded(rounded(a.select("feature", "outcome", "beta", "df", "t", "p", "q"), "beta", "p", "q", digits=9), "t", digits=7)
+
+
+@query(
+    f"""WITH {_DIMS}, {_PAIRS.format('WHERE (a.vec_id + a.k) % 3 <> 0')}, {sql_within('pr', 'i, j')}, {_SERIES}
+        SELECT 'x' || i AS feature, 'y' || j AS outcome, n, df, round(beta, 9) AS beta, round(se, 9) AS se, round({sql_t_p('t', 'df')}, 9) AS p FROM st, cf"""
+)
 def association_with_missing(spark, d):
     """Same screen with unmeasured context cells: every column uses its own measured rows."""
     s = embedding_samples(spark, d).withColumn("x", F.transform("x", lambda v, i: F.when((F.col("vec_id") + i) % 3 != 0, v)))
-    a = A.associate(s, "x", "y", "c", [f"x{i}" for i in range(DIMS)], [f"y{i}" for i in range(DIMS)])
+    a = A.associate(s, "x", "y", "c", dims("x"), dims("y"))
     return rounded(a.select("feature", "outcome", "n", "df", "beta", "se", "p"), "beta", "se", "p", digits=9)
 
 
+@query(
+    f"""WITH {_DIMS}, {_PAIRS.format('WHERE (a.vec_id + a.k) % 3 <> 0 AND (a.vec_id + b.k) % 5 <> 0')}, {sql_within('pr', 'i, j')}, {_SERIES}
+        SELECT 'x' || i AS feature, 'y' || j AS outcome, n, df, round(beta, 9) AS beta, round(se, 9) AS se, round({sql_t_p('t', 'df')}, 9) AS p FROM st, cf"""
+)
+def association_mask_groups(spark, d):
+    """Cells missing on both sides: a pair uses the rows that its two columns share, columns of one mask share sums."""
+    s = embedding_samples(spark, d)
+    s = s.withColumn("x", F.transform("x", lambda v, i: F.when((F.col("vec_id") + i) % 3 != 0, v))).withColumn("y", F.transform("y", lambda v, i: F.when((F.col("vec_id") + i) % 5 != 0, v)))
+    a = A.associate(s, "x", "y", "c", dims("x"), dims("y"))
+    return rounded(a.select("feature", "outcome", "n", "df", "beta", "se", "p"), "beta", "se", "p", digits=9)
+
+
+HELD_OUT = [(f"x{i}~y{(7 * i + 3) % DIMS}", i, (7 * i + 3) % DIMS) for i in range(DIMS)] + [(f"x{i}~y{i}", i, i) for i in range(8)]
+
+
+@query(
+    f"""WITH {_DIMS}, pr AS (SELECT 'x' || a.k || '~y' || b.k AS pair, 'T' || (a.vec_id % 3) AS tier, a.label, (a.y > 0)::INT::DOUBLE AS x, b.y FROM e a JOIN e b ON a.vec_id = b.vec_id AND (b.k = (7 * a.k + 3) % 64 OR b.k = a.k AND a.k < 8)),
+        {sql_within('pr', 'pair, tier')}, {_SERIES}, ok AS (SELECT *, n >= 20 AND n_pos >= 5 AND n_neg >= 5 AND df >= 10 AS tested FROM st)
+       SELECT pair, tier, n, n_pos, n_neg, df, round(dep_sd, 9) AS dep_sd, CASE WHEN tested THEN round(beta, 9) END AS beta, CASE WHEN tested THEN round(se, 9) END AS se, CASE WHEN tested THEN round({sql_t_p('t', 'df')}, 9) END AS p FROM ok, cf"""
+)
+def held_out_pairs(spark, d):
+    """Listed pairs tested again in each of three tiers of held-out rows."""
+    s = embedding_samples(spark, d).withColumn("tier", F.concat(F.lit("T"), (F.col("vec_id") % 3).cast("string")))
+    a = A.test_pairs(s, "x", "y", "c", HELD_OUT, "tier").select("pair", "tier", "n", "n_pos", "n_neg", "df", "dep_sd", "beta", "se", "p")
+    return rounded(a, "dep_sd", "beta", "se", "p", digits=9)
+
+
+@query()
+def association_wide(spark, d):
+    """2,560 x 2,560 pairs: thresholds of every dimension against products of dimensions; what passes BH at 0.01."""
+    cuts = [(k - 19.5) / 80 for k in range(40)]
+    s = embedding_samples(spark, d)
+    x = F.flatten(F.transform("y", lambda v: F.array(*[(v > c).cast("double") for c in cuts])))
+    y = F.flatten(F.transform("y", lambda v: F.transform(F.slice("y", 1, 40), lambda u: u * v)))
+    wide = s.select("c", x.alias("x"), y.alias("y"))
+    n = 40 * DIMS
+    a = A.associate_significant(wide, "x", "y", "c", [f"x{i}" for i in range(n)], [f"y{i}" for i in range(n)], 0.01)
+    return rounded(a.select("feature", "outcome", "beta", "t", "q"), "beta", "t", "q")
+
+
 @query()
 def association_study(spark, d):
     """Discovery on even vectors, selection under caps, held-out tests on odd vectors, replication verdicts."""

@@ -11,6 +11,7 @@ from attesta.functions import numeric as N
 from attesta.operators import association as A
 from attesta.operators import ordered as O
 from attesta.operators import selection as S
+from attesta.operators import tiles as T
 
 
 def samples(spark, n=400, p=6, q=5, seed=1, missing=0.0):
@@ -55,6 +56,60 @@ def test_associate_matches_least_squares(spark, missing):
     assert (best.feature, best.outcome) == ("x1", "y2") and best.beta < -0.5
 
 
+def small_tiles(monkeypatch):
+    for name, value in (("ROWS", 37), ("COLUMNS", 2), ("BLOCKS", 2), ("SUMS", 2)):
+        monkeypatch.setattr(T, name, value)
+
+
+def test_association_over_many_small_tiles(spark, monkeypatch):
+    """Masks on both sides, several levels of partial sums, and an input that is evaluated once."""
+    small_tiles(monkeypatch)
+    df, x, y, c = samples(spark, n=600)
+    rng = np.random.default_rng(4)
+    gone_x, gone_y = rng.random((600, 6)) < 0.3, rng.random((600, 5)) < 0.2
+    gone_x[:, 3], gone_y[:, 4] = gone_x[:, 1], gone_y[:, 0]  # columns of one mask
+    x, y = np.where(gone_x, np.nan, x), np.where(gone_y, np.nan, y)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(i, *[[None if math.isnan(v) else float(v) for v in m[i]] for m in (x, y, c)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, x array<double>, y array<double>, c array<double>").repartition(3)
+    df = df.mapInArrow(count, df.schema)
+    out = A.associate(df, "x", "y", "c", [f"x{i}" for i in range(6)], [f"y{j}" for j in range(5)]).collect()
+    assert len(out) == 30 and seen.value == 600
+    for r in out:
+        xi, yj = x[:, int(r.feature[1:])], y[:, int(r.outcome[1:])]
+        both = np.isfinite(yj)
+        beta, se, dof = ols(xi[both], yj[both], c[both])
+        assert (r.df, r.n) == (dof, (np.isfinite(xi) & both).sum())
+        assert r.beta == pytest.approx(beta, abs=1e-10) and r.se == pytest.approx(se, rel=1e-8)
+    masks = T.column_masks(df, ["x", "y"])
+    assert len(set(masks["x"])) == 5 and masks["x"][3] == masks["x"][1] and len(set(masks["y"])) == 4
+
+
+@pytest.mark.parametrize("alpha", [0.0, 0.02, 0.3, 1.0])
+def test_significant_pairs_are_those_of_the_full_table(spark, monkeypatch, alpha):
+    small_tiles(monkeypatch)
+    df, *_ = samples(spark, missing=0.25)
+    names = [f"x{i}" for i in range(6)], [f"y{j}" for j in range(5)]
+    full = O.benjamini_hochberg(A.associate(df, "x", "y", "c", *names).where("substring(feature, 2, 1) <> substring(outcome, 2, 1)"), "p").where(F.col("q") <= alpha)
+    want = {(r.feature, r.outcome): (r.p, r.q) for r in full.collect()}
+    got = {(r.feature, r.outcome): (r.p, r.q) for r in A.associate_significant(df, "x", "y", "c", *names, alpha, lambda a, b: a != b).collect()}
+    assert got.keys() == want.keys() and (alpha == 0 or got)
+    for k, v in got.items():
+        assert v == pytest.approx(want[k], rel=1e-12)
+
+
+def test_no_samples(spark):
+    df = spark.createDataFrame([], "x array<double>, y array<double>, c array<double>")
+    with pytest.raises(ValueError):
+        A.associate(df, "x", "y", "c", ["x0"], ["y0"])
+
+
 def test_unidentified_column_reports_no_effect(spark):
     df, *_ = samples(spark)
     df = df.withColumn("x", F.concat(F.array(F.col("c")[1]), F.slice("x", 2, 5)))
