@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType
 from attesta.functions.numeric import draw, normal_upper, student_t_p
 from attesta.operators import pairwise as P
 from attesta.operators.ordered import average_rank, ring_positions, value_counts
-from attesta.operators.resample import bounded_broadcast
+from attesta.operators.rings import shifted_products
 from attesta.session import stage
 
 
@@ -76,6 +76,20 @@ def _partial_by_inverse(upper: pd.Series) -> pd.Series:
     return pd.Series(np.where(den > 1e-12, cov[:, 0, 1] / np.where(den > 1e-12, den, 1.0), np.nan))
 
 
+def _partial_from_sums(x: str, y: str, given: Sequence[str], sums: Sequence[tuple[str, str]]) -> Column:
+    """Partial correlation from columns `__a__b` of sums of products of centred columns."""
+    of = {frozenset(p): F.col("__%s__%s" % p) for p in sums}
+    names = [x, y, *given]
+    pairs = {}
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            den = F.sqrt(of[frozenset((a,))] * of[frozenset((b,))])
+            pairs[frozenset((a, b))] = F.when(den > 0, of[frozenset((a, b))] / den).otherwise(F.lit(0.0))
+    if len(given) <= 2:
+        return _partial_r(pairs, x, y, tuple(given))
+    return _partial_by_inverse(F.array(*pairs.values()))
+
+
 def partial_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str, given: Sequence[str]) -> DataFrame:
     """Partial Pearson correlation of x and y given covariates, from pairwise moments of one aggregate.
 
@@ -125,8 +139,8 @@ def spatial_null(
 
     With the margin policy, partitions of fewer than 2 * margin + 1 rows are in neither the null nor the observed value.
 
-    Ranks do not change under shifts, so they are computed once. Shifted rows meet the fixed ones
-    through an equi-join on ring position; each replicate is one partial-sum aggregate.
+    Ranks do not change under shifts, so they are computed once. The sums of products under every shift come from
+    `rings`; a replicate then is a lookup and a sum over partitions. Rows without a partition take no part.
     `by` runs several independent tests (arms) in the same job.
     """
     cols = [x, y, *given]
@@ -134,23 +148,33 @@ def spatial_null(
         rows = listwise(df.select(*by, part, *order, *cols), cols)
         long = rows.groupBy(*by, part).count().where(F.col("count") >= 2 * margin + 1).drop("count")
         df = rows.join(long, [*by, part], "left_semi")
+    df = df.where(F.col(part).isNotNull())
     if rank:
         base = ranked(df.select(*by, part, *order, *cols), cols, by)
         name = {c: f"r_{c}" for c in cols}
     else:
         base = listwise(df.select(*by, part, *order, *cols), cols)
         name = {c: c for c in cols}
-    ring = stage(ring_positions(base, [*by, part], order), "ring")
-    n = ring.count()
+    names = list(dict.fromkeys(name[c] for c in cols))
+    moving = list(dict.fromkeys([name[x], *[name[g] for g in shift_with_x]]))
+    fixed = [c for c in names if c not in moving]
+    # Shifting changes neither a column's moments nor the products of columns that move together. Centred columns
+    # leave no large sums to subtract, and the rest of a replicate is one sum of products a pair and partition.
+    means = base.groupBy(*by).agg(*[F.avg(c).alias(f"__m_{c}") for c in names])
+    centred = base.join(means, list(by)) if by else base.join(F.broadcast(means))
+    ring = stage(ring_positions(centred.select(*by, part, *order, *[(F.col(c) - F.col(f"__m_{c}")).alias(c) for c in names]), [*by, part], order), "ring")
     observed = partial_correlation(ring, by, name[x], name[y], [name[g] for g in given]).withColumnRenamed("partial_r", "observed")
-    moving = [name[x], *[name[g] for g in shift_with_x]]
-    fixed = [name[c] for c in cols if name[c] not in moving]
-    rep = F.explode(F.sequence(F.lit(1), F.lit(reps)))
-    moved = ring.select(*by, part, "ring_pos", "ring_len", *moving, rep.alias("rep"))
+    pair = lambda a, b: F.sum(F.col(a) * F.col(b))
+    kept = [(a, b) for k, a in enumerate(names) for b in names[k:] if (a in moving) == (b in moving)]
+    still = ring.groupBy(*by).agg(*[pair(a, b).alias(f"__{a}__{b}") for a, b in kept])
+    sizes = ring.select(*by, part, "ring_len").distinct()
     offset = shift_offset(policy, seed, F.col("rep"), F.col(part), F.col("ring_len"), margin)
-    moved = moved.withColumn("ring_pos", F.pmod(F.col("ring_pos") + offset, F.col("ring_len"))).drop("ring_len")
-    target = bounded_broadcast(ring.select(*by, part, "ring_pos", *fixed), n)
-    null = partial_correlation(moved.join(target, [*by, part, "ring_pos"]), [*by, "rep"], name[x], name[y], [name[g] for g in given])
+    shifts = sizes.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).select(*by, part, "rep", offset.alias("offset"))
+    moved = shifted_products(ring, [*by, part], moving, fixed, shifts)
+    cross = [(a, b) for a in moving for b in fixed]
+    null = moved.groupBy(*by, "rep").agg(*[F.sum(F.col("s")[k]).alias(f"__{a}__{b}") for k, (a, b) in enumerate(cross)])
+    null = null.join(still, list(by)) if by else null.join(F.broadcast(still))
+    null = null.select(*by, "rep", _partial_from_sums(name[x], name[y], [name[g] for g in given], [*kept, *cross]).alias("partial_r"))
     # A shift can reproduce the observed arrangement; count equal values as ties despite rounding.
     j = null.join(observed.drop("n"), list(by)) if by else null.join(F.broadcast(observed.drop("n")))
     eps = 1e-12

@@ -12,6 +12,7 @@ from attesta.operators import association as A
 from attesta.operators import ordered as O
 from attesta.operators import selection as S
 from attesta.operators import tiles as T
+from attesta.operators.rings import shifted_products
 
 
 def samples(spark, n=400, p=6, q=5, seed=1, missing=0.0):
@@ -167,6 +168,25 @@ def test_partial_correlation_many_covariates(spark):
     assert A.partial_correlation(df, [], "x", "y", ["z0", "z1", "z2", "z3"]).first().partial_r == pytest.approx(want, abs=1e-9)
 
 
+@pytest.mark.parametrize("leg, block", [(0, 0), (4, 8), (16, 4)])
+def test_shifted_products_for_every_shift(spark, leg, block):
+    """Rings of many lengths, dealt over one or many tasks, against direct sums."""
+    rng = np.random.default_rng(6)
+    rings = {(n, arm): rng.normal(size=(4, n)) for n in (1, 2, 3, 16, 17, 45, 64) for arm in ("a", "b")}
+    rows = [(f"r{n}", arm, k, n, *map(float, v[:, k])) for (n, arm), v in rings.items() for k in range(n)]
+    ring = spark.createDataFrame(rows, "part string, arm string, ring_pos long, ring_len long, m0 double, m1 double, f0 double, f1 double")
+    shifts = spark.createDataFrame([(f"r{n}", arm, s, s) for n, arm in rings for s in range(n)], "part string, arm string, rep int, offset long")
+    got = {}
+    for r in shifted_products(ring, ["part", "arm"], ["m0", "m1"], ["f0", "f1"], shifts, leg, block).collect():
+        key = (int(r.part[1:]), r.arm, r.rep)
+        got[key] = got.get(key, 0) + np.array(r.s)
+    assert len(got) == sum(n for n, _ in rings)
+    for (n, arm), v in rings.items():
+        for s in range(n):
+            want = [v[a] @ np.roll(v[2 + b], -s) for a in range(2) for b in range(2)]
+            assert got[n, arm, s] == pytest.approx(want, abs=1e-9)
+
+
 def test_spatial_null_recovers_planted_and_matches_numpy(spark):
     rng = np.random.default_rng(5)
     x = np.cumsum(rng.normal(size=(8, 60)), axis=1)
