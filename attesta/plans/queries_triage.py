@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from attesta.functions import text as X
 from attesta.operators import ordered as O
 from attesta.operators import resample as R
+from attesta.operators import shuffles as SH
 from attesta.operators import triage as T
 from attesta.plans.queries_scalar import sql_either, sql_norm, sql_pieces, sql_contains_any, quoted
 from attesta.plans.registry import DUCK_DRAW, registrar
@@ -510,3 +511,48 @@ def holdout_reach(spark, d):
     p = table(spark, d, "part")
     r = R.holdout_reach(p, "p_partkey", F.col("p_size") < 20, F.col("p_type") == "PROMO", 20, 0.3, 9)
     return rounded(r, ("mean_hits", "mean_held_out"))
+
+
+# --- shuffles as keyed bijections ----------------------------------------------------------------
+
+_KEYED = "(({0} + rep * 104729) % 2147483647)"
+_MOVED = f"mv AS (SELECT *, {SH.DUCK_MOVED} AS x FROM r)"
+
+
+_SHUFFLE = f"""b AS (SELECT c_custkey AS id, c_nationkey AS s, CASE WHEN c_custkey % 11 <> 0 THEN c_mktsegment = 'BUILDING' END AS lab, c_acctbal AS v FROM customer)"""
+
+
+@query(
+    f"""WITH {_SHUFFLE}, p AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY s) AS n, {DUCK_DRAW.format("'3|' || s")} AS sk FROM b WHERE lab IS NOT NULL),
+        r AS (SELECT id, s, k, n, rep, {_KEYED.format('sk')} AS ky FROM (SELECT *, unnest(range(6)) AS rep FROM p)), {_MOVED}
+       SELECT mv.rep, mv.id, p.lab FROM mv JOIN p ON mv.s = p.s AND mv.x = p.k"""
+)
+def shuffled_labels(spark, d):
+    """Labels shuffled within strata among the rows that have one, by lookup."""
+    rows = _perm_rows(spark, d).withColumn("lab", F.when(F.col("id") % 11 != 0, F.col("lab")))
+    return SH.shuffled_labels(rows, ["s"], "id", "lab", 3, 6).select("rep", "id", "lab")
+
+
+@query(
+    f"""WITH {_SHUFFLE}, p AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY NOT lab, id) - 1 AS k, count(*) OVER (PARTITION BY s) AS n, count(*) FILTER (lab) OVER (PARTITION BY s) AS nt, {DUCK_DRAW.format("'3|' || s")} AS sk FROM b WHERE lab IS NOT NULL),
+        r AS (SELECT v, k, n, nt, rep, {_KEYED.format('sk')} AS ky FROM (SELECT *, unnest(range(499)) AS rep FROM p)), {_MOVED},
+        o AS (SELECT avg(v) FILTER (lab) - avg(v) FILTER (NOT lab) AS o FROM p), nl AS (SELECT rep, avg(v) FILTER (x < nt) - avg(v) FILTER (x >= nt) AS x FROM mv GROUP BY 1)
+       SELECT round(max(o), 6) AS observed, (1 + count(*) FILTER (x >= o)) / 500 AS p_greater, (1 + count(*) FILTER (x <= o)) / 500 AS p_less, (1 + count(*) FILTER (abs(x) >= abs(o))) / 500 AS p_two_sided FROM nl, o"""
+)
+def shuffle_test(spark, d):
+    """499 shuffles within strata of a label that some rows lack."""
+    rows = _perm_rows(spark, d).withColumn("lab", F.when(F.col("id") % 11 != 0, F.col("lab")))
+    return SH.shuffle_test(rows, ["s"], "id", "lab", "v", 499, 3).withColumn("observed", F.round("observed", 6))
+
+
+@query(
+    f"""WITH b AS (SELECT p_partkey AS id, p_size < 20 AS hit, p_type = 'PROMO' AS q FROM part), p AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS k, count(*) OVER () AS n FROM b),
+        r AS (SELECT hit, q, k, n, rep, {_KEYED.format('9')} AS ky FROM (SELECT *, unnest(range(25)) AS rep FROM p)), {_MOVED},
+        g AS (SELECT rep, count(*) FILTER (hit AND q) AS hits, count(*) FILTER (q) AS held_out FROM mv WHERE x >= floor(n * 0.7::DOUBLE) GROUP BY 1)
+       SELECT round(avg(hits), 9) AS mean_hits, min(hits) AS min_hits, max(hits) AS max_hits, round(avg(held_out), 9) AS mean_held_out FROM g"""
+)
+def holdout_splits(spark, d):
+    """25 splits that hold out three tenths of the parts."""
+    p = table(spark, d, "part")
+    r = SH.shuffled_holdout(p, "p_partkey", F.col("p_size") < 20, F.col("p_type") == "PROMO", 25, 0.3, 9)
+    return rounded(r, ("mean_hits", "mean_held_out"))
