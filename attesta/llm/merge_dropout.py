@@ -4,15 +4,15 @@ Merges are taken from an agenda by score, leftmost first. A candidate that comes
 from a keyed hash of (seed, document's id, place of the chunk in it) and its turn, falls below the dropout rate.
 Chunks (spaces with the word after them, a line end, or marks that no piece joins to a letter) never share a piece, so
 each is segmented on its own. Every occurrence has its own draws, and any rerun gives the same ids. Which turns are
-skipped decides the segmentation, so a task remembers it by chunk and skipped turns.
+skipped decides the segmentation, so equal chunks of a batch with equal skips are segmented once.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from attesta.llm.words import mix, slices
 
-CACHED = 1 << 20  # segmentations that a task remembers before it starts anew
+CACHED = 1 << 18  # chunks that a task remembers before it starts anew, of at most 16 characters each in the mean
 SPACE = "▁"
 LONG, BLOCK, NONE = 22, 8192, (1 << 31) - 1  # at most 3 * (LONG - 1) turns: bits of one number
 
@@ -109,20 +109,22 @@ class Segmenter:
         self.chunk = re.compile(rf"\n| *(?:[^\W\d_]+(?=[{marks}])|[^ \n]+)| +" if marks else r"\n| *[^ \n]+| +")
 
     def _forget(self) -> None:
-        """Variant v skips the turns whose bits are set in `skips[v]`; `found[v]` has its segmentations. The first skips none."""
-        self.skips, self.variant, self.held = [0], {0: 0}, 0
-        self.found: list[dict[str, bytes]] = [{}]
-        self.turns: dict[str, int] = {}
-
-    def segment(self, chunk: str, variant: int = 0, key: int | None = None) -> list[int]:
-        """Ids of one chunk, by an agenda kept as a heap; with `key`, by its draws."""
+        """The chunks known so far by number: their characters as symbols, plain segmentation and its turns."""
+        self.number: dict[str, int] = {}
+        self.names: list[str] = []
+        self.chars, self.pool = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.size, self.begin = np.zeros(0, np.int64), np.zeros(0, np.int64)  # characters, and the first of them
+        self.at, self.count, self.turns = (np.zeros(0, np.int64) for _ in range(3))  # first id, ids, turns
+
+    def segment(self, chunk: str, skips: int = 0, key: int | None = None) -> list[int]:
+        """Ids of one chunk, by an agenda kept as a heap. Turns whose bits are set in `skips` are skipped, or with `key` those it draws."""
         # A literal U+2581 would decode to a space, so it is spelled in bytes; U+FFFF is in no piece.
         text, rank, n = chunk.replace(SPACE, "\uffff").replace(" ", SPACE), self.rank, len(chunk)
         end = list(range(1, n + 1))  # by the start of a symbol
         start = list(range(n))  # by the end of a symbol, less one
         agenda = [(rank[text[at : at + 2]], at, at + 1, at + 2) for at in range(n - 1) if text[at : at + 2] in rank]
         heapify(agenda)
-        turn, skips = 0, self.skips[variant]
+        turn = 0
         drawn = np.zeros(0, bool)
         while agenda:
             _, at, mid, to = heappop(agenda)
@@ -146,15 +148,20 @@ class Segmenter:
         return ids
 
     @staticmethod
-    def _draw(key: np.ndarray, turn: np.ndarray) -> np.ndarray:
-        return mix(key + (turn.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+    def _words(key: np.ndarray, four: np.ndarray) -> np.ndarray:
+        """The keyed hash of four turns, 16 bits each, from the lowest on."""
+        return mix(key + (four.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+    def _draw(self, key: np.uint64, turn: np.ndarray) -> np.ndarray:
+        return self._words(key, turn // 4) >> (turn % 4 * 16).astype(np.uint64) & np.uint64(0xFFFF)
 
-    def _block(self, chunks: list[str], variants: list[int]) -> tuple[list[bytes], np.ndarray]:
-        """Ids of chunks of at most LONG characters, and turns. All agendas advance together, one candidate each a step."""
-        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        n, width = len(chunks), int(sizes.max())
+    def _block(self, chars: np.ndarray, sizes: np.ndarray, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, how many a chunk, turns, whether a chunk has characters that are no piece) of chunks of at most LONG symbols.
+
+        All agendas advance together, one candidate each a step. Bits of `skips` name the turns that are skipped.
+        """
+        n, width = len(sizes), int(sizes.max())
         ends = np.cumsum(sizes)
-        chars = self.of_char[np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)]
         row = np.repeat(np.arange(n), sizes)
         place = np.arange(len(chars)) - np.repeat(ends - sizes, sizes)
         symbol = np.full((n, width + 1), self.other, np.int32)  # the last column is a neighbour that never merges
@@ -167,7 +174,6 @@ class Segmenter:
         after[np.arange(n), sizes - 1] = width
         before = np.tile(np.arange(-1, width, dtype=np.int32), (n, 1))
         before[:, 0] = width
-        skips = np.fromiter(map(self.skips.__getitem__, variants), np.uint64, n)
         live, turn, turns = np.arange(n), 0, np.zeros(n, np.int64)
         while True:
             at = order[live].argmin(axis=1)
@@ -190,79 +196,114 @@ class Segmenter:
             order[r, width] = NONE
         symbol = symbol[:, :width]
         used = (symbol >= 0) & (np.arange(width) < sizes[:, None])
-        flat = symbol[used].astype(np.int32)
-        cut = np.cumsum(used.sum(axis=1))
+        flat, counts = symbol[used], used.sum(axis=1)
         odd = np.zeros(n, bool)
-        odd[np.repeat(np.arange(n), used.sum(axis=1))[flat >= len(self.text)]] = True
-        raw, out, at = flat.tobytes(), [], 0
-        for to in (cut * 4).tolist():
-            out.append(raw[at:to])
-            at = to
-        for k in np.flatnonzero(odd).tolist():  # characters that are no piece are spelled in bytes
-            out[k] = array("i", self.segment(chunks[k], variants[k])).tobytes()
-        return out, turns
-
-    def _learn(self, asked: list[tuple[str, int]]) -> None:
-        """Segmentations of (chunk, variant) that are not known yet."""
-        todo = sorted((x for x in asked if x[0] not in self.found[x[1]]), key=lambda x: len(x[0]))
-        self.held += len(todo)
-        for at in range(0, len(todo), BLOCK):
-            chunks, variants = map(list, zip(*todo[at : at + BLOCK]))
-            ids, turns = self._block(chunks, variants)
-            for c, v, x, n in zip(chunks, variants, ids, turns.tolist()):
-                self.found[v][c] = x
-                if not v:
-                    self.turns[c] = n
+        odd[np.repeat(np.arange(n), counts)[flat >= len(self.text)]] = True
+        return flat, counts, turns, odd
+
+    def _blocks(self, known: np.ndarray, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first id, ids of a chunk, turns) of known chunks of at most LONG characters."""
+        size = self.size[known]
+        order = np.argsort(size, kind="stable")
+        made, at, count, turns, end = [], np.zeros(len(known), np.int64), np.zeros(len(known), np.int64), np.zeros(len(known), np.int64), 0
+        for k in range(0, len(known), BLOCK):
+            part = order[k : k + BLOCK]
+            n = size[part]
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            ids, counts, turns[part], odd = self._block(self.chars[np.repeat(self.begin[known[part]], n) + inner], n, skips[part])
+            at[part] = end + np.cumsum(counts) - counts
+            count[part] = counts
+            made.append(ids)
+            end += len(ids)
+            for j in part[odd].tolist():  # characters that are no piece are spelled in bytes
+                spelled = np.array(self.segment(self.names[known[j]], int(skips[j])), np.int32)
+                at[j], count[j] = end, len(spelled)
+                made.append(spelled)
+                end += len(spelled)
+        return np.concatenate(made) if made else np.zeros(0, np.int32), at, count, turns
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Number new chunks and keep the plain segmentation of those of at most LONG characters."""
+        first = len(self.names)
+        self.number.update(zip(chunks, range(first, first + len(chunks))))
+        self.names += chunks
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        chars = self.of_char[np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)]
+        self.begin = np.concatenate((self.begin, len(self.chars) + np.cumsum(size) - size))
+        self.chars, self.size = np.concatenate((self.chars, chars)), np.concatenate((self.size, size))
+        short = np.flatnonzero(size <= LONG)
+        ids, at, count, turns = self._blocks(first + short, np.zeros(len(short), np.uint64))
+        for name, values, shift in (("at", at, len(self.pool)), ("count", count, 0), ("turns", turns, 0)):
+            new = np.zeros(len(chunks), np.int64)
+            new[short] = values + shift
+            setattr(self, name, np.concatenate((getattr(self, name), new)))
+        self.pool = np.concatenate((self.pool, ids))
+
+    def _numbers(self, flat: list[str]) -> np.ndarray:
+        """The number of each chunk; new ones are learned first."""
+        kind = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
+        new = np.flatnonzero(kind < 0).tolist()
+        if new:
+            self._learn(list(dict.fromkeys(flat[k] for k in new)))
+            kind[new] = [self.number[flat[k]] for k in new]
+        return kind
+
+    def _skipped(self, kind: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(turns skipped as bits, whether that changes the plain segmentation) by each occurrence's draws.
+
+        An occurrence goes on drawing beyond the turns of the plain segmentation only after a change.
+        """
+        plain = self.turns[kind]
+        most = np.where(plain > 0, 3 * (self.size[kind] - 1), 0)
+        skips, hit = np.zeros(len(kind), np.uint64), np.zeros(len(kind), bool)
+        live, turn = np.flatnonzero(most > 0), 0
+        while len(live):
+            word = self._words(key[live], np.array([turn // 4]))
+            held, p, top, bits, met = live, plain[live], most[live], skips[live], hit[live]
+            for k in range(4):
+                off = ((word >> np.uint64(16 * k) & np.uint64(0xFFFF)) < self.limit) & (top > turn) & (met | (p > turn))
+                bits[off] |= np.uint64(1 << turn)
+                met |= off & (p > turn)
+                turn += 1
+            skips[held], hit[held] = bits, met
+            live = held[(top > turn) & (met | (p > turn))]
+        return skips, hit
 
     def encode(self, texts: list[str | None], names: list) -> list[np.ndarray]:
-        """Ids of whole texts; a text's name keys its draws. Null and empty texts have none."""
-        if self.held > CACHED:
+        """Ids of whole texts; a text's name keys its draws. Null and empty texts have none.
+
+        Segmentations after a skip are seldom met again, so only plain ones are remembered.
+        """
+        if len(self.names) > CACHED or len(self.chars) > 16 * CACHED:
             self._forget()
         chunks = [self.chunk.findall(" " + t) if t else [] for t in texts]
-        flat = [c for cs in chunks for c in cs]
-        kinds = list(dict.fromkeys(flat))
-        kind = np.fromiter(map({c: k for k, c in enumerate(kinds)}.__getitem__, flat), np.int64, len(flat))
         counts = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        flat = list(chain.from_iterable(chunks))
+        del chunks
+        kind = self._numbers(flat)
         first = np.concatenate(([0], np.cumsum(counts)))
         key = np.repeat(np.array([xxhash.xxh64_intdigest(str(name), self.seed) for name in names], np.uint64), counts)
         place = np.arange(len(flat)) - np.repeat(first[:-1], counts)
         key = mix(key + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        size = np.fromiter(map(len, kinds), np.int64, len(kinds))
-        short = size <= LONG
-        self._learn([(c, 0) for c, some in zip(kinds, short.tolist()) if some])
-        made = [self.found[0].get(c, b"") for c in kinds]
-        which = kind.copy()
+        at, size, pools, end = self.at[kind], self.count[kind], [self.pool], len(self.pool)
         if self.limit:
-            # Turns that are skipped. Where that leaves the turns of the plain segmentation alone, it stands.
-            plain = np.fromiter((self.turns.get(c, 0) for c in kinds), np.int64, len(kinds))[kind]
-            most = np.where(plain > 0, 3 * (size[kind] - 1), 0)
-            skips, hit = np.zeros(len(flat), np.uint64), np.zeros(len(flat), bool)
-            live, turn = np.flatnonzero(most > 0), 0
-            while len(live):
-                off = self._draw(key[live], np.array([turn])) < self.limit
-                skips[live[off]] |= np.uint64(1 << turn)
-                hit[live[off & (turn < plain[live])]] = True
-                turn += 1
-                live = live[(most[live] > turn) & (hit[live] | (plain[live] > turn))]
+            skips, hit = self._skipped(kind, key)
             odd = np.flatnonzero(hit)
-            patterns, pattern = np.unique(skips[odd], return_inverse=True)
-            variants = []
-            for x in patterns.tolist():
-                if x not in self.variant:
-                    self.variant[x] = len(self.skips)
-                    self.skips.append(x)
-                    self.found.append({})
-                variants.append(self.variant[x])
-            pairs, pair = np.unique(kind[odd] * max(1, len(patterns)) + pattern, return_inverse=True)
-            asked = [(kinds[k // len(patterns)], variants[k % len(patterns)]) for k in pairs.tolist()]
-            self._learn(asked)
-            which[odd] = len(made) + pair
-            made += [self.found[v][c] for c, v in asked]
-        long = np.flatnonzero(~short[kind])
-        which[long] = len(made) + np.arange(len(long))
-        made += [array("i", self.segment(flat[k], 0, int(key[k]) if self.limit else None)).tobytes() for k in long.tolist()]
-        which = which.tolist()
-        return [np.frombuffer(b"".join(map(made.__getitem__, which[a:b])), np.int32) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+            if len(odd):
+                patterns, pattern = np.unique(skips[odd], return_inverse=True)
+                pairs, pair = np.unique(kind[odd] * len(patterns) + pattern, return_inverse=True)
+                ids, begin, n, _ = self._blocks(pairs // len(patterns), patterns[pairs % len(patterns)])
+                at[odd], size[odd] = end + begin[pair], n[pair]
+                pools.append(ids)
+                end += len(ids)
+        for k in np.flatnonzero(self.size[kind] > LONG).tolist():
+            ids = np.array(self.segment(flat[k], 0, int(key[k]) if self.limit else None), np.int32)
+            at[k], size[k] = end, len(ids)
+            pools.append(ids)
+            end += len(ids)
+        before = np.concatenate(([0], np.cumsum(size)))
+        ids = np.concatenate(pools)[np.repeat(at - before[:-1], size) + np.arange(before[-1])]
+        return [ids[a:b] for a, b in zip(before[first[:-1]].tolist(), before[first[1:]].tolist())]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids from `encode`, without the space that encoding puts in front."""
@@ -278,7 +319,7 @@ def encode_pieces(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 42
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = None
-        for batch in slices(batches):
+        for batch in slices(batches, limit=1 << 20):
             segmenter = segmenter or Segmenter(model, rate, seed)
             texts = batch.column("text").to_pylist()
             ids = segmenter.encode(texts, batch.column("doc_id").to_pylist())
