@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from attesta.functions import text as X
+from attesta.operators import bootstrap as B
 from attesta.operators import ordered as O
 from attesta.operators import resample as R
 from attesta.operators import shuffles as SH
@@ -556,3 +557,29 @@ def holdout_splits(spark, d):
     p = table(spark, d, "part")
     r = SH.shuffled_holdout(p, "p_partkey", F.col("p_size") < 20, F.col("p_type") == "PROMO", 25, 0.3, 9)
     return rounded(r, ("mean_hits", "mean_held_out"))
+
+
+# --- bootstraps from counts ----------------------------------------------------------------------
+
+
+@query(
+    f"""WITH g AS (SELECT lang, count(*) FILTER (quality = 1) AS k, count(*) AS n FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1),
+        f AS (SELECT lang, n, x, sum(exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln(k / n) + (n - x) * ln(1 - k / n))) OVER (PARTITION BY lang ORDER BY x) AS below FROM (SELECT *, unnest(range(n + 1)) AS x FROM g WHERE k > 0 AND k < n)),
+        u AS (SELECT lang, rep, ({DUCK_DRAW.format("'5|' || lang || '|' || rep")} + 0.5) / 4294967296.0::DOUBLE AS u FROM (SELECT lang, unnest(range(4000)) AS rep FROM g)),
+        v AS (SELECT u.lang, rep, min(x / n) AS v FROM u JOIN f ON u.lang = f.lang AND f.below >= u.u GROUP BY 1, 2),
+        w AS (SELECT lang, v, row_number() OVER (PARTITION BY lang ORDER BY v) - 1 AS i FROM v)
+       SELECT lang, round(max(v) FILTER (i = 100), 9) AS lo, round(max(v) FILTER (i = 3900), 9) AS hi FROM w GROUP BY 1"""
+)
+def binomial_bootstrap(spark, d):
+    """Row bootstrap of a share by one binomial number a replicate."""
+    j = table(spark, d, "documents", spread=True).select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id")
+    g = j.groupBy("lang").agg(F.count_if(F.col("quality") == 1).alias("k"), F.count(F.lit(1)).alias("n"))
+    return rounded(B.binomial_bootstrap(g, "k", "n", ["lang"], 4000, 5), ("lo", "hi"))
+
+
+@query()
+def customer_bootstrap(spark, d):
+    """Share of large orders with customers as clusters, 4,000 replicates from counts; all customers are drawn each time."""
+    o = table(spark, d, "orders").select("o_orderpriority", "o_custkey", (F.col("o_totalprice") > 250000).cast("int").alias("x"))
+    b = B.counted_bootstrap(o, "o_custkey", {"s": F.col("x"), "n": F.lit(1)}, F.expr("s / n"), ["o_orderpriority"], 4000, 29)
+    return rounded(b, ("point", "lo", "hi"))

@@ -2,12 +2,13 @@
 
 import math
 from collections import Counter
-from itertools import permutations
+from itertools import permutations, product
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from attesta.operators import bootstrap as B
 from attesta.operators import shuffles as SH
 
 
@@ -68,3 +69,59 @@ def test_shuffle_test_against_enumeration(spark):
     assert r.p_greater == pytest.approx(share, abs=0.02)
     other = SH.shuffle_test(df, [], "id", "lab", "v", 500, 5, lambda x, v: F.corr(x.cast("double"), v)).first()
     assert other.observed > 0.5 and other.p_greater == pytest.approx(share, abs=0.04)
+
+
+def test_binomial_inverse_is_exact():
+    for m in (0, 1, 2, 7, 40, 300):
+        for p in (0.5, 0.3, 1 / 3, 0.99):
+            pmf = [math.comb(m, x) * p**x * (1 - p) ** (m - x) for x in range(m + 1)]
+            below = np.cumsum(pmf)
+            u = np.random.default_rng(m).random(400)
+            want = np.minimum(np.searchsorted(below, u), m)
+            assert (B.binomial_inverse(np.full(400, m), p, u) == want).all()
+    big = B.binomial_inverse(np.full(5, 10**9), 0.5, np.array([1e-9, 0.25, 0.5, 0.75, 1 - 1e-9]))
+    z = (big - 5e8) / math.sqrt(2.5e8)
+    assert z == pytest.approx([-5.998, -0.6745, 0, 0.6745, 5.998], abs=2e-3)
+
+
+def test_tree_counts_follow_the_multinomial_law():
+    keys = B.replicate_keys(3, 0, 60_000)
+    for k, draws in ((2, 3), (3, 3), (5, 2)):
+        seen = Counter(map(tuple, B.tree_counts(k, draws, 0, k, keys).tolist()))
+        chi = free = 0
+        for form in {tuple(np.bincount(x, minlength=k)) for x in product(range(k), repeat=draws)}:
+            p = math.factorial(draws) / math.prod(map(math.factorial, form)) / k**draws
+            chi += (seen[form] - p * len(keys)) ** 2 / (p * len(keys))
+            free += 1
+        assert sum(seen.values()) == len(keys) and chi < free + 5 * math.sqrt(2 * free)
+
+
+def test_tasks_agree_on_the_counts():
+    keys = B.replicate_keys(1, 7, 50)
+    whole = B.tree_counts(1000, 1000, 0, 1000, keys)
+    assert (whole.sum(1) == 1000).all() and (whole >= 0).all()
+    for lo, hi in ((0, 1), (0, 256), (333, 700), (999, 1000)):
+        assert (B.tree_counts(1000, 1000, lo, hi, keys) == whole[:, lo:hi]).all()
+
+
+def test_counted_bootstrap_against_drawn_samples(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK", 4)
+    rng = np.random.default_rng(2)
+    rows = [(int(c), g, float(v)) for g in ("a", "b") for c, v in zip(rng.integers(0, 25, 400), rng.normal(size=400) + (g == "b"))]
+    df = spark.createDataFrame(rows, "c int, g string, v double")
+    sums = {"s": F.col("v"), "n": F.lit(1)}
+    got = {r.g: r for r in B.counted_bootstrap(df, "c", sums, F.expr("s / n"), ["g"], 3000, 5).collect()}
+    for g in ("a", "b"):
+        per = np.zeros((25, 2))
+        for c, h, v in rows:
+            if h == g:
+                per[c] += (v, 1)
+        per = per[per[:, 1] > 0]
+        pick = rng.integers(0, len(per), (20_000, len(per)))
+        stat = per[pick, 0].sum(1) / per[pick, 1].sum(1)
+        lo, hi = np.quantile(stat, [0.025, 0.975])
+        assert got[g].point == pytest.approx(per[:, 0].sum() / per[:, 1].sum()) and got[g].n_valid == 3000
+        assert (got[g].lo, got[g].hi) == pytest.approx((lo, hi), abs=0.15 * (hi - lo))
+    one = B.counted_bootstrap(df.where("c = 3 AND g = 'a'"), "c", sums, F.expr("s / n"), [], 50, 5).first()
+    assert one.lo == one.hi == one.point
+    assert B.counted_bootstrap(df.where("false"), "c", sums, F.expr("s / n"), ["g"], 50, 5).isEmpty()
