@@ -399,10 +399,40 @@ def nested_samples(spark, d):
     return S.nested_samples(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", [25, 50, 100], 42).select("size", "doc_id", "rn")
 
 
-@query()
+def sql_shifted(rows, by, reps, seed, offset, first=1):
+    """`rg` (rows on rings) and `mv` (the ring place that each row moves to, by replicate) of rows (by, chrom, pos)."""
+    part = f"{by}, chrom" if by else "chrom"
+    draw = DUCK_DRAW.format(f"'{seed}|' || rep || '|' || chrom")
+    return f"""rg AS (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY pos) - 1 AS k, count(*) OVER (PARTITION BY {part}) AS len FROM {rows}),
+        mv AS (SELECT * EXCLUDE (k), (k + {offset}) % len AS k FROM (SELECT *, {draw} AS dr FROM (SELECT rg.*, unnest(range({first}, {reps} + 1)) AS rep FROM rg)))"""
+
+
+_SCREEN_OFFSET = "CASE WHEN len > 20 THEN dr % (len - 19) + 10 WHEN len > 2 THEN dr % (len - 1) + 1 ELSE 0 END"
+_FEATURES = ("x", "z2", "y")
+
+
+def sql_screen(odd, seed):
+    """CTEs of one half: `ob` observed and `tl` tails by pair, of partial rank correlations given z1."""
+    rank = ", ".join(f"{sql_rank(c)} AS r_{c}" for c in (*_FEATURES, "z1"))
+    pairs = [(a, b) for k, a in enumerate(_FEATURES) for b in _FEATURES[k + 1 :]]
+    pr = lambda a, b, m, f: _PART1.format(a=f"corr({m}.r_{a}, {f}.r_{b})", b=f"corr({m}.r_{a}, {f}.r_z1)", c=f"corr({f}.r_{b}, {f}.r_z1)")
+    null = " UNION ALL ".join(f"SELECT '{a}' AS predictor, '{b}' AS outcome, rep, {pr(a, b, 'mv', 'rg')} AS r FROM mv JOIN rg ON mv.chrom = rg.chrom AND mv.k = rg.k GROUP BY rep" for a, b in pairs)
+    seen = " UNION ALL ".join(f"SELECT '{a}' AS predictor, '{b}' AS outcome, {pr(a, b, 'rg', 'rg')} AS o FROM rg" for a, b in pairs)
+    return f"""(WITH {_TILES}, hf AS (SELECT chrom, pos, {rank} FROM tiles WHERE (CAST(substr(chrom, 7, 9) AS INT) % 2 = 1) = {odd}), {sql_shifted('hf', '', 1999, seed, _SCREEN_OFFSET)},
+        nl AS ({null}), ob AS ({seen})
+       SELECT nl.predictor, nl.outcome, max(o) AS o, (1 + count(*) FILTER (r <= o + 1e-12)) / 2000 AS p_neg, (1 + count(*) FILTER (r >= o - 1e-12)) / 2000 AS p_pos FROM nl JOIN ob ON nl.predictor = ob.predictor AND nl.outcome = ob.outcome GROUP BY 1, 2)"""
+
+
+@query(
+    f"""WITH d AS (SELECT *, abs(o) >= 0.05 AND least(p_neg, p_pos) <= 0.05 AS survived FROM {sql_screen('true', 5)}), c AS (SELECT * FROM {sql_screen('false', 6)}),
+        j AS (SELECT d.predictor, d.outcome, d.o AS disc_rho, survived, CASE WHEN survived THEN c.o END AS conf_rho, CASE WHEN survived THEN CASE WHEN d.o < 0 THEN c.p_neg ELSE c.p_pos END END AS p FROM d JOIN c ON d.predictor = c.predictor AND d.outcome = c.outcome)
+       SELECT predictor, outcome, round(disc_rho, 9) AS disc_rho, survived, round(conf_rho, 9) AS conf_rho, p AS p_directional,
+              coalesce(sign(disc_rho) * conf_rho >= 0.05 AND p <= 0.05 / (SELECT count(*) FROM d WHERE survived), false) AS confirmed FROM j"""
+)
 def discovery_confirmation_screen(spark, d):
     """Tile screen: discovery on odd partitions, survivors confirmed on even ones in the discovery sign."""
-    return studies.split_screen(tiles(spark, d), "chrom", ["pos"], ["x", "z2", "y"], ["z1"], F.substring("chrom", 7, 9).cast("int"), 1999, 5)
+    got = studies.split_screen(tiles(spark, d), "chrom", ["pos"], list(_FEATURES), ["z1"], F.substring("chrom", 7, 9).cast("int"), 1999, 5)
+    return rounded(got, "disc_rho", "conf_rho", digits=9)
 
 
 @query()
@@ -411,16 +441,42 @@ def sensitivity_grid(spark, d):
     return studies.sensitivity_grid(tiles(spark, d), "chrom", ["pos"], "x", "y", "z1", 1999, 9)
 
 
+@query(
+    f"""WITH {_TILES}, t AS (SELECT chrom, pos, x::DOUBLE AS x, y::DOUBLE AS y, z1 FROM tiles), s AS (SELECT chrom, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy FROM t GROUP BY 1),
+        z AS (SELECT t.*, CASE WHEN sx > 0 THEN (x - mx) / sx ELSE 0 END AS zx, CASE WHEN sy > 0 THEN (y - my) / sy ELSE 0 END AS zy FROM t JOIN s ON t.chrom = s.chrom),
+        a AS (SELECT 'raw' AS arm, chrom, pos, z1, x AS a, y AS b FROM z UNION ALL SELECT 'scale_free', chrom, pos, z1, zx, zy FROM z UNION ALL SELECT 'swapped', chrom, pos, z1, y, x FROM z),
+        rk AS (SELECT arm, chrom, pos, {sql_rank('a', 'arm')} AS ra, {sql_rank('b', 'arm')} AS rb, {sql_rank('z1', 'arm')} AS rz FROM a), {sql_shifted('rk', 'arm', 499, 9, _SCREEN_OFFSET)},
+        nl AS (SELECT mv.arm, rep, {_PART1.format(a='corr(mv.ra, rg.rb)', b='corr(mv.ra, mv.rz)', c='corr(rg.rb, mv.rz)')} AS r FROM mv JOIN rg ON mv.arm = rg.arm AND mv.chrom = rg.chrom AND mv.k = rg.k GROUP BY ALL),
+        ob AS (SELECT arm, count(*) AS n, {_PART1.format(a='corr(ra, rb)', b='corr(ra, rz)', c='corr(rb, rz)')} AS o FROM rg GROUP BY 1)
+       SELECT nl.arm, max(n) AS n, round(max(o), 6) AS observed, (1 + count(*) FILTER (r <= o + 1e-12)) / 500 AS p_neg, (1 + count(*) FILTER (r >= o - 1e-12)) / 500 AS p_pos, round(avg(r), 6) AS null_mean, round(stddev_pop(r), 6) AS null_sd
+       FROM nl JOIN ob ON nl.arm = ob.arm GROUP BY 1"""
+)
+def sensitivity_arms(spark, d):
+    """Raw, scale-free and swapped arms; the base moves with the predictor."""
+    got = studies.sensitivity_arms(tiles(spark, d), "chrom", ["pos"], "x", "y", "z1", 499, 9)
+    return rounded(got.drop("z"), "observed", "null_mean", "null_sd")
+
+
 @query()
 def noise_matched_control(spark, d):
     return studies.noise_matched(tiles(spark, d), ["chrom", "pos"], "x", "y", "z2", 3, 10)
 
 
-@query()
+@query(
+    f"""WITH {_TILES}, t AS (SELECT substr(chrom, 1, 7) AS chrom, pos, pos // 250 AS tile, x::DOUBLE AS x, y::DOUBLE AS y, z2::DOUBLE AS z FROM tiles), {sql_shifted('t', '', 200, 21, 'CASE WHEN rep > 0 THEN dr % (len - 99) + 50 ELSE 0 END', first=0)},
+        j AS (SELECT mv.rep, rg.chrom, rg.tile, mv.x, rg.y, rg.z FROM mv JOIN rg ON mv.chrom = rg.chrom AND mv.k = rg.k WHERE rg.len >= 101),
+        dm AS (SELECT rep, x - avg(x) OVER w AS dx, y - avg(y) OVER w AS dy, z - avg(z) OVER w AS dz, count(*) OVER w AS c FROM j WINDOW w AS (PARTITION BY rep, chrom, tile)),
+        rk AS (SELECT rep, {sql_rank('dx', 'rep')} AS rx, {sql_rank('dy', 'rep')} AS ry, {sql_rank('dz', 'rep')} AS rz FROM dm WHERE c >= 5),
+        pr AS (SELECT rep, count(*) AS n, {_PART1.format(a='corr(rx, ry)', b='corr(rx, rz)', c='corr(ry, rz)')} AS r FROM rk GROUP BY 1),
+        cm AS (SELECT avg(x) AS x, avg(y) AS y, avg(z) AS z FROM t GROUP BY chrom, tile HAVING count(*) >= 5), ck AS (SELECT {sql_rank('x')} AS rx, {sql_rank('y')} AS ry, {sql_rank('z')} AS rz FROM cm)
+       SELECT 'fine' AS scale, max(n) FILTER (rep = 0) AS n, round(max(r) FILTER (rep = 0), 6) AS rho, round((max(r) FILTER (rep = 0) - avg(r) FILTER (rep > 0)) / stddev_pop(r) FILTER (rep > 0), 5) AS z FROM pr
+       UNION ALL SELECT 'coarse', count(*), round({_PART1.format(a='corr(rx, ry)', b='corr(rx, rz)', c='corr(ry, rz)')}, 6), NULL FROM ck"""
+)
 def fine_vs_coarse(spark, d):
-    """Partial rank correlation within tiles and between tile means, with a shift null."""
-    t = tiles(spark, d).withColumn("tile", F.floor(F.col("pos") / 250))
-    return studies.fine_coarse(t, "chrom", "tile", ["pos"], "x", "y", "z2", 5, 200, 21)
+    """Partial rank correlation within tiles and between tile means, with a null that shifts the raw feature."""
+    t = tiles(spark, d).withColumn("chrom", F.substring("chrom", 1, 7)).withColumn("tile", F.floor(F.col("pos") / 250))
+    got = studies.fine_coarse(t, "chrom", "tile", ["pos"], "x", "y", "z2", 5, 200, 21)
+    return got.select("scale", "n", F.round("rho", 6).alias("rho"), F.round("z", 5).alias("z"))
 
 
 # --- contacts ----------------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import numeric as N
@@ -105,18 +105,23 @@ def split_screen(
     return j.select("predictor", "outcome", "disc_rho", "survived", "conf_rho", p.alias("p_directional"), F.coalesce(ok, F.lit(False)).alias("confirmed"))
 
 
-def sensitivity_grid(tiles: DataFrame, part: str, order: Sequence[str], x: str, y: str, base: str, reps: int, seed: int) -> DataFrame:
+def sensitivity_arms(tiles: DataFrame, part: str, order: Sequence[str], x: str, y: str, base: str, reps: int, seed: int) -> DataFrame:
     """One contrast under several arms: raw, per-partition standardised, and swapped roles (placebo direction)."""
     num = tiles.select(part, *order, *[F.col(c).cast("double").alias(c) for c in (x, y, base)])
     z = O.partition_zscore(O.partition_zscore(num, [part], x, "zx"), [part], y, "zy")
     arm = lambda n, a, b: F.struct(F.lit(n).alias("arm"), F.col(a).alias("__x"), F.col(b).alias("__y"))
-    rows = z.select(part, *order, base, F.inline(F.array(arm("raw", x, y), arm("scale_free", "zx", "zy"), arm("swapped", y, x))))
-    linear = A.spatial_null(rows, part, order, "__x", "__y", [base], reps, seed, shift_with_x=[base], by=["arm"])
-    spline = O.rank_spline(num, [], base)
-    r = A.ranked(spline, [x, y])
+    # Written once: sums of doubles can differ in their last bits from one evaluation to the next, and ranks are joined by value.
+    rows = stage(z.select(part, *order, base, F.inline(F.array(arm("raw", x, y), arm("scale_free", "zx", "zy"), arm("swapped", y, x)))), "arms")
+    return A.spatial_null(rows, part, order, "__x", "__y", [base], reps, seed, shift_with_x=[base], by=["arm"])
+
+
+def sensitivity_grid(tiles: DataFrame, part: str, order: Sequence[str], x: str, y: str, base: str, reps: int, seed: int) -> DataFrame:
+    """The arms of `sensitivity_arms`, and one that adjusts for a flexible curve of the base."""
+    num = tiles.select(part, *order, *[F.col(c).cast("double").alias(c) for c in (x, y, base)])
+    r = A.ranked(O.rank_spline(num, [], base), [x, y])
     basis = ["u1", "u2", "u3", "k1", "k2", "k3"]
     flex = A.spatial_null(r.withColumn("arm", F.lit("flexible")), part, order, f"r_{x}", f"r_{y}", basis, reps, seed, by=["arm"], rank=False)
-    return linear.unionByName(flex)
+    return sensitivity_arms(tiles, part, order, x, y, base, reps, seed).unionByName(flex)
 
 
 def hashed_normal(seed: int, *keys: Column) -> Column:
@@ -147,16 +152,32 @@ def noise_matched(df: DataFrame, keys: Sequence[str], sim: str, ref: str, observ
     return got.select(F.lit(scale).alias("noise_sd"), F.lit(target).alias("target_rho"), F.col("spearman").alias("matched_rho"), "n")
 
 
-def fine_coarse(df: DataFrame, part: str, tile: str, order: Sequence[str], x: str, y: str, z: str, min_count: int, reps: int, seed: int) -> DataFrame:
-    """Within-tile and between-tile partial rank correlation of x and y given z."""
+def fine_coarse(df: DataFrame, part: str, tile: str, order: Sequence[str], x: str, y: str, z: str, min_count: int, reps: int, seed: int, margin: int = 50) -> DataFrame:
+    """Within-tile and between-tile partial rank correlation of x and y given z.
+
+    The null shifts x itself round its partition, by `margin` places at least, and only then takes tile means out: means
+    and ranks of shifted values differ from shift to shift. Rows with a missing value are places of the ring, but
+    neither they nor places that receive a missing value count. Partitions of fewer than 2 * margin + 1 rows and tiles
+    with fewer than `min_count` rows are in no value.
+    """
     cols = [x, y, z]
-    full = stage(A.listwise(df.select(part, tile, *order, *[F.col(c).cast("double").alias(c) for c in cols]), cols), "fine")
-    resid = full
-    for c in cols:
-        resid = O.demean(resid, [part, tile], c, min_count, f"d_{c}")
-    fine = A.spatial_null(resid, part, order, f"d_{x}", f"d_{y}", [f"d_{z}"], reps, seed, policy="margin", margin=50).select(F.lit("fine").alias("scale"), "n", F.col("observed").alias("rho"), "z")
-    means = full.groupBy(part, tile).agg(*[F.avg(c).alias(c) for c in cols], F.count(F.lit(1)).alias("k")).where(F.col("k") >= min_count)
-    coarse = A.partial_spearman(means, [], x, y, [z]).select(F.lit("coarse").alias("scale"), "n", F.col("partial_r").alias("rho"), F.lit(None).cast("double").alias("z"))
+    rows = df.where(F.col(part).isNotNull()).select(part, tile, *order, *[F.col(c).cast("double").alias(c) for c in cols])
+    ring = stage(O.ring_positions(rows, [part], order).where(F.col("ring_len") >= 2 * margin + 1), "fine")
+    offset = F.when(F.col("rep") > 0, A.shift_offset("margin", seed, F.col("rep"), F.col(part), F.col("ring_len"), margin)).otherwise(F.lit(0))
+    shifts = ring.select(part, "ring_len").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).withColumn("offset", offset)
+    moved = ring.select(part, "ring_pos", x).join(shifts, part)
+    moved = moved.select(part, "rep", F.pmod(F.col("ring_pos") + F.col("offset"), F.col("ring_len")).alias("ring_pos"), x)
+    here = moved.join(ring.select(part, tile, "ring_pos", y, z), [part, "ring_pos"])
+    w = Window.partitionBy("rep", part, tile)  # a tile is a stretch of fixed length
+    resid = A.listwise(here, cols).select("rep", *[(F.col(c) - F.avg(c).over(w)).alias(f"d_{c}") for c in cols], F.count(F.lit(1)).over(w).alias("k")).where(F.col("k") >= min_count)
+    resid = stage(resid, "resid")  # ranks are joined by value, so sums of doubles must not be made twice
+    rho = stage(A.partial_spearman(resid, ["rep"], f"d_{x}", f"d_{y}", [f"d_{z}"]), "rho")
+    null = rho.where("rep > 0").agg(F.avg("partial_r").alias("m"), F.stddev_pop("partial_r").alias("sd"))
+    fine = rho.where("rep = 0").join(F.broadcast(null)).select(
+        F.lit("fine").alias("scale"), "n", F.col("partial_r").alias("rho"), F.try_divide(F.col("partial_r") - F.col("m"), F.col("sd")).alias("z")
+    )
+    means = A.listwise(rows, cols).groupBy(part, tile).agg(*[F.avg(c).alias(c) for c in cols], F.count(F.lit(1)).alias("k")).where(F.col("k") >= min_count)
+    coarse = A.partial_spearman(stage(means, "means"), [], x, y, [z]).select(F.lit("coarse").alias("scale"), "n", F.col("partial_r").alias("rho"), F.lit(None).cast("double").alias("z"))
     return fine.unionByName(coarse)
 
 
