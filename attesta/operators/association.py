@@ -18,6 +18,7 @@ from pyspark.sql.types import DoubleType
 
 from attesta.functions.numeric import draw, normal_upper, student_t_p
 from attesta.operators import pairwise as P
+from attesta.operators import tiles as T
 from attesta.operators.ordered import average_rank, ring_positions, value_counts
 from attesta.operators.rings import shifted_products
 from attesta.session import stage
@@ -427,50 +428,53 @@ test_pairs.__test__ = False  # not a pytest case
 def correlation_matrix(df: DataFrame, x: str, names: Sequence[str], missing: str = "zero") -> DataFrame:
     """(a, b, r) for all column pairs a < b; pairs in which a column has no variance are left out.
 
-    A missing cell counts as zero over all rows (`zero`), or a pair uses the rows that have both (`pairwise`).
-    Tasks add up products of their rows' blocks; the sums of one column against all others meet in one task, so
-    no task holds more than its rows and a few columns of the matrix.
+    A missing cell counts as zero over all rows (`zero`), or a pair uses the rows that have both (`pairwise`). Only
+    pairs of tiles on or above the diagonal are multiplied; a task holds two tiles, and no task all columns.
     """
     if missing not in ("zero", "pairwise"):
         raise ValueError(missing)
-    p = len(names)
+    tiles = [np.arange(at, min(at + T.COLUMNS, len(names))) for at in range(0, len(names), T.COLUMNS)]
+    data = df.select(F.transform(x, lambda v: F.coalesce(v, F.lit(0.0))).alias("x") if missing == "zero" else F.col(x).alias("x"))
 
-    def dense(batch) -> tuple[np.ndarray, np.ndarray]:
-        v = np.array([[np.nan] * p if r is None else [np.nan if c is None else c for c in r] for r in batch.column(0).to_pylist()], float).reshape(-1, p)
+    def own(_, v):
         there = np.isfinite(v)
-        return np.where(there, v, 0.0), there if missing == "pairwise" else np.ones_like(there)
-
-    def totals(batches):
-        total = np.zeros((2, p))
-        for batch in batches:
-            v, there = dense(batch)
-            total += [v.sum(0), there.sum(0)]
-        yield pa.record_batch([pa.array(range(p), pa.int32()), *map(pa.array, total)], ["a", "s", "n"])
-
-    # Centring by rough means keeps the sums of products accurate; any constant gives the same r.
-    rows = df.select(x)
-    sums = rows.mapInArrow(totals, "a int, s double, n double").groupBy("a").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
-    centre = np.zeros(p)
-    for r in sums.collect():
-        centre[r["a"]] = r["m"] or 0.0
-
-    def products(batches):
-        total = np.zeros((6, p, p))
+        return np.concatenate([np.where(there, v, 0.0).sum(0), there.sum(0).astype(float)])
+
+    cells = T.cut(data, [("x", tiles)], None, own)
+    blocks = max(1, cells.where("tile = 0").count())
+    groups = T.groups_of(blocks)
+    # Centring by means keeps the sums of products accurate; any constant gives the same r.
+    sums = T.added(cells.select("side", "tile", F.pmod(F.xxhash64("block"), F.lit(blocks)).cast("int").alias("g"), F.col("own").alias("v")), ["side", "tile"], blocks)
+    side = cells.drop("own", "c").join(stage(sums.select("tile", F.col("v").alias("fit")), "means"), "tile")
+
+    def multiply(a: pa.Table, b: pa.Table) -> np.ndarray | None:
+        def parts(table):
+            for block, v, fit in zip(*(table.column(c).to_pylist() for c in ("block", "v", "fit"))):
+                total, n = np.frombuffer(fit, float).reshape(2, -1)
+                v = np.frombuffer(v, float).reshape(-1, len(n)) - total / np.maximum(n, 1)
+                there = np.isfinite(v)
+                yield block, (np.where(there, v, 0.0), there.astype(float))
+
+        right, total = dict(parts(b)), None
+        for block, (v, w) in parts(a):
+            if block in right:
+                u, z = right[block]
+                part = np.stack([w.T @ z, v.T @ z, w.T @ u, (v * v).T @ z, w.T @ (u * u), v.T @ u])
+                total = part if total is None else total + part
+        return total
+
+    last = len(tiles) - 1
+    made = T.cells(side, side, F.sequence("tile", F.lit(last)), F.sequence(F.lit(0), "tile"), groups, multiply)
+
+    def finish(batches):
         for batch in batches:
-            v, there = dense(batch)
-            w = there.astype(float)
-            v = np.where(there, v - centre, 0.0)
-            total += [w.T @ w, v.T @ w, w.T @ v, (v * v).T @ w, w.T @ (v * v), v.T @ v]
-        yield pa.record_batch([pa.array(range(p), pa.int32()), pa.array(list(total.transpose(1, 0, 2).reshape(p, 6 * p)))], ["a", "t"])
-
-    def finish(key, table):
-        i = key[0].as_py()
-        n, sa, sb, qa, qb, ab = np.sum(table.column("t").to_pylist(), axis=0).reshape(6, p)[:, i + 1 :]
-        with np.errstate(all="ignore"):
-            va, vb = qa - sa * sa / n, qb - sb * sb / n
-            r = (ab - sa * sb / n) / np.sqrt(va * vb)
-        ok = (va > 1e-12 * qa) & (vb > 1e-12 * qb) & np.isfinite(r)
-        j = np.flatnonzero(ok)
-        return pa.table({"a": pa.array(np.full(len(j), i, np.int32)), "b": pa.array((j + i + 1).astype(np.int32)), "r": pa.array(r[j])})
-
-    return rows.mapInArrow(products, "a int, t array<double>").groupBy("a").applyInArrow(finish, "a int, b int, r double")
+            for i, j, v in zip(*(batch.column(k).to_pylist() for k in ("i", "j", "v"))):
+                n, sa, sb, qa, qb, ab = np.frombuffer(v, float).reshape(6, len(tiles[i]), len(tiles[j]))
+                with np.errstate(all="ignore"):
+                    va, vb = qa - sa * sa / n, qb - sb * sb / n
+                    r = (ab - sa * sb / n) / np.sqrt(va * vb)
+                ok = (va > 1e-12 * qa) & (vb > 1e-12 * qb) & np.isfinite(r) & (tiles[i][:, None] < tiles[j])
+                p, q = np.nonzero(ok)
+                yield pa.record_batch([pa.array(tiles[i][p].astype(np.int32)), pa.array(tiles[j][q].astype(np.int32)), pa.array(r[p, q])], ["a", "b", "r"])
+
+    return T.added(made, ["i", "j"], groups).select("i", "j", "v").mapInArrow(finish, "a int, b int, r double")

@@ -365,7 +365,14 @@ def percentile_screen(spark, d):
     return S.percentile_screen(o, "gain", F.col("o_orderstatus") != "P").select("o_orderkey", F.round("gain", 4).alias("gain"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE t AS (SELECT o_orderkey AS id, o_orderstatus AS st, (o_orderstatus = 'O')::INT AS o, o_custkey AS c, o_orderpriority AS p, o_totalprice AS v FROM orders WHERE o_orderstatus IN ('F', 'O')),
+        k AS (SELECT *, row_number() OVER (ORDER BY o, v DESC, id) AS rn FROM t),
+        g(n, rn, id, taken) AS (SELECT 0, 0::BIGINT, NULL::BIGINT, []::STRUCT(o INT, c BIGINT, p VARCHAR)[]
+          UNION ALL SELECT n + 1, nx.rn, nx.id, list_append(taken, struct_pack(o := nx.o, c := nx.c, p := nx.p)) FROM g, LATERAL (SELECT k.* FROM k WHERE k.rn > g.rn
+             AND len(list_filter(g.taken, lambda x: x.o = k.o)) < 50 AND len(list_filter(g.taken, lambda x: x.c = k.c)) < 3 AND len(list_filter(g.taken, lambda x: x.p = k.p)) < 20 ORDER BY k.rn LIMIT 1) nx)
+       SELECT o_orderkey, o_orderstatus, o_custkey, o_orderpriority, o_totalprice FROM orders JOIN g ON o_orderkey = g.id"""
+)
 def greedy_capped_selection(spark, d):
     """50 per status by price, at most 3 per customer and 20 per priority shared across statuses."""
     o = table(spark, d, "orders")
