@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from attesta.functions.numeric import draw, normal_upper, student_t_p
+from attesta.functions.numeric import clean, draw, normal_upper, student_t_p
 from attesta.operators import pairwise as P
 from attesta.operators import tiles as T
 from attesta.operators.ordered import average_rank, ring_positions, value_counts
@@ -319,19 +319,20 @@ def associate(
     When at least `joint_share` of the rows have all of x, those rows serve all columns; otherwise every pair uses the
     rows that both of its columns have. Pairs with fewer than `min_df` degrees of freedom are left out.
     """
-    return P.every_pair(association_sums(df, x, y, c, min_df, joint_share), x_names, y_names, min_df)
+    return P.every_pair(association_sums(df, x, y, c, len(x_names), len(y_names), min_df, joint_share), x_names, y_names, min_df)
 
 
 def associate_significant(
     df: DataFrame, x: str, y: str, c: str, x_names: Sequence[str], y_names: Sequence[str], alpha: float, among=None, min_df: int = 20, joint_share: float = 0.8
 ) -> DataFrame:
     """The rows of `associate` whose BH q over all pairs is at most alpha, with q; other pairs are never written."""
-    return P.significant(association_sums(df, x, y, c, min_df, joint_share), x_names, y_names, alpha, min_df, among)
+    return P.significant(association_sums(df, x, y, c, len(x_names), len(y_names), min_df, joint_share), x_names, y_names, alpha, min_df, among)
 
 
-def association_sums(df: DataFrame, x: str, y: str, c: str, min_df: int = 20, joint_share: float = 0.8) -> P.Sums:
-    """The stored sums behind `associate`; `df` is evaluated once."""
-    data = stage(df.select(F.col(x).alias("x"), F.col(y).alias("y"), F.col(c).alias("c")), "assoc")
+def association_sums(df: DataFrame, x: str, y: str, c: str, n_x: int, n_y: int, min_df: int = 20, joint_share: float = 0.8) -> P.Sums:
+    """The stored sums behind `associate`; `df` is evaluated once. Rows without covariates take no part."""
+    rows = df.where(F.col(c).isNotNull())
+    data = stage(rows.select(T.whole_rows(F.col(x), n_x).alias("x"), T.whole_rows(F.col(y), n_y).alias("y"), F.col(c).alias("c")), "assoc")
     complete = ~F.exists(F.col("x"), lambda v: v.isNull() | F.isnan(v))
     shares = data.agg(F.count(F.lit(1)).alias("n"), F.count_if(complete).alias("ok"), F.max(F.size("c")).alias("width")).first()
     joint = shares["ok"] >= joint_share * shares["n"]
@@ -434,7 +435,8 @@ def correlation_matrix(df: DataFrame, x: str, names: Sequence[str], missing: str
     if missing not in ("zero", "pairwise"):
         raise ValueError(missing)
     tiles = [np.arange(at, min(at + T.COLUMNS, len(names))) for at in range(0, len(names), T.COLUMNS)]
-    data = df.select(F.transform(x, lambda v: F.coalesce(v, F.lit(0.0))).alias("x") if missing == "zero" else F.col(x).alias("x"))
+    whole = T.whole_rows(F.col(x), len(names))
+    data = df.select((F.transform(whole, lambda v: F.coalesce(clean(v), F.lit(0.0))) if missing == "zero" else whole).alias("x"))
 
     def own(_, v):
         there = np.isfinite(v)

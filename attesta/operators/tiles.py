@@ -23,6 +23,11 @@ ROWS, COLUMNS = 2048, 256  # of a tile
 BLOCKS, SUMS = 8, 32  # blocks in a cell; partial sums added in a task
 
 
+def whole_rows(column: Column, width: int) -> Column:
+    """The array, or one of missing cells where there is none."""
+    return F.coalesce(column, F.array_repeat(F.lit(None).cast("double"), width))
+
+
 def dense(column: pa.Array) -> np.ndarray:
     """List rows of one length as a matrix; missing elements are NaN."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
