@@ -47,7 +47,7 @@ class _Codes(dict):
         kind = _NUMBER if core[:1].isdigit() or low in NUMBERS else _UNIT if low in UNITS else _LITERAL
         code = xxhash.xxh64_intdigest(low, 7) >> 5 << 5 | kind
         code |= _CAPITAL * (core[:1].isupper() and not core.isupper()) | _STOP * (word[-1] in ".!?:" or not core) | _MARKED * (word[-1] in MARKS)
-        if len(self) > 1 << 19:
+        if len(self) > 1 << 17:
             self.clear()
         self[word] = code
         return code
@@ -135,9 +135,10 @@ def _windows(rows: DataFrame, name: str, lengths: tuple[int, ...], whole: bool,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes()
-        for batch in slices(batches):
+        for batch in slices(batches, limit=1 << 20):
             ids, texts = batch.column(name).to_numpy(zero_copy_only=False), Coded(batch.column("text").to_pylist(), codes)
-            for found in (Templates(texts), Templates(texts, True)):
+            for opened in (False, True):
+                found = Templates(texts, opened)
                 own = _own_length(found.count, max(lengths)) if whole else np.zeros(0, np.int64)
                 for n in sorted({*lengths, *own.tolist()} - {0}):
                     at, key = found.windows(n, n == max(lengths))

@@ -52,7 +52,7 @@ class _Scorer:
         """(how often each feature occurs, words)."""
         words, found = _words(text), Counter()
         known = self.known
-        if len(known) > 1 << 19:
+        if len(known) > 1 << 17:
             known.clear()
         for w in words:
             hit = known.get(w)
@@ -173,11 +173,14 @@ def severity(docs: DataFrame, model: Severity, least: float = 0.35) -> DataFrame
 
 
 def civil(docs: DataFrame, model: Severity, least: float = 0.35) -> DataFrame:
-    """The rows of `docs` whose expected severity is below `least`, with all their columns."""
+    """The rows of `docs` whose expected severity is below `least`, with all their columns.
+
+    Null and empty texts are judged as texts without words; repeated rows alike. An empty table stays empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
-        for batch in batches:
+        for batch in slices(batches):
             stay = [bool(scorer.above(t).sum() < least) for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(stay, pa.bool_()))
 

@@ -11,27 +11,30 @@ from attesta.session import table
 
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of low expected severity, by a model of the labelled ones among `docs`."""
+    """Documents of low expected severity, by a model of the labelled ones among `docs`. Null texts count as empty."""
     return toxicity.civil(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id."""
+    """One document of each group of near texts (five-word shingles, similarity 0.8), that of the smallest id.
+
+    Null texts and texts without words are near each other; of rows that repeat an id one stays, rows without one all.
+    """
     return simhash.one_each(docs)
 
 
 def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage. Null and empty texts hold none; rows without an id stay."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents with personal data replaced by its kind."""
+    """The same documents with personal data replaced by its kind. Null texts stay null."""
     return pii.redact(docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document with merge-dropout, and whether they decode to its text."""
+    """Piece ids of every document with merge-dropout, and whether they decode to its text. Null texts have none."""
     return merge_dropout.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 

@@ -3,12 +3,15 @@
 import random
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from cases import PASSAGE, no_docs, odd_docs, pairs
 
 import corpus_pipeline
 from attesta.llm import decontaminate, html_text, merge_dropout, pii, simhash, toxicity
 from attesta.llm.decontaminate import clean, contamination
+from attesta.llm.words import Words, mix
 from attesta.session import table
 
 SF = "/root/testdata/sf0.001"
@@ -188,19 +191,64 @@ def test_pages_keep_whole_articles(spark):
 # --- pipeline ----------------------------------------------------------------------------------
 
 
+def plain_near(fps):
+    """Smallest id reachable from each id of {id: long fingerprint} by links of at most NEAR_BITS bits and a common key."""
+    ids = sorted(fps)
+    codes = np.array([np.frombuffer(fps[i], np.uint64) for i in ids]).reshape(-1, simhash.LANES)
+    keys = simhash.long_keys(codes) if len(ids) else codes
+    group = np.arange(len(ids))
+    moved = True
+    while moved:
+        moved = False
+        for k in range(len(ids)):
+            near = (np.bitwise_count(codes ^ codes[k]).sum(1) <= simhash.NEAR_BITS) & (keys == keys[k]).any(1)
+            low = group[near].min()
+            moved, group[k] = moved or low != group[k], low
+    return {i: ids[g] for i, g in zip(ids, group.tolist())}
+
+
+def test_near_texts_against_all_pairs(spark):
+    """On the stored and the odd documents, and drawn copies of a text with more and more words changed."""
+    draw = random.Random(6)
+    words = [f"w{draw.randint(0, 400)}" for _ in range(150)]
+    rows = []
+    for i in range(60):
+        changed = list(words)
+        for k in draw.sample(range(150), i // 3):
+            changed[k] = f"z{draw.randint(0, 10**6)}"
+        rows.append((10**7 + i, " ".join(changed)))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    fps = {r.doc_id: bytes(r.fp) for r in simhash.long_fingerprints(docs).collect()}
+    want = plain_near(fps)
+    got = {r.doc_id: r.component_id for r in simhash.near_texts(docs).collect()}
+    assert got == want and len(set(want.values())) < len(want)
+    assert all(got[10**7 + i] == 10**7 for i in range(6)) and got[10**7 + 59] != 10**7
+    assert {r.doc_id for r in simhash.one_each(docs).collect()} == set(want.values())
+    odd = odd_docs(spark)
+    found = simhash.near_texts(odd).collect()
+    assert len(found) == odd.count() and simhash.near_texts(no_docs(spark)).isEmpty()
+    named = {r.doc_id: r.component_id for r in found if r.doc_id is not None}
+    assert named[2] == named[3] == named[4] == 2 and named[5] == named[6] == 5
+
+
+def test_long_fingerprint_is_a_majority(spark):
+    text = "The cat sat on THE mat and the cat sat on the mat again, then left"
+    fp = np.frombuffer(bytes(simhash.long_fingerprints(spark.createDataFrame([(1, text), (2, text.lower()), (3, "two words"), (4, "")], "doc_id long, text string")).orderBy("doc_id").collect()[0].fp), np.uint64)
+    words = Words(pa.array([text]), lower=True)
+    hashes = {int(h) for h in words.sequences(words.hashes(), 5)[words.whole(5)]}
+    step = np.random.default_rng(9).integers(1, 1 << 63, simhash.LANES, dtype=np.uint64)
+    assert len(hashes) < len(text.split()) - 4  # one shingle comes twice
+    for lane in range(simhash.LANES):
+        values = [int(mix(np.array([h], np.uint64) + step[lane])[0]) for h in hashes]
+        assert int(fp[lane]) == sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in values) > len(values))
+
+
 def test_pipeline_against_its_operators(spark):
     docs, labels, items = (table(spark, SF, t) for t in ("documents", "labels", "benchmark"))
     texts = {r.doc_id: r.text for r in docs.collect()}
     model = toxicity.fit(docs, labels)
     stay = {r.doc_id for r in toxicity.severity(docs, model).collect() if not r.toxic}
-    codes = {i: simhash.fingerprint(texts[i]) for i in stay}
-    group = {i: i for i in stay}
-    moved = True
-    while moved:
-        moved = False
-        for i in sorted(stay):
-            low = min(group[j] for j in stay if (codes[i] ^ codes[j]).bit_count() <= 3)
-            moved, group[i] = moved or low != group[i], low
+    group = plain_near({r.doc_id: bytes(r.fp) for r in simhash.long_fingerprints(docs).collect() if r.doc_id in stay})
     stay = {i for i in stay if group[i] == i}
     stay -= {r.doc_id for r in decontaminate.matches(docs.where(docs.doc_id.isin(list(stay))), items).collect()}
     left = {i: pii.redacted(texts[i], pii.spans(texts[i])) for i in stay}
