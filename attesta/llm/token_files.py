@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attesta.llm.store import kept
@@ -115,6 +115,13 @@ def _open(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its file system, since tasks know nothing of the session's default one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"file://{whole.removeprefix('file:')}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 class StreamWriter:
     """Fills sequences of `length` ids and writes them in batches of `rows`."""
 
@@ -192,7 +199,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int =
     attempt of a task writes a file of its own name and the manifest names those of the attempts that counted, so a
     lost executor leaves at most an unnamed file. An empty table writes no file and gives an empty manifest.
     """
-    folder = fresh_path(docs.sparkSession, "token-files")
+    folder = _qualified(docs.sparkSession, fresh_path(docs.sparkSession, "token-files"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, writer, offset, encoder = TaskContext.get().partitionId(), None, 0, None

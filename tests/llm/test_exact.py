@@ -52,6 +52,12 @@ def test_token_files(docs):
         assert (np.concatenate([ids for ids, _ in masks])[:n] == reader.tokens(0, n)).all()
 
 
+def test_token_files_name_their_file_system(spark):
+    manifest = token_files.write_tokens(spark.createDataFrame([(1, "text")], "doc_id long, text string"), BPE)
+    assert manifest.first().file.startswith("file:///")
+    assert token_files._qualified(spark, "/x/y") == "file:///x/y" and token_files._qualified(spark, "file:///x/y") == "file:///x/y"
+
+
 def test_token_chunks():
     from tokenizers import Tokenizer
 

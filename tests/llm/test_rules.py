@@ -157,6 +157,9 @@ ARTICLE, OPEN, OUTSIDE = html_text.ARTICLE, html_text.OPEN, html_text.OUTSIDE
     ("<p>one<p hidden>two</p><div role=navigation>three</div><div id=adSlot>four</div><p class=lead>five", [("one", OPEN), ("two", OUTSIDE), ("three", OUTSIDE), ("four", OUTSIDE), ("five", OPEN)]),
     ("<p>a<!-- <p>b --><style>p{}</style>c</p><script>open <p>d", [("ac", OPEN)]),
     ("<p>cut <b", [("cut", OPEN)]),
+    ("<article><script>if(a<b) // it's</script><p>It's text</p><p>more \"quoted</p></article>", [("It's text", ARTICLE), ('more "quoted', ARTICLE)]),
+    ("<article><div class=article-header><h1>T</h1></div><h2 id=related-work>R</h2><div class=site-header>s</div></article>", [("T", ARTICLE), ("R", ARTICLE), ("s", OUTSIDE)]),
+    ("<article>teaser</article><p>" + "body " * 200, [("teaser", OPEN), (("body " * 200).strip(), OPEN)]),
     ("</div></p>stray<nav>never closed <p>x", [("stray", OPEN), ("never closed", OUTSIDE), ("x", OUTSIDE)]),
 ])
 def test_blocks(page, want):
@@ -176,6 +179,14 @@ def test_host_suffix_array(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    """Two addresses of one host with one body: repetition across them says nothing, across other pages it does."""
+    notice, body = (" ".join(f"{w}{k}" for k in range(12)) for w in ("boiler", "word"))
+    rows = [(k, f"http://h.example/{k}", f"<div>{notice}</div><div>{body}</div>") for k in (1, 2)] + [(3, "http://h.example/3", f"<div>{notice}</div><p>else</p>")]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: body, 2: body, 3: "else"}
+
+
 def test_pages_keep_whole_articles(spark):
     import html
     import re
