@@ -23,7 +23,7 @@ HEALTHY_CALL_WORDS = {
     "scored": ("none", "healthy", "normal", "control", "non-disease", "na", "not applicable",
                "none reported", "unsure", "n/a", ""),
     "ontology": ("none", "healthy", "normal", "control", "non-disease", "na", "not applicable",
-                 "none reported", "unsure", "n/a"),
+                 "unsure", "n/a"),
     "release": ("none", "healthy", "normal", "control", "non-disease", "na", "not applicable",
                 "unsure", "n/a", "none reported", "not specified"),
 }

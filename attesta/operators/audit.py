@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from bisect import bisect_left
 from collections.abc import Mapping, Sequence
+from itertools import accumulate
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -227,6 +231,55 @@ def deny_pattern(names: Sequence[str]) -> str:
     return "(?i)" + "|".join(r"[\s._-]*".join("".join(ch if ch.isalnum() else "\\" + ch for ch in w) for w in n.split()) for n in names)
 
 
+# A name's parts may be joined by any of these; other characters part them.
+_NAME_TOKEN = re.compile(r"[0-9A-Za-z]+|[^0-9A-Za-z\s._\-/\\]+")
+
+
+def name_hits(text: str, automaton) -> list[tuple[int, int]]:
+    """(line from 1, name) of every whole-word occurrence of a name in a text, by the line on which it begins.
+
+    The text's words stand in one stream with single spaces, where a break of other characters is a word that no name
+    has; one pass of the automaton finds all names, also across line ends, and words know their lines.
+    """
+    words = [(m.start(), m[0].lower() if m[0].isalnum() and m[0].isascii() else "\0") for m in _NAME_TOKEN.finditer(text)]
+    if not words:
+        return []
+    stream = f" {' '.join(w for _, w in words)} "
+    ends = list(accumulate(len(w) + 1 for _, w in words))  # of each word in the stream
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    found = []
+    for end, (name, length) in automaton.iter(stream):
+        word = bisect_left(ends, end - length + 2)
+        found.append((bisect_left(breaks, words[word][0]) + 1, name))
+    return found
+
+
+def deny_hits(docs: DataFrame, doc_id: str, text: str, names: Sequence[str]) -> DataFrame:
+    """(doc, line, name): every occurrence of a listed name as whole words, whatever separators join its parts.
+
+    Case doesn't matter; a name split over lines counts for the line on which it begins. Null texts hold none.
+    """
+    parts = [" ".join(re.findall("[0-9A-Za-z]+", n.lower())) for n in names]
+    key = {f.name: f.dataType.simpleString() for f in docs.schema}[doc_id]
+
+    def run(batches):
+        automaton = ahocorasick.Automaton()
+        for k, n in enumerate(parts):
+            if n:
+                automaton.add_word(f" {n} ", (k, len(n) + 2))
+        automaton.make_automaton()
+        for batch in batches:
+            rows, lines, which = [], [], []
+            for row, t in enumerate(batch.column(1).to_pylist()):
+                for line, name in name_hits(t, automaton) if t and len(automaton) else ():
+                    rows.append(row)
+                    lines.append(line)
+                    which.append(names[name])
+            yield pa.record_batch([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(lines, pa.int32()), pa.array(which, pa.string())], ["id", "line", "name"])
+
+    return docs.select(doc_id, text).mapInArrow(run, f"id {key}, line int, name string").withColumnRenamed("id", doc_id)
+
+
 def hygiene_hits(docs: DataFrame, doc_id: str, text: str, patterns: Mapping[str, str], max_line: int | None = None) -> DataFrame:
     """(doc, line, rule) for every whole line that matches; lines are numbered from 1.
 

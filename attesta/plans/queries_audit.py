@@ -191,6 +191,24 @@ def text_hygiene(spark, d):
     return Q.hygiene_hits(table(spark, d, "documents", spread=True), "doc_id", "text", _HYG, 3000)
 
 
+_NAMES = ["that and", "la le", "Le-La", "the"]
+
+
+def _sql_name(name):
+    """Lines of a name's occurrences: line ends in the pieces between matches and in the matches before."""
+    p = "(?i)\\b" + "[\\s./\\\\-]+".join(name.lower().replace("-", " ").split()) + "\\b"
+    ends = lambda x: f"length({x}) - length(replace({x}, chr(10), ''))"
+    return f"""SELECT doc_id, (1 + list_sum(list_transform(ps[1:k], lambda x: {ends('x')})) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: {ends('x')})), 0))::INTEGER AS line, '{name}' AS name
+       FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM (SELECT doc_id, regexp_split_to_array(t, '{p}') AS ps, regexp_extract_all(t, '{p}') AS ms FROM (SELECT doc_id, translate(text, '_', ' ') AS t FROM documents)))"""
+
+
+@query(" UNION ALL ".join(_sql_name(n) for n in _NAMES))
+def deny_names(spark, d):
+    """Listed names as whole words, also across line ends, with the line on which each begins."""
+    return Q.deny_hits(table(spark, d, "documents", spread=True), "doc_id", "text", _NAMES)
+
+
+
 @query(
     """SELECT doc_id, md5(regexp_replace(regexp_replace(replace(replace(text, 'example.com', '<site>'), 'the', 'THE'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '<mail>', 'g'), '[0-9]{3,}', '<n>', 'g')) AS scrubbed FROM documents"""
 )
