@@ -45,12 +45,15 @@ def tile_means(
     count a base twice. The result holds touched tiles; join `tile_grid` for the rest.
     """
     valued = iv.where(F.col(value).isNotNull() & (F.col(end) > F.col(start)))
-    if not overlapping_rows(valued.select(*keys, chrom, start, end), [*keys, chrom], start, end, []).isEmpty():
+    # Intervals that overlap do so in some tile, and there two neighbours by start overlap. The aggregate below needs
+    # no other shuffle, and a tile without overlaps has at most `width` rows.
+    inside = Window.partitionBy(*keys, chrom, "tile").orderBy(start, end)
+    parts = _split(valued, start, end, width).withColumn("__bad", F.coalesce(F.lag(end).over(inside) > F.col(start), F.lit(False)))
+    g = stage(parts.groupBy(*keys, chrom, "tile").agg(
+        F.sum("ov").alias("covered"), F.sum(F.col("ov") * F.col(value)).alias("__area"), F.bool_or("__bad").alias("__bad")
+    ), "tiles")
+    if not g.where("__bad").isEmpty():
         raise ValueError("intervals overlap")
-    parts = _split(valued, start, end, width)
-    g = parts.groupBy(*keys, chrom, "tile").agg(
-        F.sum("ov").alias("covered"), F.sum(F.col("ov") * F.col(value)).alias("__area")
-    )
     j = g.join(sizes.select(chrom, length), chrom)
     tile_len = F.least((F.col("tile") + 1) * width, F.col(length)) - F.col("tile") * width
     cov = F.col("covered") / tile_len
