@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.operators.joins import Refused
-from attesta.operators.ordered import Ordered, quantiles
+from attesta.operators.ordered import Ordered, lagged, quantiles
+from attesta.session import stage
 
 
 def violations(df: DataFrame, row_id: Sequence[str], rules: Mapping[str, Column], unique: Sequence[str] | None = None) -> DataFrame:
@@ -153,6 +154,67 @@ def budget_trail(events: DataFrame, key: str, order: Sequence[str], spend: Colum
     return run.withColumn("breach", F.col("spent") + F.col("reserved") > ceiling)
 
 
+# The state in which an event leaves its task, and the states in which it may find it.
+TASK_STATES = {"proposed": "proposed", "revised": "proposed", "retried": "proposed", "rejected": "rejected", "admitted": "reserved", "dispatch": "submitting", "observed": "submitted", "uncertain": "uncertain"}
+TASK_ENDS = ("completed", "failed", "cancelled")
+_ACTIVE = ("reserved", "submitting", "submitted", "uncertain")
+TASK_BEFORE = {
+    "proposed": (), "revised": ("proposed", "rejected"), "retried": ("failed", "cancelled"), "rejected": ("proposed",), "admitted": ("proposed",),
+    "dispatch": _ACTIVE, "observed": _ACTIVE, "uncertain": _ACTIVE, "settled": _ACTIVE,
+}
+UNRESOLVED = ("uncertain", "submitting")
+
+
+def budget_audit(
+    events: DataFrame, run: str, seq: str, task: str, kind: str, estimate: str, actual: str, final: str, breached: str, budget: int
+) -> tuple[DataFrame, DataFrame]:
+    """((run, seq, rule) of every event that breaks a rule, final totals by run) of task journals, in integer amounts.
+
+    A task goes from proposal over admission to settlement; an admission needs its estimate free in the budget, no
+    breach before it and no task in doubt; a settlement names a final state and says rightly whether it exceeds its
+    estimate or the budget. Every event counts as it stands, also after one that breaks a rule. Totals satisfy
+    budget = spent + reserved + remaining. All state is carried by ordered scans that deal a long run over tasks.
+    """
+    status = F.when(F.col(kind) == "settled", F.col(final))
+    for k, v in TASK_STATES.items():
+        status = status.when(F.col(kind) == k, v)
+    e = events.select(run, seq, task, kind, *[F.col(c).cast("bigint").alias(c) for c in (estimate, actual)], final, breached, status.alias("__status"))
+    offered = F.when(F.col(kind).isin("proposed", "revised"), F.struct(F.col(seq), F.col(estimate).alias("v")))
+    e = Ordered(lagged(e, [run, task], [seq], ["__status"]), [run, task], [seq]).running({"__offer": ("max", offered)}).rows()
+    est, prev = F.coalesce(F.col("__offer.v"), F.lit(0)), F.col("prev___status")
+    number = lambda c: c.cast("bigint")
+    doubt = lambda c: number(F.coalesce(c.isin(*UNRESOLVED), F.lit(False)))
+    active = F.coalesce(prev.isin(*_ACTIVE), F.lit(False))
+    settled = F.col(kind) == "settled"
+    e = e.withColumns({
+        "__est": est, "__spent": F.when(settled, F.coalesce(F.col(actual), F.lit(0))).otherwise(F.lit(0).cast("bigint")),
+        "__held": F.when((F.col(kind) == "admitted") & (prev == "proposed"), est).when(settled & active, -est).otherwise(F.lit(0).cast("bigint")),
+        "__doubt": doubt(F.col("__status")) - doubt(prev),
+    })
+    o = Ordered(e, [run], [seq]).running({"spent": ("sum", F.col("__spent")), "reserved": ("sum", F.col("__held")), "doubts": ("sum", F.col("__doubt"))})
+    exceeds = settled & ((F.col(actual) > F.col("__est")) | (F.col("spent") > budget))
+    o = Ordered(o.df.withColumn("__exceeds", F.coalesce(exceeds, F.lit(False))), [run], [seq], _staged=True)
+    state = stage(o.running({"breaches": ("sum", number(F.col("__exceeds")))}).rows(), "audit")
+    before = lambda total, own: F.col(total) - F.col(own)
+    came_well = F.when(F.col(kind) == "proposed", prev.isNull())
+    for k, states in TASK_BEFORE.items():
+        if states:
+            came_well = came_well.when(F.col(kind) == k, F.coalesce(prev.isin(*states), F.lit(False)))
+    admitted = F.col(kind) == "admitted"
+    rules = {
+        "kind": F.col(kind).isin(*TASK_BEFORE),
+        "state": F.coalesce(came_well, F.lit(True)),
+        "final": ~settled | F.coalesce(F.col(final).isin(*TASK_ENDS), F.lit(False)),
+        "unresolved": ~admitted | ((F.col("breaches") == 0) & (before("doubts", "__doubt") == 0)),
+        "budget": ~admitted | (F.col("spent") + before("reserved", "__held") + F.col("__est") <= budget),
+        "breach": ~settled | F.col(breached).eqNullSafe(F.col("__exceeds")),
+    }
+    totals = state.groupBy(run).agg(
+        F.sum("__spent").alias("spent"), F.sum("__held").alias("reserved"), (F.sum("__doubt") > 0).alias("uncertain"), F.bool_or("__exceeds").alias("breached"), F.countDistinct(task).alias("tasks")
+    )
+    return violations(state, [run, seq], rules), totals.withColumn("remaining", F.lit(budget) - F.col("spent") - F.col("reserved"))
+
+
 def budget_totals(events: DataFrame, key: str, amount: str, kind: str, ceiling: int) -> DataFrame:
     return events.groupBy(key).agg(
         F.sum(F.when(F.col(kind) == "recorded", F.col(amount)).otherwise(0)).alias("recorded"),

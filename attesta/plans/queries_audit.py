@@ -1,5 +1,6 @@
 """Integrity checks over documents, pages, events and orders."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from attesta.functions import text as X
@@ -137,6 +138,50 @@ def budget_totals(spark, d):
     return Q.budget_totals(J.budget_events(table(spark, d, "events")), "user_id", "amount", "kind", 9_000_000_000)
 
 
+_KINDS = ("proposed", "admitted", "dispatch", "observed", "settled", "retried")
+_JOURNAL = """ev AS (SELECT user_id % 7 AS run, event_id AS seq, user_id AS task, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+   e AS (SELECT run, seq, task, CASE WHEN seq % 23 = 0 THEN 'revised' WHEN seq % 19 = 0 THEN 'uncertain' WHEN seq % 29 = 0 THEN 'rejected' ELSE ['retried', 'proposed', 'admitted', 'dispatch', 'observed', 'settled'][rn % 6 + 1] END AS kind,
+         seq * 37 % 1000 + 1 AS est, seq * 53 % 900 AS act, CASE WHEN seq % 31 = 0 THEN 'lost' WHEN seq % 2 = 0 THEN 'failed' ELSE 'cancelled' END AS fin, seq % 4 = 0 AS br FROM ev),
+   s AS (SELECT *, CASE kind WHEN 'settled' THEN fin WHEN 'rejected' THEN 'rejected' WHEN 'admitted' THEN 'reserved' WHEN 'dispatch' THEN 'submitting' WHEN 'observed' THEN 'submitted' WHEN 'uncertain' THEN 'uncertain' ELSE 'proposed' END AS st FROM e),
+   p AS (SELECT *, lag(st) OVER w AS pv, coalesce(last_value(CASE WHEN kind IN ('proposed', 'revised') THEN est END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING), 0) AS cur FROM s WINDOW w AS (PARTITION BY run, task ORDER BY seq)),
+   a AS (SELECT *, coalesce(pv IN ('reserved', 'submitting', 'submitted', 'uncertain'), false) AS act_st, CASE WHEN kind = 'settled' THEN act ELSE 0 END AS sp, (st IN ('uncertain', 'submitting'))::INT - coalesce(pv IN ('uncertain', 'submitting'), false)::INT AS db FROM p),
+   h AS (SELECT *, CASE WHEN kind = 'admitted' AND pv = 'proposed' THEN cur WHEN kind = 'settled' AND act_st THEN -cur ELSE 0 END AS hd FROM a),
+   t AS (SELECT *, sum(sp) OVER o AS spent, sum(hd) OVER o AS reserved, sum(db) OVER o AS doubts FROM h WINDOW o AS (PARTITION BY run ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+   x AS (SELECT *, kind = 'settled' AND (act > cur OR spent > 400000) AS ex FROM t), z AS (SELECT *, sum(ex::INT) OVER (PARTITION BY run ORDER BY seq ROWS UNBOUNDED PRECEDING) AS breaches FROM x)"""
+
+
+def journal_audit(spark, d):
+    """Seven journals of task events that mostly keep to the rules."""
+    rn = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    e = table(spark, d, "events").select((F.col("user_id") % 7).alias("run"), F.col("event_id").alias("seq"), F.col("user_id").alias("task"), rn.alias("rn"))
+    seq = F.col("seq")
+    kind = F.when(seq % 23 == 0, "revised").when(seq % 19 == 0, "uncertain").when(seq % 29 == 0, "rejected")
+    cycle = F.array(*[F.lit(k) for k in (_KINDS[-1], *_KINDS[:-1])])
+    fin = F.when(seq % 31 == 0, "lost").when(seq % 2 == 0, "failed").otherwise("cancelled")
+    e = e.select("run", "seq", "task", kind.otherwise(cycle[F.col("rn") % 6]).alias("kind"), (seq * 37 % 1000 + 1).alias("est"), (seq * 53 % 900).alias("act"), fin.alias("fin"), (seq % 4 == 0).alias("br"))
+    return Q.budget_audit(e, "run", "seq", "task", "kind", "est", "act", "fin", "br", 400_000)
+
+
+@query(
+    f"""WITH {_JOURNAL}, v AS (SELECT run, seq, unnest([
+          CASE WHEN NOT CASE kind WHEN 'proposed' THEN pv IS NULL WHEN 'revised' THEN coalesce(pv IN ('proposed', 'rejected'), false) WHEN 'retried' THEN coalesce(pv IN ('failed', 'cancelled'), false)
+             WHEN 'rejected' THEN coalesce(pv = 'proposed', false) WHEN 'admitted' THEN coalesce(pv = 'proposed', false) ELSE act_st END THEN 'state' END,
+          CASE WHEN kind = 'settled' AND fin = 'lost' THEN 'final' END, CASE WHEN kind = 'admitted' AND NOT (breaches = 0 AND doubts - db = 0) THEN 'unresolved' END,
+          CASE WHEN kind = 'admitted' AND spent + reserved - hd + cur > 400000 THEN 'budget' END, CASE WHEN kind = 'settled' AND br <> ex THEN 'breach' END]) AS rule FROM z)
+       SELECT run, seq, rule FROM v WHERE rule IS NOT NULL"""
+)
+def journal_violations(spark, d):
+    return journal_audit(spark, d)[0]
+
+
+@query(
+    f"""WITH {_JOURNAL} SELECT run, sum(sp)::BIGINT AS spent, sum(hd)::BIGINT AS reserved, sum(db) > 0 AS uncertain, bool_or(ex) AS breached, count(DISTINCT task) AS tasks, (400000 - sum(sp) - sum(hd))::BIGINT AS remaining FROM z GROUP BY 1"""
+)
+def journal_totals(spark, d):
+    return journal_audit(spark, d)[1]
+
+
+
 @query(
     """WITH b AS (SELECT p_partkey, p_brand, [p_type] AS opened, CASE WHEN p_size < 20 THEN 'open' ELSE 'frozen' END AS status FROM part WHERE p_size <> 7),
         a AS (SELECT p_partkey, CASE WHEN p_size = 3 THEN 'X' ELSE p_brand END AS p_brand, CASE WHEN p_size = 4 THEN ['NEW', p_type] ELSE [p_type, 'NEW'] END AS opened, CASE WHEN p_size < 10 THEN 'frozen' WHEN p_size > 45 THEN 'open' WHEN p_size < 20 THEN 'open' ELSE 'frozen' END AS status FROM part WHERE p_size <> 5),

@@ -9,7 +9,7 @@ from tools.check_oracle import TABLES, norm
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 # Iterative studies run in the other test files; here they would only repeat that at length.
-LONG = {"sensitivity_grid", "contact_compartments", "balanced_matrix", "noise_matched_control", "fine_vs_coarse", "discovery_confirmation_screen", "association_study"}
+LONG = {"sensitivity_grid", "contact_compartments", "noise_matched_control", "association_study", "association_wide"}
 
 
 @pytest.fixture(scope="module")
