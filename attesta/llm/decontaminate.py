@@ -14,7 +14,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,7 @@ UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg ton tons ounce ounces pound pounds ml l liter liters litre litres "
     "second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degrees mph kmh"
 ).split()
+_KINDS = dict.fromkeys(UNITS, 3) | dict.fromkeys(NUMBERS, 1)
 _LITERAL, _NUMBER, _NAME, _UNIT = range(4)
 _CAPITAL, _STOP, _MARKED = 4, 8, 16
 
@@ -41,15 +42,19 @@ _CAPITAL, _STOP, _MARKED = 4, 8, 16
 class _Codes(dict):
     """What a word is: bits of its hash, then whether it ends in a mark or a sentence, is capitalised, and its kind."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, key: bytes) -> int:
+        word = key.decode()
         core = word.strip(MARKS)
-        low = core.lower()
-        kind = _NUMBER if core[:1].isdigit() or low in NUMBERS else _UNIT if low in UNITS else _LITERAL
+        low, first, last = core.lower(), core[:1], word[-1]
+        kind = _NUMBER if first.isdigit() else _KINDS.get(low, _LITERAL)
         code = xxhash.xxh64_intdigest(low, 7) >> 5 << 5 | kind
-        code |= _CAPITAL * (core[:1].isupper() and not core.isupper()) | _STOP * (word[-1] in ".!?:" or not core) | _MARKED * (word[-1] in MARKS)
-        if len(self) > 1 << 17:
+        if first.isupper() and not core.isupper():
+            code |= _CAPITAL
+        if last in MARKS:
+            code |= _MARKED | _STOP if last in ".!?:" or not core else _MARKED
+        if len(self) > 1 << 18:
             self.clear()
-        self[word] = code
+        self[key] = code
         return code
 
 
@@ -60,7 +65,7 @@ class Coded:
         words = [(t or "").encode().split() for t in texts]
         self.words = np.fromiter(map(len, words), np.int64, len(words))
         first = np.concatenate(([0], np.cumsum(self.words)))
-        self.code = np.fromiter((codes[w.decode()] for ws in words for w in ws), np.uint64, first[-1])
+        self.code = np.fromiter(map(codes.__getitem__, chain.from_iterable(words)), np.uint64, first[-1])
         self.row = np.repeat(np.arange(len(words)), self.words)
         self.place = np.arange(len(self.code)) - np.repeat(first[:-1], self.words)
         self.opens = self.place == 0
@@ -135,7 +140,7 @@ def _windows(rows: DataFrame, name: str, lengths: tuple[int, ...], whole: bool,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes()
-        for batch in slices(batches, limit=1 << 20):
+        for batch in slices(batches, limit=2 << 20):
             ids, texts = batch.column(name).to_numpy(zero_copy_only=False), Coded(batch.column("text").to_pylist(), codes)
             for opened in (False, True):
                 found = Templates(texts, opened)

@@ -52,7 +52,7 @@ class _Scorer:
         """(how often each feature occurs, words)."""
         words, found = _words(text), Counter()
         known = self.known
-        if len(known) > 1 << 17:
+        if len(known) > 1 << 18:
             known.clear()
         for w in words:
             hit = known.get(w)
