@@ -242,43 +242,43 @@ def dims(kind):
 
 
 @query(
-    f"""WITH {_ALL_PAIRS} SELECT 'x' || i AS feature, 'y' || j AS outcome, n, round(beta, 9) AS beta, round(r, 9) AS r, round(se, 9) AS se, round(p, 9) AS p, round(q, 9) AS q FROM qv"""
+    f"""WITH {_ALL_PAIRS} SELECT 'x' || i AS feature, 'y' || j AS outcome, n, round(beta, 9) AS beta, round(r, 9) AS r, round(se, 9) AS se, round(p, 7) AS p, round(q, 7) AS q FROM qv"""
 )
 def association_all_pairs(spark, d):
     """All 64 x 64 covariate-adjusted associations with BH q over every pair."""
     a = A.associate(embedding_samples(spark, d), "x", "y", "c", dims("x"), dims("y"))
     a = O.benjamini_hochberg(a, "p")
-    return rounded(a.select("feature", "outcome", "n", "beta", "r", "se", "p", "q"), "beta", "r", "se", "p", "q", digits=9)
+    return rounded(rounded(a.select("feature", "outcome", "n", "beta", "r", "se", "p", "q"), "beta", "r", "se", digits=9), "p", "q", digits=7)
 
 
-@query(f"WITH {_ALL_PAIRS} SELECT 'x' || i AS feature, 'y' || j AS outcome, round(beta, 9) AS beta, df, round(t, 7) AS t, round(p, 9) AS p, round(q, 9) AS q FROM qv WHERE q <= 0.05")
+@query(f"WITH {_ALL_PAIRS} SELECT 'x' || i AS feature, 'y' || j AS outcome, round(beta, 9) AS beta, df, round(t, 7) AS t, round(p, 7) AS p, round(q, 7) AS q FROM qv WHERE q <= 0.05")
 def association_significant(spark, d):
     """The pairs that pass BH at 0.05, with exact q, without a row for any other pair."""
     a = A.associate_significant(embedding_samples(spark, d), "x", "y", "c", dims("x"), dims("y"), 0.05)
-    return rounded(rounded(a.select("feature", "outcome", "beta", "df", "t", "p", "q"), "beta", "p", "q", digits=9), "t", digits=7)
+    return rounded(rounded(a.select("feature", "outcome", "beta", "df", "t", "p", "q"), "beta", digits=9), "t", "p", "q", digits=7)
 
 
 @query(
     f"""WITH {_DIMS}, {_PAIRS.format('WHERE (a.vec_id + a.k) % 3 <> 0')}, {sql_within('pr', 'i, j')}, {_SERIES}
-        SELECT 'x' || i AS feature, 'y' || j AS outcome, n, df, round(beta, 9) AS beta, round(se, 9) AS se, round({sql_t_p('t', 'df')}, 9) AS p FROM st, cf"""
+        SELECT 'x' || i AS feature, 'y' || j AS outcome, n, df, round(beta, 9) AS beta, round(se, 9) AS se, round({sql_t_p('t', 'df')}, 7) AS p FROM st, cf"""
 )
 def association_with_missing(spark, d):
     """Same screen with unmeasured context cells: every column uses its own measured rows."""
     s = embedding_samples(spark, d).withColumn("x", F.transform("x", lambda v, i: F.when((F.col("vec_id") + i) % 3 != 0, v)))
     a = A.associate(s, "x", "y", "c", dims("x"), dims("y"))
-    return rounded(a.select("feature", "outcome", "n", "df", "beta", "se", "p"), "beta", "se", "p", digits=9)
+    return rounded(rounded(a.select("feature", "outcome", "n", "df", "beta", "se", "p"), "beta", "se", digits=9), "p", digits=7)
 
 
 @query(
     f"""WITH {_DIMS}, {_PAIRS.format('WHERE (a.vec_id + a.k) % 3 <> 0 AND (a.vec_id + b.k) % 5 <> 0')}, {sql_within('pr', 'i, j')}, {_SERIES}
-        SELECT 'x' || i AS feature, 'y' || j AS outcome, n, df, round(beta, 9) AS beta, round(se, 9) AS se, round({sql_t_p('t', 'df')}, 9) AS p FROM st, cf"""
+        SELECT 'x' || i AS feature, 'y' || j AS outcome, n, df, round(beta, 9) AS beta, round(se, 9) AS se, round({sql_t_p('t', 'df')}, 7) AS p FROM st, cf"""
 )
 def association_mask_groups(spark, d):
     """Cells missing on both sides: a pair uses the rows that its two columns share, columns of one mask share sums."""
     s = embedding_samples(spark, d)
     s = s.withColumn("x", F.transform("x", lambda v, i: F.when((F.col("vec_id") + i) % 3 != 0, v))).withColumn("y", F.transform("y", lambda v, i: F.when((F.col("vec_id") + i) % 5 != 0, v)))
     a = A.associate(s, "x", "y", "c", dims("x"), dims("y"))
-    return rounded(a.select("feature", "outcome", "n", "df", "beta", "se", "p"), "beta", "se", "p", digits=9)
+    return rounded(rounded(a.select("feature", "outcome", "n", "df", "beta", "se", "p"), "beta", "se", digits=9), "p", digits=7)
 
 
 HELD_OUT = [(f"x{i}~y{(7 * i + 3) % DIMS}", i, (7 * i + 3) % DIMS) for i in range(DIMS)] + [(f"x{i}~y{i}", i, i) for i in range(8)]
@@ -287,13 +287,13 @@ HELD_OUT = [(f"x{i}~y{(7 * i + 3) % DIMS}", i, (7 * i + 3) % DIMS) for i in rang
 @query(
     f"""WITH {_DIMS}, pr AS (SELECT 'x' || a.k || '~y' || b.k AS pair, 'T' || (a.vec_id % 3) AS tier, a.label, (a.y > 0)::INT::DOUBLE AS x, b.y FROM e a JOIN e b ON a.vec_id = b.vec_id AND (b.k = (7 * a.k + 3) % 64 OR b.k = a.k AND a.k < 8)),
         {sql_within('pr', 'pair, tier')}, {_SERIES}, ok AS (SELECT *, n >= 20 AND n_pos >= 5 AND n_neg >= 5 AND df >= 10 AS tested FROM st)
-       SELECT pair, tier, n, n_pos, n_neg, df, round(dep_sd, 9) AS dep_sd, CASE WHEN tested THEN round(beta, 9) END AS beta, CASE WHEN tested THEN round(se, 9) END AS se, CASE WHEN tested THEN round({sql_t_p('t', 'df')}, 9) END AS p FROM ok, cf"""
+       SELECT pair, tier, n, n_pos, n_neg, df, round(dep_sd, 9) AS dep_sd, CASE WHEN tested THEN round(beta, 9) END AS beta, CASE WHEN tested THEN round(se, 9) END AS se, CASE WHEN tested THEN round({sql_t_p('t', 'df')}, 7) END AS p FROM ok, cf"""
 )
 def held_out_pairs(spark, d):
     """Listed pairs tested again in each of three tiers of held-out rows."""
     s = embedding_samples(spark, d).withColumn("tier", F.concat(F.lit("T"), (F.col("vec_id") % 3).cast("string")))
     a = A.test_pairs(s, "x", "y", "c", HELD_OUT, "tier").select("pair", "tier", "n", "n_pos", "n_neg", "df", "dep_sd", "beta", "se", "p")
-    return rounded(a, "dep_sd", "beta", "se", "p", digits=9)
+    return rounded(rounded(a, "dep_sd", "beta", "se", digits=9), "p", digits=7)
 
 
 @query()
