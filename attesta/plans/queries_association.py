@@ -476,7 +476,7 @@ def noise_matched_control(spark, d):
         rk AS (SELECT rep, {sql_rank('dx', 'rep')} AS rx, {sql_rank('dy', 'rep')} AS ry, {sql_rank('dz', 'rep')} AS rz FROM dm WHERE c >= 5),
         pr AS (SELECT rep, count(*) AS n, {_PART1.format(a='corr(rx, ry)', b='corr(rx, rz)', c='corr(ry, rz)')} AS r FROM rk GROUP BY 1),
         cm AS (SELECT avg(x) AS x, avg(y) AS y, avg(z) AS z FROM t GROUP BY chrom, tile HAVING count(*) >= 5), ck AS (SELECT {sql_rank('x')} AS rx, {sql_rank('y')} AS ry, {sql_rank('z')} AS rz FROM cm)
-       SELECT 'fine' AS scale, max(n) FILTER (rep = 0) AS n, round(max(r) FILTER (rep = 0), 6) AS rho, round((max(r) FILTER (rep = 0) - avg(r) FILTER (rep > 0)) / stddev_pop(r) FILTER (rep > 0), 5) AS z FROM pr
+       SELECT 'fine' AS scale, max(n) FILTER (rep = 0) AS n, round(max(r) FILTER (rep = 0), 6) AS rho, round((max(r) FILTER (rep = 0) - avg(r) FILTER (rep > 0)) / stddev_pop(r) FILTER (rep > 0), 5) AS z FROM pr HAVING count(*) > 0
        UNION ALL SELECT 'coarse', count(*), round({_PART1.format(a='corr(rx, ry)', b='corr(rx, rz)', c='corr(ry, rz)')}, 6), NULL FROM ck"""
 )
 def fine_vs_coarse(spark, d):

@@ -566,7 +566,7 @@ def holdout_splits(spark, d):
     f"""WITH g AS (SELECT lang, count(*) FILTER (quality = 1) AS k, count(*) AS n FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1),
         f AS (SELECT lang, n, x, sum(exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln(k / n) + (n - x) * ln(1 - k / n))) OVER (PARTITION BY lang ORDER BY x) AS below FROM (SELECT *, unnest(range(n + 1)) AS x FROM g WHERE k > 0 AND k < n)),
         u AS (SELECT lang, rep, ({DUCK_DRAW.format("'5|' || lang || '|' || rep")} + 0.5) / 4294967296.0::DOUBLE AS u FROM (SELECT lang, unnest(range(4000)) AS rep FROM g)),
-        v AS (SELECT u.lang, rep, min(x / n) AS v FROM u JOIN f ON u.lang = f.lang AND f.below >= u.u GROUP BY 1, 2),
+        v AS (SELECT u.lang, rep, min(x / n) AS v FROM u JOIN f ON u.lang = f.lang AND f.below >= u.u GROUP BY 1, 2 UNION ALL SELECT u.lang, rep, k / n FROM u JOIN g ON u.lang = g.lang WHERE k = 0 OR k = n),
         w AS (SELECT lang, v, row_number() OVER (PARTITION BY lang ORDER BY v) - 1 AS i FROM v)
        SELECT lang, round(max(v) FILTER (i = 100), 9) AS lo, round(max(v) FILTER (i = 3900), 9) AS hi FROM w GROUP BY 1"""
 )
