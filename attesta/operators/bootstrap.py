@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from attesta.functions.numeric import draw
-from attesta.operators.ordered import numbered
+from attesta.operators.ordered import Ordered
 from attesta.operators.resample import index_percentiles
 from attesta.session import stage
 
-BLOCK = 512  # clusters whose counts a task finds together
+BLOCK = 512  # runs of equal clusters whose counts a task finds together
 SD = 14.0  # the inverse looks no further than so many deviations from the mean; what lies beyond is below 1e-40
 
 
@@ -95,34 +95,65 @@ def tree_counts(k: int, draws: int, lo: int, hi: int, keys: np.ndarray) -> np.nd
     return out
 
 
+def tree_sums(k: int, draws: int, ends: np.ndarray, lo: int, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Sums of `values` over the draws that fall on runs of equal clusters, one row a replicate.
+
+    The runs follow each other from place `lo`; run r ends before ends[r] and all its clusters have values[r]. The tree
+    is that of `tree_counts`, but a range inside one run needs no further split.
+    """
+    out, hi = np.zeros((len(keys), values.shape[1])), int(ends[-1])
+    a, b, node, m = np.array([0]), np.array([k]), np.array([0], np.uint64), np.full((1, len(keys)), draws, np.int64)
+    while len(a):
+        run = np.searchsorted(ends, a, "right")
+        done = (a >= lo) & (b <= hi) & (run == np.searchsorted(ends, b - 1, "right"))
+        out += m[done].T @ values[run[done]]
+        a, b, node, m = a[~done], b[~done], node[~done], m[~done]
+        mid, left = (a + b) // 2, np.zeros_like(m)
+        for size in np.unique(b - a).tolist():
+            same = b - a == size
+            u = _uniform(keys[None, :], node[same][:, None])
+            left[same] = binomial_inverse(m[same].ravel(), (size // 2) / size, u.ravel()).reshape(u.shape)
+        a, b, node, m = np.concatenate((a, mid)), np.concatenate((mid, b)), np.concatenate((2 * node + 1, 2 * node + 2)), np.concatenate((left, m - left))
+        seen = (a < hi) & (b > lo)
+        a, b, node, m = a[seen], b[seen], node[seen], m[seen]
+    return out
+
+
 def counted_bootstrap(
     df: DataFrame, cluster: str, sums: Mapping[str, Column], statistic: Column, by: Sequence[str] = (), reps: int = 4000, seed: int = 13,
     draws: int | None = None, floor_share: float | None = 0.25,
 ) -> DataFrame:
     """(by, point, lo, hi, n_valid): percentile interval of a statistic of sums, resampling whole clusters.
 
-    Rows collapse to one row of sums a cluster. Tasks hold BLOCK clusters at a time and pass on their share of each
-    replicate's sums; no row stands for a single draw. `draws` is the number of clusters drawn, all of them if None.
+    Rows collapse to one row of sums a cluster, and clusters of equal sums, which are interchangeable, to one run. Tasks
+    hold BLOCK runs at a time and pass on their share of each replicate's sums; no row stands for a single draw, and
+    clusters that differ in nothing cost one. `draws` is the number of clusters drawn, all of them if None.
     """
     names = list(sums)
     per = df.groupBy(*by, cluster).agg(*[F.sum(c).cast("double").alias(n) for n, c in sums.items()])
-    rows = numbered(per, list(by), [cluster], "__idx", "__k").withColumn("__block", F.floor((F.col("__idx") - 1) / BLOCK))
+    runs = per.groupBy(*by, *names).agg(F.count(F.lit(1)).alias("__m"))
+    one = F.lit(1).cast("bigint")
+    runs = Ordered(runs, list(by), names).running({"__hi": ("sum", F.col("__m")), "__run": ("sum", one)}, {"__k": ("sum", F.col("__m"))}).rows()
     group = F.xxhash64(*by) if by else F.lit(0).cast("bigint")
-    rows = stage(rows.withColumn("__group", group), "clusters")
+    rows = stage(runs.withColumns({"__block": F.floor((F.col("__run") - 1) / BLOCK), "__group": group}), "clusters")
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = "".join(f"{b} {types[b]}, " for b in by) + "rep int, " + ", ".join(f"{n} double" for n in names)
 
     def replicates(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("__idx").to_numpy())
-        k, idx = table.column("__k")[0].as_py(), table.column("__idx").to_numpy()[order] - 1
+        order = np.argsort(table.column("__hi").to_numpy())
+        k, ends = table.column("__k")[0].as_py(), table.column("__hi").to_numpy()[order]
         values = np.stack([table.column(n).to_numpy(zero_copy_only=False) for n in names], 1)[order]
         keys = replicate_keys(seed, table.column("__group")[0].as_py(), reps)
-        total = tree_counts(k, draws or k, int(idx[0]), int(idx[-1]) + 1, keys) @ np.nan_to_num(values)
+        lo = int(ends[0] - table.column("__m").to_numpy()[order[0]])
+        total = tree_sums(k, draws or k, ends, lo, np.nan_to_num(values), keys)
         head = table.select(by).slice(0, 1) if by else None
         first = [head.column(b).take(pa.array([0] * reps)) for b in by]
         return pa.table([*first, pa.array(np.arange(reps, dtype=np.int32)), *[pa.array(np.ascontiguousarray(c)) for c in total.T]], [*by, "rep", *names])
 
-    parts = rows.groupBy(*by, "__block").applyInArrow(replicates, schema)
+    # The rows are few and small, but their work is not: as many tasks as there are blocks, up to four a core.
+    blocks = rows.select(*by, "__block").distinct().count()
+    tasks = max(1, min(blocks, 4 * df.sparkSession.sparkContext.defaultParallelism))
+    parts = rows.repartition(tasks, *by, "__block").groupBy(*by, "__block").applyInArrow(replicates, schema)
     vals = parts.groupBy(*by, "rep").agg(*[F.sum(n).alias(n) for n in names]).select(*by, statistic.alias("value"))
     point = per.groupBy(*by).agg(*[F.sum(n).alias(n) for n in names]).select(*by, statistic.alias("point"))
     ci = index_percentiles(vals, by, "value", reps, floor_share)

@@ -125,3 +125,19 @@ def test_counted_bootstrap_against_drawn_samples(spark, monkeypatch):
     one = B.counted_bootstrap(df.where("c = 3 AND g = 'a'"), "c", sums, F.expr("s / n"), [], 50, 5).first()
     assert one.lo == one.hi == one.point
     assert B.counted_bootstrap(df.where("false"), "c", sums, F.expr("s / n"), ["g"], 50, 5).isEmpty()
+
+
+def test_runs_of_equal_clusters_cost_one_range():
+    keys, rng = B.replicate_keys(4, 2, 40), np.random.default_rng(5)
+    ends = np.unique(rng.integers(1, 1000, 30))
+    ends = np.append(ends[ends < 1000], 1000)
+    values = rng.normal(size=(len(ends), 2))
+    counts = B.tree_counts(1000, 1000, 0, 1000, keys)
+    which = np.searchsorted(ends, np.arange(1000), "right")
+    assert np.allclose(B.tree_sums(1000, 1000, ends, 0, values, keys), counts @ values[which])
+    for a, b in [(0, 7), (7, 20), (20, len(ends))]:
+        lo = int(ends[a - 1]) if a else 0
+        mine = (which >= a) & (which < b)
+        assert np.allclose(B.tree_sums(1000, 1000, ends[a:b], lo, values[a:b], keys), counts[:, mine] @ values[which[mine]])
+    # A million equal clusters are one range, whatever is drawn.
+    assert (B.tree_sums(10**6, 10**6, np.array([10**6]), 0, np.array([[2.0]]), keys) == 2e6).all()
