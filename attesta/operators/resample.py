@@ -7,7 +7,10 @@ another engine can reproduce the result.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,7 @@ from attesta.session import stage
 
 BROADCAST_ROWS = 500_000
 SLOTS_PER_TASK_ROW = 4096
+DRAWS_PER_TASK = 2_000_000
 
 
 def bounded_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -24,16 +28,22 @@ def bounded_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
-def cluster_draws(sizes: DataFrame, by: Sequence[str], reps: int, seed: int) -> DataFrame:
+def draw_blocks(sizes: DataFrame, reps: int, total: int) -> DataFrame:
+    """`sizes` (k and other columns) with `blk` and `rep`: fixed blocks of slots, spread over tasks. `total` is the sum of k."""
+    blocks = sizes.select(
+        "*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("k") - 1) / SLOTS_PER_TASK_ROW))).alias("blk")
+    ).select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    # The blocks are few bytes, and adaptive execution would merge them into one task: the number of tasks is given.
+    tasks = max(sizes.sparkSession.sparkContext.defaultParallelism, -(-total * reps // DRAWS_PER_TASK))
+    return blocks.repartition(tasks, F.col("rep"), F.col("blk"))
+
+
+def cluster_draws(sizes: DataFrame, by: Sequence[str], reps: int, seed: int, total: int) -> DataFrame:
     """(by, rep, idx): every replicate draws as many cluster indexes as there are clusters.
 
-    `sizes` holds (by, k). Slots are generated in fixed blocks, spread over tasks first.
+    `sizes` holds (by, k); `total` is the sum of k.
     """
-    blocks = sizes.select(
-        *by, "k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("k") - 1) / SLOTS_PER_TASK_ROW))).alias("blk")
-    ).select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    # Without clusters to spread by, one group's replicates would stay in a single task.
-    spread = blocks.repartition(F.col("rep"), F.col("blk"))
+    spread = draw_blocks(sizes.select(*by, "k"), reps, total)
     start = F.col("blk") * SLOTS_PER_TASK_ROW
     stop = F.least(start + SLOTS_PER_TASK_ROW, F.col("k")) - 1
     slots = spread.select(*by, "k", "rep", F.explode(F.sequence(start, stop)).alias("slot"))
@@ -82,7 +92,7 @@ def cluster_bootstrap(
     indexed = stage(numbered(per, list(by), [cluster], "idx", "k").withColumn("idx", F.col("idx") - 1), "clusters")
     n_clusters = indexed.count()
     sizes = indexed.select(*by, "k").distinct()
-    draws = cluster_draws(sizes, by, reps, seed)
+    draws = cluster_draws(sizes, by, reps, seed, n_clusters)
     picked = draws.join(bounded_broadcast(indexed.drop("k", cluster), n_clusters), [*by, "idx"])
     rep_sums = picked.groupBy(*by, "rep").agg(*[F.sum(n).alias(n) for n in sums])
     vals = rep_sums.select(*by, statistic.alias("value"))
@@ -101,15 +111,36 @@ def lift_statistic(n: str = "n", e: str = "e", f: str = "f", c: str = "c") -> Co
     return F.expr(f"try_divide(try_divide({c}, {e}), try_divide({f}, {n}))")
 
 
+def slot_draws(seed: int, rep: int, start: int, stop: int) -> np.ndarray:
+    """`functions.numeric.draw` of (seed, rep, slot) for slots start..stop-1."""
+    head = f"{seed}|{rep}|".encode()
+    return np.frombuffer(b"".join([md5(head + b"%d" % slot).digest()[:4] for slot in range(start, stop)]), ">u4").astype(np.int64)
+
+
 def row_bootstrap_proportion(groups: DataFrame, k: str, n: str, by: Sequence[str], reps: int, seed: int) -> DataFrame:
     """Row bootstrap of a proportion from counts alone, with floor/ceil index picks.
 
-    `groups` holds one (by, k, n) row per group. A drawn row is a success when its index is below k.
+    `groups` holds one (by, k, n) row per group. A drawn row is a success when its index is below k. Groups share the
+    draws of a replicate, so a task hashes a block of slots once for all of them and passes on counts.
     """
-    sizes = groups.select(*by, F.col(n).alias("k"))
-    marks = groups.select(*by, F.col(k).alias("__succ"), F.col(n).alias("__n"))
-    draws = cluster_draws(sizes.where("k > 0"), by, reps, seed).join(marks, list(by))
-    vals = draws.groupBy(*by, "rep").agg(F.avg((F.col("idx") < F.col("__succ")).cast("int")).alias("v"))
+    sizes = stage(groups.where(F.col(n) > 0).select(*by, F.col(n).cast("long").alias("k"), F.col(k).cast("long").alias("__succ")), "groups")
+    total = sizes.agg(F.sum("k")).first()[0] or 0
+    blocks = draw_blocks(sizes, reps, total).sortWithinPartitions("rep", "blk")
+    types = {f.name: f.dataType.simpleString() for f in sizes.schema}
+
+    def count(batches):
+        at, drawn = None, np.zeros(0, np.int64)
+        for batch in batches:
+            hits = []
+            for size, succ, blk, rep in zip(*(batch.column(c).to_pylist() for c in ("k", "__succ", "blk", "rep"))):
+                start, stop = blk * SLOTS_PER_TASK_ROW, min((blk + 1) * SLOTS_PER_TASK_ROW, size)
+                if at != (rep, blk) or len(drawn) < stop - start:
+                    at, drawn = (rep, blk), slot_draws(seed, rep, start, stop)
+                hits.append(int(np.count_nonzero(drawn[: stop - start] % size < succ)))
+            yield pa.record_batch([*[batch.column(c) for c in (*by, "k", "rep")], pa.array(hits, pa.int64())], [*by, "k", "rep", "hits"])
+
+    schema = "".join(f"{b} {types[b]}, " for b in by) + "k long, rep int, hits long"
+    vals = blocks.mapInArrow(count, schema).groupBy(*by, "rep").agg((F.sum("hits") / F.max("k")).alias("v"))
     w = Window.partitionBy(*by).orderBy("v")
     ranked = vals.select(*by, "v", (F.row_number().over(w) - 1).alias("i"))
     lo_i, hi_i = int(0.025 * reps), min(reps - 1, -int(-(0.975 * reps) // 1) - 1)

@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from attesta.functions.numeric import draw
 from attesta.operators import bootstrap as B
+from attesta.operators import resample as R
 from attesta.operators import shuffles as SH
 
 
@@ -141,3 +143,17 @@ def test_runs_of_equal_clusters_cost_one_range():
         assert np.allclose(B.tree_sums(1000, 1000, ends[a:b], lo, values[a:b], keys), counts[:, mine] @ values[which[mine]])
     # A million equal clusters are one range, whatever is drawn.
     assert (B.tree_sums(10**6, 10**6, np.array([10**6]), 0, np.array([[2.0]]), keys) == 2e6).all()
+
+
+def test_row_bootstrap_spreads_its_draws(spark):
+    df = spark.createDataFrame([("a", 30, 100), ("b", 5000, 9000), (None, 0, 3), ("c", 0, 0)], "g string, k long, n long")
+    want = {}
+    for g, k, n in (("a", 30, 100), ("b", 5000, 9000), (None, 0, 3)):
+        v = sorted(np.mean(R.slot_draws(5, rep, 0, n) % n < k) for rep in range(80))
+        want[g] = (pytest.approx(v[2]), pytest.approx(v[77]))
+    assert {r.g: (r.lo, r.hi) for r in R.row_bootstrap_proportion(df, "k", "n", ["g"], 80, 5).collect()} == want
+    assert R.slot_draws(5, 7, 3, 6).tolist() == [r.x for r in spark.range(3, 6).select(draw(5, F.lit(7), F.col("id")).alias("x")).collect()]
+    sizes = spark.createDataFrame([(50_000,)], "k long")
+    blocks = R.draw_blocks(sizes, 200, 50_000)
+    blocks.collect()
+    assert blocks.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
