@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from attesta.functions.numeric import exact_mean
 from attesta.operators import aggregates as A
 
 from attesta.plans.registry import registrar
@@ -95,7 +96,7 @@ def long_matrix(spark, d):
     li, p = table(spark, d, "lineitem"), table(spark, d, "part")
     col = F.concat_ws(":", "p_brand", (F.col("p_size") % 2).cast("string")).alias("col_id")
     return li.join(p, li.l_partkey == p.p_partkey).groupBy(F.col("l_suppkey").alias("row_id"), col).agg(
-        (F.avg("l_discount") * 20 - 1.4).alias("value")
+        (exact_mean(F.col("l_discount")) * 20 - 1.4).alias("value")
     )
 
 

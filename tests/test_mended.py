@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from attesta.functions.numeric import exact_mean
 from attesta.operators import aggregates, association, contacts, intervals, selection
+from attesta.plans import queries_aggregates
 
 
 def test_greedy_capped_with_null_groups(spark):
@@ -99,3 +101,28 @@ def test_eigenvector_without_a_gap(spark):
     assert got[0].eigen_share == pytest.approx(value[-1] / n, rel=1e-6)
     with pytest.raises(RuntimeError):
         contacts.leading_eigenvector(df, mask, ["chrom"], max_rounds=2)
+
+
+def test_means_on_a_threshold_do_not_hang_on_the_order(spark):
+    cents = [9, 0, 10, 1, 3, 4] * 5  # mean 0.045: the threshold itself
+    for k in range(6):
+        rows = [(c / 100,) for c in np.random.default_rng(k).permutation(cents).tolist()]
+        df = spark.createDataFrame(rows, "v double").repartition(3)
+        assert df.agg(exact_mean(F.col("v")).alias("m")).first().m == 0.045
+    odd = spark.createDataFrame([("a", 0.1), ("a", None), ("a", 0.2), ("b", None), ("c", math.inf), ("c", 1.0), ("d", math.nan), ("e", 1e300), ("e", 3e300)], "g string, v double")
+    got = {r.g: r.m for r in odd.groupBy("g").agg(exact_mean(F.col("v")).alias("m")).collect()}
+    assert got["a"] == 0.15 and got["b"] is None and got["c"] == math.inf and math.isnan(got["d"]) and got["e"] == 2e300
+
+
+def test_long_matrix_of_exact_ties(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    li, parts = [], []
+    for s in range(40):
+        cents = rng.permutation([9, 0, 10, 1, 3, 4]).tolist()  # every supplier's mean is 0.045
+        li += [(s, s, c / 100) for c in cents]
+        parts.append((s, "Brand#1", 2))
+    spark.createDataFrame(li, "l_suppkey long, l_partkey long, l_discount double").repartition(7).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(s, s % 5) for s in range(40)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert queries_aggregates.qualified_contexts(spark, str(tmp_path)).first().n_pos == 0
+    assert queries_aggregates.behaved_columns(spark, str(tmp_path)).first().hits == 40
