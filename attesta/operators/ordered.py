@@ -266,8 +266,11 @@ def quantile_map(df: DataFrame, keys: Sequence[str], source: str, target: str, n
     cond = F.col("__need") == F.col("__rank")
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    weight = F.when(F.col("__need") == F.floor("__h"), 1 - (F.col("__h") - F.floor("__h"))).otherwise(F.col("__h") - F.floor("__h"))
-    return want.join(cover, cond).groupBy(*df.columns).agg(F.sum(F.col("__v") * weight).alias(name))
+    ends = want.join(cover, cond).groupBy(*df.columns, "__h").agg(
+        F.max(F.when(F.col("__need") == F.floor("__h"), F.col("__v"))).alias("__a"), F.max(F.when(F.col("__need") == F.ceil("__h"), F.col("__v"))).alias("__b")
+    )
+    return ends.select(*df.columns, (F.col("__a") + (F.col("__b") - F.col("__a")) * (F.col("__h") - F.floor("__h"))).alias(name))
+
 
 
 def rank_spline(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

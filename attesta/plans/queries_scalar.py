@@ -460,7 +460,7 @@ def circular_shift(spark, d):
 )
 def quantile_mapped_track(spark, d):
     t = table(spark, d, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(
-        F.avg("l_extendedprice").alias("x"), F.avg("l_quantity").alias("y")
+        N.exact_mean(F.col("l_extendedprice")).alias("x"), N.exact_mean(F.col("l_quantity")).alias("y")
     )
     return O.quantile_map(t, ["l_returnflag"], "x", "y").select("l_returnflag", "l_suppkey", F.round("mapped", 6).alias("mapped"))
 

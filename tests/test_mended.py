@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta.functions.numeric import exact_mean
-from attesta.operators import aggregates, association, contacts, intervals, selection
+from attesta.operators import aggregates, association, contacts, intervals, ordered, selection
 from attesta.plans import queries_aggregates
 
 
@@ -126,3 +126,13 @@ def test_long_matrix_of_exact_ties(spark, tmp_path):
     spark.createDataFrame([(s, s % 5) for s in range(40)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
     assert queries_aggregates.qualified_contexts(spark, str(tmp_path)).first().n_pos == 0
     assert queries_aggregates.behaved_columns(spark, str(tmp_path)).first().hits == 40
+
+
+def test_quantile_map_rounds_as_it_is_written(spark):
+    df = spark.createDataFrame([(float(k), y) for k, y in enumerate([25.1, 25.895, 25.9, 26.7, 27.3])], "x double, y double")
+    ys, m = sorted([25.1, 25.895, 25.9, 26.7, 27.3]), 5
+    got = {r.x: r.mapped for r in ordered.quantile_map(df, [], "x", "y").collect()}
+    for k in range(m):
+        h = (k + 1 - 0.5) / m * (m - 1)
+        a, b = ys[math.floor(h)], ys[math.ceil(h)]
+        assert got[float(k)] == a + (b - a) * (h - math.floor(h))
