@@ -65,3 +65,15 @@ def test_association_study_replicates_planted_effects(spark):
     assert got["x0~y1"].replicated and got["x0~y1"].stratum == "up"
     assert got["x2~y3"].replicated and got["x2~y3"].stratum == "down"
     assert sum(bool(r.replicated) for r in got.values()) <= 3
+
+
+def test_fine_scale_without_gaps_equals_the_general_form(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(f"c{c}", k // 10, k, float(rng.integers(0, 9)), float(rng.integers(0, 9)), float(rng.integers(0, 5))) for c in range(3) for k in range(123)]
+    df = spark.createDataFrame(rows, "chrom string, tile int, pos int, x double, y double, z double")
+    run = lambda: {r.scale: r for r in studies.fine_coarse(df, "chrom", "tile", ["pos"], "x", "y", "z", 5, 20, 21).collect()}
+    whole = run()
+    monkeypatch.setattr(studies, "_fine_whole", studies._fine_with_gaps)
+    general = run()
+    assert whole["fine"].n == general["fine"].n == 360
+    assert (whole["fine"].rho, whole["fine"].z) == pytest.approx((general["fine"].rho, general["fine"].z), rel=1e-9)
