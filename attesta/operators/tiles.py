@@ -21,6 +21,7 @@ from attesta.session import stage
 
 ROWS, COLUMNS = 2048, 256  # of a tile
 BLOCKS, SUMS = 8, 32  # blocks in a cell; partial sums added in a task
+PIECE, GROUP_MB = 256, 32  # cells of a wide row that go to Python as one row; MB of a stored group of tiles
 
 
 def whole_rows(column: Column, width: int) -> Column:
@@ -28,33 +29,59 @@ def whole_rows(column: Column, width: int) -> Column:
     return F.coalesce(column, F.array_repeat(F.lit(None).cast("double"), width))
 
 
-def dense(column: pa.Array) -> np.ndarray:
-    """List rows of one length as a matrix; missing elements are NaN."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+def pieces(data: DataFrame, columns: Sequence[str], widths: Sequence[int]) -> DataFrame:
+    """The arrays of a row one after the other, in pieces of at most PIECE cells that follow each other.
+
+    Batches for Python count rows, so thousands of whole wide rows would be in memory at once.
+    """
+    parts = [F.slice(c, at + 1, PIECE if at + PIECE < w else 1 << 30) for c, w in zip(columns, widths) for at in range(0, w, PIECE)]
+    return data.select(F.explode(F.array(*parts) if parts else F.array().cast("array<array<double>>")).alias("v"))
 
 
-def column_masks(data: DataFrame, columns: Sequence[str]) -> dict[str, list]:
+def matrices(batches, widths: Sequence[int], rows: int):
+    """Lists of one matrix an array, of `rows` rows (the last: fewer), from batches of pieces; missing elements are NaN.
+
+    The next list overwrites the one before.
+    """
+    lengths = np.array([min(PIECE, w - at) for w in widths for at in range(0, w, PIECE)])
+    total, ends, seen, have = sum(widths), np.cumsum(widths)[:-1], 0, 0
+    whole = np.empty(rows * total)
+    for batch in batches:
+        column = batch.column(0)
+        if (np.diff(column.offsets.to_numpy()) != lengths[(seen + np.arange(len(column))) % len(lengths)]).any():
+            raise ValueError(f"arrays of other lengths than {list(widths)}")
+        seen += len(column)
+        flat = column.flatten().to_numpy(zero_copy_only=False)
+        while len(flat):
+            taken = flat[: len(whole) - have]
+            whole[have : have + len(taken)] = taken
+            have, flat = have + len(taken), flat[len(taken) :]
+            if have == len(whole):
+                yield np.split(whole.reshape(rows, total), ends, axis=1)
+                have = 0
+    if have:
+        yield np.split(whole[:have].reshape(-1, total), ends, axis=1)
+
+
+def column_masks(data: DataFrame, columns: Sequence[str], widths: Sequence[int] = ()) -> dict[str, list]:
     """A signature of the missing cells of every column of each array; equal signatures mean equal missing rows.
 
     Every row has two random numbers. A column's signature joins those of its missing rows by exclusive or.
+    `widths` are the lengths of the arrays, looked up if not given.
     """
+    widths = list(widths) or [n or 0 for n in data.agg(*[F.max(F.size(c)) for c in columns]).first()]
 
     def run(batches):
         draw, found = np.random.default_rng(1 + TaskContext.get().partitionId()), {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                key = draw.integers(1, 1 << 63, (2, part.num_rows, 1), dtype=np.int64)
-                for side in range(len(columns)):
-                    gone = ~np.isfinite(dense(part.column(side)))
-                    marks = np.bitwise_xor.reduce(np.where(gone, key, 0), axis=1)
-                    found[side] = marks if side not in found else found[side] ^ marks
+        for parts in matrices(batches, widths, 512):
+            key = draw.integers(1, 1 << 63, (2, len(parts[0]), 1), dtype=np.int64)
+            for side, part in enumerate(parts):
+                marks = np.bitwise_xor.reduce(np.where(~np.isfinite(part), key, 0), axis=1)
+                found[side] = marks if side not in found else found[side] ^ marks
         for side, (a, b) in found.items():
             yield pa.record_batch([pa.array(np.full(len(a), side, np.int32)), pa.array(np.arange(len(a), dtype=np.int32)), pa.array(a), pa.array(b)], ["side", "k", "a", "b"])
 
-    marks = data.select(*columns).mapInArrow(run, "side int, k int, a long, b long").groupBy("side", "k").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+    marks = pieces(data, columns, widths).mapInArrow(run, "side int, k int, a long, b long").groupBy("side", "k").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
     out: dict[str, list] = {c: [] for c in columns}
     for r in sorted(marks.collect()):  # one row a column, as many as there are names
         out[columns[r["side"]]].append((r["a"], r["b"]))
@@ -72,17 +99,18 @@ def tile_columns(masks: Sequence, width: int = 0) -> list[np.ndarray]:
 
 def cut(
     data: DataFrame, sides: Sequence[tuple[str, list[np.ndarray]]], carried: str | None = None,
-    own: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, rows: int = 0,
+    own: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, rows: int = 0, carried_width: int = 0,
 ) -> DataFrame:
     """(side, tile, block, v, c, own), stored: a tile's cells of one block of rows, by row.
 
-    `carried` names an array that goes along with the tiles of the first side. `own(carried, tile)` is an array of
-    numbers of the tile alone that is stored beside it.
+    `carried` names an array of `carried_width` cells that goes along with the tiles of the first side. `own(carried,
+    tile)` is an array of numbers of the tile alone that is stored beside it.
     """
-    names, size = [n for n, _ in sides], rows or ROWS
+    names, size = [n for n, _ in sides] + ([carried] if carried else []), rows or ROWS
+    widths = [sum(map(len, tiles)) for _, tiles in sides] + ([carried_width] if carried else [])
 
     def emit(block, parts):
-        c = parts[-1] if carried else None
+        c = np.ascontiguousarray(parts[-1]) if carried else None
         for side, (_, tiles) in enumerate(sides):
             for t, columns in enumerate(tiles):
                 v = np.ascontiguousarray(parts[side][:, columns])
@@ -95,21 +123,12 @@ def cut(
                 )
 
     def run(batches):
-        block, held, have = TaskContext.get().partitionId() << 32, [], 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                held.append([dense(part.column(k)) for k in range(part.num_columns)])
-                have += part.num_rows
-                if have >= size:
-                    whole = [np.vstack(x) for x in zip(*held)]
-                    yield from emit(block, [x[:size] for x in whole])
-                    held, have, block = [[x[size:] for x in whole]] if have > size else [], have - size, block + 1
-        if have:
-            yield from emit(block, [np.vstack(x) for x in zip(*held)])
+        first = TaskContext.get().partitionId() << 32
+        for k, parts in enumerate(matrices(batches, widths, size)):
+            yield from emit(first + k, parts)
 
     schema = "side int, tile int, block long, v binary, c binary, own binary"
-    return stage(data.select(*names, *([carried] if carried else [])).mapInArrow(run, schema), "tiles")
+    return stage(pieces(data, names, widths).mapInArrow(run, schema), "tiles", GROUP_MB)
 
 
 def added(sums: DataFrame, keys: Sequence[str], blocks: int) -> DataFrame:

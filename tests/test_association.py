@@ -4,6 +4,8 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from attesta.operators import ordered as O
 from attesta.operators import selection as S
 from attesta.operators import tiles as T
 from attesta.operators.rings import shifted_products
+from attesta.session import stage
 
 
 def samples(spark, n=400, p=6, q=5, seed=1, missing=0.0):
@@ -268,3 +271,22 @@ def test_replication_rule(spark):
     assert got == [v for _, v in cases]
     closed = df.select(N.replicated(*[F.col(x) for x in "abcdef"], fail_closed=True)).collect()[-1][0]
     assert closed is False
+
+
+def test_wide_rows_reach_python_in_small_batches(spark):
+    cells = lambda seed: F.transform(F.sequence(F.lit(0), F.lit(1999)), lambda k: F.when((F.col("id") + k) % 7 != 0, F.rand(seed) + k))
+    df = spark.range(0, 700, 1, 1).select("id", cells(1).alias("x"), F.slice(cells(2), 1, 300).alias("y")).cache()
+    sizes = T.pieces(df, ["x", "y"], [2000, 300]).mapInArrow(lambda bs: (pa.record_batch([pa.array([b.nbytes])], ["n"]) for b in bs), "n long")
+    assert sizes.count() > 0 and sizes.agg(F.max("n")).first()[0] <= 10_000 * T.PIECE * 9
+    want = [np.array([[np.nan if v is None else v for v in r] for r in m]) for m in zip(*df.orderBy("id").select("x", "y").collect())]
+    batches = T.pieces(df, ["x", "y"], [2000, 300]).toArrow().to_batches(max_chunksize=37)
+    got = [np.vstack(m) for m in zip(*[[p.copy() for p in parts] for parts in T.matrices(batches, [2000, 300], 64)])]
+    assert all(np.array_equal(np.sort(a, axis=0), np.sort(b, axis=0), equal_nan=True) for a, b in zip(got, want))
+    with pytest.raises(ValueError, match="lengths"):
+        list(T.matrices(batches, [2000, 299], 64))
+
+
+def test_stored_tiles_have_small_row_groups(spark):
+    df = spark.range(0, 300, 1, 1).select(F.to_binary(F.repeat(F.sha2(F.col("id").cast("string"), 256), 2000), F.lit("hex")).alias("v"))
+    groups = lambda d: [pq.ParquetFile(f.removeprefix("file:")).metadata.row_group(0).total_byte_size for f in d.inputFiles()]
+    assert max(groups(stage(df, "wide", 1))) < 3 << 20 < max(groups(stage(df, "plain")))
