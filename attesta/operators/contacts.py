@@ -1,8 +1,9 @@
 """Contact pairs to balanced matrices and their leading eigenvector, for all partitions at once.
 
 Matrices are sparse long tables (keys..., i, j, w) with i <= j. Vectors over bins are small
-tables, joined by equi-joins (broadcast by Spark when they fit) and written to shared storage
-once per round, so iterations keep a flat plan.
+tables, written to shared storage once per round, so iterations keep a flat plan. A matrix is
+stored once with both triangles, range partitioned by row; a round sends it the vector, which is
+bounded by the bin grid, and no entry of the matrix is shuffled again.
 """
 
 from __future__ import annotations
@@ -32,9 +33,14 @@ def mirrored(m: DataFrame, keys: Sequence[str]) -> DataFrame:
     return m.select(*keys, "i", "j", "w").unionByName(other)
 
 
-def _kept(full: DataFrame, mask: DataFrame, keys: Sequence[str]) -> DataFrame:
-    rows = full.join(mask.select(*keys, "i"), [*keys, "i"], "left_semi")
-    return rows.join(mask.select(*keys, F.col("i").alias("j")), [*keys, "j"], "left_semi")
+def by_row(full: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+    """The matrix stored so that sums over a row are almost done in the task that reads it."""
+    return stage(full.repartitionByRange(*keys, "i"), label)
+
+
+def of_columns(vector: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A vector (keys, i, ...) of the bins, small beside the matrix, to be joined on its columns j."""
+    return F.broadcast(vector.withColumnRenamed("i", "j"))
 
 
 def balance(
@@ -44,25 +50,25 @@ def balance(
 
     Bins with few non-zero entries or no signal are masked until every kept bin has kept signal.
     Then s = row sums / mean row sum and w / (s_i s_j), until all |s - 1| < tol. Only the bias
-    vector changes between rounds; the matrix itself is written once.
+    vector changes between rounds; the matrix itself is written once. Entries of masked bins find
+    no bias and drop out.
     """
     keys = list(keys)
-    full = mirrored(m.where("w <> 0"), keys)
+    full = by_row(mirrored(m.where("w <> 0"), keys), keys, "full")
     rows = full.groupBy(*keys, "i").agg(F.count(F.lit(1)).alias("nnz"), F.sum("w").alias("s"))
     mask = stage(rows.where((F.col("nnz") >= min_nnz) & (F.col("s") > 0)).select(*keys, "i"), "mask")
     n = mask.count()
     while n:
-        nxt = stage(_kept(full, mask, keys).groupBy(*keys, "i").agg(F.sum("w").alias("s")).where("s > 0").select(*keys, "i"), "mask")
+        sums = full.join(of_columns(mask, keys), [*keys, "j"], "left_semi").groupBy(*keys, "i").agg(F.sum("w").alias("s"))
+        nxt = stage(sums.where("s > 0").join(mask, [*keys, "i"], "left_semi").select(*keys, "i"), "mask")
         n_next = nxt.count()
         mask = nxt
         if n_next == n:
             break
         n = n_next
-    w = stage(_kept(full, mask, keys).select(*keys, "i", "j", "w"), "kept")
     bias = stage(mask.withColumn("b", F.lit(1.0)), "bias")
     for _ in range(max_rounds if n else 0):
-        other = bias.select(*keys, F.col("i").alias("j"), F.col("b").alias("bj"))
-        raw = w.join(other, [*keys, "j"]).groupBy(*keys, "i").agg(F.sum(F.col("w") / F.col("bj")).alias("s"))
+        raw = full.join(of_columns(bias, keys), [*keys, "j"]).groupBy(*keys, "i").agg(F.sum(F.col("w") / F.col("b")).alias("s"))
         raw = bias.join(raw, [*keys, "i"]).withColumn("s", F.col("s") / F.col("b"))
         mean = raw.groupBy(*keys).agg(F.avg("s").alias("mean"))
         step = raw.join(mean, keys).withColumn("s", F.col("s") / F.col("mean"))
@@ -73,9 +79,8 @@ def balance(
     else:
         if n:
             raise RuntimeError(f"not balanced to {tol} after {max_rounds} rounds")
-    bi = bias.withColumnRenamed("b", "bi")
-    bj = bias.select(*keys, F.col("i").alias("j"), F.col("b").alias("bj"))
-    out = w.where("i <= j").join(bi, [*keys, "i"]).join(bj, [*keys, "j"])
+    bi, bj = F.broadcast(bias.withColumnRenamed("b", "bi")), of_columns(bias.withColumnRenamed("b", "bj"), keys)
+    out = full.where("i <= j").join(bi, [*keys, "i"]).join(bj, [*keys, "j"])
     return out.select(*keys, "i", "j", (F.col("w") / (F.col("bi") * F.col("bj"))).alias("w")), bias
 
 
@@ -116,9 +121,10 @@ def observed_over_expected(m: DataFrame, mask: DataFrame, keys: Sequence[str]) -
         *keys, "d", F.coalesce(F.col("total") / F.col("n_pairs"), F.lit(0.0)).alias("expected")
     )
     exp = stage(exp, "expected")
-    signal = m.withColumn("d", d).join(exp.where("expected > 0"), [*keys, "d"]).select(*keys, "i", "j", (F.col("w") / F.col("expected")).alias("oe"))
+    signal = m.withColumn("d", d).join(F.broadcast(exp.where("expected > 0")), [*keys, "d"]).select(*keys, "i", "j", (F.col("w") / F.col("expected")).alias("oe"))
     flat = exp.where("expected <= 0").select(*keys, "d")
-    starts = flat.join(mask.select(*keys, "i"), keys).select(*keys, "i", (F.col("i") + F.col("d")).alias("j"))
+    end = mask.groupBy(*keys).agg(F.max("i").alias("__end"))
+    starts = flat.join(mask.select(*keys, "i").join(end, keys), keys).where(F.col("i") + F.col("d") <= F.col("__end")).select(*keys, "i", (F.col("i") + F.col("d")).alias("j"))
     ones = starts.join(mask.select(*keys, F.col("i").alias("j")), [*keys, "j"], "left_semi")
     return signal.unionByName(ones.select(*keys, "i", "j", F.lit(1.0).alias("oe")))
 
@@ -137,15 +143,14 @@ def leading_eigenvector(
     """
     keys, qs = list(keys), [f"q{k}" for k in range(block)]
     types = dict(mask.dtypes)
-    full = oe.select(*keys, "i", "j", "oe").unionByName(
+    full = by_row(oe.select(*keys, "i", "j", "oe").unionByName(
         oe.where("i <> j").select(*keys, F.col("j").alias("i"), F.col("i").alias("j"), "oe")
-    )
+    ), keys, "oe")
     size = mask.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"))
     stats = full.groupBy(*keys, "i").agg(F.sum("oe").alias("s"), F.sum(F.col("oe") * F.col("oe")).alias("ss"))
     stats = stats.join(size, keys).withColumn("mu", F.col("s") / F.col("k"))
     stats = stats.withColumn("sd", F.sqrt(F.greatest(F.col("ss") / F.col("k") - F.col("mu") * F.col("mu"), F.lit(0.0))))
     stats = stage(stats.where("sd > 1e-12 AND k >= 3").select(*keys, "i", "k", "mu", "sd"), "rows")
-    mat = stage(full.join(stats.select(*keys, "i"), [*keys, "i"], "left_semi"), "oe")
 
     def project(pdf: pd.DataFrame) -> pd.DataFrame:
         """Adds the block's images, and finds the next block orthogonal to all so far."""
@@ -184,8 +189,9 @@ def leading_eigenvector(
         # With a = q / sd and c0 = sum(mu a): (Z Z' q)_i = (sum_j oe_ij U_j / k - c0 mu_i) / sd_i, U = O/E' a.
         a = state.select(*keys, "i", *[(F.col(q) / F.col("sd")).alias(q) for q in qs])
         c0 = state.groupBy(*keys).agg(*[F.sum(F.col("mu") * F.col(q) / F.col("sd")).alias(f"c{k}") for k, q in enumerate(qs)])
-        u = mat.join(a, [*keys, "i"]).groupBy(*keys, "j").agg(*[F.sum(F.col("oe") * F.col(q)).alias(q) for q in qs])
-        y = mat.join(u, [*keys, "j"]).groupBy(*keys, "i").agg(*[F.sum(F.col("oe") * F.col(q)).alias(f"y{k}") for k, q in enumerate(qs)])
+        # O/E is symmetric: both products join on columns and sum over rows.
+        u = full.join(of_columns(a, keys), [*keys, "j"]).groupBy(*keys, "i").agg(*[F.sum(F.col("oe") * F.col(q)).alias(q) for q in qs])
+        y = full.join(of_columns(u, keys), [*keys, "j"]).groupBy(*keys, "i").agg(*[F.sum(F.col("oe") * F.col(q)).alias(f"y{k}") for k, q in enumerate(qs)])
         new = state.join(y, [*keys, "i"], "left").join(c0, keys).withColumns(
             {f"y{k}": (F.coalesce(f"y{k}", F.lit(0.0)) / F.col("k") - F.col(f"c{k}") * F.col("mu")) / F.col("sd") for k in range(block)}
         )

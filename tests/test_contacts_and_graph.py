@@ -153,3 +153,15 @@ def test_write_once_refuses_second_write(spark):
     with pytest.raises(Exception, match="(?i)exist"):
         write_once(df, path, ["a", "b"])
     assert spark.read.schema("a int, b double").option("sep", "\t").option("header", "true").csv(path).first().b is None
+
+
+def test_rounds_do_not_shuffle_the_matrix(spark):
+    rows = [("x", i, j, float(1 + (i * j) % 5)) for i in range(30) for j in range(i, 30)]
+    m = spark.createDataFrame(rows, "chrom string, i long, j long, w double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = C.balance(m, ["chrom"], 10)[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
