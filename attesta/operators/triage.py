@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import text as X
 from attesta.operators.resample import cluster_bootstrap
+from attesta.session import dealt
 
 
 def _sum_if(c: Column) -> Column:
@@ -235,8 +236,9 @@ def recall_by_depth(truth: DataFrame, answers: DataFrame, subject: str, item: st
 
 
 def false_positives(truth: DataFrame, answers: DataFrame, subject: str, item: str) -> DataFrame:
-    a = answers.select("system", subject, item).distinct()
-    return a.join(truth.select(subject, item), [subject, item], "left_anti").groupBy("system").agg(
+    """Distinct answers of each system that are not in `truth`."""
+    a, t = dealt([subject, item], answers.select("system", subject, item), truth.select(subject, item))
+    return a.join(t, [subject, item], "left_anti").distinct().groupBy("system").agg(
         F.count(F.lit(1)).alias("false_pos")
     )
 
