@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.session import stage
+from attesta.session import dealt, stage
 
 
 @dataclass(frozen=True)
@@ -49,7 +49,7 @@ def fact_union(*parts: DataFrame) -> DataFrame:
     all_rows = tagged[0]
     for t in tagged[1:]:
         all_rows = all_rows.unionByName(t)
-    return all_rows.groupBy("relation", "args").agg(F.min_by("source", F.struct("__part", "source")).alias("source"))
+    return dealt(["args"], all_rows)[0].groupBy("relation", "args").agg(F.min_by("source", F.struct("__part", "source")).alias("source"))
 
 
 def project_relations(facts: DataFrame, relations: Sequence[str]) -> DataFrame:
@@ -69,7 +69,7 @@ def relation_view(facts: DataFrame, relation: str, names: Sequence[str]) -> Data
     return facts.where(F.col("relation") == relation).select(*[F.col("args")[i].alias(n) for i, n in enumerate(names)])
 
 
-def _bind(table: DataFrame, literal: Literal, index: int, with_proof: bool) -> DataFrame:
+def _bind(table: DataFrame, literal: Literal, distinct: bool) -> DataFrame:
     """Constants and repeated variables become filters; variables become columns."""
     conds, cols, seen = [], [], {}
     for name, term in zip(table.columns, literal.terms, strict=True):
@@ -83,18 +83,19 @@ def _bind(table: DataFrame, literal: Literal, index: int, with_proof: bool) -> D
             conds.append(F.col(name) == F.lit(term))
     for c in conds:
         table = table.where(c)
-    if with_proof:
-        fact = F.struct(F.lit(literal.relation).alias("relation"), F.array(*[F.col(n).cast("string") for n in table.columns]).alias("args"))
-        cols.append(fact.alias(f"__premise{index}"))
     out = table.select(*cols)
-    return out if with_proof else out.distinct()
+    return out.distinct() if distinct else out
 
 
 def apply_rule(rule: Rule, tables: Mapping[str, DataFrame], with_proof: bool = False) -> DataFrame:
-    """Natural join of the body on shared variables, projected to the distinct head."""
+    """Natural join of the body on shared variables, projected to the distinct head.
+
+    Variables of one name have one type. Derivations travel as the values of their variables; facts are put together
+    from them for the chosen ones only.
+    """
     joined, bound = None, set()
-    for i, lit in enumerate(rule.body):
-        part = _bind(tables[lit.relation], lit, i, with_proof)
+    for lit in rule.body:
+        part = _bind(tables[lit.relation], lit, not with_proof)
         names = {t.name for t in lit.terms if isinstance(t, Var)}
         if joined is None:
             joined = part
@@ -108,10 +109,13 @@ def apply_rule(rule: Rule, tables: Mapping[str, DataFrame], with_proof: bool = F
     head = [(F.col(t.name) if isinstance(t, Var) else F.lit(t)).alias(n) for t, n in zip(rule.head.terms, head_names, strict=True)]
     if not with_proof:
         return joined.select(*head).distinct()
-    premises = F.array(*[F.col(f"__premise{i}") for i in range(len(rule.body))]).alias("premises")
-    proof = joined.select(*head, F.lit(rule.rule_id).alias("rule_id"), premises)
-    # The smallest derivation wins: a stable choice where any one proof is enough.
-    return proof.groupBy(*head_names).agg(F.min(F.struct("rule_id", "premises")).alias("p")).select(*head_names, "p.*")
+    # The smallest derivation wins: a stable choice where any one proof is enough. All derivations have the same relations
+    # and constants, so the order of their facts is that of their variables as they first occur.
+    order = list(dict.fromkeys(t.name for lit in rule.body for t in lit.terms if isinstance(t, Var)))
+    least = F.min(F.struct(F.lit(0).alias("__"), *[f"__v_{v}" for v in order])).alias("__v")
+    value = lambda t: F.col(f"__v.__v_{t.name}") if isinstance(t, Var) else F.lit(t).cast("string")
+    facts = [F.struct(F.lit(lit.relation).alias("relation"), F.array(*[value(t) for t in lit.terms]).alias("args")) for lit in rule.body]
+    return joined.select(*head, *[F.col(v).cast("string").alias(f"__v_{v}") for v in order]).groupBy(*head_names).agg(least).select(*head_names, F.lit(rule.rule_id).alias("rule_id"), F.array(*facts).alias("premises"))
 
 
 def evaluate(rules: Sequence[Rule], tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
@@ -176,7 +180,8 @@ def reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
     Output is bounded by starts x nodes. Each round joins the newest frontier to the edges and
     drops what is already known.
     """
-    e = edges.select("src", "dst").distinct()
+    # Written once; an edge that is there twice does no harm, since every step is made distinct.
+    e = stage(edges.select("src", "dst"), "edges")
     frontier = starts.select(F.col("node").alias("start"), F.col("node")).distinct()
     seen = stage(frontier.withColumn("depth", F.lit(0)), "reach")
     frontier = seen.select("start", "node")

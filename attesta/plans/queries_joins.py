@@ -232,7 +232,7 @@ def known_novel_annotation(spark, d):
 
 def star_facts(spark, d):
     li, p, s, n = names(spark, d, "lineitem", "part", "supplier", "nation")
-    li = li.select("l_partkey", "l_suppkey", "l_returnflag").distinct()
+    li = li.select("l_partkey", "l_suppkey", "l_returnflag")
     return G.fact_union(
         G.fact_rows(li, "supplies", ["l_suppkey", "l_partkey"], "l_returnflag"),
         G.fact_rows(p, "brand", ["p_partkey", "p_brand"], "p_type"),

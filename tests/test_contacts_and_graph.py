@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from attesta import session
 from attesta.operators import aggregates as AG
 from attesta.operators import contacts as C
 from attesta.operators import graph as G
@@ -165,3 +166,32 @@ def test_rounds_do_not_shuffle_the_matrix(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_tasks_grow_in_number_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    rows = spark.range(5000).select(F.lit("r").alias("relation"), F.array(F.col("id").cast("string")).alias("args"), F.lit("s").alias("source"))
+    assert G.fact_union(rows).rdd.getNumPartitions() >= 50
+    a, b = session.dealt(["id"], spark.range(3000), spark.range(2000))
+    assert a.rdd.getNumPartitions() == b.rdd.getNumPartitions() == 50
+
+
+def test_derivations_travel_without_their_facts(spark):
+    t = {"e": spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("a", "d"), ("d", "c")], "x string, y string")}
+    rule = G.Rule("two", G.Literal("p", (G.Var("x"), G.Var("z"))), (G.Literal("e", (G.Var("x"), G.Var("y"))), G.Literal("e", (G.Var("y"), G.Var("z")))))
+    got = G.apply_rule(rule, t, with_proof=True)
+    assert [(r.a0, r.a1, r.rule_id, [(f.relation, f.args) for f in r.premises]) for r in got.collect()] == [("a", "c", "two", [("e", ["a", "b"]), ("e", ["b", "c"])])]
+    assert "min(struct(rule_id" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_reach_reads_its_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(5)], "src string, dst string").mapInArrow(counted, "src string, dst string")
+    got = {r.node: r.depth for r in G.reach(edges, spark.createDataFrame([("n0",)], "node string")).collect()}
+    assert got == {f"n{i}": i for i in range(1, 6)} and seen.value == 5
