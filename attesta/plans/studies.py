@@ -131,6 +131,15 @@ def hashed_normal(seed: int, *keys: Column) -> Column:
     return F.sqrt(-2 * F.log(u1)) * F.cos(2 * F.pi() * u2)
 
 
+def _rank_correlations(df: DataFrame, key: str, value: str, other: str, size: str, spread: float) -> DataFrame:
+    """(key, rho) of the ranks of a value with centred ranks `other` of given sum of squares; no row is joined again."""
+    folded = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"), F.sum(other).alias("o"), F.max(size).alias("m"))
+    r = O.Ordered(folded, [key], [value]).running({"hi": ("sum", F.col("n"))}).rows()
+    r = r.withColumn("r", F.col("hi") - (F.col("n") - 1) / 2 - (F.col("m") + 1) / 2)
+    rho = F.try_divide(F.sum(F.col("r") * F.col("o")), F.sqrt(F.sum(F.col("n") * F.col("r") * F.col("r")) * F.lit(spread)))
+    return r.groupBy(key).agg(rho.alias("rho"))
+
+
 def noise_matched(df: DataFrame, keys: Sequence[str], sim: str, ref: str, observed: str, seed: int, rounds: int = 4, steps: int = 16) -> DataFrame:
     """Noise scale at which sim + noise tracks the reference as well as the observed track does.
 
@@ -138,13 +147,16 @@ def noise_matched(df: DataFrame, keys: Sequence[str], sim: str, ref: str, observ
     one job per round.
     """
     rows = A.listwise(df.select(*keys, *[F.col(c).cast("double").alias(c) for c in (sim, ref, observed)]), [sim, ref, observed])
-    rows = stage(rows.withColumn("e", hashed_normal(seed, *[F.col(k) for k in keys])), "noise")
+    rows = O.average_rank(rows.withColumn("e", hashed_normal(seed, *[F.col(k) for k in keys])), [], ref, "__r", "__n")
+    # Ranks of the reference are the same at every scale; centred, they are summed where the other ranks are found.
+    rows = stage(rows.withColumn("__r", F.col("__r") - (F.col("__n") + 1) / 2), "noise")
+    spread = rows.agg(F.sum(F.col("__r") * F.col("__r"))).first()[0]
     target = A.spearman(rows, [], observed, ref).first()["spearman"]
     lo, hi = 0.0, 20.0 * rows.agg(F.stddev_pop(sim)).first()[0]
     for _ in range(rounds):
         grid = [lo + (hi - lo) * (k + 1) / (steps + 1) for k in range(steps)]
-        noisy = rows.select(ref, F.explode(F.array(*[F.lit(g) for g in grid])).alias("s"), F.col(sim).alias("v"), "e").withColumn("v", F.col("v") + F.col("s") * F.col("e"))
-        rho = {r["s"]: r["spearman"] for r in A.spearman(noisy, ["s"], "v", ref).collect()}
+        noisy = rows.select("__r", "__n", F.explode(F.array(*[F.lit(g) for g in grid])).alias("s"), F.col(sim).alias("v"), "e").withColumn("v", F.col("v") + F.col("s") * F.col("e"))
+        rho = {r["s"]: r["rho"] for r in _rank_correlations(noisy, "s", "v", "__r", "__n", spread).collect()}
         above = [g for g in grid if rho[g] > target]
         lo, hi = (above[-1] if above else lo), next((g for g in grid if not above or g > above[-1]), hi)
     scale = (lo + hi) / 2
