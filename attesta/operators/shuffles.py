@@ -29,15 +29,30 @@ DUCK_MOVED = f"""list_reduce(list_prepend([k, 0, 0], list_transform(range(1, {RO
 
 
 def moved(place: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Where each place of 0..n-1 goes under its key."""
-    x = place.astype(np.int64)
+    """Where each place of 0..n-1 goes under its key.
+
+    What depends on the key and n alone is found once for all places that share them.
+    """
+    x, n = place.astype(np.int64), n.astype(np.int64)
+    if not len(x):
+        return x
+    order = np.lexsort((n, key))
+    first = np.ones(len(x), bool)
+    first[1:] = (np.diff(key[order]) != 0) | (np.diff(n[order]) != 0)
+    which = np.empty(len(x), np.int64)
+    which[order] = np.cumsum(first) - 1
+    keys, sizes, large = key[order][first].astype(np.int64), n[order][first], n.max() > PRIME
     for i in range(1, ROUNDS + 1):
-        u = (key + i * 7919) % LEHMER
+        u = (keys + i * 7919) % LEHMER
         a, b = u * FIRST % LEHMER, u * SECOND % LEHMER
-        y = ((a * LEHMER + b) % n - x) % n
+        y = ((a * LEHMER + b) % sizes)[which] - x
+        y += np.where(y < 0, n, 0)
         top = np.maximum(x, y)
-        t = (top + top // PRIME * THIRD + a) % PRIME
-        x = np.where(t * t % PRIME * (2 * (b % 32768) + 1) // 64 & 1, y, x)
+        t = top + (a % PRIME)[which]
+        if large:
+            t += top // PRIME * THIRD
+        t %= PRIME
+        x = np.where(t * t % PRIME * (2 * (b % 32768) + 1)[which] >> 6 & 1, y, x)
     return x
 
 
