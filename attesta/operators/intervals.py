@@ -242,8 +242,10 @@ def matched_controls(
     so neither pairs nor groups are ever shuffled whole.
     """
     stats = rows.agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first()
+    # The last digits of a mean hang on how rows are dealt over tasks, and would decide between controls equally far.
+    steady = {c: float(f"{v or 0.0:.12g}") for c, v in stats.asDict().items()}
     z = [
-        (F.when(F.lit(stats[f"s_{f}"] > 0), (F.col(f) - stats[f"m_{f}"]) / (stats[f"s_{f}"] or 1.0)).otherwise(0.0)) for f in features
+        (F.when(F.lit(steady[f"s_{f}"] > 0), (F.col(f) - steady[f"m_{f}"]) / (steady[f"s_{f}"] or 1.0)).otherwise(0.0)) for f in features
     ]
     base = stage(
         rows.select(row_id, partition, F.col(pos).cast("bigint").alias("pos"), F.array(*z).alias("z"), F.col(outcome).cast("double").alias("y"), is_anchor.alias("anchor")),

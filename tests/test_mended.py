@@ -121,3 +121,15 @@ def test_quantile_map_rounds_as_it_is_written(spark):
         h = (k + 1 - 0.5) / m * (m - 1)
         a, b = ys[math.floor(h)], ys[math.ceil(h)]
         assert got[float(k)] == a + (b - a) * (h - math.floor(h))
+
+
+def test_matched_controls_do_not_hang_on_how_rows_are_dealt(spark):
+    rows = [(i, "ab"[i % 2], 900 + i * 389 % 1000 / 10, i % 20 < 2, float(i)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, part string, price double, anchor boolean, y double").cache()
+    want = None
+    for n in (1, 3, 5, 13, 21):
+        dealt = df.repartition(n, F.xxhash64("id", F.lit(n)))
+        found = intervals.matched_controls(dealt, "id", "part", "id", ["price"], F.col("anchor"), "y", 0, 3)
+        got = sorted((r.anchor_id, r.matched_difference) for r in found.collect())
+        want = want or got
+        assert got == want and len(got) == 200
