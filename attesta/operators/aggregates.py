@@ -11,11 +11,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from attesta.operators import ordered as O
+from attesta.session import stage
 
 
 def replicate_mean(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -380,17 +381,22 @@ def sample_qc(
     A partition is excluded when any sample fails in it; the run fails when too many are.
     The leave-one-out mean comes from sums, so nothing is self-joined.
     """
-    v = F.col(value)
-    pos = tracks.groupBy(partition, position).agg(
-        F.sum(F.when(F.col(is_reference), v)).alias("S"), F.count(F.when(F.col(is_reference), v)).alias("N")
-    )
+    v, keys = F.col(value), [sample, partition]
     own = F.col(is_reference) & v.isNotNull()
-    ref = (F.col("S") - F.when(own, v).otherwise(F.lit(0))) / F.nullif(F.col("N") - own.cast("int"), F.lit(0))
-    j = tracks.join(pos, [partition, position]).select(sample, partition, v.alias("x"), ref.alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-    r = O.average_rank(O.average_rank(j, [sample, partition], "x", "rx"), [sample, partition], "y", "ry")
-    rho = r.groupBy(sample, partition).agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    here = Window.partitionBy(partition, position)  # one row a sample
+    others = F.nullif(F.count(F.when(F.col(is_reference), v)).over(here) - own.cast("int"), F.lit(0))
+    ref = (F.sum(F.when(F.col(is_reference), v)).over(here) - F.when(own, v).otherwise(F.lit(0))) / others
+    j = tracks.where(F.col(partition).isNotNull() & F.col(position).isNotNull()).select(*keys, v.alias("x"), ref.alias("y"))
+    j = stage(j.where("x IS NOT NULL AND y IS NOT NULL"), "concordance")
+    # Rows need the ranks of x only; centred, they are summed for each y, whose own ranks never go back to the rows.
+    r = O.average_rank(j, keys, "x", "rx", "m").withColumn("rx", F.col("rx") - (F.col("m") + 1) / 2)
+    folded = r.groupBy(*keys, "y").agg(F.count(F.lit(1)).alias("k"), F.sum("rx").alias("o"), F.sum(F.col("rx") * F.col("rx")).alias("xx"), F.max("m").alias("m"))
+    c = O.Ordered(folded, keys, ["y"]).running({"hi": ("sum", F.col("k"))}).rows()
+    c = c.withColumn("ry", F.col("hi") - (F.col("k") - 1) / 2 - (F.col("m") + 1) / 2)
+    spread = F.sqrt(F.sum("xx") * F.sum(F.col("k") * F.col("ry") * F.col("ry")))
+    rho = c.groupBy(*keys).agg(F.try_divide(F.sum(F.col("o") * F.col("ry")), spread).alias("rho"), F.sum("k").alias("n"))
     bad = (F.col("n") < min_rows) | F.col("rho").isNull() | (F.col("rho") < min_rho)
-    per = rho.withColumn("failed", bad)
+    per = stage(rho.withColumn("failed", bad), "rho")  # a row per sample and partition, read three times
     parts = per.groupBy(partition).agg(F.bool_or("failed").alias("partition_excluded"))
     total = parts.agg((F.count_if("partition_excluded") > max_excluded).alias("run_failed"))
     return per.join(parts, partition).join(F.broadcast(total))

@@ -133,3 +133,29 @@ def test_matched_controls_do_not_hang_on_how_rows_are_dealt(spark):
         got = sorted((r.anchor_id, r.matched_difference) for r in found.collect())
         want = want or got
         assert got == want and len(got) == 200
+
+
+def test_sample_qc_reads_its_rows_once(spark):
+    rng = np.random.default_rng(5)
+    cells = {(s, p, k): None if rng.random() < 0.1 else int(rng.integers(0, 40)) + k * (s != 3) for s in range(5) for p in "ab" for k in range(60) if rng.random() < 0.9}
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    df = spark.createDataFrame([(*c, v) for c, v in cells.items()], "sample int, part string, pos int, raw long")
+    df = df.withColumn("v", counted("raw")).withColumn("ref", F.col("sample") < 3)
+    got = {(r.sample, r.part): r for r in aggregates.sample_qc(df, "sample", "part", "pos", "v", "ref", 0.3, 20, 1).collect()}
+    assert seen.value == len(cells)
+    for s, p in itertools.product(range(5), "ab"):
+        xy = []
+        for (a, b, k), v in cells.items():
+            others = [cells[t, p, k] for t in range(3) if t != s and cells.get((t, p, k)) is not None]
+            if (a, b) == (s, p) and v is not None and others:
+                xy.append((v, sum(others) / len(others)))
+        ranks = [[sum(w < v for w in c) + (sum(w == v for w in c) + 1) / 2 for v in c] for c in zip(*xy)]
+        rho = np.corrcoef(*ranks)[0, 1]
+        assert got[s, p].n == len(xy) and got[s, p].rho == pytest.approx(rho, abs=1e-9) and got[s, p].failed == (rho < 0.3)
+    assert all(r.partition_excluded and r.run_failed for r in got.values())
