@@ -128,9 +128,12 @@ def _back(df: DataFrame, table: DataFrame, keys: Sequence[str], value: str) -> D
     return df.join(table, cond, "left").drop(*[f"__t_{c}" for c in (*keys, value)])
 
 
-def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank", size: str | None = None):
-    """Rank with ties sharing their mean rank; NULL values get NULL."""
-    c = cumulative(df, keys, value).rows()
+def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank", size: str | None = None, among: DataFrame | None = None):
+    """Rank with ties sharing their mean rank; NULL values get NULL.
+
+    `among` are the same rows where `df` is a longer plan, which then is not made once more to count values.
+    """
+    c = cumulative(df if among is None else among, keys, value).rows()
     mid = F.col("__hi") - F.col("__n") + (F.col("__n") + 1) / F.lit(2.0)
     out = c.select(*keys, value, mid.alias(name), *([F.col("__total").alias(size)] if size else []))
     return _back(df, out, keys, value)

@@ -32,14 +32,20 @@ def _head(table: pa.Table, keys: Sequence[str], n: int) -> list:
     return [first.column(k).take(pa.array([0] * n, pa.int64())) for k in keys]
 
 
-def shifted_products(ring: DataFrame, keys: Sequence[str], moving: Sequence[str], fixed: Sequence[str], shifts: DataFrame, leg: int = 0, block: int = 0) -> DataFrame:
+def shifted_products(
+    ring: DataFrame, keys: Sequence[str], moving: Sequence[str], fixed: Sequence[str], shifts: DataFrame, leg: int = 0, block: int = 0,
+    pairs: Sequence[tuple[str, str]] = (),
+) -> DataFrame:
     """(keys, rep, s): for each wanted shift, the sums over the ring of moving[k] * fixed[k + shift], moving by fixed.
 
+    With `pairs` of columns (moving, fixed), only those, in their order; a column may then be on both sides.
     `ring` has keys, `ring_pos` from 0, `ring_len` and the columns; `shifts` has keys, `rep` and `offset` below the
     ring's length. Both have a row for the same rings, and keys are never null.
     """
     leg, block = leg or LEG, block or BLOCK
-    columns, pairs = [*moving, *fixed], len(moving) * len(fixed)
+    wish = list(pairs) or [(a, b) for a in moving for b in fixed]
+    columns, pairs = list(dict.fromkeys([*moving, *fixed])), len(wish)
+    left, right = [columns.index(a) for a, _ in wish], [columns.index(b) for _, b in wish]
     types = {f.name: f.dataType.simpleString() for f in ring.schema}
     key_schema = "".join(f"{k} {types[k]}, " for k in keys)
     m = F.expr("shiftleft(1L, CAST(length(bin(2 * ring_len - 1)) AS INT))")
@@ -64,8 +70,7 @@ def shifted_products(ring: DataFrame, keys: Sequence[str], moving: Sequence[str]
         for n2, v in zip(table.column("n2").to_pylist(), table.column("v").to_pylist()):
             f[n2] = np.frombuffer(v, complex).reshape(len(columns), few)
         f = np.fft.fft(f, axis=0)
-        a, b = f[:, : len(moving)], f[:, len(moving) :]
-        g = np.fft.ifft((a.conj()[:, :, None] * b[:, None]).reshape(m2, pairs, few), axis=0)
+        g = np.fft.ifft(f[:, left].conj() * f[:, right], axis=0)
         k1 = part * few + np.arange(few)
         places = np.arange(m2)
         g *= np.exp(2j * np.pi * (places[:, None] * k1 % (m1 * m2)) / (m1 * m2))[:, None, :]

@@ -105,23 +105,28 @@ def split_screen(
     return j.select("predictor", "outcome", "disc_rho", "survived", "conf_rho", p.alias("p_directional"), F.coalesce(ok, F.lit(False)).alias("confirmed"))
 
 
-def sensitivity_arms(tiles: DataFrame, part: str, order: Sequence[str], x: str, y: str, base: str, reps: int, seed: int) -> DataFrame:
-    """One contrast under several arms: raw, per-partition standardised, and swapped roles (placebo direction)."""
-    num = tiles.select(part, *order, *[F.col(c).cast("double").alias(c) for c in (x, y, base)])
+def _sensitivity(tiles: DataFrame, part: str, order: Sequence[str], x: str, y: str, base: str, reps: int, seed: int, flexible: bool) -> DataFrame:
+    """Arms of one contrast. They have the same complete rows, so a column is ranked once and all arms share one ring."""
+    num = stage(tiles.select(part, *order, *[F.col(c).cast("double").alias(c) for c in (x, y, base)]), "tracks")
     z = O.partition_zscore(O.partition_zscore(num, [part], x, "zx"), [part], y, "zy")
-    arm = lambda n, a, b: F.struct(F.lit(n).alias("arm"), F.col(a).alias("__x"), F.col(b).alias("__y"))
     # Written once: sums of doubles can differ in their last bits from one evaluation to the next, and ranks are joined by value.
-    rows = stage(z.select(part, *order, base, F.inline(F.array(arm("raw", x, y), arm("scale_free", "zx", "zy"), arm("swapped", y, x)))), "arms")
-    return A.spatial_null(rows, part, order, "__x", "__y", [base], reps, seed, shift_with_x=[base], by=["arm"])
+    z = stage(O.rank_spline(z, [], base) if flexible else z, "scores")
+    r = A.ranked(z, [x, y, base, "zx", "zy"])
+    rx, ry, rb = f"r_{x}", f"r_{y}", f"r_{base}"
+    tests = {"raw": (rx, ry, [rb], [rb]), "scale_free": ("r_zx", "r_zy", [rb], [rb]), "swapped": (ry, rx, [rb], [rb])}
+    if flexible:
+        tests["flexible"] = (rx, ry, ["u1", "u2", "u3", "k1", "k2", "k3"], [])
+    return A.spatial_nulls(r, part, order, tests, reps, seed)
+
+
+def sensitivity_arms(tiles: DataFrame, part: str, order: Sequence[str], x: str, y: str, base: str, reps: int, seed: int) -> DataFrame:
+    """One contrast under several arms: raw, per-partition standardised, and swapped roles (placebo direction)."""
+    return _sensitivity(tiles, part, order, x, y, base, reps, seed, False)
 
 
 def sensitivity_grid(tiles: DataFrame, part: str, order: Sequence[str], x: str, y: str, base: str, reps: int, seed: int) -> DataFrame:
     """The arms of `sensitivity_arms`, and one that adjusts for a flexible curve of the base."""
-    num = tiles.select(part, *order, *[F.col(c).cast("double").alias(c) for c in (x, y, base)])
-    r = A.ranked(O.rank_spline(num, [], base), [x, y])
-    basis = ["u1", "u2", "u3", "k1", "k2", "k3"]
-    flex = A.spatial_null(r.withColumn("arm", F.lit("flexible")), part, order, f"r_{x}", f"r_{y}", basis, reps, seed, by=["arm"], rank=False)
-    return sensitivity_arms(tiles, part, order, x, y, base, reps, seed).unionByName(flex)
+    return _sensitivity(tiles, part, order, x, y, base, reps, seed, True)
 
 
 def hashed_normal(seed: int, *keys: Column) -> Column:

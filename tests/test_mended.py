@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions.numeric import exact_mean
 from attesta.operators import aggregates, association, contacts, intervals, ordered, selection
+from attesta.plans import studies
 
 
 def test_greedy_capped_with_null_groups(spark):
@@ -159,3 +160,31 @@ def test_sample_qc_reads_its_rows_once(spark):
         rho = np.corrcoef(*ranks)[0, 1]
         assert got[s, p].n == len(xy) and got[s, p].rho == pytest.approx(rho, abs=1e-9) and got[s, p].failed == (rho < 0.3)
     assert all(r.partition_excluded and r.run_failed for r in got.values())
+
+
+def test_sensitivity_grid_reads_its_rows_once(spark):
+    rng = np.random.default_rng(12)
+    some = lambda v: None if rng.random() < 0.1 else round(float(v), 1)
+    rows = [(f"c{k % 4}", k, some(v[0]), some(v[0] + v[1]), some(v[1] + v[2])) for k, v in enumerate(rng.normal(size=(200, 3)))]
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    df = spark.createDataFrame(rows, "part string, pos int, x0 double, y double, z double").cache()
+    got = {r.arm: r for r in studies.sensitivity_grid(df.withColumn("x", counted("x0")), "part", ["pos"], "x", "y", "z", 39, 3).collect()}
+    assert seen.value == len(rows)
+    one = lambda d, a, b, g, w, **k: association.spatial_null(d, "part", ["pos"], a, b, g, 39, 3, w, **k).first()
+    num = df.withColumnRenamed("x0", "x")
+    scored = ordered.partition_zscore(ordered.partition_zscore(num, ["part"], "x", "zx"), ["part"], "y", "zy").cache()
+    curve = association.ranked(ordered.rank_spline(num, [], "z"), ["x", "y"])
+    want = {
+        "raw": one(num, "x", "y", ["z"], ["z"]), "swapped": one(num, "y", "x", ["z"], ["z"]), "scale_free": one(scored, "zx", "zy", ["z"], ["z"]),
+        "flexible": one(curve, "r_x", "r_y", ["u1", "u2", "u3", "k1", "k2", "k3"], [], rank=False),
+    }
+    assert set(got) == set(want)
+    for arm, w in want.items():
+        for c in ("n", "observed", "p_neg", "p_pos", "null_mean", "null_sd", "z"):
+            assert got[arm][c] == pytest.approx(w[c], rel=1e-7, abs=1e-9)
