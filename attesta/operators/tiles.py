@@ -4,6 +4,9 @@ Rows hold their columns in ARRAY<DOUBLE>. They are cut once into blocks of rows
 (tile, block). A cell of the grid is a pair of tiles over a few blocks: it meets in one task, which multiplies the
 tiles and passes on one partial sum. Partial sums of a pair of tiles are added level by level, a few at a time.
 So no task holds more than a few tiles and a few sums, however many rows or columns there are.
+
+Where rows are many times as wide as what they are made from, they are not cut and stored: `in_place` sums a band of
+columns by a band of columns over a task's own rows, and only these sums are shuffled.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 from attesta.session import stage
 
 ROWS, COLUMNS = 2048, 256  # of a tile
+BAND, BAND_MB, TASK_ROWS = 3072, 32, 1 << 16  # columns of a band; MB of a block of its rows; rows of a task that sums in place
 BLOCKS, SUMS = 8, 32  # blocks in a cell; partial sums added in a task
 PIECE, GROUP_MB = 256, 32  # cells of a wide row that go to Python as one row; MB of a stored group of tiles
 
@@ -29,6 +33,13 @@ def whole_rows(column: Column, width: int) -> Column:
     return F.coalesce(column, F.array_repeat(F.lit(None).cast("double"), width))
 
 
+def chosen(name: str, width: int, numbers: np.ndarray) -> Column:
+    """The array with the cells of the numbers alone, in their order."""
+    if np.array_equal(numbers, np.arange(width)):
+        return F.col(name)
+    return F.transform(F.lit(numbers.tolist()), lambda k: F.get(name, k)).alias(name)
+
+
 def pieces(data: DataFrame, columns: Sequence[str], widths: Sequence[int]) -> DataFrame:
     """The arrays of a row one after the other, in pieces of at most PIECE cells that follow each other.
 
@@ -171,5 +182,38 @@ def cells(left: DataFrame, right: DataFrame, mates: Column, partners: Column, gr
     return a.groupBy("i", "j", "g").cogroup(b.groupBy("i", "j", "g")).applyInArrow(run, f"i int, j int, g int, {schema}")
 
 
+def bands(tiles: Sequence[np.ndarray], extra: int) -> list[list[int]]:
+    """Tile numbers in runs of at most BAND columns, `extra` of them added for each tile."""
+    out, size = [], 0
+    for t, columns in enumerate(tiles):
+        size += len(columns) + extra
+        if not out or size > BAND:
+            out.append([])
+            size = len(columns) + extra
+        out[-1].append(t)
+    return out
+
+
+def in_place(data: DataFrame, columns: Sequence[str], widths: Sequence[int], rows: int, add: Callable[[dict, list[np.ndarray]], None], keys: Sequence[str]) -> DataFrame:
+    """(keys, v): sums that tasks gather over their own rows, so that no row is ever shuffled or stored.
+
+    `add(sums, matrices)` adds a block of rows to the task's arrays by key, which it holds all at once. There are `rows`
+    rows, and at least TASK_ROWS of them to a task once every core has one, so that sums stay few on a huge table.
+    """
+    tasks = max(data.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    block = max(1, min(ROWS, (BAND_MB << 17) // max(1, sum(widths))))
+
+    def run(batches):
+        sums: dict = {}
+        for parts in matrices(batches, widths, block):
+            add(sums, parts)
+        g = pa.array([TaskContext.get().partitionId()], pa.int32())
+        for key, v in sums.items():
+            yield pa.record_batch([*(pa.array([k], pa.int32()) for k in key), g, pa.array([v.tobytes()], pa.binary())], [*keys, "g", "v"])
+
+    schema = "".join(f"{k} int, " for k in keys) + "g int, v binary"
+    return added(pieces(data.coalesce(tasks), columns, widths).mapInArrow(run, schema), keys, tasks)
+
+
 def groups_of(blocks: int) -> int:
     return max(1, -(-blocks // BLOCKS))

@@ -300,12 +300,11 @@ def held_out_pairs(spark, d):
 def association_wide(spark, d):
     """2,560 x 2,560 pairs: thresholds of every dimension against products of dimensions; what passes BH at 0.01."""
     cuts = [(k - 19.5) / 80 for k in range(40)]
-    s = embedding_samples(spark, d)
+    s = embedding_samples(spark, d).select("c", "y")
     x = F.flatten(F.transform("y", lambda v: F.array(*[(v > c).cast("double") for c in cuts])))
     y = F.flatten(F.transform("y", lambda v: F.transform(F.slice("y", 1, 40), lambda u: u * v)))
-    wide = s.select("c", x.alias("x"), y.alias("y"))
     n = 40 * DIMS
-    a = A.associate_significant(wide, "x", "y", "c", [f"x{i}" for i in range(n)], [f"y{i}" for i in range(n)], 0.01)
+    a = A.associate_significant(s, x, y, "c", [f"x{i}" for i in range(n)], [f"y{i}" for i in range(n)], 0.01)
     return rounded(a.select("feature", "outcome", "beta", "t", "q"), "beta", "t", "q")
 
 

@@ -1,6 +1,7 @@
 """Association, selection and rank tests against independent formulas and planted signals."""
 
 import math
+import pathlib
 import random
 
 import numpy as np
@@ -15,7 +16,7 @@ from attesta.operators import ordered as O
 from attesta.operators import selection as S
 from attesta.operators import tiles as T
 from attesta.operators.rings import shifted_products
-from attesta.session import stage
+from attesta.session import shared_dir, stage
 
 
 def samples(spark, n=400, p=6, q=5, seed=1, missing=0.0):
@@ -290,3 +291,35 @@ def test_stored_tiles_have_small_row_groups(spark):
     df = spark.range(0, 300, 1, 1).select(F.to_binary(F.repeat(F.sha2(F.col("id").cast("string"), 256), 2000), F.lit("hex")).alias("v"))
     groups = lambda d: [pq.ParquetFile(f.removeprefix("file:")).metadata.row_group(0).total_byte_size for f in d.inputFiles()]
     assert max(groups(stage(df, "wide", 1))) < 3 << 20 < max(groups(stage(df, "plain")))
+
+
+def stored(spark):
+    return {f: f.stat().st_size for f in pathlib.Path(shared_dir(spark), "attesta").glob("*/*.parquet")}
+
+
+def test_wide_rows_are_multiplied_where_they_are_made(spark, monkeypatch):
+    """Arrays made from narrow rows are never stored; bands of columns and tasks of few rows change no result."""
+    for name, value in (("BAND", 70), ("TASK_ROWS", 100), ("COLUMNS", 32), ("SUMS", 2)):
+        monkeypatch.setattr(T, name, value)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(900, 4))
+    gone = rng.random(900) < 0.2
+    rows = [(r.tolist(), None if g else 1.0, [1.0, float(i % 3 == 0)]) for i, (r, g) in enumerate(zip(v, gone))]
+    df = spark.createDataFrame(rows, "v array<double>, there double, c array<double>").repartition(7)
+    x = F.flatten(F.transform("v", lambda u: F.array(*[(u > k / 10).cast("double") for k in range(20)])))
+    y = F.flatten(F.transform("v", lambda u: F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: (u - k / 10) * (u - k / 10) * F.when(k < 5, F.col("there")).otherwise(1.0))))
+    names = [f"x{i}" for i in range(80)], [f"y{j}" for j in range(80)]
+    before = stored(spark)
+    got = {(r.feature, r.outcome): r for r in A.associate(df, x, y, "c", *names).collect()}
+    new = {f: n for f, n in stored(spark).items() if f not in before}
+    assert not any(f.parent.name.startswith("tiles") for f in new)
+    assert sum(n for f, n in new.items() if f.parent.name.startswith("assoc")) < 900 * 160 * 8 / 4
+    assert len(got) == 6400
+    for i, j in ((0, 0), (25, 3), (79, 64), (41, 79), (60, 22)):
+        a = (v[:, i // 20] > i % 20 / 10).astype(float)
+        b = (v[:, j // 20] - j % 20 / 10) ** 2
+        use = ~gone if j % 20 < 5 else np.ones(900, bool)
+        beta, se, dof = ols(a[use], b[use], np.array([r[2] for r in rows])[use])
+        r = got[f"x{i}", f"y{j}"]
+        assert (r.df, r.n) == (dof, use.sum()) and r.beta == pytest.approx(beta, rel=1e-9) and r.se == pytest.approx(se, rel=1e-8)
+    assert [len(b) for b in T.bands([np.arange(32)] * 5, 2)] == [2, 2, 1]
