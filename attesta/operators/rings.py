@@ -12,11 +12,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LEG = 1 << 14  # places in a task of the first and last step
 BLOCK = 1 << 18  # numbers a column in a task of the middle step
+STRETCH, RANKED, DEALT_MB = 1 << 14, 1 << 18, 64  # places of a stretch of a ring; values ranked at once; MB of a task that ranks
 
 
 def _layout(length: int, leg: int, block: int) -> tuple[int, int, int]:
@@ -102,3 +103,115 @@ def shifted_products(
     wanted = shifts.join(lengths, list(keys)).select(*keys, F.col("rep").cast("long").alias("rep"), F.explode(both).alias("place"), m2.alias("__m2"))
     wanted = wanted.withColumn("n2", F.col("place") % F.col("__m2")).drop("__m2")
     return half.groupBy(*keys, "n2").cogroup(wanted.groupBy(*keys, "n2")).applyInArrow(back, f"{key_schema}rep long, s array<double>")
+
+
+def _packed(v: np.ndarray) -> bytes:
+    """Whole numbers as four bytes each where they fit, else eight bytes each."""
+    with np.errstate(invalid="ignore"):
+        small = v.astype(np.int32)
+    return (small if np.array_equal(small, v) else v).tobytes()
+
+
+def shifted_rank_sums(
+    ring: DataFrame, part: str, x: str, still: DataFrame, shifts: DataFrame, y: str, z: str, splits: Sequence[float], stretch: int = 0,
+) -> DataFrame:
+    """(rep, n, xx, xy, xz): sums of products of centred ranks of x, shifted and less its tile means, with y and z.
+
+    `ring` has part, `ring_pos` from 0 and x without gaps; `shifts` has part, `ring_len`, `rep` and `offset`. `still` has
+    the places that count: part, `ring_pos`, `tile_from` (the first place of its tile, whose places follow each other)
+    and whole numbers y and z that add up to zero, twice their centred ranks. Ranks run over all rings.
+
+    Whole tiles make a stretch of a ring, and x reaches it as slices of packed stretches, not as rows. A task takes the
+    tile means out, sorts, and passes the values on in pieces between `splits`; equal values fold to their number and
+    sums where they are many. Another task ranks what lies between two splits, for all rings at once.
+    """
+    span = stretch or STRETCH
+    types = {f.name: f.dataType.simpleString() for f in ring.schema}
+    key = f"{part} {types[part]}"
+    edges = np.array(splits, float)
+
+    def pack(table: pa.Table) -> pa.Table:
+        v = np.empty(table.num_rows)
+        v[table.column("ring_pos").to_numpy() % span] = table.column(x).to_numpy()
+        return table.select([part, "source"]).slice(0, 1).append_column("v", pa.array([_packed(v)], pa.binary())).append_column("size", pa.array([len(v)], pa.int64()))
+
+    rows = ring.select(part, F.col("ring_pos").cast("long").alias("ring_pos"), F.col(x).cast("double").alias(x)).withColumn("source", F.floor(F.col("ring_pos") / span))
+    sources = rows.groupBy(part, "source").applyInArrow(pack, f"{key}, source long, v binary, size long")
+
+    placed = still.select(part, F.floor(F.col("tile_from") / span).alias("goal"), F.col("ring_pos").cast("long").alias("ring_pos"), F.col("tile_from").cast("long").alias("tile_from"), F.col(y).cast("long").alias("y"), F.col(z).cast("long").alias("z"))
+    goals = placed.groupBy(part, "goal").agg(F.min("ring_pos").alias("lo"), (F.max("ring_pos") + 1).alias("hi"))
+    # What a goal receives: one stretch of the ring, or two where it runs over the ring's end, in places of packed sources.
+    begin, n, size = F.pmod(F.col("lo") - F.col("offset"), F.col("ring_len")), F.col("hi") - F.col("lo"), F.col("ring_len")
+    arc = lambda a, b, at: F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"), at.cast("long").alias("at"))
+    arcs = F.array(arc(begin, F.least(begin + n, size), F.lit(0)), arc(F.lit(0), begin + n - size, size - begin))
+    wanted = goals.join(shifts, part).select(part, "goal", F.col("rep").cast("int").alias("rep"), F.explode(F.filter(arcs, lambda r: r["b"] > r["a"])).alias("arc")).select(part, "goal", "rep", "arc.*")
+    wanted = wanted.withColumn("source", F.explode(F.sequence(F.floor(F.col("a") / span), F.floor((F.col("b") - 1) / span))))
+    first = F.greatest(F.col("a"), F.col("source") * span)
+    wanted = wanted.select(part, "goal", "rep", "source", (F.col("at") + first - F.col("a")).alias("at"), (first - F.col("source") * span).alias("skip"), (F.least(F.col("b"), (F.col("source") + 1) * span) - first).alias("take"))
+    width = (F.length("v") / F.col("size")).cast("int")
+    slices = wanted.join(sources, [part, "source"]).select(part, "goal", "rep", "at", "take", F.col("v").substr((F.col("skip") * width + 1).cast("int"), (F.col("take") * width).cast("int")).alias("v"))
+
+    names = ["rep", "bucket", "v", "n", "y", "z"]
+    empty = pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), *[pa.binary()] * 4)], names)
+
+    def spread(places: pa.Table, moved: pa.Table) -> pa.Table:
+        if not places.num_rows or not moved.num_rows:
+            return empty
+        places = places.sort_by("ring_pos")
+        at = places.column("ring_pos").to_numpy()
+        starts = np.flatnonzero(np.diff(places.column("tile_from").to_numpy(), prepend=-1))
+        counts = np.diff(starts, append=len(at))
+        ys, zs = (places.column(c).to_numpy() for c in ("y", "z"))
+        found, line, at = [], np.empty(at[-1] - at[0] + 1), at - at[0]
+        moved = moved.sort_by("rep")
+        columns = [moved.column(c).to_pylist() for c in ("rep", "at", "take")]
+        for k, (rep, to, take) in enumerate(zip(*columns)):
+            v = moved.column("v")[k].as_buffer()
+            line[to : to + take] = np.frombuffer(v, np.int32 if v.size == 4 * take else float)
+            if k + 1 < moved.num_rows and columns[0][k + 1] == rep:
+                continue
+            value = line[at]
+            value -= np.repeat(np.add.reduceat(value, starts) / counts, counts)
+            value += 0.0  # no negative zeros
+            order = np.argsort(value)
+            value, a, b, one = value[order], ys[order], zs[order], None
+            own = np.flatnonzero(np.diff(value, prepend=np.nan) != 0)
+            if 2 * len(own) < len(value):
+                one, value, a, b = np.diff(own, append=len(value)), value[own], np.add.reduceat(a, own), np.add.reduceat(b, own)
+            ends = [0, *np.searchsorted(value, edges), len(value)]
+            for bucket, (i, j) in enumerate(zip(ends, ends[1:])):
+                if j > i:
+                    found.append((rep, bucket, value[i:j].tobytes(), None if one is None else one[i:j].astype(np.int64).tobytes(), _packed(a[i:j]), _packed(b[i:j])))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*found), empty.schema.types)], names)
+
+    def ranks(table: pa.Table) -> pa.Table:
+        value, one, sums = [], [], ([], [])
+        for v, n, *both in zip(*(table.column(c) for c in ("v", "n", "y", "z"))):
+            value.append(np.frombuffer(v.as_buffer(), float))
+            m = len(value[-1])
+            one.append(np.frombuffer(n.as_buffer(), np.int64) if n.is_valid else np.ones(m, np.int64))
+            for k, w in enumerate(both):
+                w = w.as_buffer()
+                sums[k].append(np.frombuffer(w, np.int32 if w.size == 4 * m else np.int64).astype(float))
+        value = np.concatenate(value)
+        order = np.argsort(value)
+        value, one, (a, b) = value[order], np.concatenate(one)[order], (np.concatenate(s)[order] for s in sums)
+        own = np.flatnonzero(np.diff(value, prepend=np.nan) != 0)
+        one, a, b = np.add.reduceat(one, own), np.add.reduceat(a, own), np.add.reduceat(b, own)
+        r = np.cumsum(one) - (one - 1) / 2
+        found = [one.sum(), one @ r, one @ (r * r), a.sum(), b.sum(), r @ a, r @ b]
+        head = table.select(["rep", "bucket"]).slice(0, 1)
+        for name, s in zip(("n", "r", "rr", "y", "z", "ry", "rz"), found):
+            head = head.append_column(name, pa.array([float(s)]))
+        return head
+
+    slices = slices.toDF(*slices.columns)  # columns of its own: the goals came from the places
+    pieces = placed.groupBy(part, "goal").cogroup(slices.groupBy(part, "goal")).applyInArrow(spread, "rep int, bucket int, v binary, n binary, y binary, z binary")
+    tasks = max(ring.sparkSession.sparkContext.defaultParallelism, (still.count() * shifts.select("rep").distinct().count() * 16 >> 20) // DEALT_MB)
+    ranked = pieces.repartition(tasks, "rep", "bucket").groupBy("rep", "bucket").applyInArrow(ranks, "rep int, bucket int, n double, r double, rr double, y double, z double, ry double, rz double")
+    # Ranks inside a bucket are moved on by what lies below it; both windows are over buckets, not rows.
+    below = F.sum("n").over(Window.partitionBy("rep").orderBy("bucket")) - F.col("n") - (F.sum("n").over(Window.partitionBy("rep")) + 1) / 2
+    on = ranked.withColumn("o", below)
+    return on.groupBy("rep").agg(
+        F.sum("n").cast("long").alias("n"), F.sum(F.col("rr") + 2 * F.col("o") * F.col("r") + F.col("n") * F.col("o") * F.col("o")).alias("xx"),
+        (F.sum(F.col("ry") + F.col("o") * F.col("y")) / 2).alias("xy"), (F.sum(F.col("rz") + F.col("o") * F.col("z")) / 2).alias("xz"))

@@ -12,6 +12,7 @@ from attesta.operators import association as A
 from attesta.operators import contacts as C
 from attesta.operators import joins as J
 from attesta.operators import ordered as O
+from attesta.operators import rings as R
 from attesta.operators import selection as S
 from attesta.session import stage
 
@@ -169,9 +170,11 @@ def noise_matched(df: DataFrame, keys: Sequence[str], sim: str, ref: str, observ
     return got.select(F.lit(scale).alias("noise_sd"), F.lit(target).alias("target_rho"), F.col("spearman").alias("matched_rho"), "n")
 
 
-def _fine_with_gaps(ring: DataFrame, moved: DataFrame, part: str, tile: str, x: str, y: str, z: str, min_count: int) -> DataFrame:
+def _fine_with_gaps(ring: DataFrame, shifts: DataFrame, part: str, tile: str, x: str, y: str, z: str, min_count: int) -> DataFrame:
     """(rep, n, partial_r) where missing values make the rows of a tile differ from shift to shift."""
     cols = [x, y, z]
+    moved = ring.select(part, "ring_pos", x).join(shifts, part)
+    moved = moved.select(part, "rep", F.pmod(F.col("ring_pos") + F.col("offset"), F.col("ring_len")).alias("ring_pos"), x)
     here = moved.join(ring.select(part, tile, "ring_pos", y, z), [part, "ring_pos"])
     w = Window.partitionBy("rep", part, tile)  # a tile is a stretch of fixed length
     resid = A.listwise(here, cols).select("rep", *[(F.col(c) - F.avg(c).over(w)).alias(f"d_{c}") for c in cols], F.count(F.lit(1)).over(w).alias("k")).where(F.col("k") >= min_count)
@@ -179,26 +182,26 @@ def _fine_with_gaps(ring: DataFrame, moved: DataFrame, part: str, tile: str, x:
     return A.partial_spearman(resid, ["rep"], f"d_{x}", f"d_{y}", [f"d_{z}"])
 
 
-def _fine_whole(ring: DataFrame, moved: DataFrame, part: str, tile: str, x: str, y: str, z: str, min_count: int) -> DataFrame:
+def _fine_whole(ring: DataFrame, shifts: DataFrame, part: str, tile: str, x: str, y: str, z: str, min_count: int) -> DataFrame:
     """(rep, n, partial_r) without missing values: tiles, y and z stay, so their ranks are found once for all shifts.
 
-    Rows of one value of x fold to their number and sums before they are ordered, and the ranks of x are summed where
-    they are found, so no shift's rows are joined again.
+    Tiles that are no stretches of the ring, or longer than a task's stretch, are left to the general form.
     """
     w = Window.partitionBy(part, tile)
-    still = ring.select(part, tile, "ring_pos", *[(F.col(c) - F.avg(c).over(w)).alias(c) for c in (y, z)], F.count(F.lit(1)).over(w).alias("k")).where(F.col("k") >= min_count)
-    still = A.ranked(stage(still, "still"), [y, z])
-    mid = (F.lit(still.count()) + 1) / 2
-    still = stage(still.select(part, tile, "ring_pos", (F.col(f"r_{y}") - mid).alias("ry"), (F.col(f"r_{z}") - mid).alias("rz")), "still")
-    here = moved.join(still, [part, "ring_pos"])
-    dx = here.select("rep", "ry", "rz", (F.col(x) - F.avg(x).over(Window.partitionBy("rep", part, tile))).alias("v"))
-    folded = dx.groupBy("rep", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("ry").alias("ry"), F.sum("rz").alias("rz"))
-    r = O.Ordered(folded, ["rep"], ["v"]).running({"hi": ("sum", F.col("n"))}).rows()
-    r = r.withColumn("rx", F.col("hi") - (F.col("n") - 1) / 2 - mid)
-    sums = r.groupBy("rep").agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rx") * F.col("rx")).alias("__x__x"), F.sum(F.col("rx") * F.col("ry")).alias("__x__y"), F.sum(F.col("rx") * F.col("rz")).alias("__x__z"))
-    own = lambda a, b: F.sum(F.col(a) * F.col(b))
-    fixed = still.agg(own("ry", "ry").alias("__y__y"), own("rz", "rz").alias("__z__z"), own("ry", "rz").alias("__y__z"))
+    placed = ring.select(part, "ring_pos", F.min("ring_pos").over(w).alias("tile_from"), F.max("ring_pos").over(w).alias("last"), F.count(F.lit(1)).over(w).alias("k"), *[(F.col(c) - F.avg(c).over(w)).alias(c) for c in (x, y, z)])
+    placed = stage(placed.where(F.col("k") >= min_count), "still")
+    if placed.agg(F.max((F.col("last") - F.col("tile_from") >= F.col("k")) | (F.col("k") > R.STRETCH))).first()[0]:
+        return _fine_with_gaps(ring, shifts, part, tile, x, y, z, min_count)
+    ranks = A.ranked(placed.select(part, "tile_from", "ring_pos", x, y, z), [y, z])
+    size = ranks.count()
+    double = lambda c: (2 * F.col(c) - (size + 1)).cast("long")
+    ranks = stage(ranks.select(part, "tile_from", "ring_pos", x, double(f"r_{y}").alias("ry"), double(f"r_{z}").alias("rz")), "still")
+    buckets = -(-size // R.RANKED)
+    splits = ranks.agg(F.percentile_approx(x, [k / buckets for k in range(1, buckets)], 10_000)).first()[0] if buckets > 1 else []
+    sums = R.shifted_rank_sums(ring, part, x, ranks, shifts, "ry", "rz", sorted(set(splits)))
+    own = lambda a, b: F.sum(F.col(a).cast("double") * F.col(b)) / 4
+    fixed = ranks.agg(own("ry", "ry").alias("__y__y"), own("rz", "rz").alias("__z__z"), own("ry", "rz").alias("__y__z"))
+    sums = sums.select("rep", "n", F.col("xx").alias("__x__x"), F.col("xy").alias("__x__y"), F.col("xz").alias("__x__z"))
     pairs = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("z", "z"), ("y", "z")]
     return sums.join(F.broadcast(fixed)).select("rep", "n", A.partial_from_sums("x", "y", ["z"], pairs).alias("partial_r"))
 
@@ -216,11 +219,9 @@ def fine_coarse(df: DataFrame, part: str, tile: str, order: Sequence[str], x: st
     ring = stage(O.ring_positions(rows, [part], order).where(F.col("ring_len") >= 2 * margin + 1), "fine")
     offset = F.when(F.col("rep") > 0, A.shift_offset("margin", seed, F.col("rep"), F.col(part), F.col("ring_len"), margin)).otherwise(F.lit(0))
     shifts = ring.select(part, "ring_len").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).withColumn("offset", offset)
-    moved = ring.select(part, "ring_pos", x).join(shifts, part)
-    moved = moved.select(part, "rep", F.pmod(F.col("ring_pos") + F.col("offset"), F.col("ring_len")).alias("ring_pos"), x)
     gaps = ring.where(F.greatest(*[F.col(c).isNull() for c in cols])).limit(1).count()
     shift = _fine_with_gaps if gaps else _fine_whole
-    rho = stage(shift(ring, moved, part, tile, x, y, z, min_count), "rho")
+    rho = stage(shift(ring, shifts, part, tile, x, y, z, min_count), "rho")
     null = rho.where("rep > 0").agg(F.avg("partial_r").alias("m"), F.stddev_pop("partial_r").alias("sd"))
     fine = rho.where("rep = 0").join(F.broadcast(null)).select(
         F.lit("fine").alias("scale"), "n", F.col("partial_r").alias("rho"), F.try_divide(F.col("partial_r") - F.col("m"), F.col("sd")).alias("z")

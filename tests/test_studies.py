@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from attesta.operators import rings as rings_of
 from attesta.plans import studies
 
 
@@ -77,3 +78,45 @@ def test_fine_scale_without_gaps_equals_the_general_form(spark, monkeypatch):
     general = run()
     assert whole["fine"].n == general["fine"].n == 360
     assert (whole["fine"].rho, whole["fine"].z) == pytest.approx((general["fine"].rho, general["fine"].z), rel=1e-9)
+
+
+@pytest.mark.parametrize("equal", [True, False])
+def test_ranks_of_shifted_values_in_small_stretches(spark, equal):
+    rng = np.random.default_rng(6)
+    rings, rows, shifts = {"a": 143, "b": 37, "c": 64}, [], []
+    still = []
+    for name, size in rings.items():
+        x = rng.integers(-4, 5, size) if equal else rng.normal(size=size)
+        rows += [(name, k, float(x[k])) for k in range(size)]
+        shifts += [(name, size, rep, int(rng.integers(1, size)) if rep else 0) for rep in range(6)]
+        # Tiles of seven places; every fourth one does not count.
+        still += [(name, k, k // 7 * 7) for k in range(size // 7 * 7) if k // 7 % 4 != 2]
+    y, z = (2 * rng.permutation(len(still)) - len(still) + 1 for _ in range(2))
+    frame = lambda r, t: spark.createDataFrame(r, t).repartition(3)
+    args = [frame(rows, "part string, ring_pos int, x double"), "part", "x", frame([(*r, int(a), int(b)) for r, a, b in zip(still, y, z)], "part string, ring_pos int, tile_from int, y long, z long")]
+    out = rings_of.shifted_rank_sums(*args, frame(shifts, "part string, ring_len int, rep int, offset int"), "y", "z", [-1.0, 0.0, 0.25], 16).collect()
+    value = {(p, k): v for p, k, v in rows}
+    assert sorted(r.rep for r in out) == list(range(6))
+    for r in out:
+        offset = {p: (size, o) for p, size, rep, o in shifts if rep == r.rep}
+        moved = {(p, k): value[p, (k - offset[p][1]) % offset[p][0]] for p, k, _ in still}
+        mean = {t: np.mean([moved[p, k] for p, k, f in still if (p, f) == t]) for t in {(p, f) for p, _, f in still}}
+        v = np.array([moved[p, k] - mean[p, f] for p, k, f in still])
+        rank = (v[:, None] > v).sum(1) + ((v[:, None] == v).sum(1) - 1) / 2
+        rank -= rank.mean()
+        assert (r.n, r.xx, r.xy, r.xz) == pytest.approx((len(v), rank @ rank, rank @ y / 2, rank @ z / 2))
+
+
+def test_fine_scale_with_broken_or_long_tiles_takes_the_general_form(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(f"c{c}", k % 9, k, *map(float, rng.normal(size=3))) for c in range(2) for k in range(110)]
+    df = spark.createDataFrame(rows, "chrom string, tile int, pos int, x double, y double, z double")
+    run = lambda d: {r.scale: r for r in studies.fine_coarse(d, "chrom", "tile", ["pos"], "x", "y", "z", 5, 10, 21).collect()}["fine"]
+    stretches = df.withColumn("tile", F.floor(F.col("pos") / 11))
+    broken, whole = run(df), run(stretches)
+    monkeypatch.setattr(rings_of, "STRETCH", 10)
+    long = run(stretches)
+    assert (long.n, long.rho, long.z) == pytest.approx((whole.n, whole.rho, whole.z), rel=1e-9)
+    monkeypatch.setattr(studies, "_fine_whole", studies._fine_with_gaps)
+    general = run(df)
+    assert (broken.n, broken.rho, broken.z) == pytest.approx((general.n, general.rho, general.z), rel=1e-9)
