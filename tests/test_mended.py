@@ -4,12 +4,15 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from attesta.functions.numeric import exact_mean
 from attesta.operators import aggregates, association, contacts, intervals, ordered, selection
 from attesta.plans import studies
+from attesta.plans.queries_aggregates import long_matrix
 
 
 def test_greedy_capped_with_null_groups(spark):
@@ -188,3 +191,29 @@ def test_sensitivity_grid_reads_its_rows_once(spark):
     for arm, w in want.items():
         for c in ("n", "observed", "p_neg", "p_pos", "null_mean", "null_sd", "z"):
             assert got[arm][c] == pytest.approx(w[c], rel=1e-7, abs=1e-9)
+
+
+def test_means_on_thresholds_do_not_hang_on_how_rows_are_dealt(spark, tmp_path):
+    """Discounts around the threshold in many small files: the mean of a cell adds them up as they are stored."""
+    rng = np.random.default_rng(12)
+    rows = [(p, p % 20, float(v) / 100) for v in rng.integers(0, 11, 30) for p in range(200)]
+    for k in range(24):
+        part = rows[k * len(rows) // 24 : (k + 1) * len(rows) // 24]
+        (tmp_path / "lineitem.parquet").mkdir(exist_ok=True)
+        pq.write_table(pa.table(list(zip(*part)), ["l_partkey", "l_suppkey", "l_discount"]), tmp_path / f"lineitem.parquet/p{k:02d}.parquet")
+    pq.write_table(pa.table([list(range(200)), [f"b{p // 20}" for p in range(200)], [1] * 200], ["p_partkey", "p_brand", "p_size"]), tmp_path / "part.parquet")
+    sums = {}
+    for p, s, v in rows:
+        total, n = sums.get((s, f"b{p // 20}:1"), (0.0, 0))
+        sums[s, f"b{p // 20}:1"] = total + v, n + 1
+    want = {k: total / n * 20 - 1.4 for k, (total, n) in sums.items()}
+    for dealt in (None, 1 << 12):
+        with_bytes = {"spark.sql.files.maxPartitionBytes": dealt, "spark.sql.files.openCostInBytes": 0} if dealt else {}
+        for k, v in with_bytes.items():
+            spark.conf.set(k, v)
+        try:
+            got = {(r.row_id, r.col_id): r.value for r in long_matrix(spark, str(tmp_path)).collect()}
+        finally:
+            for k in with_bytes:
+                spark.conf.unset(k)
+        assert got == want
