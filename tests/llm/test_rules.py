@@ -187,6 +187,24 @@ def test_copies_of_a_page_keep_their_text(spark):
     assert got == {1: body, 2: body, 3: "else"}
 
 
+def test_copies_with_other_menus_or_a_changed_block_keep_their_text(spark):
+    text = lambda w, n: " ".join(f"{w}{k}" for k in range(n))
+    foot, first, second = text("foot", 14), text("one", 40), text("two", 50)
+    page = lambda menu, *parts: f"<nav>{menu}</nav>" + "".join(f"<div>{p}</div>" for p in parts)
+    # Two addresses whose menus mark the page that is open, on a host of their own and beside pages with the same footer.
+    rows = [(k, f"http://{h}.example/{k}", page(f"home here{k}", first, second, *more)) for k, h, more in ((1, "lone", []), (2, "lone", []), (3, "h", [foot]), (4, "h", [foot]))]
+    rows += [(k, f"http://h.example/{k}", page("home", text(f"own{k}x", 30), foot)) for k in range(10, 20)]
+    # The same text with a line of its own, and a page that has little but the footer.
+    rows += [(5, "http://h.example/5", page("home", "printed on Monday", first, second, foot)), (6, "http://h.example/6", page("home", "call us", foot))]
+    want = {k: f"{first}\n{second}" for k in (1, 2, 3, 4)} | {k: text(f"own{k}x", 30) for k in range(10, 20)} | {5: f"printed on Monday\n{first}\n{second}", 6: "call us"}
+    assert {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == want
+
+
+def test_formulas_and_examples_are_text():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding=tex>x^2</annotation></math> be.</p><xmp>a <b> c</xmp><p>End</p></article>"
+    assert html_text.blocks(page) == [("Let x=2 be.", ARTICLE), ("a <b> c", ARTICLE), ("End", ARTICLE)]
+
+
 def test_pages_keep_whole_articles(spark):
     import html
     import re
